@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scoutframe.llm import chat, quality, shard
+from scoutframe.llm import chat, pack, quality, shard
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (chat, quality, shard):
+for module in (chat, quality, pack, shard):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
