@@ -29,9 +29,9 @@ from scoutframe.llm._text import bytes_of, ragged, slices
 
 CHUNK_BYTES = 16 << 20
 #: White space beyond ASCII: texts that hold any are pre-tokenized whole.
-_WIDE_SPACE = "[\u0085   -     　]"
+_WIDE_SPACE = "[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]"
 #: A unit of this form is one pre-token.
-_PLAIN = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_PLAIN = r"^ ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _CHUNKS = "chunk long, doc_id long, n int, places binary, words array<string>"
