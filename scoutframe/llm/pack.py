@@ -27,7 +27,7 @@ from scoutframe.llm._text import ragged, slices
 CAPACITY = 4096
 END_ID = 2
 #: Pieces of one length beyond this many are ranked in several groups.
-RANK_GROUP = 1000
+RANK_GROUP = 200
 RANK_SALTS = 1024
 #: Distinct words that a worker keeps encoded.
 CACHED_WORDS = 500_000

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scoutframe.llm import bpe, chat, pack, quality, shard
+from scoutframe.llm import bpe, chat, pack, quality, shard, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (bpe, chat, quality, pack, shard):
+for module in (bpe, chat, quality, pack, shard, toxicity):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
