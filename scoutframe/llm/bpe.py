@@ -3,8 +3,9 @@
 1. Texts fall into pre-tokens.  Each chunk of texts (a bounded number of bytes)
    keeps its distinct pre-tokens once and, per text, their numbers in order: the
    explosion into pre-tokens with positions, aggregated before any shuffle.
-2. The chunks' distinct pre-tokens are shuffled by word; each distinct word is
-   encoded once and its ids go back to the chunks that hold it.
+2. The chunks' distinct pre-tokens are shuffled by a hash of the word, in blocks;
+   each distinct word is encoded once and its ids go back to the chunks that hold
+   it.  There are as many parts as shuffle partitions.
 3. Per chunk, ids are laid out by position again.  Decoding looks every id up in
    the token-byte table, whose size is the vocabulary's.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoutframe.llm._shared import shared_dir, table
-from scoutframe.llm._text import bytes_of, ragged, slices
+from scoutframe.llm._text import SpanHasher, bytes_of, ragged, slices
 
 CHUNK_BYTES = 16 << 20
 #: White space beyond ASCII: texts that hold any are pre-tokenized whole.
@@ -34,7 +35,9 @@ _WIDE_SPACE = "[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)
 _PLAIN = r"^ ?[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}]+$"
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_CHUNKS = "chunk long, doc_id long, n int, places binary, words array<string>"
+_CHUNKS = "chunk long, doc_id long, n int, places binary, part int, block binary"
+_NAMES = [x.split()[0] for x in _CHUNKS.split(", ")]
+_encodings: dict = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -86,82 +89,120 @@ def _spread(places: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def chunked(docs: DataFrame, pattern: str) -> DataFrame:
-    """Per chunk one row with its distinct pre-tokens, and one row per text with their numbers."""
+def _squeezed_block(words: list[bytes], numbers: np.ndarray) -> bytes:
+    sizes = np.fromiter(map(len, words), np.uint32, len(words))
+    head = np.array([len(words)], "<u4").tobytes()
+    return zstandard.compress(head + numbers.astype("<u4").tobytes() + sizes.tobytes() + b"".join(words), 3)
+
+
+def _block(data: bytes) -> tuple[np.ndarray, pa.Array]:
+    data = zstandard.decompress(data)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    numbers = np.frombuffer(data, "<u4", n, 4)
+    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4 + 4 * n), dtype=np.int64)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return numbers, pa.Array.from_buffers(pa.utf8(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data[4 + 8 * n :])])
+
+
+def chunked(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
+    """Per text one row with the numbers of its pre-tokens; per chunk and part (a hash of the word) one with its words."""
 
     def run(batches):
         import regex
 
         compiled, part_id, k = regex.compile(pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in slices(batch, "text", CHUNK_BYTES):
-                words, numbers, counts = pre_tokens(part.column("text"), compiled)
+            for piece in slices(batch, "text", CHUNK_BYTES):
+                words, numbers, counts = pre_tokens(piece.column("text"), compiled)
                 upto = np.concatenate([[0], np.cumsum(counts)])
                 chunk, k = part_id << 32 | k, k + 1
-                n = part.num_rows
+                n = piece.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([chunk] * n, pa.int64()),
-                        part.column("doc_id"),
+                        piece.column("doc_id"),
                         pa.array(counts, pa.int32()),
                         pa.array([_squeezed(numbers[upto[i] : upto[i + 1]]) for i in range(n)], pa.binary()),
-                        pa.nulls(n, pa.list_(pa.utf8())),
+                        pa.nulls(n, pa.int32()),
+                        pa.nulls(n, pa.binary()),
                     ],
-                    ["chunk", "doc_id", "n", "places", "words"],
+                    _NAMES,
+                )
+                if not len(words):
+                    continue
+                data, cut = bytes_of(words)
+                part = (SpanHasher(data).spans(cut[:-1], cut[1:]) % np.uint64(parts)).astype(np.int64)
+                plain = words.cast(pa.binary()).to_pylist()
+                order = np.argsort(part, kind="stable")
+                bounds = np.searchsorted(part[order], np.arange(parts + 1))
+                own = [p for p in range(parts) if bounds[p] < bounds[p + 1]]
+                blocks = []
+                for p in own:
+                    at = sorted(order[bounds[p] : bounds[p + 1]].tolist(), key=plain.__getitem__)
+                    blocks.append(_squeezed_block([plain[i] for i in at], np.array(at, np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([chunk] * len(own), pa.int64()),
+                        pa.nulls(len(own), pa.int64()),
+                        pa.nulls(len(own), pa.int32()),
+                        pa.nulls(len(own), pa.binary()),
+                        pa.array(own, pa.int32()),
+                        pa.array(blocks, pa.binary()),
+                    ],
+                    _NAMES,
                 )
-                for at in range(0, len(words), 20_000):
-                    block = words.slice(at, 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([chunk], pa.int64()),
-                            pa.nulls(1, pa.int64()),
-                            pa.array([at], pa.int32()),
-                            pa.nulls(1, pa.binary()),
-                            pa.ListArray.from_arrays(pa.array([0, len(block)], pa.int32()), block),
-                        ],
-                        ["chunk", "doc_id", "n", "places", "words"],
-                    )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _CHUNKS)
 
 
-def _encoded(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(chunk, number, ids) of (chunk, number, word), sorted by word within partitions."""
+def _encoded(blocks: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(chunk, numbers, sizes, ids) of (chunk, part, block): each distinct word of a part is encoded once."""
 
-    def run(batches):
+    def run(table: pa.Table) -> pa.Table:
         import tiktoken
 
-        bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
-        last = (None, b"")
-        for batch in batches:
-            coded = batch.column("word").dictionary_encode()
-            ids = []
-            for w in coded.dictionary.to_pylist():
-                if w != last[0]:
-                    last = (w, np.array(bpe.encode_ordinary(w), "<u4").tobytes())
-                ids.append(last[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk"), batch.column("number"), pa.array(ids, pa.binary()).take(coded.indices)],
-                ["chunk", "number", "ids"],
+        if ranks_path not in _encodings:
+            _encodings[ranks_path] = tiktoken.Encoding(
+                "own", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={}
             )
-
-    return words.mapInArrow(run, "chunk long, number int, ids binary")
+        encode_word = _encodings[ranks_path].encode_ordinary
+        read = [_block(b) for b in table.column("block").to_pylist()]
+        coded = pa.concat_arrays([words for _, words in read]).dictionary_encode()
+        ids = [encode_word(w) for w in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        starts = np.cumsum(sizes) - sizes
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        at, rows, first = coded.indices.to_numpy(), [], 0
+        for numbers, words in read:
+            own = at[first : first + len(words)]
+            first += len(words)
+            rows.append((_squeezed(numbers), _squeezed(sizes[own]), _squeezed(flat[ragged(starts[own], sizes[own])]), len(words)))
+        columns = list(zip(*rows, strict=True))
+        return pa.Table.from_arrays(
+            [table.column("chunk"), *[pa.array(c, pa.binary()) for c in columns[:3]], pa.array(columns[3], pa.int32())],
+            names=["chunk", "numbers", "sizes", "ids", "n"],
+        )
+
+    return blocks.groupBy("part").applyInArrow(run, "chunk long, numbers binary, sizes binary, ids binary, n int")
 
 
 def _assembled(docs: DataFrame, entries: DataFrame, emit, schema: str, names: list[str]) -> DataFrame:
-    types = [pa.int64(), *[{"long": pa.int64(), "string": pa.utf8(), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")[1:]]]
+    kinds = {"long": pa.int64(), "string": pa.utf8(), "binary": pa.binary()}
+    types = [kinds[x.split()[1]] for x in schema.split(", ")]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        numbers = right.column("number").combine_chunks().to_numpy()
-        data, cut = bytes_of(pa.chunked_array(right.column("ids")).combine_chunks())
-        sizes = np.zeros(len(numbers), np.int64)
-        starts = np.zeros(len(numbers), np.int64)
-        sizes[numbers], starts[numbers] = np.diff(cut) // 4, cut[:-1] // 4
-        ids = data.view("<u4")
+        numbers, sizes, ids = [], [], []
+        for a, b, c, n in zip(*(right.column(c).to_pylist() for c in ("numbers", "sizes", "ids", "n")), strict=True):
+            numbers.append(_spread(a, n))
+            sizes.append(_spread(b, n))
+            ids.append(_spread(c, int(sizes[-1].sum(dtype=np.int64))))
+        numbers, sizes, ids = (np.concatenate([np.empty(0, np.uint32), *x]) for x in (numbers, sizes, ids))
+        size, start = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        size[numbers], start[numbers] = sizes, np.cumsum(sizes, dtype=np.int64) - sizes
         make, rows = emit(), []
         for doc, n, places in zip(*(left.column(c).to_pylist() for c in ("doc_id", "n", "places")), strict=True):
             at = _spread(places, n)
-            rows.append((doc, *make(ids[ragged(starts[at], sizes[at])])))
+            rows.append((doc, *make(ids[ragged(start[at], size[at])])))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return docs.groupBy("chunk").cogroup(entries.groupBy("chunk")).applyInArrow(run, schema)
@@ -177,13 +218,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, emit=None, schema: st
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # bucketed by chunk, so that the last step finds the texts where they lie
     name = f"bpe_{uuid.uuid4().hex}"
-    chunked(docs, pattern).write.option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").bucketBy(
-        n, "chunk"
-    ).saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    rows = chunked(docs, pattern, n)
+    rows.write.option("compression", "none").option("path", path).bucketBy(n, "chunk").saveAsTable(name)
     rows = spark.table(name)
-    words = rows.where("words IS NOT NULL").select("chunk", F.col("n").alias("at"), F.posexplode("words").alias("k", "word"))
-    words = words.select("chunk", (F.col("at") + F.col("k")).alias("number"), "word")
-    entries = _encoded(words.repartition(n, "word").sortWithinPartitions("word"), ranks_path, pattern)
+    entries = _encoded(rows.where("block IS NOT NULL").select("chunk", "part", "block"), ranks_path, pattern)
     texts = rows.where("places IS NOT NULL").select("chunk", "doc_id", "n", "places")
     names = [x.split()[0] for x in schema.split(", ")]
     return _assembled(texts, entries, emit or (lambda: lambda ids: (ids.tobytes(),)), schema, names)
