@@ -131,7 +131,9 @@ class Model:
         if len(set(toxic.tolist())) < 2:
             self.constant = float(toxic.mean()) if len(toxic) else 0.0
             return
-        docs = coded(pa.array(texts, pa.large_utf8()))
+        docs = []
+        for part in slices(pa.record_batch([pa.array(texts, pa.large_utf8())], ["text"]), "text"):
+            docs += [codes.copy() for codes in coded(part.column("text"))]
         x = np.zeros((len(docs), 4))
         for fold in range(FOLDS):
             rest = [i for i in range(len(docs)) if i % FOLDS != fold]
