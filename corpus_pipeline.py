@@ -2,20 +2,50 @@
 
 from __future__ import annotations
 
-from scoutframe.llm import quality
+from scoutframe.llm import jaccard, pack, passages, quality, toxicity
 from scoutframe.llm._shared import stored, table
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules, with thresholds from these documents."""
     return quality.filter_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def toxicity_filter(spark, docs, sf_dir):
+    """Documents that score below the toxicity threshold."""
+    return toxicity.filter_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near duplicates: the one with the smallest doc_id."""
+    return jaccard.filter_documents(docs)
+
+
+def substring_dedup(spark, docs, sf_dir):
+    """Texts without the passages that stand in a document with a smaller doc_id."""
+    return passages.filter_documents(docs)
+
+
+def packing(spark, docs, sf_dir):
+    """Pieces of all documents in sequences of at most 4096 ids: one row a piece, with a checksum of its ids."""
+    import public_tokenizers
+
+    return pack.packed_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("packing", packing),
+]
+#: The toxicity and packing stages can't be put in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages over ``documents``; the rows of the last one."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -77,7 +77,7 @@ def _lists(name: np.ndarray, values: list[np.ndarray], names: list[str]) -> pa.T
     order = np.lexsort((values[0], name))
     name, values = name[order], [v[order] for v in values]
     first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.empty(0, np.int64)
-    ends = np.append(first[1:], len(name))
+    ends = np.append(first, len(name))[1:]
     columns = [pa.array([v[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for v in values]
     return pa.Table.from_arrays([pa.array(name[first].astype(np.int64)), *columns], names=["th", *names])
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scoutframe.llm import ann, bpe, chat, jaccard, pack, passages, quality, shard, toxicity
+from scoutframe.llm import ann, bpe, chat, jaccard, pack, passages, quality, shard, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (ann, bpe, chat, jaccard, quality, pack, passages, shard, toxicity):
+for module in (ann, bpe, chat, jaccard, quality, pack, passages, shard, suffixes, toxicity):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
