@@ -72,18 +72,29 @@ def unpacked(blocks: pa.ChunkedArray, kinds: list[str]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in out]
 
 
-def _lists(name: np.ndarray, values: list[np.ndarray], names: list[str]) -> pa.Table:
-    """One row per ``name`` with the values that belong to it, each column as a binary."""
-    order = np.lexsort((values[0], name))
-    name, values = name[order], [v[order] for v in values]
-    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.empty(0, np.int64)
-    ends = np.append(first, len(name))[1:]
-    columns = [pa.array([v[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for v in values]
-    return pa.Table.from_arrays([pa.array(name[first].astype(np.int64)), *columns], names=["th", *names])
+def by_text(spans: DataFrame, kinds: list[str], names: list[str]) -> DataFrame:
+    """One row per text of (to, packed): th, and each packed column after it as one binary; ``to`` is a part of th."""
+
+    def gather(rows: pa.Table) -> pa.Table:
+        name, *values = unpacked(rows.column("packed"), ["i8", *kinds])
+        order = np.lexsort((values[0], name))
+        name, values = name[order], [v[order] for v in values]
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.empty(0, np.int64)
+        ends = np.append(first, len(name))[1:]
+        columns = [pa.array([v[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()) for v in values]
+        return pa.Table.from_arrays([pa.array(name[first].astype(np.int64)), *columns], names=["th", *names])
+
+    return spans.groupBy("to").applyInArrow(gather, ", ".join(["th long", *(f"{n} binary" for n in names)]))
 
 
-def recurring(found: DataFrame, kinds: list[str], verdict) -> DataFrame:
-    """(th, places): places of texts whose key recurs.
+def dealt_by_text(th: np.ndarray, values: list[np.ndarray], parts: int) -> pa.Table:
+    """(to, packed): th and values in one binary for each part of th."""
+    own, packed = packed_by_part(th.astype(np.int64).view(np.uint64), [th.astype(np.int64), *values], parts)
+    return pa.Table.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary())], names=["to", "packed"])
+
+
+def recurring(found: DataFrame, kinds: list[str], verdict, parts: int) -> DataFrame:
+    """(th, places): places of texts whose key recurs, one row a text.
 
     ``found``: (part, packed) with packed columns key, th, place and perhaps more,
     of ``kinds``.  ``verdict(starts, counts, columns)`` says per row, sorted by
@@ -101,15 +112,35 @@ def recurring(found: DataFrame, kinds: list[str], verdict) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))
             keep = verdict(first, np.diff(np.append(first, len(columns[0]))), columns)
             columns = [c[keep] for c in columns]
-        return _lists(columns[1], [columns[2].astype(np.uint32)], ["places"])
+        return dealt_by_text(columns[1], [columns[2].astype(np.uint32)], parts)
+
+    return by_text(found.groupBy("part").applyInArrow(gather, "to int, packed binary"), ["u4"], ["places"])
+
+
+#: Stands for a null doc_id: larger than any other.
+NO_ID = (1 << 63) - 1
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null is empty), th of the text, and id (doc_id, or ``NO_ID``)."""
+    return docs.select(
+        F.col("doc_id").cast("long"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+    )
+
 
-    by_part = found.groupBy("part").applyInArrow(gather, "th long, places binary")
-    return by_part.groupBy("th").agg(F.collect_list("places").alias("places"))
+def copies_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(th, id) of the first row of every text; (th, id, low) of all rows of texts that several rows hold."""
+    lows = docs.groupBy("th").agg(F.min("id").alias("low"), F.count("*").alias("n"))
+    many = docs.select("th", "id").join(lows.where("n > 1").select("th", "low"), "th").distinct()
+    return lows.select("th", F.col("low").alias("id")), many
 
 
-def places_of(lists) -> np.ndarray:
-    """Sorted distinct places from a row's list of binaries; null has none."""
-    return np.unique(np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in lists or ()]])).astype(np.int64)
+def places_of(packed: bytes | None) -> np.ndarray:
+    """Sorted distinct places; null has none."""
+    return np.unique(np.frombuffer(packed or b"", np.uint32)).astype(np.int64)
 
 
 def runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutframe.llm._repeats import anchors, packed_by_part, places_of, recurring, runs
+from scoutframe.llm._repeats import anchors, copies_of, identified, packed_by_part, places_of, recurring
 from scoutframe.llm._shared import stored, table
 from scoutframe.llm._text import SpanHasher, Words, slices
 
@@ -31,13 +31,6 @@ REACH = 34
 PHRASE = SIZE - REACH
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """Adds th (of the text) to doc_id and text; a null text is empty."""
-    return docs.select(
-        F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("th", F.xxhash64("text"))
-
-
 def _phrases(docs: DataFrame, parts: int) -> DataFrame:
     """(part, packed) of the anchors of all texts: hash, th, place."""
 
@@ -114,7 +107,7 @@ def _windows(texts: DataFrame, parts: int) -> DataFrame:
                 at, of = at[fit], of[fit]
                 if len(at):
                     th = part.column("th").to_numpy()[of]
-                    low = part.column("low").to_numpy()[of]
+                    low = part.column("id").to_numpy()[of]
                     own, packed = packed_by_part(hashes[at], [hashes[at], th, (at - words.cut[of]).astype(np.uint32), low], parts)
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary())], ["part", "packed"])
 
@@ -131,20 +124,22 @@ def removals(docs: DataFrame) -> DataFrame:
 
     ``copy`` marks a row whose whole text stands in a document with a smaller
     doc_id: there every window does.  A null doc_id is larger than any other.
+    Texts move by doc_id and text, so copies of one text spread.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = _identified(docs)
-    phrases = stored(recurring(_phrases(docs, parts), ["u8", "i8", "u4"], _in_two_texts))
-    last = F.lit((1 << 63) - 1)
-    low = docs.select("th", F.coalesce("doc_id", last).alias("id")).groupBy("th").agg(F.min("id").alias("low"))
-    known = stored(low.join(phrases, "th", "left"))
-    texts = docs.join(known.where("places IS NOT NULL"), "th")
-    # of copies only the first is searched
-    texts = texts.where(F.coalesce("doc_id", last) == F.col("low")).select("text", "th", "low", "places")
-    found = stored(recurring(_windows(texts, parts), ["u8", "i8", "u4", "i8"], _earlier))
-    known = known.select("th", "low").join(found, "th", "left")
-    return docs.join(known, "th").select(
-        "doc_id", "text", (F.coalesce("doc_id", last) > F.col("low")).alias("copy"), "places"
+    docs = identified(docs)
+    firsts, many = copies_of(docs)
+    firsts = stored(firsts)
+    phrases = recurring(_phrases(docs, parts), ["u8", "i8", "u4"], _in_two_texts, parts)
+    texts = docs.join(stored(firsts.join(phrases, "th")), ["id", "th"])
+    found = recurring(_windows(texts.select("text", "th", "id", "places"), parts), ["u8", "i8", "u4", "i8"], _earlier, parts)
+    verdicts = (
+        firsts.join(found, "th")
+        .select("id", "th", "places", F.lit(False).alias("copy"))
+        .unionAll(many.where("id > low").select("id", "th", F.lit(None).cast("binary"), F.lit(True)))
+    )
+    return docs.join(stored(verdicts), ["id", "th"], "left").select(
+        "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places"
     )
 
 

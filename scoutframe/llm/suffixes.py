@@ -21,7 +21,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutframe.llm._repeats import _lists, anchors, packed_by_part, places_of, recurring, runs, unpacked
+from scoutframe.llm._repeats import (
+    anchors,
+    by_text,
+    copies_of,
+    dealt_by_text,
+    identified,
+    packed_by_part,
+    places_of,
+    recurring,
+    runs,
+    unpacked,
+)
 from scoutframe.llm._shared import stored, table
 from scoutframe.llm._text import SpanHasher, bytes_of, ragged, slices
 
@@ -154,12 +165,6 @@ def covered(group: np.ndarray, before: np.ndarray, after: np.ndarray, left: np.n
     return np.where(far < 0, 0, far), np.where(far < 0, 0, SIZE - near)
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "th", F.xxhash64("text")
-    )
-
-
 def _anchors(docs: DataFrame, parts: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -241,7 +246,7 @@ def _surroundings(texts: DataFrame, parts: int) -> DataFrame:
 _NAMES = ["part", "packed", "strings"]
 
 
-def _sorted_buckets(blocks: DataFrame) -> DataFrame:
+def _sorted_buckets(blocks: DataFrame, parts: int) -> DataFrame:
     """(th, starts, ends): the spans that recur."""
 
     def sort(rows: pa.Table) -> pa.Table:
@@ -257,42 +262,40 @@ def _sorted_buckets(blocks: DataFrame) -> DataFrame:
         far, near = covered(group, around[:, :REACH][:, ::-1], around[:, REACH:], left.astype(np.int64), right.astype(np.int64))
         hit = near > 0
         place = place[hit].astype(np.int64)
-        return _lists(th[hit], [(place - far[hit]).astype(np.uint32), (place + near[hit]).astype(np.uint32)], ["starts", "ends"])
+        return dealt_by_text(th[hit], [(place - far[hit]).astype(np.uint32), (place + near[hit]).astype(np.uint32)], parts)
 
-    return blocks.groupBy("part").applyInArrow(sort, "th long, starts binary, ends binary")
+    return by_text(blocks.groupBy("part").applyInArrow(sort, "to int, packed binary"), ["u4", "u4"], ["starts", "ends"])
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, copies, starts, ends): recurring spans of every row; ``copies`` counts the rows with this text."""
+    """(doc_id, text, copy, starts, ends, places): recurring spans of every row; ``copy``: other rows have this text.
+
+    Texts move by doc_id and text, so copies of one text spread.
+    """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = _identified(docs)
-    found = stored(recurring(_anchors(docs, n), ["u8", "i8", "u4"], _twice))
-    known = stored(
-        docs.groupBy("th").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low")).join(found, "th", "left")
-    )
-    texts = docs.join(known.where("places IS NOT NULL"), "th")
-    texts = texts.where(F.col("doc_id").eqNullSafe(F.col("low")))  # of copies only the first is searched
+    docs = identified(docs)
+    firsts, many = copies_of(docs)
+    firsts = stored(firsts)
+    found = recurring(_anchors(docs, n), ["u8", "i8", "u4"], _twice, n)
+    texts = docs.join(stored(firsts.join(found, "th")), ["id", "th"])
     blocks = stored(_surroundings(texts, 4 * n), "none")
-    spans = _sorted_buckets(blocks.where("packed IS NOT NULL").select("part", "packed"))
+    spans = _sorted_buckets(blocks.where("packed IS NOT NULL").select("part", "packed"), n)
     strings = recurring(
-        blocks.where("strings IS NOT NULL").select("part", F.col("strings").alias("packed")), ["u8", "i8", "u4"], _twice
+        blocks.where("strings IS NOT NULL").select("part", F.col("strings").alias("packed")), ["u8", "i8", "u4"], _twice, n
     )
-    spans = stored(
-        spans.groupBy("th")
-        .agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-        .join(strings, "th", "full")
+    verdicts = firsts.join(spans.join(strings, "th", "full"), "th").join(many.select("id", "th", F.lit(True).alias("copy")), ["id", "th"], "full")
+    return docs.join(stored(verdicts), ["id", "th"], "left").select(
+        "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts", "ends", "places"
     )
-    known = known.select("th", "copies").join(spans, "th", "left")
-    return docs.join(known, "th").select("doc_id", "text", "copies", "starts", "ends", "places")
 
 
-def _gone(n: int, copies: int, starts, ends, places) -> tuple[np.ndarray, np.ndarray]:
+def _gone(n: int, copy: bool, starts, ends, places) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of a text of ``n`` bytes to remove."""
-    if copies > 1 and n >= SIZE:
+    if copy and n >= SIZE:
         return np.array([0]), np.array([n])
-    join = lambda lists: np.concatenate([np.empty(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in lists or ()]])
+    starts, ends = (np.frombuffer(x or b"", np.uint32).astype(np.int64) for x in (starts, ends))
     at = places_of(places) & (int(_HOT_BIT) - 1)
-    return runs(np.concatenate([join(starts).astype(np.int64), at]), np.concatenate([join(ends).astype(np.int64), at + SIZE]))
+    return runs(np.concatenate([starts, at]), np.concatenate([ends, at + SIZE]))
 
 
 def _applied(rows: DataFrame, emit, schema: str) -> DataFrame:
@@ -304,7 +307,7 @@ def _applied(rows: DataFrame, emit, schema: str) -> DataFrame:
             for part in slices(batch, "text"):
                 data, cut = bytes_of(part.column("text"))
                 data, out = data.tobytes(), []
-                cols = (part.column(c).to_pylist() for c in ("doc_id", "copies", "starts", "ends", "places"))
+                cols = (part.column(c).to_pylist() for c in ("doc_id", "copy", "starts", "ends", "places"))
                 for k, (doc, *found) in enumerate(zip(*cols, strict=True)):
                     text = data[cut[k] : cut[k + 1]]
                     starts, ends = _gone(len(text), *found)
