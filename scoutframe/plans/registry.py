@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from scoutframe.plans import more, queries
+
+QUERIES: dict = {**queries.QUERIES, **more.QUERIES}
+ORACLE_SQL: dict[str, str] = {**queries.ORACLE_SQL, **more.ORACLE_SQL}
