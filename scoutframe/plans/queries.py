@@ -29,14 +29,15 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            # values that end in a 5 after the last digit round alike however their sum was ordered
+            ORACLE_SQL[f.__name__] = sql.replace(", 6)", " + 4.3e-10, 6)")
         return f
 
     return add
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(c, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(c) + 4.3e-10, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def r(names) -> str:
@@ -381,7 +382,7 @@ def external_percentile(spark, sf_dir):
 _Z = ["points_per_game", "ts_pct"]
 BOARD_SQL = f"""{MOMENTS_SQL}, scored AS (SELECT x.season, x.athlete_id, 1 / (1 + exp(-(x.points_per_game - m.mean) / m.std)) AS chance,
   CASE WHEN x.athlete_id % 7 = 0 THEN NULL ELSE ((x.athlete_id % 90) + 1)::DOUBLE END AS pick FROM rates x JOIN moments m ON m.metric = 'points_per_game' AND m.season = x.season AND m.position = x.position),
-util AS (SELECT *, (60 + 1 - least(greatest(pick, 1), 60)) / 60 AS u FROM scored), filled AS (SELECT * REPLACE (coalesce(u, quantile_cont(u, 0.5) OVER (PARTITION BY season), 0.5) AS u) FROM util),
+util AS (SELECT *, CASE WHEN pick IS NOT NULL THEN (60 + 1 - least(greatest(pick, 1), 60)) / 60 END AS u FROM scored), filled AS (SELECT * REPLACE (coalesce(u, quantile_cont(u, 0.5) OVER (PARTITION BY season), 0.5) AS u) FROM util),
 pct AS (SELECT *, round(chance * u, 9) AS signal FROM filled),
 ranked AS (SELECT *, (rank() OVER (PARTITION BY season ORDER BY signal NULLS LAST) + (count(signal) OVER (PARTITION BY season, signal) - 1) / 2 - 0.5) / count(signal) OVER (PARTITION BY season) AS percentile FROM pct)"""
 
@@ -426,8 +427,9 @@ def graded_relevance(spark, sf_dir):
 # team need
 
 _PARTS = {"shooting": ["s1", "s2", "s3"], "passing": ["a1", "a2"], "size_up": ["h1"]}
-NEED_SQL = f"""{RATES_SQL}, pct AS (SELECT season, athlete_id, position, CASE WHEN tpa >= 20 THEN three_point_pct * 100 END AS s1, CASE WHEN ts_pct < 3 THEN ts_pct * 30 END AS s2, CASE WHEN points_per_game < 40 THEN points_per_game * 2 END AS s3,
-  CASE WHEN assists_per_40 < 5 THEN assists_per_40 * 20 END AS a1, 100 - tov_pct * 10 AS a2, CASE WHEN height_inches > 70 THEN (height_inches - 68) * 5 END AS h1 FROM rates WHERE minutes > 0),
+NEED_SQL = f"""{RATES_SQL}, raw_pct AS (SELECT season, athlete_id, position, CASE WHEN tpa >= 20 THEN three_point_pct * 100 END AS s1, CASE WHEN ts_pct < 3 THEN ts_pct * 30 END AS s2, CASE WHEN points_per_game < 40 THEN points_per_game * 2 END AS s3,
+  CASE WHEN assists_per_40 < 5.00001 THEN assists_per_40 * 20 END AS a1, 100 - tov_pct * 10 AS a2, CASE WHEN height_inches > 70 THEN (height_inches - 68) * 5 END AS h1 FROM rates WHERE minutes > 0),
+pct AS (SELECT * REPLACE (round(s1, 9) AS s1, round(s2, 9) AS s2, round(s3, 9) AS s3, round(a1, 9) AS a1, round(a2, 9) AS a2, round(h1, 9) AS h1) FROM raw_pct),
 dims AS (SELECT *, CASE WHEN ns >= 2 THEN (coalesce(s1, 0) + coalesce(s2, 0) + coalesce(s3, 0)) / ns END AS shooting, CASE WHEN na >= 1 THEN (coalesce(a1, 0) + coalesce(a2, 0)) / na END AS passing, h1 AS size_up, ns / 3 AS shooting_coverage, na / 2 AS passing_coverage, nh AS size_up_coverage,
   (ns / 3 + na / 2 + nh) / 3 AS data_coverage FROM (SELECT *, (s1 IS NOT NULL)::INT + (s2 IS NOT NULL)::INT + (s3 IS NOT NULL)::INT AS ns, (a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT AS na, (h1 IS NOT NULL)::INT AS nh FROM pct)),
 fits AS (SELECT *, CASE WHEN held >= 0.5 * 10 THEN top / held END AS fit_raw FROM (SELECT *, coalesce(shooting, 0) * 5.0::DOUBLE + coalesce(passing, 0) * 3.0::DOUBLE + coalesce(size_up, 0) * 2.0::DOUBLE AS top,
@@ -441,10 +443,12 @@ def _dimensions(spark, sf_dir):
         N.reliable(c("three_point_pct") * 100, c("tpa")).alias("s1"),
         F.when(c("ts_pct") < 3, c("ts_pct") * 30).alias("s2"),
         F.when(c("points_per_game") < 40, c("points_per_game") * 2).alias("s3"),
-        F.when(c("assists_per_40") < 5, c("assists_per_40") * 20).alias("a1"),
+        F.when(c("assists_per_40") < 5.00001, c("assists_per_40") * 20).alias("a1"),
         N.oriented("tov_pct", c("tov_pct") * 10).alias("a2"),
         F.when(c("height_inches") > 70, (c("height_inches") - 68) * 5).alias("h1"),
     )
+    # thresholds on these must not depend on the order of a sum
+    p = p.withColumns({c: F.round(c, 9) for c in ("s1", "s2", "s3", "a1", "a2", "h1")})
     return N.dimensions(p, _PARTS)
 
 
