@@ -149,10 +149,10 @@ def _people(spark, sf_dir, table: str, key: str, nation: str) -> DataFrame:
     return t.join(n, F.col(nation) == F.col("n_nationkey")).join(reg, F.col("n_regionkey") == F.col("r_regionkey")).select(k.alias("id"), name.alias("name_key"), F.lower("r_name").alias("school"))
 
 
-@query(f"""WITH {IDENTITY_SQL}, named AS (SELECT p.person_id, count(*) AS n, max(ident) AS any_id, count(*) FILTER (p.school = i.school OR contains(p.school, i.school) OR contains(i.school, p.school)) AS n_fit FROM people p JOIN idx i USING (name_key) GROUP BY 1),
+@query(f"""WITH {IDENTITY_SQL}, named AS (SELECT p.person_id, count(*) AS n, max(ident) AS any_id, count(*) FILTER (p.school = i.school OR contains(p.school, i.school) OR contains(i.school, p.school)) AS n_fit, max(ident) FILTER (p.school = i.school OR contains(p.school, i.school) OR contains(i.school, p.school)) AS fit_id FROM people p JOIN idx i USING (name_key) GROUP BY 1),
 near AS (SELECT p.person_id, count(*) AS n, max(ident) AS near_id FROM people p JOIN idx i ON regexp_extract(p.name_key, '(\\S+)$', 1) = regexp_extract(i.name_key, '(\\S+)$', 1) AND (p.school = i.school OR contains(p.school, i.school) OR contains(i.school, p.school))
   AND (starts_with(split_part(p.name_key, ' ', 1), split_part(i.name_key, ' ', 1)) OR starts_with(split_part(i.name_key, ' ', 1), split_part(p.name_key, ' ', 1))) GROUP BY 1)
-SELECT p.person_id, CASE WHEN p.person_id < 10 THEN p.person_id + 1 WHEN d.n = 1 THEN any_id WHEN d.n > 1 THEN NULL WHEN near.n = 1 THEN near_id END AS matched_id,
+SELECT p.person_id, CASE WHEN p.person_id < 10 THEN p.person_id + 1 WHEN d.n = 1 THEN any_id WHEN d.n_fit = 1 THEN fit_id WHEN d.n > 1 THEN NULL WHEN near.n = 1 THEN near_id END AS matched_id,
   CASE WHEN p.person_id < 10 THEN 'OVERRIDE' WHEN d.n = 1 THEN 'NAME' WHEN d.n_fit = 1 THEN 'NAME_SCHOOL' WHEN d.n > 1 THEN 'AMBIGUOUS' WHEN near.n = 1 THEN 'SURNAME_SCHOOL' ELSE 'UNMATCHED' END AS method
 FROM people p LEFT JOIN named d USING (person_id) LEFT JOIN near USING (person_id)""")
 def tiered_match(spark, sf_dir):

@@ -467,7 +467,7 @@ def need_profiles(spark, sf_dir):
 _WEIGHTS = {"shooting": 5.0, "passing": 3.0, "size_up": 2.0}
 
 
-@query(f"WITH {NEED_SQL} SELECT season, athlete_id, round(fit_raw, 6) AS fit_raw, CASE WHEN fit_raw IS NULL THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS fit_status, round_even(least(greatest(round(fit_raw, 9), 0), 100), 0)::BIGINT AS fit_score FROM fits")
+@query(f"WITH {NEED_SQL} SELECT season, athlete_id, round(fit_raw, 6) AS fit_raw, CASE WHEN fit_raw IS NULL THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS fit_status, CASE WHEN fit_raw IS NOT NULL THEN round_even(least(greatest(round(fit_raw, 9), 0), 100), 0)::BIGINT END AS fit_score FROM fits")
 def need_custom(spark, sf_dir):
     out = N.custom_fit(_dimensions(spark, sf_dir), _WEIGHTS, tuple(_PARTS)).withColumn("fit_raw", F.round("fit_raw", 9))
     return rounded(N.with_score(out).select("season", "athlete_id", "fit_raw", "fit_status", "fit_score"))
