@@ -104,7 +104,6 @@ class Router:
         self.parts = int(min(MAX_PARTS, max(1, len(x) // 50), max(1, round(rows**0.5 / 6))))
         self.visits = 1
         if self.parts == 1:
-            self.weights, self.bias = np.zeros((x.shape[1], 1)), np.zeros(1)
             return
         label = balanced_parts(x, neighbour_graph(x, GRAPH_NEIGHBOURS), self.parts)
         self.weights, self.bias = train_router(x, label, self.parts)
@@ -118,6 +117,8 @@ class Router:
         self.visits = next(v for v, share in enumerate(reached, 1) if share >= TARGET)
 
     def order(self, x: np.ndarray) -> np.ndarray:
+        if self.parts == 1:
+            return np.zeros((len(x), 1), np.int64)
         return np.argsort(-(x @ self.weights + self.bias), axis=1, kind="stable")
 
 
