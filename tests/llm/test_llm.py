@@ -78,6 +78,21 @@ def test_jaccard(docs, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_without_ids(spark):
+    """A near copy in a row without doc_id is linked, whatever other rows without one hold."""
+    base = words(120, 2)
+    near = [*base[:60], "changed", *base[61:]]
+    rows = [(5, " ".join(base)), (None, " ".join(near)), (None, " ".join(words(90, 9))), (7, None)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 86, 0), (0, 116, 5), (5, 116, 5), (7, 0, 7)]
+
+
+def test_moved_shingles():
+    for n in (0, 1, 1000):
+        sets = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, dtype=np.uint64))
+        assert (jaccard._arrived(jaccard._moved(sets)) == sets >> np.uint64(16)).all()
+
+
 def test_passages(docs, empty):
     first = {}
     last = 1 << 62
