@@ -65,6 +65,12 @@ def text_normalize(spark, sf_dir):
     return d.select("doc_id", T.squeezed(F.regexp_replace(T.unaccented(F.col("text")), "[^a-z ]", " ")).alias("plain"))
 
 
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z ]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents")
+def text_normalize_whole(spark, sf_dir):
+    """All documents; ``text_normalize`` has two languages."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.squeezed(F.regexp_replace(T.unaccented(F.col("text")), "[^a-z ]", " ")).alias("plain"))
+
+
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_linenumber::DOUBLE AS made, l_quantity AS attempted FROM lineitem")
 def parse_made_attempted(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").withColumn("pair", F.concat(F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_quantity").cast("string")))
@@ -125,6 +131,16 @@ def comparables_top3(spark, sf_dir):
     return out.select("athlete_id", "other_id", F.round(F.col("distance") + 4.3e-10, 6).alias("distance"), "gate", "nth", "status")
 
 
+@query()
+def comparables_whole(spark, sf_dir):
+    """Every season row against the whole pool; ``comparables_top3`` meets a sample of both sides, which DuckDB can follow."""
+    heights = bio(spark, sf_dir).select("athlete_id", F.col("height_inches").alias("other_height"))
+    others = _pool(spark, sf_dir).join(heights, "athlete_id").select(F.col("athlete_id").alias("other_id"), F.array(*_DIMS).alias("other_vec"), "other_height")
+    mine = rates(spark, sf_dir).select("season", "athlete_id", F.array(*_DIMS).alias("vec"), F.col("height_inches").alias("height"))
+    out = S.nearest_of_all(mine, others, ["season", "athlete_id"], "athlete_id", "other_id", len(_DIMS))
+    return out.select("season", "athlete_id", "other_id", F.round(F.col("distance") + 4.3e-10, 6).alias("distance"), "gate", "nth", "status")
+
+
 @query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 100 = 0), q AS (SELECT vec_id AS other, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings)
 SELECT vec_id, other, round(d, 6) AS distance FROM (SELECT vec_id, other, 1 - list_sum(list_transform(list_zip(v, w), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(w, lambda x: x * x)))) AS d FROM p, q WHERE vec_id <> other) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), other) <= 3""")
 def knn_cosine(spark, sf_dir):

@@ -377,6 +377,14 @@ def external_percentile(spark, sf_dir):
     return out.select("season", "athlete_id", F.round("midrank", 4).alias("midrank"), F.round("left_percentile", 6).alias("left_percentile"))
 
 
+@query(f"WITH {RATES_SQL}, ref AS (SELECT points_per_game AS v FROM rates WHERE position = 'G') SELECT season, athlete_id, round(100.0 * (lo + hi) / (2 * n), 4) AS midrank, round((lo + 0.5) / (n + 1), 6) AS left_percentile FROM (SELECT season, athlete_id, (SELECT count(*) FROM ref WHERE v < points_per_game) AS lo, (SELECT count(*) FROM ref WHERE v <= points_per_game) AS hi, (SELECT count(*) FROM ref) AS n FROM rates)")
+def external_percentile_whole(spark, sf_dir):
+    """All seasons; ``external_percentile`` has the season 2001."""
+    x = rates(spark, sf_dir).withColumn("k", F.lit(1))
+    out = P.external_percentiles(x.select("k", "season", "athlete_id", "points_per_game"), x.where("position = 'G'"), ["k"], "points_per_game")
+    return out.select("season", "athlete_id", F.round("midrank", 4).alias("midrank"), F.round("left_percentile", 6).alias("left_percentile"))
+
+
 # the board
 
 _Z = ["points_per_game", "ts_pct"]

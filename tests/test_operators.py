@@ -75,6 +75,33 @@ def test_height_gate_and_unavailable(spark):
     assert [(r.status, r.oid) for r in got if r.id == 2] == [("UNAVAILABLE", None)]
 
 
+@pytest.mark.parametrize("block", [4096, 7])
+def test_nearest_of_all(spark, monkeypatch, block):
+    """Every row meets the whole other side but itself, however both are dealt."""
+    import random
+
+    monkeypatch.setattr(similar, "BLOCK_ROWS", block)
+    rng = random.Random(3)
+    cell = lambda: None if rng.random() < 0.08 else float(rng.randint(0, 4))
+    mine = [(s, i, [cell() for _ in range(6)], rng.choice([60.0, 70.0, 71.0, 75.0, None])) for s in (1, 2) for i in range(20)]
+    pool = [(i, [cell() for _ in range(6)], rng.choice([69.0, 70.0, 73.0, 74.0, None])) for i in range(40)]
+    want = []
+    for s, i, v, h in mine:
+        near = []
+        for o, w, oh in pool:
+            d = [(a - b) ** 2 for a, b in zip(v, w) if a is not None and b is not None]
+            if o != i and len(d) >= 5 and h is not None and oh is not None:
+                near.append(((sum(d) / len(d)) ** 0.5, o, abs(h - oh)))
+        gate = next((g for g in (2.0, 3.0, 4.0) if sum(x[2] <= g for x in near) >= 3), None)
+        best = sorted(x for x in near if gate and x[2] <= gate)[:3]
+        want += [(s, i, o, round(d, 9), gate, k + 1, "OK") for k, (d, o, _) in enumerate(best)] or [(s, i, None, None, None, None, "UNAVAILABLE")]
+    df = spark.createDataFrame(mine, "season int, id long, vec array<double>, height double")
+    others = spark.createDataFrame(pool, "oid long, other_vec array<double>, other_height double")
+    got = similar.nearest_of_all(df, others, ["season", "id"], "id", "oid", 6).collect()
+    got = [(r.season, r.id, r.oid, r.distance if r.distance is None else round(r.distance, 9), r.gate, r.nth, r.status) for r in got]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_ridge_matches_closed_form(spark):
     import numpy as np
 
