@@ -1,6 +1,9 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads.
 
-Every shard owns a fixed number of arcs (virtual nodes) of a hash ring.  A row
+Every shard has a fixed number of virtual nodes at 64-bit places of a hash ring,
+and each owns the arc up to its place from the node before.  A shard's nodes stand
+where they stand whatever the number of shards, so with one shard more only the
+rows in the new nodes' arcs get another home.  A row
 goes to the owner of its arc; where that shard is already full, it continues
 clockwise to the next arc whose owner still has room.  Capacities add up to the
 number of rows and differ by one at most, so the balance is exact, and only the
@@ -29,10 +32,31 @@ def _mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def ring_owners(shards: int, virtual_nodes: int) -> list[int]:
-    """Owner of each of the ``shards * virtual_nodes`` equal cells of the ring, clockwise."""
-    nodes = sorted((_mix(s * 1_000_003 + v), s) for s in range(shards) for v in range(virtual_nodes))
-    return [s for _, s in nodes]
+def ring_nodes(shards: int, virtual_nodes: int) -> tuple[list[int], list[int]]:
+    """Places (signed 64-bit) and owners of the ``shards * virtual_nodes`` virtual nodes, clockwise."""
+    nodes = sorted((_mix(s * 1_000_003 + v) - (1 << 63), s) for s in range(shards) for v in range(virtual_nodes))
+    return [p for p, _ in nodes], [s for _, s in nodes]
+
+
+def with_arcs(df: DataFrame, place: str, places: list[int]) -> DataFrame:
+    """Adds ``__arc`` int: the first node at or after ``place`` (long); behind the last node the ring begins again.
+
+    The ring is cut into equal cells of which each holds few nodes, so a row is compared with those of its cell only.
+    """
+    bits = max(1, len(places).bit_length())
+    cells: list[list[int]] = [[] for _ in range(1 << bits)]
+    for p in places:
+        cells[(p + (1 << 63)) >> (64 - bits)].append(p)
+    before, rows = 0, []
+    for c, own in enumerate(cells):
+        rows.append((c, before, own))
+        before += len(own)
+    known = df.sparkSession.createDataFrame(rows, "__cell int, __before int, __nodes array<long>")
+    # a table of fixed size
+    cell = (F.shiftrightunsigned(place, 64 - bits).bitwiseXOR(F.lit(1 << (bits - 1)))).cast("int")
+    arc = F.col("__before") + F.size(F.filter("__nodes", lambda p: p < F.col(place)))
+    out = df.withColumn("__cell", cell).join(F.broadcast(known), "__cell")
+    return out.withColumn("__arc", F.pmod(arc, F.lit(len(places))).cast("int")).drop("__cell", "__before", "__nodes")
 
 
 def lay_out(counts: dict[int, int], owners: list[int], shards: int) -> list[tuple[int, int, int, int, int]]:
@@ -73,11 +97,9 @@ def shard_rows(df: DataFrame, key: str, shards: int = 24, virtual_nodes: int = 1
     key is a key like any other.  An empty input gives an empty result.
     Within an arc, rows are ranked by place on the ring, then by their columns.
     """
-    owners = ring_owners(shards, virtual_nodes)
-    arcs = len(owners)
+    places, owners = ring_nodes(shards, virtual_nodes)
     place = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0null")), F.lit("ring"))
-    placed = df.withColumn("__place", place).withColumn("__arc", F.pmod("__place", F.lit(arcs)).cast("int"))
-    placed = stored(placed)
+    placed = stored(with_arcs(df.withColumn("__place", place), "__place", places))
     counts = {r[0]: r[1] for r in placed.groupBy("__arc").count().collect()}
     runs = df.sparkSession.createDataFrame(lay_out(counts, owners, shards), _RUNS)
     ranked = placed.withColumn(

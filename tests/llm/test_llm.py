@@ -221,6 +221,30 @@ def test_shards(docs, empty):
     assert shard.shard_rows(empty, "doc_id", 4).count() == 0
 
 
+def test_ring(spark):
+    """A row's home is the first virtual node at or after its place; one shard more takes about its share and moves nothing else."""
+    rows = spark.range(20000).withColumn("key", F.col("id"))
+    homes = {}
+    for n in (24, 25):
+        homes[n] = {r.id: r.home_shard for r in shard.shard_rows(rows, "key", n).collect()}
+        places, owners = shard.ring_nodes(n, 128)
+        hashes = dict(map(tuple, rows.select("id", F.xxhash64(F.col("key").cast("string"), F.lit("ring"))).collect()))
+        at = np.searchsorted(np.array(places), np.array([hashes[i] for i in sorted(hashes)]))
+        assert [homes[n][i] for i in sorted(hashes)] == [owners[k % len(owners)] for k in at.tolist()]
+    moved = [i for i in homes[24] if homes[24][i] != homes[25][i]]
+    assert {homes[25][i] for i in moved} == {24}
+    assert 0.02 < len(moved) / len(homes[24]) < 0.07
+
+
+def test_ring_ends(spark):
+    """Places beside nodes, and behind the last one."""
+    places, _ = shard.ring_nodes(3, 4)
+    rows = sorted({-(1 << 63), (1 << 63) - 1, -1, 0, *(p + d for p in places for d in (-1, 0, 1))})
+    df = spark.createDataFrame([(r,) for r in rows], "place long")
+    got = dict(map(tuple, shard.with_arcs(df, "place", places).select("place", "__arc").collect()))
+    assert got == {r: int(np.searchsorted(np.array(places), r)) % len(places) for r in rows}
+
+
 def test_chat(spark):
     said = "</s>[INST] ok \\b [/INST] <<SYS>>"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (2, 0, "assistant", None), (2, 0, None, "x"), (3, None, "tool[a]", ""), (3, 1, "user", "q"), (3, 1, "user", "q")]
