@@ -12,6 +12,9 @@ sets form one class, so copies never meet each other as pairs.
    components is tested pair by pair, where the sizes of fragments allow a link.
 3. Vertical partitioning: the order is cut into fragments; partial overlaps of a
    pair are counted in each fragment separately and summed per pair.
+4. Links: what 2 and 3 find joins the components, but isn't all links.  A link never
+   leaves its component, so within each of three classes or more all pairs are
+   compared, in blocks, and counted per class.
 """
 
 from __future__ import annotations
@@ -37,6 +40,9 @@ FRAGMENTS = 2
 LEAST_BOUNDS, MOST_BOUNDS = 64, 1 << 16
 #: Classes that share a shingle are compared in blocks of so many.
 BLOCK = 512
+#: Classes of a component are counted in blocks of about so many, over so many distinct shingles at a time.
+LINK_BLOCK = 256
+LINK_CHUNK = 4096
 #: Sets compared with one hub in one task.
 GROUP = 64
 #: Bits of the filter that says which texts are asked for; its size is fixed, and where over half of it is set, all texts move.
@@ -95,8 +101,8 @@ def _arrived(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
-_PROFILE = "doc_id long, id long, n long, class long, sizes binary, block int, counts binary"
-_PROFILE_NAMES = ["doc_id", "id", "n", "class", "sizes", "block", "counts"]
+_PROFILE = "doc_id long, th long, id long, n long, class long, sizes binary, block int, counts binary"
+_PROFILE_NAMES = ["doc_id", "th", "id", "n", "class", "sizes", "block", "counts"]
 
 
 def profiled(docs: DataFrame) -> DataFrame:
@@ -114,6 +120,7 @@ def profiled(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
+                        part.column("th"),
                         part.column("id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_class_of(s) for s in sets], pa.int64()),
@@ -127,7 +134,7 @@ def profiled(docs: DataFrame) -> DataFrame:
             blocks = [zstandard.compress(b.tobytes(), 1) for b in np.split(sketch, SKETCH_BLOCKS)]
             k = SKETCH_BLOCKS
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64())] * 4 + [pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())],
+                [pa.nulls(k, pa.int64())] * 5 + [pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())],
                 _PROFILE_NAMES,
             )
 
@@ -436,22 +443,90 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     )
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class, n_links, component_id) of every row of ``docs`` (doc_id, text).
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share."""
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    row, at = row[shared[at]], number[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    for low in range(0, int(shared.sum()), LINK_CHUNK):
+        a, b = np.searchsorted(at, [low, low + LINK_CHUNK])
+        held = np.zeros((len(sets), LINK_CHUNK), np.float32)
+        held[row[a:b], at[a:b] - low] = 1
+        out += (held @ held.T).astype(np.int64)
+    return out
 
-    ``component_id`` is the smallest doc_id reachable by links; ``n_links`` counts
-    the links between different classes that were found on the way, not all of
-    them.  Texts without words link with nothing.  Rows with equal sets are in one
-    component; a null doc_id takes part but never names one if another can.
+
+def link_counts(members: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
+    """(class, n_links): with how many other classes each one of ``members`` (class, id, root) links.
+
+    All pairs of a component are compared.  Its classes are cut into blocks, and each two
+    blocks meet in a group of their own, which returns a count for each class, not the pairs.
     """
+    sizes = members.groupBy("root").agg(F.count("*").alias("k"))
+    two = members.join(sizes.where("k = 2"), "root").select("class", F.lit(1).cast("long").alias("n_links"))
+    dealt = (
+        members.join(sizes.where("k > 2"), "root")
+        .withColumn("blocks", F.ceil(F.col("k") / LINK_BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.expr("sequence(0, blocks - 1)"))
+        .select("id", "class", "root", "block", "with")
+    )
+    wanted = stored(dealt)
+    # dealt by id at every size: what packs texts and what cuts them never run in one stage
+    texts = asked_texts(docs, wanted).repartition("id").join(wanted, "id")
+    met = texts.withColumn("with", F.explode("with")).select(
+        F.pmod(F.xxhash64("root", F.least("block", "with"), F.greatest("block", "with")), F.lit(4 * parts)).cast("int").alias("part"),
+        "root", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "class", "packed",
+    )
+
+    def count(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("root", "lo", "hi", "class")])
+        root, lo, hi, block, name = (rows.column(c).to_numpy() for c in ("root", "lo", "hi", "block", "class"))
+        key = np.column_stack([root, lo, hi])
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])), len(key))
+        names, links = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            packed = rows.column("packed").slice(first, last - first)
+            texts = pa.array([zstandard.decompress(x.as_py()).decode() for x in packed], pa.large_string())
+            seen, own, sets = set(), [], []
+            for part in slices(pa.RecordBatch.from_arrays([texts, pa.array(range(first, last))], ["text", "at"]), "text", SLICE_BYTES // 4):
+                for s, at in zip(shingle_sets(part.column("text")), part.column("at").to_pylist(), strict=True):
+                    # a repeated id may have another text, or the same again
+                    if name[at] not in seen and _class_of(s) == name[at]:
+                        seen.add(name[at])
+                        own.append(at)
+                        sets.append(s)
+            if len(sets) < 2:
+                continue
+            n = np.array([len(s) for s in sets])
+            common = _overlaps(sets)
+            linked = 100 * common >= THRESHOLD * (n[:, None] + n[None, :] - common)
+            np.fill_diagonal(linked, False)
+            if lo[first] != hi[first]:
+                linked &= block[own][:, None] != block[own][None, :]
+            names.append(name[own])
+            links.append(linked.sum(1))
+        return pa.Table.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(links))], names=["class", "n_links"])
+
+    found = met.groupBy("part").applyInArrow(count, "class long, n_links long")
+    return two.unionAll(found.groupBy("class").agg(F.sum("n_links").alias("n_links")))
+
+
+def resolved(docs: DataFrame, counted: bool = True) -> DataFrame:
+    """(doc_id, th, n_shingles, class, root, n_links, component_id) of every row: ``th`` is the hash of its text, ``root`` names its component."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a row without doc_id is found again by its text
     docs = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text"
+        F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text"
     )
     profile = stored(profiled(docs))
-    rows = profile.where("block IS NULL").select("doc_id", "id", "n", "class", "sizes")
+    rows = profile.where("block IS NULL").select("doc_id", "th", "id", "n", "class", "sizes")
     classes = rows.where("n > 0").groupBy("class").agg(
         F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.first("sizes").alias("sizes")
     )
@@ -486,21 +561,35 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rest = possible_pairs(placed, reps.select("class", "sizes"), parts).join(tested, ["a", "b"], "left_anti")
     links = links.unionAll(stored(verified(stored(rest), docs, reps)))
     roots = components(links.select("a", "b"))
-    named = (
+    named = stored(
         reps.join(roots, F.col("class") == F.col("node"), "left")
-        .select("class", "doc_id", F.coalesce("root", "class").alias("root"))
+        .select("class", "id", "doc_id", F.coalesce("root", "class").alias("root"))
     )
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
-    named = stored(named.join(smallest, "root").join(degree, "class", "left").select("class", "component_id", "n_links"))
+    counts = link_counts(named.select("class", "id", "root"), docs, parts) if counted else spark.createDataFrame([], "class long, n_links long")
+    named = stored(
+        named.join(smallest, "root").join(counts, "class", "left").select("class", "root", "component_id", "n_links")
+    )
     return rows.join(named, "class", "left").select(
         "doc_id",
+        "th",
         F.col("n").alias("n_shingles"),
         "class",
+        "root",
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, class, n_links, component_id) of every row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the smallest doc_id reachable by links; ``n_links`` is the
+    number of other classes that the row's class links with: all of
+    them.  Texts without words link with nothing.  Rows with equal sets are in one
+    component; a null doc_id takes part but never names one if another can.
+    """
+    return resolved(docs).select("doc_id", "n_shingles", "class", "n_links", "component_id")
+
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """One document of each component: the one with the smallest doc_id; of its repeated rows all stay."""
@@ -529,5 +618,10 @@ def op1_digest(spark, sf_dir: str) -> DataFrame:
     return op1_jaccard_vertical(spark, sf_dir).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_jaccard_vertical": op1_digest}
+def op1_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """``op1_jaccard_vertical`` with each row's class and its number of links; class and n_links have no twin in SQL."""
+    return op1_jaccard_vertical(spark, sf_dir)
+
+
+QUERIES = {"op1_jaccard_vertical": op1_digest, "op1_jaccard_links": op1_jaccard_links}
 ORACLE_SQL = {"op1_jaccard_vertical": _ORACLE}

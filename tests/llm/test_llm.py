@@ -78,6 +78,20 @@ def test_jaccard(docs, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 3])
+def test_jaccard_counts_all_links(spark, monkeypatch, block):
+    """Many edited copies of one text: every pair of them that is near counts, not only the pairs with one hub."""
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
+    monkeypatch.setattr(jaccard, "LINK_CHUNK", 50)
+    base, rng = words(120, 2), random.Random(1)
+    texts = [base] + [[f"new{k}" if j == (k * 13) % 120 or (j == k * 5 and k % 3 == 0) else w for j, w in enumerate(base)] for k in range(24)] + [words(60, 9), words(60, 9)[:59]]
+    sets = [{tuple(w.lower() for w in t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    want = {i: sum(j != i and 100 * len(x & y) >= 75 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)}
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100, " ".join(base))]
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want | {100: want[0]}
+
+
 def test_jaccard_without_ids(spark):
     """A near copy in a row without doc_id is linked, whatever other rows without one hold."""
     base = words(120, 2)
