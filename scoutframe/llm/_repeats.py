@@ -121,13 +121,14 @@ def recurring(found: DataFrame, kinds: list[str], verdict, parts: int) -> DataFr
 NO_ID = (1 << 63) - 1
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null is empty), th of the text, and id (doc_id, or ``NO_ID``)."""
+def identified(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, text (null is empty), th of the text, id (doc_id, or ``NO_ID``), and the columns ``carried`` along."""
     return docs.select(
         F.col("doc_id").cast("long"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+        *carried,
     )
 
 

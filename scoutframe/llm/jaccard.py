@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutframe.llm._graph import components
+from scoutframe.llm._repeats import NO_ID
 from scoutframe.llm._shared import stored, table
 from scoutframe.llm._text import SLICE_BYTES, SpanHasher, lower_words, mixed, slices
 
@@ -592,9 +593,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id; of its repeated rows all stay."""
-    kept = jaccard_components(docs).where("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    return docs.join(stored(kept).withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each component: the one with the smallest doc_id (null is larger than any other), then the smallest hash of its text.
+
+    Rows without words are in no component and all stay.
+    """
+    found = resolved(docs, counted=False)
+    apart = found.where("n_shingles = 0").select("doc_id", "th", F.lit(False).alias("__one")).distinct()
+    least = (
+        found.where("n_shingles > 0").groupBy("root")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("kept"))
+        .select("kept.doc_id", "kept.th", F.lit(True).alias("__one"))
+    )
+    kept = stored(apart.unionAll(least).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("doc_id").isNull().alias("__none"), F.col("th").alias("__th"), "__one"))
+    id_ = F.col("doc_id").cast("long")
+    keys = ["__id", "__none", "__th"]
+    rows = docs.withColumns({"__id": F.coalesce(id_, F.lit(NO_ID)), "__none": id_.isNull(), "__th": F.xxhash64("text")}).join(kept, keys)
+    # of rows with one doc_id and text, one
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("__id"))
+    return rows.withColumn("__nth", nth).where("NOT __one OR __nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_jaccard_vertical(spark, sf_dir: str) -> DataFrame:

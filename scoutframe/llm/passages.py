@@ -119,14 +119,15 @@ def _earlier(first, counts, columns):
     return low > np.repeat(np.minimum.reduceat(low, first), counts)
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, copy, places) of every row: ``places`` are the windows that start in a smaller doc_id.
+def removals(docs: DataFrame, *carried: str) -> DataFrame:
+    """(doc_id, text, copy, places, and columns ``carried`` along) of every row: ``places`` are the windows that start in a smaller doc_id.
 
     ``copy`` marks a row whose whole text stands in a document with a smaller
     doc_id: there every window does.  A null doc_id is larger than any other.
     Texts move by doc_id and text, so copies of one text spread.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = identified(docs, *carried)
     docs = identified(docs)
     firsts, many = copies_of(docs)
     firsts = stored(firsts)
@@ -138,8 +139,8 @@ def removals(docs: DataFrame) -> DataFrame:
         .select("id", "th", "places", F.lit(False).alias("copy"))
         .unionAll(many.where("id > low").select("id", "th", F.lit(None).cast("binary"), F.lit(True)))
     )
-    return docs.join(stored(verdicts), ["id", "th"], "left").select(
-        "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places"
+    return whole.join(stored(verdicts), ["id", "th"], "left").select(
+        "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", *carried
     )
 
 
@@ -194,18 +195,32 @@ def removed_words(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """Documents with repeated passages cut out: their kept words joined by one space; an untouched text stays as it is.
 
-    Documents of which nothing is left go.  ``n_chars`` follows the new text, other columns stay.
+    Each row is cut by itself, whatever rows share its doc_id or have none.  Documents of which nothing is left go.
+    ``n_chars`` follows the new text, other columns stay.
     """
     names = docs.columns
-    parts = _applied(
-        removals(docs),
-        lambda doc, n, gone, text, whole: (doc, n, gone, text.decode() if gone else whole.decode()),
-        "doc_id long, n_words long, n_removed long, kept string",
-    ).where("n_removed > 0").select(F.col("doc_id").alias("__id"), "n_words", "n_removed", "kept").dropDuplicates(["__id"])
-    out = docs.join(parts, F.col("doc_id") == F.col("__id"), "left").where("n_removed IS NULL OR n_removed < n_words")
-    text = F.coalesce("kept", "text")
-    new = {"text": text, "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])
+    rows = removals(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), "row")
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words = Words(part.column("text"))
+                data = words.data.tobytes()
+                new, gone, n = [], [], []
+                for k, (copy, places) in enumerate(zip(part.column("copy").to_pylist(), part.column("places").to_pylist(), strict=True)):
+                    keep = _kept_words(words, k, places_of(places), copy)
+                    n.append(int(words.cut[k + 1] - words.cut[k]))
+                    gone.append(n[-1] - len(keep))
+                    text = b" ".join([data[a:b] for a, b in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
+                    new.append(text.decode() if gone[-1] else None)
+                columns = [part.column("row"), pa.array(new, pa.utf8()), pa.array(gone, pa.int64()), pa.array(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "kept", "n_removed", "n_words"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    out = rows.select("text", "copy", "places", "row").mapInArrow(run, f"row {kind}, kept string, n_removed long, n_words long")
+    out = out.where("n_removed = 0 OR n_removed < n_words")
+    new = {"text": F.coalesce("kept", "row.text"), "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in names else None}
+    return out.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in names])
 
 
 def op2_phrase_automata(spark, sf_dir: str) -> DataFrame:

@@ -318,6 +318,57 @@ def test_neighbours(spark):
     assert ann.nearest(use.limit(0), use, 5).count() == 0
 
 
+@pytest.fixture(scope="module")
+def mixed_ids(spark):
+    """Null and repeated doc_ids, each with several texts."""
+    base, passage = words(120, 2), words(80, 1)
+    near = [*base[:60], "changed", *base[61:]]
+    a, b = words(30, 4) + passage, words(90, 9)
+    texts = [
+        (1, base), (5, near), (None, near), (5, b), (5, b), (None, base), (3, a), (8, words(30, 5) + passage), (8, passage), (8, words(70, 6)),
+        (None, words(40, 7) + passage), (None, words(90, 8)), (None, words(90, 8)), (None, [*words(90, 8)[:-1], "end"]), (9, []), (9, []), (None, []),
+    ]
+    rows = [(i, " ".join(w) if w else None, "en", f"src{k}", None) for k, (i, w) in enumerate(texts)]
+    return rows, spark.createDataFrame(rows, SCHEMA)
+
+
+def test_near_duplicate_filter_row_by_row(mixed_ids):
+    """One row of each component, also where doc_ids are null or repeated."""
+    rows, df = mixed_ids
+    got = jaccard.filter_documents(df).collect()
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (lower(t).split() for _, t, *_ in rows)]
+    root = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                root = [root[i] if r == root[j] else r for r in root]
+    kept = {root[int(r.source[3:])] for r in got}
+    assert len(kept) == len(got) and kept == set(root)
+    for r in got:
+        ids = [rows[k][0] for k in range(len(rows)) if root[k] == root[int(r.source[3:])]]
+        assert r.doc_id == min((i for i in ids if i is not None), default=None)
+
+
+def test_substring_filter_row_by_row(mixed_ids):
+    """Every row is cut by itself: windows of 50 words that a smaller doc_id holds go."""
+    rows, df = mixed_ids
+    held = defaultdict(lambda: float("inf"))
+    key = lambda i: float(1 << 62) if i is None else i
+    cut = [(i, split(t)) for i, t, *_ in rows]
+    for i, w in cut:
+        for k in range(len(w) - 49):
+            held[tuple(w[k : k + 50])] = min(held[tuple(w[k : k + 50])], key(i))
+    want = Counter()
+    for (i, text, lang, source, n), (_, w) in zip(rows, cut):
+        gone = {p for k in range(len(w) - 49) if held[tuple(w[k : k + 50])] < key(i) for p in range(k, k + 50)}
+        if not gone:
+            want[(i, text, lang, source, n)] += 1
+        elif len(gone) < len(w):
+            new = " ".join(x for p, x in enumerate(w) if p not in gone)
+            want[(i, new, lang, source, len(new))] += 1
+    assert Counter(map(tuple, passages.filter_documents(df).collect())) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
