@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from scoutframe.llm._shared import stored
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches; columns are long.
 
     Each half round keeps the components and moves edges towards their smallest
-    node; it ends when every edge points there.  Rounds are stored, so none is
+    node; it ends when a round changes nothing, however many that takes.  Rounds are stored, so none is
     computed twice.  Only a count and a checksum reach the driver.
     """
     edges = stored(edges.where("a <> b").selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

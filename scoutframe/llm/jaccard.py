@@ -6,13 +6,18 @@ sets form one class, so copies never meet each other as pairs.
 1. Global order: shingles are ordered by how often they occur, rare first, read
    from a counting sketch of fixed size over all documents, then by hash.  Any
    fixed order gives right results; this one keeps frequent shingles out of reach.
-2. Candidates: two sets that link share a shingle among the first quarter (and
+2. Who can link: a set that links shares three quarters of its shingles.  All
+   shingles of all documents meet by hash, without a name, and each slice of
+   texts gets back how many of each text's shingles stand elsewhere, too.  Only
+   texts that share enough go on; this filter loses nothing.
+3. Candidates: two sets that link share a shingle among the first quarter (and
    one) of each.  Those prefixes are shuffled by shingle.  All classes that share
    one are first tested against one of them; what then still lies in different
    components is tested pair by pair, where the sizes of fragments allow a link.
-3. Vertical partitioning: the order is cut into fragments; partial overlaps of a
-   pair are counted in each fragment separately and summed per pair.
-4. Links: what 2 and 3 find joins the components, but isn't all links.  A link never
+4. Vertical partitioning: the global order is cut into fragments that hold about
+   as many shingles each; partial overlaps of a pair are counted in each fragment
+   separately and summed per pair.
+5. Links: what 3 and 4 find joins the components, but isn't all links.  A link never
    leaves its component, so within each of three classes or more all pairs are
    compared, in blocks, and counted per class.
 """
@@ -22,6 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +39,13 @@ from scoutframe.llm._text import SLICE_BYTES, SpanHasher, lower_words, mixed, sl
 N = 5
 #: Link when 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 75
-SKETCH_BITS = 21
+SKETCH_BITS = 20
 SKETCH_BLOCKS = 32
+#: Sketches of so many tasks are merged first, then those sums.
+SKETCH_MERGE = 64
 FRAGMENTS = 2
+#: Shingles of all texts meet in groups of about so many, each in three bytes beside its group.
+MEET_TOKENS = 1_000_000
 #: Finer fragments, of which only the sizes are kept: they bound the overlap of a pair from above.
 #: There are a power of two of them, about one for each two shingles.
 LEAST_BOUNDS, MOST_BOUNDS = 64, 1 << 16
@@ -46,8 +56,8 @@ LINK_BLOCK = 256
 LINK_CHUNK = 4096
 #: Sets compared with one hub in one task.
 GROUP = 64
-#: Bits of the filter that says which texts are asked for; its size is fixed, and where over half of it is set, all texts move.
-ASKED_BITS = 26
+#: Bits of the filter that says which texts are asked for: sixteen for each, between these powers of two (32 MB at most).
+ASKED_LEAST, ASKED_MOST = 20, 28
 ASKED_BLOCKS = 32
 #: Shingles move in so many bytes.
 MOVED_BYTES = 6
@@ -102,8 +112,8 @@ def _arrived(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
-_PROFILE = "doc_id long, th long, id long, n long, class long, sizes binary, block int, counts binary"
-_PROFILE_NAMES = ["doc_id", "th", "id", "n", "class", "sizes", "block", "counts"]
+_PROFILE = "doc_id long, th long, id long, n long, class long, block int, merge int, counts binary"
+_PROFILE_NAMES = [x.split()[0] for x in _PROFILE.split(", ")]
 
 
 def profiled(docs: DataFrame) -> DataFrame:
@@ -125,7 +135,7 @@ def profiled(docs: DataFrame) -> DataFrame:
                         part.column("id"),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_class_of(s) for s in sets], pa.int64()),
-                        pa.array([_fragment_sizes(s) for s in sets], pa.binary()),
+                        pa.nulls(k, pa.int32()),
                         pa.nulls(k, pa.int32()),
                         pa.nulls(k, pa.binary()),
                     ],
@@ -134,8 +144,9 @@ def profiled(docs: DataFrame) -> DataFrame:
         if sketch.any():
             blocks = [zstandard.compress(b.tobytes(), 1) for b in np.split(sketch, SKETCH_BLOCKS)]
             k = SKETCH_BLOCKS
+            merge = TaskContext.get().partitionId() // SKETCH_MERGE
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64())] * 5 + [pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())],
+                [pa.nulls(k, pa.int64())] * 5 + [pa.array(range(k), pa.int32()), pa.array([merge] * k, pa.int32()), pa.array(blocks, pa.binary())],
                 _PROFILE_NAMES,
             )
 
@@ -145,37 +156,163 @@ def profiled(docs: DataFrame) -> DataFrame:
 def levels_of(profile: DataFrame) -> np.ndarray:
     """The order of magnitude of each sketch cell's count: a table of fixed size, whatever the input."""
 
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.uint64)
-        for x in rows.column("counts"):
-            total += np.frombuffer(zstandard.decompress(x.as_py()), np.uint32)
-        level = np.ceil(np.log2(total.astype(np.float64) + 1)).astype(np.uint8)
-        return pa.Table.from_arrays([rows.column("block").slice(0, 1), pa.array([level.tobytes()], pa.binary())], ["block", "level"])
-
-    found = profile.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add, "block int, level binary")
+    def summed(kind):
+        def add(rows: pa.Table) -> pa.Table:
+            total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.uint64)
+            for x in rows.column("counts"):
+                total += np.frombuffer(zstandard.decompress(x.as_py()), kind)
+            packed = zstandard.compress(total.tobytes(), 1)
+            return pa.Table.from_arrays([rows.column("block").slice(0, 1), pa.array([packed], pa.binary())], names=["block", "counts"])
+
+        return add
+
+    found = (
+        profile.where("block IS NOT NULL")
+        .groupBy("block", "merge")
+        .applyInArrow(summed(np.uint32), "block int, counts binary")
+        .groupBy("block")
+        .applyInArrow(summed(np.uint64), "block int, counts binary")
+    )
     out = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.uint8)
-    for block, level in found.collect():
-        out[block] = np.frombuffer(level, np.uint8)
+    for block, counts in found.collect():
+        total = np.frombuffer(zstandard.decompress(counts), np.uint64).astype(np.float64)
+        out[block] = np.ceil(np.log2(total + 1)).astype(np.uint8)
     return out.ravel()
 
 
-def _shared_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFrame:
-    """(token, class, n) of prefix shingles that several classes share; a token stands for its list of classes."""
+def _ordered(shingles: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Places in the global order: the level of the shingle's cell, then its hash."""
+    level = levels[(shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    return (level << np.uint64(56)) | (shingles >> np.uint64(8))
+
+
+def pivots_of(levels: np.ndarray, fragments: int) -> np.ndarray:
+    """Where the global order is cut, so that fragments hold about as many shingles each."""
+    cells = np.argsort(levels, kind="stable")
+    upto = np.cumsum(2.0 ** levels[cells] - 1)
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, fragments) / fragments)
+    cells = cells[np.minimum(at, len(cells) - 1)]
+    return _ordered(cells.astype(np.uint64) << np.uint64(64 - SKETCH_BITS), levels)
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, byte by byte of all, compressed."""
+    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return zstandard.compress(np.ascontiguousarray(raw.T).tobytes(), 1)
+
+
+def _unplaned(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+_MEET = "slice long, part int, counts binary, tokens binary, known binary, classes binary"
+_MEET_NAMES = [x.split()[0] for x in _MEET.split(", ")]
+
+
+def able_to_link(docs: DataFrame, parts: int) -> DataFrame:
+    """Classes (distinct) of which three quarters of the shingles may stand in other texts, too: all that can link, and a few more.
+
+    A slice of texts drops its own copies and counts what its texts share among
+    themselves; only the rest asks, 24 bits a shingle beside its group.  A group answers
+    with one count a text.  A shingle in many texts is sent once a slice.
+    """
+
+    def ask(batches):
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                sets, classes = [], []
+                for s in shingle_sets(piece.column("text")):
+                    if len(s):
+                        sets.append(s)
+                        classes.append(_class_of(s))
+                if not sets:
+                    continue
+                classes, first = np.unique(np.array(classes, np.int64), return_index=True)
+                sets = [sets[i] for i in first]
+                n = np.array([len(s) for s in sets])
+                tokens, doc = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+                order = np.argsort(tokens, kind="stable")
+                tokens, doc = tokens[order], doc[order]
+                same = tokens[1:] == tokens[:-1]
+                many = np.zeros(len(tokens), bool)
+                many[1:] |= same
+                many[:-1] |= same
+                known = np.bincount(doc[many], minlength=len(n))
+                name = int(SpanHasher(np.append(classes.view(np.uint64), n.astype(np.uint64))).spans(np.array([0]), np.array([2 * len(n)])).astype(np.int64)[0])
+                sides = []
+                for values, of in ((tokens[~many], doc[~many]), (np.unique(tokens[many]), None)):
+                    to = (values % np.uint64(parts)).astype(np.int64)
+                    # by part, then by text
+                    order = np.argsort(to, kind="stable") if of is None else np.lexsort((of, to))
+                    sides.append((values[order] >> np.uint64(40), None if of is None else of[order], np.searchsorted(to[order], np.arange(parts + 1))))
+                (own, of, cut), (shared, _, shared_cut) = sides
+                rows = []
+                for p in range(parts):
+                    a, b, c, d = cut[p], cut[p + 1], shared_cut[p], shared_cut[p + 1]
+                    if a < b or c < d:
+                        rows.append((p, _planes(np.bincount(of[a:b], minlength=len(n)), 4), _planes(own[a:b], 3), _planes(shared[c:d], 3), None))
+                head = b"".join(x.astype("<i8").tobytes() for x in (classes, n, known))
+                rows.append((-1, None, None, None, zstandard.compress(head, 1)))
+                kinds = (pa.int32(), *[pa.binary()] * 4)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(rows), pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], _MEET_NAMES
+                )
+
+    def meet(rows: pa.Table) -> pa.Table:
+        names = rows.column("slice").to_pylist()
+        tokens = [_unplaned(x, 3).astype(np.uint32) for x in rows.column("tokens").to_pylist()]
+        shared = [_unplaned(x, 3).astype(np.uint32) for x in rows.column("known").to_pylist()]
+        every, times = np.unique(np.concatenate([*tokens, *shared, *shared]), return_counts=True)
+        recurs = np.zeros(1 << 24, bool)
+        recurs[every[times > 1]] = True
+        out = []
+        for t, counts in zip(tokens, rows.column("counts").to_pylist(), strict=True):
+            counts = _unplaned(counts, 4).astype(np.int64)
+            upto = np.concatenate([[0], np.cumsum(recurs[t])])
+            ends = np.cumsum(counts)
+            out.append(_planes(upto[ends] - upto[ends - counts], 4))
+        return pa.Table.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], names=["slice", "counts", "classes"])
+
+    def total(rows: pa.Table) -> pa.Table:
+        k, head = 0, None
+        for counts, classes in zip(rows.column("counts").to_pylist(), rows.column("classes").to_pylist(), strict=True):
+            if classes is not None:
+                head = np.frombuffer(zstandard.decompress(classes), "<i8").reshape(3, -1)
+            else:
+                k = k + _unplaned(counts, 4).astype(np.int64)
+        classes, n, known = head
+        return pa.table({"class": pa.array(classes[100 * (k + known) >= THRESHOLD * n], pa.int64())})
+
+    rows = stored(docs.select("text").mapInArrow(ask, _MEET), "none")
+    answers = rows.where("part >= 0").groupBy("part").applyInArrow(meet, "slice long, counts binary, classes binary")
+    heads = rows.where("part < 0").select("slice", "counts", "classes").dropDuplicates(["slice"])
+    return answers.unionAll(heads).groupBy("slice").applyInArrow(total, "class long").distinct()
+
+
+def _prefixes(docs: DataFrame, levels: np.ndarray, asked: DataFrame, parts: int) -> DataFrame:
+    """Of the documents ``asked`` for (id), by part the prefix shingles; and one row each with its class and fragment sizes."""
     known = docs.sparkSession.sparkContext.broadcast(levels)
+    bits = docs.sparkSession.sparkContext.broadcast(asked_filter(asked))
 
     def cut(batches):
         level = known.value
         for batch in batches:
+            batch = _let_through(batch, bits.value)
             for part in slices(batch, "text"):
-                rows = []
+                rows, classes = [], {}
                 for s in shingle_sets(part.column("text")):
-                    if len(s):
+                    name = _class_of(s)
+                    if len(s) and name not in classes:
                         size = len(s) - -(-THRESHOLD * len(s) // 100) + 1
-                        order = np.lexsort((s, level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:size]
-                        rows.append((s[order], np.full(size, _class_of(s), np.int64), np.full(size, len(s), np.uint32)))
+                        order = np.argsort(_ordered(s, level), kind="stable")[:size]
+                        classes[name] = _fragment_sizes(s)
+                        rows.append((s[order], np.full(size, name, np.int64), np.full(size, len(s), np.uint32)))
                 if not rows:
                     continue
-                tokens, classes, sizes = (np.concatenate(c) for c in zip(*rows, strict=True))
+                tokens, names, sizes = (np.concatenate(c) for c in zip(*rows, strict=True))
                 to = (tokens % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 bounds = np.searchsorted(to[order], np.arange(parts + 1))
@@ -184,8 +321,17 @@ def _shared_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFra
                 for p in own:
                     at = order[bounds[p] : bounds[p + 1]]
                     short = (tokens[at] >> np.uint64(32)).astype(np.uint32)
-                    packed.append(short.tobytes() + sizes[at].tobytes() + classes[at].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary())], ["part", "packed"])
+                    packed.append(short.tobytes() + sizes[at].tobytes() + names[at].tobytes())
+                k = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], ["part", "packed", "class", "sizes"])
+                k = len(classes)
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(list(classes), pa.int64()), pa.array(list(classes.values()), pa.binary())], ["part", "packed", "class", "sizes"])
+
+    return docs.select("id", "text").mapInArrow(cut, "part int, packed binary, class long, sizes binary")
+
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """(token, class, n) of prefix shingles that several classes share; a token stands for its list of classes."""
 
     def share(rows: pa.Table) -> pa.Table:
         tokens, sizes, classes = [], [], []
@@ -215,7 +361,8 @@ def _shared_prefixes(docs: DataFrame, levels: np.ndarray, parts: int) -> DataFra
         )
 
     return (
-        docs.mapInArrow(cut, "part int, packed binary")
+        prefixes.where("part IS NOT NULL")
+        .select("part", "packed")
         .groupBy("part")
         .applyInArrow(share, "token long, class long, n long")
         .dropDuplicates(["token", "class"])
@@ -256,25 +403,19 @@ def possible_pairs(placed: DataFrame, sizes: DataFrame, parts: int) -> DataFrame
     leave it.
     """
     counts = placed.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # a pair leaves only the group of the first token that both have, so it leaves once
-    tokens = placed.groupBy("class").agg(F.collect_list("token").alias("tokens"))
     dealt = (
         placed.join(counts, "token")
         .withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .withColumn("key", F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other")))
         .withColumn("part", F.pmod(F.col("key"), F.lit(4 * parts)).cast("int"))
-        .join(tokens, "class")
         .join(sizes, "class")
-        .select("part", "key", "token", "tokens", "block", F.col("other").alias("with"), "class", "n", "sizes", "root")
+        .select("part", "key", "block", F.col("other").alias("with"), "class", "n", "sizes", "root")
     )
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("key")
-        key, token, block, other, name, n, root = (
-            rows.column(c).to_numpy() for c in ("key", "token", "block", "with", "class", "n", "root")
-        )
-        tokens = rows.column("tokens").to_pylist()
+        key, block, other, name, n, root = (rows.column(c).to_numpy() for c in ("key", "block", "with", "class", "n", "root"))
         sizes = [np.frombuffer(zstandard.decompress(x), np.uint8) for x in rows.column("sizes").to_pylist()]
         bounds = np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key))
         found = [np.empty((0, 2), np.int64)]
@@ -287,8 +428,6 @@ def possible_pairs(placed: DataFrame, sizes: DataFrame, parts: int) -> DataFrame
             a, b = a[fit], b[fit]
             fit = _possible(n, sizes, a, b)
             a, b = a[fit], b[fit]
-            first = [min(set(tokens[i]).intersection(tokens[j])) == token[i] for i, j in zip(a, b, strict=True)]
-            a, b = a[np.array(first, bool)], b[np.array(first, bool)]
             x, y = name[a], name[b]
             found.append(np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0))
             waiting.clear()
@@ -315,50 +454,55 @@ def possible_pairs(placed: DataFrame, sizes: DataFrame, parts: int) -> DataFrame
     return dealt.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    """Two bits of the filter for each id."""
+def _places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Two of the ``2 ** bits`` bits of the filter for each id."""
     x = mixed(ids.view(np.uint64))
-    return np.concatenate([x >> np.uint64(64 - ASKED_BITS), x & np.uint64((1 << ASKED_BITS) - 1)]).astype(np.int64)
+    return np.concatenate([x >> np.uint64(64 - bits), x & np.uint64((1 << bits) - 1)]).astype(np.int64)
 
 
-def asked_filter(wanted: DataFrame) -> np.ndarray | None:
-    """A Bloom filter of the ids of ``wanted``, merged by block from those of all tasks; None where it would hold too little back."""
-    width = (1 << ASKED_BITS) // 8 // ASKED_BLOCKS
+def _let_through(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
+    """The rows whose id may be among those that are asked for."""
+    at = _places(batch.column("id").to_numpy(), (8 * len(bits)).bit_length() - 1)
+    hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+    return batch.filter(pa.array(hit.reshape(2, -1).all(0)))
+
+
+def asked_filter(wanted: DataFrame) -> np.ndarray:
+    """A Bloom filter of the ids of ``wanted`` (stored), merged by block from those of all tasks; its size follows their number."""
+    power = min(ASKED_MOST, max(ASKED_LEAST, (16 * wanted.count()).bit_length()))
+    width = (1 << power) // 8 // ASKED_BLOCKS
 
     def mark(batches):
-        bits = np.zeros((1 << ASKED_BITS) // 8, np.uint8)
+        bits = np.zeros((1 << power) // 8, np.uint8)
         for batch in batches:
-            at = _places(batch.column("id").to_numpy())
+            at = _places(batch.column("id").to_numpy(), power)
             np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         if bits.any():
             blocks = [zstandard.compress(b.tobytes(), 1) for b in np.split(bits, ASKED_BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(ASKED_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], ["block", "bits"])
+            merge = [TaskContext.get().partitionId() // SKETCH_MERGE] * ASKED_BLOCKS
+            yield pa.RecordBatch.from_arrays([pa.array(range(ASKED_BLOCKS), pa.int32()), pa.array(merge, pa.int32()), pa.array(blocks, pa.binary())], ["block", "merge", "bits"])
 
-    def merge(rows: pa.Table) -> pa.Table:
+    def merged(rows: pa.Table) -> pa.Table:
         total = np.zeros(width, np.uint8)
         for x in rows.column("bits"):
             total |= np.frombuffer(zstandard.decompress(x.as_py()), np.uint8)
-        return pa.Table.from_arrays([rows.column("block").slice(0, 1), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], ["block", "bits"])
+        return pa.Table.from_arrays([rows.column("block").slice(0, 1), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["block", "bits"])
 
-    found = wanted.select("id").mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
+    marked = wanted.select("id").mapInArrow(mark, "block int, merge int, bits binary")
+    found = marked.groupBy("block", "merge").applyInArrow(merged, "block int, bits binary").groupBy("block").applyInArrow(merged, "block int, bits binary")
     out = np.zeros((ASKED_BLOCKS, width), np.uint8)
     for block, bits in found.collect():
         out[block] = np.frombuffer(zstandard.decompress(bits), np.uint8)
-    out = out.ravel()
-    return out if np.bitwise_count(out).sum() <= out.size * 4 else None
+    return out.ravel()
 
 
 def asked_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, packed) of the documents that ``wanted`` may ask for, their texts compressed before they move."""
-    bits = asked_filter(wanted)
-    known = None if bits is None else docs.sparkSession.sparkContext.broadcast(bits)
+    known = docs.sparkSession.sparkContext.broadcast(asked_filter(wanted))
 
     def run(batches):
         for batch in batches:
-            if known is not None:
-                at = _places(batch.column("id").to_numpy())
-                hit = (known.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-                batch = batch.filter(pa.array(hit.reshape(2, -1).all(0)))
+            batch = _let_through(batch, known.value)
             if batch.num_rows:
                 texts = [zstandard.compress((x.as_py() or "").encode(), 1) for x in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], ["id", "packed"])
@@ -366,7 +510,7 @@ def asked_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, packed binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, levels: np.ndarray) -> DataFrame:
     """The pairs (a, b) of classes that link, each with its overlap.
 
     Sets meet by their first class and fragment; where a class has many partners,
@@ -390,8 +534,10 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     wanted = stored(wanted)
     # dealt by id at every size: what packs texts and what cuts them never run in one stage
     texts = asked_texts(docs, wanted).repartition("id").join(wanted, "id")
+    order = docs.sparkSession.sparkContext.broadcast((levels, pivots_of(levels, FRAGMENTS)))
 
     def spread(batches):
+        level, pivots = order.value
         for batch in batches:
             for whole in slices(batch, "packed", SLICE_BYTES // 8):
                 texts = pa.array([zstandard.decompress(x.as_py()).decode() for x in whole.column("packed")], pa.large_string())
@@ -401,9 +547,9 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
                     for s, name, to in zip(shingle_sets(part.column("text")), part.column("class").to_pylist(), part.column("to").to_pylist(), strict=True):
                         if _class_of(s) != name:  # a repeated id with another text
                             continue
-                        cuts = np.searchsorted(s, np.array([(f << 64) // FRAGMENTS for f in range(1, FRAGMENTS)], np.uint64))
-                        for f, own in enumerate(np.split(s, cuts)):
-                            packed = _moved(own)
+                        fragment = np.searchsorted(pivots, _ordered(s, level), "right")
+                        for f in range(FRAGMENTS):
+                            packed = _moved(s[fragment == f])
                             rows += [(t["hub"], t["salt"], f, None if t["own"] else name, packed, len(s)) for t in to]
                     if rows:
                         types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64())
@@ -527,12 +673,14 @@ def resolved(docs: DataFrame, counted: bool = True) -> DataFrame:
         F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text"
     )
     profile = stored(profiled(docs))
-    rows = profile.where("block IS NULL").select("doc_id", "th", "id", "n", "class", "sizes")
-    classes = rows.where("n > 0").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.first("sizes").alias("sizes")
-    )
-    reps = stored(classes)
-    shared = stored(_shared_prefixes(docs, levels_of(profile), parts))
+    rows = profile.where("block IS NULL").select("doc_id", "th", "id", "n", "class")
+    reps = stored(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("id").alias("id"), F.max("n").alias("n")))
+    levels = levels_of(profile)
+    shingles = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    able = stored(able_to_link(docs, max(parts, shingles // MEET_TOKENS + 1)).join(reps, "class").select("id", "class"))
+    prefixes = stored(_prefixes(docs, levels, able, parts))
+    shared = stored(_shared(prefixes))
+    sizes = prefixes.where("part IS NULL").select("class", "sizes").dropDuplicates(["class"])
 
     # the hub of a token is the class that shares most tokens: of edited copies, the text they were made from
     degree = shared.groupBy("class").agg(F.count("*").alias("degree"))
@@ -550,7 +698,7 @@ def resolved(docs: DataFrame, counted: bool = True) -> DataFrame:
     )
     tried = stored(first)
     first = tried.select("a", "b")
-    links = stored(verified(first, docs, reps))
+    links = stored(verified(first, docs, reps, levels))
     roots = stored(components(links.select("a", "b")))
     # what shares a shingle but not yet a component
     placed = shared.join(roots, F.col("class") == F.col("node"), "left").select(
@@ -559,8 +707,8 @@ def resolved(docs: DataFrame, counted: bool = True) -> DataFrame:
     open_tokens = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     placed = stored(placed.join(open_tokens, "token"))
     tested = tried.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    rest = possible_pairs(placed, reps.select("class", "sizes"), parts).join(tested, ["a", "b"], "left_anti")
-    links = links.unionAll(stored(verified(stored(rest), docs, reps)))
+    rest = possible_pairs(placed, sizes, parts).join(tested, ["a", "b"], "left_anti")
+    links = links.unionAll(stored(verified(stored(rest), docs, reps, levels)))
     roots = components(links.select("a", "b"))
     named = stored(
         reps.join(roots, F.col("class") == F.col("node"), "left")
