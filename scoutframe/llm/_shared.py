@@ -36,3 +36,15 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class appended:
+    """Rows added to one written table, piece by piece: ``appended(more, before)`` adds to ``before``, or begins a table."""
+
+    def __init__(self, df: DataFrame, before: "appended | None" = None):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = before.path if before else f"{shared_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.mode("append").option("compression", "zstd").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)

@@ -3,14 +3,18 @@
 A passage recurs in a text if its 50-word windows also start in a document with a
 smaller doc_id.
 
-1. Phrases: each window's anchor of 16 words; a phrase is confirmed if it is found
-   in two texts or more (a shuffle of anchor hashes, packed by hash).
-2. Automata: all documents are streamed; each shard (a slice of texts of bounded
-   size) compiles the confirmed phrases of its texts into one Aho-Corasick
-   automaton and locates every occurrence of any of them in all of its texts.
-3. Windows around occurrences are shuffled by hash with their document, and the
-   smallest doc_id of each window decides.  A window is one row for each slice and
-   text, so no passage, however frequent, gathers in one place but by its hash.
+1. Confirmed phrases: every word gets a code of two letters.  Each window's anchor
+   is a run of 16 words in it; a phrase is confirmed if it anchors windows of two
+   texts or more.  Only phrases come out of that, no places.
+2. Automata: the confirmed phrases are dealt to shards of ``SHARD`` at most; each
+   shard is compiled into one Aho-Corasick automaton, and all documents are
+   streamed through it to locate every occurrence, wherever it stands.
+3. The windows around occurrences, of the texts as they are, are shuffled by hash
+   with their document, and the smallest doc_id of each window decides.  A slice of
+   texts settles among its own texts what it can, so a frequent window is
+   asked for once a slice.
+
+All documents pass every shard, and the number of shards follows that of phrases that recur.
 """
 
 from __future__ import annotations
@@ -19,80 +23,173 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutframe.llm._repeats import anchors, copies_of, identified, packed_by_part, places_of, recurring
-from scoutframe.llm._shared import stored, table
+from scoutframe.llm._repeats import anchors, by_text, copies_of, dealt_by_text, identified, packed_by_part, places_of, unpacked
+from scoutframe.llm._shared import appended, stored, table
 from scoutframe.llm._text import SpanHasher, Words, slices
 
 SIZE = 50
 REACH = 34
 PHRASE = SIZE - REACH
+#: Phrases in one automaton at most: about 80 MB in each Python worker.
+SHARD = 50_000
+_LETTER = 48
 
 
-def _phrases(docs: DataFrame, parts: int) -> DataFrame:
-    """(part, packed) of the anchors of all texts: hash, th, place."""
+def coded(docs: DataFrame) -> DataFrame:
+    """(id, th, code) of texts with a window: two letters of 64 for each word, by its hash.  A slice's copies of a text are one."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
-                grams = SpanHasher(words.hashes()).windows(PHRASE)
-                at = anchors(grams, words.cut, SIZE, REACH)
-                if len(at):
-                    of = np.searchsorted(words.cut, at, "right") - 1
-                    th = part.column("th").to_numpy()[of]
-                    own, packed = packed_by_part(grams[at], [grams[at], th, (at - words.cut[of]).astype(np.uint32)], parts)
-                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary())], ["part", "packed"])
+                h = words.hashes()
+                letters = (np.column_stack([h & np.uint64(63), (h >> np.uint64(6)) & np.uint64(63)]) + _LETTER).astype(np.uint8)
+                th, ids = part.column("th").to_numpy(), part.column("id").to_numpy()
+                order = np.lexsort((ids, th))
+                first = order[np.concatenate([[True], th[order][1:] != th[order][:-1]])]
+                keep = np.sort(first[np.diff(words.cut)[first] >= SIZE])
+                codes = [letters[words.cut[k] : words.cut[k + 1]].tobytes() for k in keep]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(th[keep]), pa.array(codes, pa.binary())], ["id", "th", "code"])
+
+    return docs.select("text", "th", "id").mapInArrow(run, "id long, th long, code binary")
+
+
+def _joined(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all texts, one row a word, and the first word of each text."""
+    codes = codes.to_pylist()
+    cut = np.concatenate([[0], np.cumsum([len(c) // 2 for c in codes])])
+    return np.frombuffer(b"".join(codes), np.uint8).reshape(-1, 2), cut
+
+
+_KEYED = ["u8", "i8", f"V{2 * PHRASE}"]
+
+
+def confirmed_phrases(codes: DataFrame, parts: int) -> DataFrame:
+    """(part, k, n, phrases): blocks of at most ``SHARD`` distinct phrases that anchor windows of two texts or more."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "code", 1 << 20):
+                letters, cut = _joined(part.column("code"))
+                grams = SpanHasher(letters.astype(np.uint64) @ np.array([64, 1], np.uint64)).windows(PHRASE)
+                at = anchors(grams, cut, SIZE, REACH)
+                if not len(at):
+                    continue
+                th = part.column("th").to_numpy()[np.searchsorted(cut, at, "right") - 1]
+                order = np.lexsort((th, grams[at]))
+                key, th, at = grams[at][order], th[order], at[order]
+                # of one phrase, two texts say that it recurs
+                first = np.concatenate([[True], key[1:] != key[:-1]])
+                keep = np.flatnonzero(first | np.append(first[1:], True))
+                key, th, at = key[keep], th[keep], at[keep]
+                text = np.ascontiguousarray(letters[at[:, None] + np.arange(PHRASE)].reshape(len(at), -1)).view(f"V{2 * PHRASE}").ravel()
+                own, packed = packed_by_part(key, [key, th, text], parts)
+                packed = [zstandard.compress(x, 1) for x in packed]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary())], ["part", "packed"])
+
+    def confirm(rows: pa.Table) -> pa.Table:
+        raw = pa.chunked_array([pa.array([zstandard.decompress(x.as_py()) for x in rows.column("packed")], pa.binary())])
+        key, th, text = unpacked(raw, _KEYED)
+        order = np.lexsort((th, key))
+        key, th, text = key[order], th[order], text[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        text = text[first[np.maximum.reduceat(th, first) != np.minimum.reduceat(th, first)]]
+        blocks = [text[at : at + SHARD] for at in range(0, len(text), SHARD)]
+        k = len(blocks)
+        columns = [pa.array([rows.column("part")[0].as_py()] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array([len(b) for b in blocks], pa.int64())]
+        return pa.Table.from_arrays([*columns, pa.array([b.tobytes() for b in blocks], pa.binary())], names=["part", "k", "n", "phrases"])
+
+    return (
+        codes.select("th", "code")
+        .mapInArrow(run, "part int, packed binary")
+        .groupBy("part")
+        .applyInArrow(confirm, "part int, k int, n long, phrases binary")
+    )
 
-    return docs.select("text", "th").mapInArrow(run, "part int, packed binary")
 
+def shards(sizes: list[tuple[int, int, int]], most: int) -> list[list[tuple[int, int]]]:
+    """Blocks (part, k, n) dealt in order to shards of at most ``most`` phrases."""
+    out, held = [], most + 1
+    for part, k, n in sorted(sizes):
+        if held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append((part, k))
+        held += n
+    return out
 
-def _in_two_texts(first, counts, columns):
-    same = np.maximum.reduceat(columns[1], first) == np.minimum.reduceat(columns[1], first)
-    return np.repeat(~same, counts)
 
+_compiled: dict = {}
 
-def locate(words: Words, places: list[np.ndarray]) -> np.ndarray:
-    """First words of all occurrences, in any text of the slice, of the phrases that start at ``places`` of its texts."""
+
+def automaton(phrases: bytes):
+    """The Aho-Corasick automaton of one shard; a Python worker keeps the last one."""
     import ahocorasick
 
-    data = words.data
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    # words parted by one space each, in a code with one character for each byte
-    sizes = words.ends - words.starts
-    ends = np.cumsum(sizes + 1)
-    line = np.full(int(ends[-1]) + 1 if len(ends) else 1, 32, np.uint8)
-    starts = ends - sizes
-    if len(ends):
-        inner = np.zeros(len(data) + 1, np.int64)
-        np.add.at(inner, words.starts, 1)
-        np.add.at(inner, words.ends, -1)
-        held = np.cumsum(inner[:-1]) > 0
-        line[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))] = data[held]
-    text = line.tobytes().decode("latin-1")
-    added = False
-    for first, at in zip(words.cut[:-1].tolist(), places, strict=True):
-        for p in at.tolist():
-            a, b = first + p, first + p + PHRASE - 1
-            automaton.add_word(text[starts[a] - 1 : ends[b] + 1])
-            added = True
-    if not added:
-        return np.empty(0, np.int64)
-    automaton.make_automaton()
-    stops = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-    return np.searchsorted(ends, stops) - (PHRASE - 1)
+    name = hashlib.sha256(phrases).digest()
+    if name not in _compiled:
+        _compiled.clear()
+        found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        text, width = phrases.decode("latin-1"), 2 * PHRASE
+        for at in range(0, len(text), width):
+            found.add_word(text[at : at + width])
+        found.make_automaton()
+        _compiled[name] = found
+    return _compiled[name]
+
+
+def located(codes: DataFrame, phrases: bytes) -> DataFrame:
+    """(id, th, places) of every text with an occurrence of one of the ``phrases``: the first word of each."""
+    known = codes.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "code", 1 << 20):
+                codes = part.column("code").to_pylist()
+                # a line end parts texts and is no letter
+                ends = np.fromiter((end for end, _ in automaton(known.value).iter(b"\n".join(codes).decode("latin-1"))), np.int64)
+                starts = np.concatenate([[0], np.cumsum([len(c) + 1 for c in codes])])
+                of = np.searchsorted(starts, ends, "right") - 1
+                at = ends + 1 - 2 * PHRASE - starts[of]
+                of, at = of[at % 2 == 0], at[at % 2 == 0] // 2
+                bounds = np.searchsorted(of, np.arange(len(codes) + 1))
+                hit = np.flatnonzero(np.diff(bounds))
+                if len(hit):
+                    places = [at[bounds[k] : bounds[k + 1]].astype(np.uint32).tobytes() for k in hit]
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(hit)), part.column("th").take(pa.array(hit)), pa.array(places, pa.binary())], ["id", "th", "places"])
+
+    return codes.mapInArrow(run, "id long, th long, places binary")
+
+
+def occurrences(docs: DataFrame, parts: int) -> DataFrame:
+    """(id, th, places): where confirmed phrases occur in texts, one row a text and shard."""
+    codes = stored(coded(docs))
+    blocks = stored(confirmed_phrases(codes, parts))
+    # only how many phrases each block has, and then one shard at a time, are seen by the driver
+    sizes = [tuple(r) for r in blocks.select("part", "k", "n").collect()]
+    found = None
+    for shard in shards(sizes, SHARD):
+        (first, _), (last, _) = shard[0], shard[-1]
+        own = {(r.part, r.k): r.phrases for r in blocks.where(F.col("part").between(first, last)).where(F.struct("part", "k").isin([F.struct(F.lit(p), F.lit(k)) for p, k in shard])).collect()}
+        found = appended(located(codes, b"".join(own[x] for x in shard)), found)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "id long, th long, places binary")
+    return found.read()
 
 
 def _windows(texts: DataFrame, parts: int) -> DataFrame:
-    """(part, packed) of the windows around all occurrences of phrases: hash, th, place, smallest doc_id of the text."""
+    """(part, packed) of the windows around all occurrences of phrases: hash, th, place, smallest doc_id of the text, and whether the slice knows that it goes."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 words = Words(part.column("text"))
-                found = locate(words, [places_of(x) for x in part.column("places").to_pylist()])
+                places = [places_of(b"".join(x)) for x in part.column("places").to_pylist()]
+                found = np.concatenate([np.empty(0, np.int64), *(p + c for p, c in zip(places, words.cut[:-1], strict=True))])
                 if not len(found):
                     continue
                 n = len(words.starts)
@@ -106,17 +203,35 @@ def _windows(texts: DataFrame, parts: int) -> DataFrame:
                 fit = at + SIZE <= words.cut[of + 1]
                 at, of = at[fit], of[fit]
                 if len(at):
+                    key, low = hashes[at], part.column("id").to_numpy()[of]
+                    order = np.lexsort((low, key))
+                    at, of, key, low = at[order], of[order], key[order], low[order]
+                    first = np.concatenate([[True], key[1:] != key[:-1]])
+                    goes = low > low[np.flatnonzero(first)][np.cumsum(first) - 1]
                     th = part.column("th").to_numpy()[of]
-                    low = part.column("id").to_numpy()[of]
-                    own, packed = packed_by_part(hashes[at], [hashes[at], th, (at - words.cut[of]).astype(np.uint32), low], parts)
+                    columns = [key, th, (at - words.cut[of]).astype(np.uint32), low, goes.astype(np.uint8)]
+                    # what is settled goes anywhere
+                    own, packed = packed_by_part(np.where(goes, th.view(np.uint64), key), columns, parts)
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(packed, pa.binary())], ["part", "packed"])
 
     return texts.mapInArrow(run, "part int, packed binary")
 
 
-def _earlier(first, counts, columns):
-    low = columns[3]
-    return low > np.repeat(np.minimum.reduceat(low, first), counts)
+def earlier(windows: DataFrame, parts: int) -> DataFrame:
+    """(th, places): the windows that a smaller doc_id holds, one row a text."""
+
+    def judge(rows: pa.Table) -> pa.Table:
+        key, th, place, low, goes = unpacked(rows.column("packed"), ["u8", "i8", "u4", "i8", "u1"])
+        ask = np.flatnonzero(goes == 0)
+        ask = ask[np.argsort(key[ask], kind="stable")]
+        if len(ask):
+            first = np.flatnonzero(np.concatenate([[True], key[ask][1:] != key[ask][:-1]]))
+            least = np.repeat(np.minimum.reduceat(low[ask], first), np.diff(np.append(first, len(ask))))
+            goes[ask[low[ask] > least]] = 1
+        gone = goes == 1
+        return dealt_by_text(th[gone], [place[gone]], parts)
+
+    return by_text(windows.groupBy("part").applyInArrow(judge, "to int, packed binary"), ["u4"], ["places"])
 
 
 def removals(docs: DataFrame, *carried: str) -> DataFrame:
@@ -131,11 +246,11 @@ def removals(docs: DataFrame, *carried: str) -> DataFrame:
     docs = identified(docs)
     firsts, many = copies_of(docs)
     firsts = stored(firsts)
-    phrases = recurring(_phrases(docs, parts), ["u8", "i8", "u4"], _in_two_texts, parts)
-    texts = docs.join(stored(firsts.join(phrases, "th")), ["id", "th"])
-    found = recurring(_windows(texts.select("text", "th", "id", "places"), parts), ["u8", "i8", "u4", "i8"], _earlier, parts)
+    found = occurrences(docs, parts).groupBy("id", "th").agg(F.collect_list("places").alias("places"))
+    texts = docs.join(stored(found.join(firsts, ["id", "th"])), ["id", "th"])
+    gone = earlier(_windows(texts.select("text", "th", "id", "places"), parts), parts)
     verdicts = (
-        firsts.join(found, "th")
+        firsts.join(gone, "th")
         .select("id", "th", "places", F.lit(False).alias("copy"))
         .unionAll(many.where("id > low").select("id", "th", F.lit(None).cast("binary"), F.lit(True)))
     )

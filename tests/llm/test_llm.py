@@ -130,6 +130,34 @@ def test_passages(docs, empty):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@pytest.mark.parametrize("shard", [passages.SHARD, 2])
+def test_automata_locate(docs, spark, monkeypatch, shard):
+    """Places come from the automata alone: every occurrence of every phrase, in any text; without them nothing goes."""
+    monkeypatch.setattr(passages, "SHARD", shard)
+    whole = passages.identified(docs)
+    codes = passages.coded(whole)
+    phrases = b"".join(r.phrases for r in passages.confirmed_phrases(codes, 3).collect())
+    width = 2 * passages.PHRASE
+    known = {phrases[at : at + width] for at in range(0, len(phrases), width)}
+    assert len(known) * width == len(phrases) > 3 * width
+    want = set()
+    for r in codes.collect():
+        for k in range(len(r.code) // 2 - passages.PHRASE + 1):
+            if bytes(r.code[2 * k : 2 * k + width]) in known:
+                want.add((r.id, k))
+    got = [(r.id, int(k)) for r in passages.occurrences(whole, 3).collect() for k in passages.places_of(r.places)]
+    assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.setattr(passages, "located", lambda codes, phrases: codes.select("id", "th", F.lit(b"").alias("places")).limit(0))
+    copies = passages.copies_of(whole)[1].where("id > low").count()
+    gone = passages.removals(docs).where("places IS NOT NULL").count()
+    assert gone == 0 and copies
+
+
+def test_shards_of_phrases():
+    assert passages.shards([(1, 0, 3), (0, 0, 4), (0, 1, 2), (2, 0, 1)], 6) == [[(0, 0), (0, 1)], [(1, 0), (2, 0)]]
+    assert passages.shards([], 6) == []
+
+
 @pytest.mark.parametrize("hot", [suffixes.HOT, 1])
 def test_suffixes(docs, empty, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
