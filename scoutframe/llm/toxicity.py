@@ -1,22 +1,28 @@
 """Toxicity by compression distance.
 
-Each word becomes an sixteen-byte code (a hash of its lower-case letters and
-digits), so that a word costs its full length unless a dictionary knows it.  One
-zstandard dictionary is made on ordinary text, another on what sets toxic text
-apart: the words of toxic documents that are several times rarer in ordinary
-ones.  Each window of sixteen words is compressed with the ordinary dictionary
-and with both; the bytes that the toxic one saves are the evidence.  A logistic
-calibration over the evidence of a text gives its score.  It is fitted on
+Text is coded before it is compressed: each word gives four bytes for each of its
+beginnings of three bytes or more, and four for its end, so a word that begins like a known one
+is partly known, and what zstandard saves grows with what the two share.
+
+Two dictionaries are trained with zstandard's own trainer: one on windows of
+ordinary text, one on the text that sets toxic documents apart (words with a
+beginning that is several times rarer in ordinary documents).  Toxic documents are written in
+the same languages, so the toxic dictionary holds the ordinary segments behind its
+own.  Each window of sixteen words is compressed with the ordinary and with the
+toxic dictionary, and the difference of the two lengths is the evidence.  A
+logistic calibration over the differences of a text gives its score; it is fitted on
 documents whose dictionaries were trained without them.
 
 Labels are read from a bounded sample only: ``SAMPLE`` documents of at most
-``LONGEST`` characters, the first by a hash of doc_id, brought to the driver.
-Every document is scored over its whole text.
+``LONGEST`` characters, the first by a hash of doc_id.  Each fold is trained in a
+task of its own; only a few numbers for each sampled document and the dictionaries
+reach the driver.  Every document is scored over its whole text.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -25,72 +31,104 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoutframe.llm._shared import table
-from scoutframe.llm._text import Words, mixed, slices
+from scoutframe.llm._shared import stored, table
+from scoutframe.llm._text import slices
 
 SAMPLE = 8000
 LONGEST = 200_000
 WINDOW = 16
-#: Bytes of a word's code: enough that one known word in a window shows, as zstandard stores what saves little.
-CODE = 16
-ORDINARY_BYTES, TOXIC_BYTES = 16384, 32768
-#: A word joins the toxic training text if it is in this many toxic documents and this many times rarer in ordinary ones.
-LEAST_TOXIC, RARER = 3, 20
+#: A word's shortest beginning that counts; longer runs without a space are several words.
+BEGIN, LONGEST_WORD = 3, 64
+ORDINARY_BYTES, TOXIC_BYTES = 16384, 8192
+#: Windows of ordinary text that the trainer sees.
+ORDINARY_WINDOWS = 20_000
+#: A beginning sets toxic text apart if it is in so many toxic documents, in so large a share of them, and so many times rarer in ordinary ones.
+LEAST_TOXIC, LEAST_SHARE, RARER = 3, 0.04, 100
+#: A window is nearer to toxic text if its length falls by so many bytes: each gives features of its own to the calibration.
+STEPS = (6, 10, 16)
+FEATURES = 2 * len(STEPS) + 3
 LEVEL = 3
 THRESHOLD = 0.3
 FOLDS = 4
 
-_LETTERS = np.full(256, 32, np.uint8)
-_LETTERS[48:58] = np.arange(48, 58)
-_LETTERS[65:91] = np.arange(97, 123)
-_LETTERS[97:123] = np.arange(97, 123)
-_LETTERS[128:] = np.arange(128, 256)
-
-
-def coded(texts: pa.Array) -> list[np.ndarray]:
-    """The words of each text as 64-bit codes."""
-    words = Words(texts, _LETTERS)
-    codes = words.hashes()
-    return np.split(codes, words.cut[1:-1])
-
-
-def _spelled(codes: np.ndarray) -> bytes:
-    """``CODE`` bytes a word."""
-    return np.column_stack([codes, mixed(codes ^ np.uint64(0x5851F42D4C957F2D))]).astype("<u8").tobytes()
-
-
-def _windows(codes: np.ndarray) -> list[bytes]:
-    data, size = _spelled(codes), CODE * WINDOW
-    return [data[at : at + size] for at in range(0, len(data), size)]
-
-
-def _dictionary(counts: dict[int, int], size: int) -> bytes:
-    """Content of ``size`` bytes at most that covers the most documents: the commonest words, the very commonest last.
-
-    This is the aim of zstandard's own cover trainer, with one word as a segment; that one
-    samples the text and misses many of the rare segments that matter here.
-    """
-    words = sorted(counts, key=lambda w: (counts[w], w))[-(size // CODE) :]
-    return _spelled(np.array(words, np.uint64))
+_LETTERS = bytes(
+    c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
+)
+_CACHED = 200_000
+_known: dict[bytes, bytes] = {}
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of letters and digits, A-Z in lower case; null has none."""
+    found = (text or "").encode().translate(_LETTERS).split()
+    if any(len(w) > LONGEST_WORD for w in found):
+        found = [w[at : at + LONGEST_WORD] for w in found for at in range(0, len(w), LONGEST_WORD)]
+    return found
+
+
+def _code(word: bytes) -> bytes:
+    """Four bytes for every beginning of the word, and for its end."""
+    if word not in _known:
+        if len(_known) >= _CACHED:
+            _known.clear()
+        crc, out = zlib.crc32(word[: BEGIN - 1]), []
+        for at in range(BEGIN - 1, len(word)):
+            crc = zlib.crc32(word[at : at + 1], crc)
+            out.append(crc.to_bytes(4, "little"))
+        out.append(zlib.crc32(b"$", crc).to_bytes(4, "little"))
+        _known[word] = b"".join(out)
+    return _known[word]
+
+
+def windows(words: list[bytes]) -> list[bytes]:
+    return [b"".join(map(_code, words[at : at + WINDOW])) for at in range(0, len(words), WINDOW)]
+
+
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary by zstandard's trainer; the samples themselves where they are too few for it."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _apart(docs: list[list[bytes]], toxic: np.ndarray) -> list[bytes]:
+    """Of each toxic document, the coded words with a beginning that sets toxic text apart."""
+    seen = [[np.empty(0, np.uint32)], [np.empty(0, np.uint32)]]
+    for words, label in zip(docs, toxic, strict=True):
+        seen[label].append(np.unique(np.frombuffer(b"".join(map(_code, set(words))), np.uint32)))
+    codes, counts = np.unique(np.concatenate(seen[1]), return_counts=True)
+    other, times = np.unique(np.concatenate(seen[0]), return_counts=True)
+    ordinary = np.zeros(len(codes), np.int64)
+    at = np.searchsorted(other, codes)
+    hit = at < len(other)
+    hit[hit] = other[at[hit]] == codes[hit]
+    ordinary[hit] = times[at[hit]]
+    n = np.bincount(toxic, minlength=2)
+    enough = counts >= max(LEAST_TOXIC, LEAST_SHARE * n[1])
+    marks = set(codes[enough & (counts * n[0] >= RARER * ordinary * n[1])].tolist())
+    out = []
+    for words, label in zip(docs, toxic, strict=True):
+        if label:
+            own = [c for c in map(_code, words) if not marks.isdisjoint(np.frombuffer(c, np.uint32).tolist())]
+            if own:
+                out.append(b"".join(own))
+    return out
 
 
-def train_dictionaries(docs: list[np.ndarray], toxic: np.ndarray) -> tuple[bytes, bytes]:
-    """Content of the ordinary and of the toxic dictionary."""
-    seen = [Counter(), Counter()]
-    for codes, label in zip(docs, toxic, strict=True):
-        seen[label].update(set(codes.tolist()))
-    n = np.bincount(toxic, minlength=2)
-    marked = {
-        w: c for w, c in seen[1].items() if c >= LEAST_TOXIC and c * n[0] > RARER * (seen[0][w] + 1) * n[1]
-    }
-    return _dictionary(seen[0], ORDINARY_BYTES), _dictionary(marked, TOXIC_BYTES)
+def train_dictionaries(docs: list[list[bytes]], toxic: np.ndarray) -> tuple[bytes, bytes]:
+    """The ordinary dictionary and the toxic one."""
+    ordinary = [w for words, label in zip(docs, toxic, strict=True) if not label for w in windows(words)]
+    picked = np.random.default_rng(5).permutation(len(ordinary))[:ORDINARY_WINDOWS]
+    ordinary = _trained([ordinary[i] for i in picked], ORDINARY_BYTES, 64)
+    return ordinary, _trained(_apart(docs, toxic), TOXIC_BYTES, 32) + ordinary
 
 
 class Evidence:
-    """Features of a text from the compressed lengths of its windows."""
+    """Features of a text from the compressed lengths of its windows under both dictionaries."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.with_ordinary, self.with_both = (self._compressor(d) for d in (ordinary, ordinary + toxic))
+        self.ordinary, self.toxic = self._compressor(ordinary), self._compressor(toxic)
 
     @staticmethod
     def _compressor(content: bytes):
@@ -102,11 +140,13 @@ class Evidence:
         known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress
 
-    def of(self, codes: np.ndarray) -> tuple[float, float, float, float]:
-        a, b = self.with_ordinary, self.with_both
-        saved = [max(0, len(a(w)) - len(b(w))) for w in _windows(codes)]
-        density = 100 * sum(saved) / (len(codes) + 4)
-        return density, density**0.5, float(max(saved, default=0)), float(np.log1p(len(codes)))
+    def of(self, words: list[bytes]) -> list[float]:
+        a, b = self.ordinary, self.toxic
+        nearer = np.array([len(a(w)) - len(b(w)) for w in windows(words)], np.float64)
+        per = 100 / (len(words) + 4)
+        shares = [per * float((nearer >= step).sum()) for step in STEPS]
+        whole = per * float(np.maximum(nearer, 0).sum())
+        return [*shares, *(x**0.5 for x in shares), float(max(0, nearer.max(initial=0))), float(np.log1p(len(words))), whole]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -126,31 +166,24 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 class Model:
     """Dictionaries, scaling and weights; a constant score where the sample lacks one of the labels."""
 
-    def __init__(self, texts: list[str], toxic: np.ndarray):
+    def __init__(self, toxic: Iterable[int], x: np.ndarray | None = None, dictionaries: tuple[bytes, bytes] | None = None):
+        toxic = np.array(list(toxic), np.int64)
         self.constant = None
         if len(set(toxic.tolist())) < 2:
             self.constant = float(toxic.mean()) if len(toxic) else 0.0
             return
-        docs = []
-        for part in slices(pa.record_batch([pa.array(texts, pa.large_utf8())], ["text"]), "text"):
-            docs += [codes.copy() for codes in coded(part.column("text"))]
-        x = np.zeros((len(docs), 4))
-        for fold in range(FOLDS):
-            rest = [i for i in range(len(docs)) if i % FOLDS != fold]
-            evidence = Evidence(*train_dictionaries([docs[i] for i in rest], toxic[rest]))
-            for i in range(fold, len(docs), FOLDS):
-                x[i] = evidence.of(docs[i])
         self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
         self.weights = fit_logistic((x - self.mean) / self.scale, toxic)
-        self.dictionaries = train_dictionaries(docs, toxic)
+        self.dictionaries = dictionaries
 
     def scorer(self):
+        """A function from a text to its score."""
         if self.constant is not None:
-            return lambda codes: self.constant
+            return lambda text: self.constant
         evidence = Evidence(*self.dictionaries)
 
-        def score(codes):
-            x = (np.array(evidence.of(codes)) - self.mean) / self.scale
+        def score(text):
+            x = (np.array(evidence.of(words_of(text))) - self.mean) / self.scale
             return float(1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30))))
 
         return score
@@ -173,20 +206,52 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(SAMPLE)
     )
-    rows = (
+    rows = stored(
         docs.where(F.length("text") <= LONGEST)
         .select("doc_id", "text")
         .join(F.broadcast(picked), "doc_id")  # at most SAMPLE rows
         .orderBy(F.xxhash64("doc_id"), "doc_id", "text")
         .limit(SAMPLE)
-        .select("text", F.col("toxic").cast("int"))
-        .collect()
+        .select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
     )
-    return Model([r[0] for r in rows], np.array([int(r[1] > 0) for r in rows], np.int64))
+    toxic = dict(rows.groupBy("toxic").count().collect())
+    if len(toxic) < 2:
+        return Model(toxic)
+
+    def train(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        """Of fold -1 the dictionaries of all; of any other the features of its documents, by dictionaries of the rest."""
+        out = key[0].as_py()
+        docs = [words_of(x.as_py()) for x in group.column("text")]
+        labels, folds = (group.column(c).to_numpy() for c in ("toxic", "fold"))
+        rest = np.flatnonzero(folds != out)
+        both = train_dictionaries([docs[i] for i in rest], labels[rest])
+        evidence = Evidence(*both)
+        own = np.flatnonzero(folds == out)
+        x = np.array([evidence.of(docs[i]) for i in own], np.float64).reshape(-1, FEATURES)
+        packed = [None] * len(own) if out >= 0 else [both[0], both[1]]
+        return pa.table(
+            {
+                "toxic": pa.array(labels[own] if out >= 0 else [None, None], pa.int32()),
+                "x": pa.array(x.tolist() if out >= 0 else [None, None], pa.list_(pa.float64())),
+                "content": pa.array(packed, pa.binary()),
+                "place": pa.array(range(len(packed)), pa.int32()),
+            }
+        )
+
+    # each group holds the whole bounded sample
+    folds = rows.withColumn("out", F.explode(F.sequence(F.lit(-1), F.lit(FOLDS - 1))))
+    found = folds.groupBy("out").applyInArrow(train, "toxic int, x array<double>, content binary, place int").collect()
+    contents = [bytes(r.content) for r in sorted((r for r in found if r.content is not None), key=lambda r: r.place)]
+    known = sorted((r.toxic, r.x) for r in found if r.content is None)
+    return Model([t for t, _ in known], np.array([x for _, x in known]), (contents[0], contents[1]))
 
 
 def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
-    """Adds the score to all other columns of ``docs`` under the name ``into``; a null text scores like an empty one."""
+    """Adds the score to all other columns of ``docs`` under the name ``into``, in place of a column of that name.
+
+    A null text scores like an empty one.  Every row is scored by itself, repeated rows too, over its
+    whole text, however long; an empty table gives an empty result.
+    """
     kept = [f for f in docs.schema.fields if f.name != into]
     schema = T.StructType([*kept, T.StructField(into, T.DoubleType())])
     names = schema.names
@@ -195,14 +260,14 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
         scorer = model.scorer()
         for batch in batches:
             for part in slices(batch, "text"):
-                out = pa.array([scorer(codes) for codes in coded(part.column("text"))], pa.float64())
+                out = pa.array([scorer(text.as_py()) for text in part.column("text")], pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names)
 
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below the threshold, with the columns that came in."""
+    """The documents that score below the threshold, with the columns that came in; repeated rows share their fate, no row is changed."""
     names = [F.col(f"`{c}`") for c in docs.columns]
     scored = score(docs, fit(docs, labels), "__toxicity")
     return scored.where(F.col("__toxicity") < THRESHOLD).select(*names)

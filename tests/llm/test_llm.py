@@ -298,26 +298,52 @@ def test_chat(spark):
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
 
 
-def test_toxicity(spark, docs, empty):
+def labelled(spark, marks):
+    """400 texts; one in five holds a few of the words that ``marks(rng)`` makes."""
     rng = random.Random(4)
     rows, labels = [], []
     for i in range(400):
         w = words(rng.randint(60, 120), i)
         toxic = i % 5 == 0
         for _ in range(6 * toxic):
-            w[rng.randrange(len(w))] = rng.choice(["grobian", "scoundrel", "wretch"])
+            w[rng.randrange(len(w))] = marks(rng)
         rows.append((i, " ".join(w)))
         labels.append((i, int(toxic)))
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
-    model = toxicity.fit(d, lab)
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def held_out(d, model):
+    """Accuracy at the threshold, and how often a marked text scores above an unmarked one."""
     got = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
-    out = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
-    assert sum((got[i] >= 0.3) == bool(i % 5 == 0) for i in out) >= 0.95 * len(out)
+    out = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+    pairs = [(got[i] > got[j]) + 0.5 * (got[i] == got[j]) for i in out for j in out if i % 5 == 0 and j % 5]
+    return sum((got[i] >= 0.3) == (i % 5 == 0) for i in out) / len(out), sum(pairs) / len(pairs)
+
+
+def test_toxicity(spark, docs, empty):
+    d, lab = labelled(spark, lambda rng: rng.choice(["grobian", "scoundrel", "wretch"]))
+    model = toxicity.fit(d, lab)
+    assert held_out(d, model)[0] >= 0.95
     assert all(0 <= r.score <= 1 for r in toxicity.score(docs, model).collect())
     assert toxicity.score(empty, model).count() == 0
     assert toxicity.fit(d, lab.limit(0)).constant == 0.0
+    assert toxicity.fit(d, lab.where("toxic = 1")).constant == 1.0
     assert toxicity.filter_documents(docs, lab).columns == docs.columns
+    assert toxicity.score(docs, model).schema["score"].dataType.simpleString() == "double"
+
+
+def test_toxicity_is_a_distance(spark):
+    """No toxic word ever comes twice: only what it shares with others shows, which a list of words can't."""
+    tail = lambda rng: "".join(rng.choice("abcdefghij") for _ in range(6))
+    d, lab = labelled(spark, lambda rng: rng.choice(["grobia", "scound", "wretch"]) + tail(rng))
+    assert held_out(d, toxicity.fit(d, lab))[1] >= 0.85  # a list of words: 0.5
+
+
+def test_toxicity_codes():
+    assert toxicity.words_of("Ab, c\tDÉ 1") == ["ab".encode(), b"c", "dÉ".encode(), b"1"]
+    assert toxicity.words_of(None) == [] and len(toxicity.words_of("a" * 130)) == 3
+    a, b = toxicity._code(b"loweiab"), toxicity._code(b"loweixyz")
+    assert a[:12] == b[:12] and a[12:16] != b[12:16] and len(a) == 4 * 6
 
 
 def test_neighbours(spark):
