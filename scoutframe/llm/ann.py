@@ -4,11 +4,14 @@ On a bounded sample a neighbour graph is built and cut into balanced parts; a
 small classifier (one softmax layer over the direction of a vector and its
 similarities to the parts' centres) learns which part a vector belongs to.  Every
 row is indexed in its most probable part.  A query visits its most probable
-parts, as many as a held-back piece of the sample needs for ``TARGET`` recall,
-and all rows found there are ranked by the exact measure in double precision.
-
-Parts are cut into blocks of at most ``BLOCK`` rows, so a crowded part spreads
-over many tasks; queries follow to every block of a part that they visit.
+parts, as many as a piece of the sample that neither the parts nor the classifier
+have seen needs for ``TARGET`` recall, and all rows found there are ranked by the
+exact measure in double precision.
+
+Parts are cut into blocks of about ``BLOCK`` rows and their queries into blocks of
+as many, so a crowded part spreads over many tasks; every block of queries meets
+every block of rows of its part.  The sample bounds how many parts can be learned, so from
+some 90,000 rows parts grow with the table.
 """
 
 from __future__ import annotations
@@ -22,16 +25,32 @@ from scoutframe.llm._shared import stored, table
 
 #: Rows that the partitions are learned from, the first by a hash of vec_id.
 SAMPLE = 6000
-MAX_PARTS = 128
+#: Sampled rows for each part at least.
+PART_ROWS = 40
 GRAPH_NEIGHBOURS = 10
 TARGET = 0.96
+#: Share of the sample that is held back to find the number of visits.
+HELD_BACK = 0.2
 BLOCK = 2000
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that no square over- or underflows; their cosines stay as they are."""
+    _, power = np.frexp(np.abs(x).max(axis=1, initial=0.0))
+    return np.ldexp(x, -power[:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of ``a`` (scaled) with the same row of ``b``: the same bits for the same two vectors, wherever they stand."""
+    a, b = np.ascontiguousarray(a), np.ascontiguousarray(b)
+    return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
+
+
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The ``k`` nearest other rows of each row (all, where there are fewer), in blocks of rows."""
     out, k = [], min(k, len(x) - 1)
@@ -101,18 +120,23 @@ class Router:
 
     def __init__(self, sample: np.ndarray, rows: int, k: int):
         x = _unit(sample) if len(sample) else sample.reshape(0, 1)
-        self.parts = int(min(MAX_PARTS, max(1, len(x) // 50), max(1, round(rows**0.5 / 6))))
+        x = x[np.random.default_rng(3).permutation(len(x))]
+        held = int(HELD_BACK * len(x))
+        seen = x[held:]
+        self.parts = int(min(max(1, len(seen) // PART_ROWS), max(1, round(rows**0.5 / 2))))
         self.visits = 1
         if self.parts == 1:
             return
-        label = balanced_parts(x, neighbour_graph(x, GRAPH_NEIGHBOURS), self.parts)
-        self.weights, self.bias = train_router(x, label, self.parts)
-        # visits: measured on the sample, whose rows ask for their own nearest
+        label = balanced_parts(seen, neighbour_graph(seen, GRAPH_NEIGHBOURS), self.parts)
+        self.weights, self.bias = train_router(seen, label, self.parts)
+        # the rows held back ask for their nearest in the whole sample
         own = self.order(x)[:, 0]
-        near = neighbour_graph(x, k)
-        asked = np.random.default_rng(3).permutation(len(x))[:1000]
-        place = np.argsort(self.order(x[asked]), axis=1)
-        needed = np.take_along_axis(place, own[near[asked]], axis=1)
+        asked = x[: max(1, held)]
+        sims = asked @ x.T
+        sims[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+        near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        place = np.argsort(self.order(asked), axis=1)
+        needed = np.take_along_axis(place, own[near], axis=1)
         reached = [(needed < v).mean() for v in range(1, self.parts + 1)]
         self.visits = next(v for v, share in enumerate(reached, 1) if share >= TARGET)
 
@@ -123,14 +147,19 @@ class Router:
 
 
 def usable(rows: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(vec_id, v array<double>) of the rows whose vector is neither null, empty, zero nor holds null or non-finite values."""
-    v = F.transform(F.col(vector), lambda a: a.cast("double"))
+    """(vec_id, v array<double>) of the rows whose vector is neither null, empty, zero nor holds null or non-finite values.
+
+    Vectors of another length than most (of equally many: than the longest) can't be compared and take no part either.
+    """
+    v = F.transform(F.col(f"`{vector}`"), lambda a: a.cast("double"))
     sound = F.forall("v", lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < float("inf")))
-    return (
-        rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+    found = (
+        rows.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), v.alias("v"))
         .where("vec_id IS NOT NULL AND v IS NOT NULL")
         .where(sound & F.exists("v", lambda a: a != 0))
     )
+    length = found.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return found.where(F.size("v") == (length.n if length else 0))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -144,8 +173,9 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest by cosine; both inputs are ``usable`` rows of one dimension.
 
     A row never answers the query of the same vec_id.  Ties go to the smaller
-    vec_id; of repeated vec_ids each row is a candidate.  Fewer candidates than
-    ``k`` give fewer rows, an empty index none.
+    vec_id; of repeated vec_ids each row is a candidate, and repeated queries of one vec_id are one question.
+    Fewer candidates than ``k`` give fewer rows, an empty index none.  Scores have the same bits
+    whatever the blocks: equal vectors tie.
     """
     index = stored(index)
     n = index.count()
@@ -168,43 +198,41 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return run
 
     schema = "vec_id long, v array<double>, part int"
-    homes = stored(index.mapInArrow(route(1), schema))
-    sizes = {r[0]: r[1] for r in homes.groupBy("part").count().collect()}  # one row for each part
-    blocks = [-(-sizes.get(p, 0) // BLOCK) for p in range(parts)]
-    counts = F.array(*[F.lit(max(1, b)) for b in blocks])
-    of_part = F.element_at(counts, F.col("part") + 1)
-    homes = homes.withColumn("block", F.pmod(F.xxhash64("vec_id"), of_part).cast("int"))
-    asked = queries.mapInArrow(route(visits), schema).withColumn("block", F.explode(F.sequence(F.lit(0), of_part - 1)))
+    homes, asked = stored(index.mapInArrow(route(1), schema)), stored(queries.mapInArrow(route(visits), schema))
+
+    def blocks(rows: DataFrame):
+        """How many blocks the rows of each part make: one number for each part."""
+        sizes = {r[0]: r[1] for r in rows.groupBy("part").count().collect()}
+        counts = F.array(*[F.lit(max(1, -(-sizes.get(p, 0) // BLOCK))) for p in range(parts)])
+        return F.element_at(counts, F.col("part") + 1)
+
+    of_rows, of_queries = blocks(homes), blocks(asked)
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    homes = homes.withColumn("block", dealt(of_rows)).withColumn("query_block", every(of_queries))
+    asked = asked.withColumn("query_block", dealt(of_queries)).withColumn("block", every(of_rows))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, c = _matrix(left.column("v")), _matrix(right.column("v"))
-        found = [[], [], []]
+        q, c = scaled(_matrix(left.column("v"))), scaled(_matrix(right.column("v")))
+        found = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
         if len(q) and len(c):
             ids, asking = right.column("vec_id").to_numpy(), left.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, c = ids[order], c[order]
-            norms = np.linalg.norm(c, axis=1)
+            units, asked_units = c / np.linalg.norm(c, axis=1)[:, None], q / np.linalg.norm(q, axis=1)[:, None]
             for at in range(0, len(q), 256):
-                part = q[at : at + 256]
-                cos = (part @ c.T) / (np.linalg.norm(part, axis=1)[:, None] * norms[None, :])
-                cos[asking[at : at + 256, None] == ids[None, :]] = -np.inf
-                for row, name in zip(cos, asking[at : at + 256], strict=True):
+                rough = asked_units[at : at + 256] @ units.T
+                rough[asking[at : at + 256, None] == ids[None, :]] = -np.inf
+                for i, row in enumerate(rough, at):
                     low = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                    near = np.flatnonzero((row >= low) & (row > -np.inf))
-                    near = near[np.argsort(-row[near], kind="stable")][:k]
-                    found[0] += [name] * len(near)
-                    found[1] += ids[near].tolist()
-                    found[2] += row[near].tolist()
-        return pa.Table.from_arrays(
-            [pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())],
-            names=["query_id", "vec_id", "score"],
-        )
-
-    pairs = (
-        asked.groupBy("part", "block")
-        .cogroup(homes.groupBy("part", "block"))
-        .applyInArrow(best, "query_id long, vec_id long, score double")
-    )
+                    # what rounding could bring among the nearest is measured exactly
+                    near = np.flatnonzero((row >= low - 1e-9) & (row > -np.inf))
+                    score = cosines(np.broadcast_to(q[i], (len(near), q.shape[1])), c[near])
+                    first = np.lexsort((ids[near], -score))[:k]
+                    for into, values in zip(found, (np.full(len(first), asking[i]), ids[near][first], score[first]), strict=True):
+                        into.append(values)
+        return pa.Table.from_arrays([pa.array(np.concatenate(x)) for x in found], names=["query_id", "vec_id", "score"])
+
+    keys = ("part", "block", "query_block")
+    pairs = asked.groupBy(*keys).cogroup(homes.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score double")
     own = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         pairs.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -368,10 +368,34 @@ def test_neighbours(spark):
         hits += len(want & {v for v, _ in got[q]})
         total += 5
         assert [s for _, s in got[q]] == sorted((s for _, s in got[q]), reverse=True)
+        assert all(s == ann.cosines(ann.scaled(x[q : q + 1]), ann.scaled(full[ids == v]))[0] for v, s in got[q])
     assert hits >= 0.9 * total
     assert ann.nearest(use.limit(0), use, 5).count() == 0
 
 
+def test_neighbours_beyond_one_part(spark):
+    """20,000 vectors around 300 centres: few of the parts are visited, and recall against brute force stays."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(300, 16))[rng.integers(0, 300, 20000)] + 0.4 * rng.normal(size=(20000, 16))).astype(np.float64)
+    x[1], x[2], x[3] = x[0], x[0] * 2.0**-700, x[0] * 2.0**700  # ties, also where squares over- or underflow
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(50000, [1.0] * 3), (50001, [2.0] * 3)], "vec_id long, embedding array<double>")
+    use = ann.usable(df, "vec_id", "embedding")
+    assert use.count() == 20000
+    router = ann.Router(x[:6000], 20000, 5)
+    assert router.parts >= 50 and router.visits <= router.parts // 3
+    got = defaultdict(list)
+    for r in ann.nearest(use, use.where("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert [v for v, _ in got[0]][:3] == [1, 2, 3] and len({s for _, s in got[0][:3]}) == 1
+    unit = ann._unit(x)
+    hits = 0
+    for q in range(0, 20000, 50):
+        cos = unit @ unit[q]
+        cos[q] = -9
+        hits += len(set(np.argsort(-cos, kind="stable")[:5].tolist()) & {v for v, _ in got[q]})
+    assert len(got) == 400 and hits >= 0.9 * 2000
+
+
 @pytest.fixture(scope="module")
 def mixed_ids(spark):
     """Null and repeated doc_ids, each with several texts."""
