@@ -6,7 +6,7 @@ smaller doc_id.
 1. Confirmed phrases: every word gets a code of two letters.  Each window's anchor
    is a run of 16 words in it; a phrase is confirmed if it anchors windows of two
    texts or more.  Only phrases come out of that, no places.
-2. Automata: the confirmed phrases are dealt to shards of ``SHARD`` at most; each
+2. Automata: the heads of confirmed phrases are dealt to shards of ``SHARD`` at most; each
    shard is compiled into one Aho-Corasick automaton, and all documents are
    streamed through it to locate every occurrence, wherever it stands.
 3. The windows around occurrences, of the texts as they are, are shuffled by hash
@@ -34,8 +34,10 @@ from scoutframe.llm._text import SpanHasher, Words, slices
 SIZE = 50
 REACH = 34
 PHRASE = SIZE - REACH
-#: Phrases in one automaton at most: about 80 MB in each Python worker.
-SHARD = 50_000
+#: Automata hold so many first words of a phrase: what they find beyond whole phrases is judged like the rest.
+HEAD = 8
+#: Heads in one automaton at most: about 120 MB in each Python worker.
+SHARD = 150_000
 _LETTER = 48
 
 
@@ -69,7 +71,7 @@ _KEYED = ["u8", "i8", f"V{2 * PHRASE}"]
 
 
 def confirmed_phrases(codes: DataFrame, parts: int) -> DataFrame:
-    """(part, k, n, phrases): blocks of at most ``SHARD`` distinct phrases that anchor windows of two texts or more."""
+    """(part, k, n, phrases): blocks of at most ``SHARD`` distinct heads of phrases that anchor windows of two texts or more."""
 
     def run(batches):
         for batch in batches:
@@ -98,6 +100,7 @@ def confirmed_phrases(codes: DataFrame, parts: int) -> DataFrame:
         key, th, text = key[order], th[order], text[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         text = text[first[np.maximum.reduceat(th, first) != np.minimum.reduceat(th, first)]]
+        text = np.unique(np.ascontiguousarray(text.view(np.uint8).reshape(-1, 2 * PHRASE)[:, : 2 * HEAD]).view(f"S{2 * HEAD}").ravel())
         blocks = [text[at : at + SHARD] for at in range(0, len(text), SHARD)]
         k = len(blocks)
         columns = [pa.array([rows.column("part")[0].as_py()] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array([len(b) for b in blocks], pa.int64())]
@@ -134,7 +137,7 @@ def automaton(phrases: bytes):
     if name not in _compiled:
         _compiled.clear()
         found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        text, width = phrases.decode("latin-1"), 2 * PHRASE
+        text, width = phrases.decode("latin-1"), 2 * HEAD
         for at in range(0, len(text), width):
             found.add_word(text[at : at + width])
         found.make_automaton()
@@ -143,7 +146,7 @@ def automaton(phrases: bytes):
 
 
 def located(codes: DataFrame, phrases: bytes) -> DataFrame:
-    """(id, th, places) of every text with an occurrence of one of the ``phrases``: the first word of each."""
+    """(id, th, places) of every text with an occurrence of one of the ``phrases`` (their heads): the first word of each."""
     known = codes.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches):
@@ -154,7 +157,7 @@ def located(codes: DataFrame, phrases: bytes) -> DataFrame:
                 ends = np.fromiter((end for end, _ in automaton(known.value).iter(b"\n".join(codes).decode("latin-1"))), np.int64)
                 starts = np.concatenate([[0], np.cumsum([len(c) + 1 for c in codes])])
                 of = np.searchsorted(starts, ends, "right") - 1
-                at = ends + 1 - 2 * PHRASE - starts[of]
+                at = ends + 1 - 2 * HEAD - starts[of]
                 of, at = of[at % 2 == 0], at[at % 2 == 0] // 2
                 bounds = np.searchsorted(of, np.arange(len(codes) + 1))
                 hit = np.flatnonzero(np.diff(bounds))

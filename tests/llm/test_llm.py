@@ -137,12 +137,12 @@ def test_automata_locate(docs, spark, monkeypatch, shard):
     whole = passages.identified(docs)
     codes = passages.coded(whole)
     phrases = b"".join(r.phrases for r in passages.confirmed_phrases(codes, 3).collect())
-    width = 2 * passages.PHRASE
+    width = 2 * passages.HEAD
     known = {phrases[at : at + width] for at in range(0, len(phrases), width)}
     assert len(known) * width == len(phrases) > 3 * width
     want = set()
     for r in codes.collect():
-        for k in range(len(r.code) // 2 - passages.PHRASE + 1):
+        for k in range(len(r.code) // 2 - passages.HEAD + 1):
             if bytes(r.code[2 * k : 2 * k + width]) in known:
                 want.add((r.id, k))
     got = [(r.id, int(k)) for r in passages.occurrences(whole, 3).collect() for k in passages.places_of(r.places)]
