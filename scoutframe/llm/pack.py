@@ -31,6 +31,8 @@ RANK_GROUP = 200
 RANK_SALTS = 1024
 #: Distinct words that a worker keeps encoded.
 CACHED_WORDS = 500_000
+#: Letters of two alphabets, then at most one mark: one unit of the tokenizer, or two; each unit's last id is an end of word.
+_PLAIN = r"^[A-Za-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+[.,;:!?]?$"
 
 
 class WordEncoder:
@@ -41,6 +43,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self):
@@ -48,13 +53,26 @@ class WordEncoder:
         self.ids, self.sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
 
     def _add(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            block = words[at : at + 2000]
-            got = self.tokenizer.encode(block, is_pretokenized=True, add_special_tokens=False)
-            of = np.array([-1 if x is None else x for x in got.word_ids], np.int64)
-            self.ids.append(np.array(got.ids, np.uint32))
-            self.sizes.append(np.bincount(of, minlength=len(block)))
-            self.known.update(zip(block, range(len(self.known), len(self.known) + len(block)), strict=True))
+        """Encodes words not met before; plain ones many at a time as one text, cut again at the ends of units."""
+        plain = pc.match_substring_regex(pa.array(words, pa.utf8()), _PLAIN).to_numpy(zero_copy_only=False)
+        pointed = pc.match_substring_regex(pa.array(words, pa.utf8()), "[.,;:!?]$").to_numpy(zero_copy_only=False)
+        for kind in (True, False):
+            at = np.flatnonzero(plain == kind)
+            for first in range(0, len(at), 2000):
+                own = at[first : first + 2000]
+                block = [words[i] for i in own]
+                if kind:
+                    ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, np.uint32)
+                    ends = np.flatnonzero(self.ends[ids]) + 1
+                    ends = ends[np.cumsum(1 + pointed[own]) - 1]
+                    sizes = np.diff(ends, prepend=0)
+                else:
+                    got = self.tokenizer.encode(block, is_pretokenized=True, add_special_tokens=False)
+                    ids = np.array(got.ids, np.uint32)
+                    sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(block))
+                self.ids.append(ids)
+                self.sizes.append(sizes)
+                self.known.update(zip(block, range(len(self.known), len(self.known) + len(block)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many belong to each."""
@@ -68,10 +86,12 @@ class WordEncoder:
             self.clear()
         known = self.known
         self._add([w for w in distinct if w not in known])
-        self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
+        # ids lie in one array that is rebuilt where words came, at most ``CACHED_WORDS`` and a slice's
+        if len(self.ids) > 1:
+            self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
         sizes = self.sizes[0]
         starts = np.cumsum(sizes) - sizes
-        at = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        at = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         counts = sizes[at]
         upto = np.concatenate([[0], np.cumsum(counts)])
         return self.ids[0][ragged(starts[at], counts)], np.diff(upto[ends])
@@ -214,12 +234,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
 
 
 def digests(pieces: DataFrame) -> DataFrame:
-    """Stored pieces with a checksum in place of their ids."""
+    """Pieces with a checksum in place of their ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
 
 
 def packed_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return assign_sequences(digests(stored(tokenized(docs, tokenizer))))
+    return assign_sequences(stored(digests(tokenized(docs, tokenizer))))
 
 
 def op3_pack_min_slack(spark, sf_dir: str) -> DataFrame:
