@@ -6,8 +6,9 @@
 2. The chunks' distinct pre-tokens are shuffled by a hash of the word, in blocks;
    each distinct word is encoded once and its ids go back to the chunks that hold
    it.  There are as many parts as shuffle partitions.
-3. Per chunk, ids are laid out by position again.  Decoding looks every id up in
-   the token-byte table, whose size is the vocabulary's.
+3. Per chunk, ids are laid out by position again.  Decoding joins the ids of each
+   text, in order, with the token-byte table (of the vocabulary's size, whatever the
+   input), whose key is dense: a whole text's ids at once, in Arrow.
 """
 
 from __future__ import annotations
@@ -212,7 +213,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, emit=None, schema: st
     """One row per row of ``docs`` (doc_id, text): by default its ids as little-endian unsigned 32-bit integers.
 
     ``emit()`` gives a function from a text's ids to the columns after doc_id.
-    A null or empty text has no ids; an empty table gives an empty result.
+    A null or empty text has no ids; an empty table gives an empty result.  Repeated rows have a row each.
+    A text longer than ``CHUNK_BYTES`` is a chunk of its own, so a text must fit a task.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -222,31 +224,36 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, emit=None, schema: st
     rows = chunked(docs, pattern, n)
     rows.write.option("compression", "none").option("path", path).bucketBy(n, "chunk").saveAsTable(name)
     rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the files lie in the shared folder
     entries = _encoded(rows.where("block IS NOT NULL").select("chunk", "part", "block"), ranks_path, pattern)
     texts = rows.where("places IS NOT NULL").select("chunk", "doc_id", "n", "places")
     names = [x.split()[0] for x in schema.split(", ")]
     return _assembled(texts, entries, emit or (lambda: lambda ids: (ids.tobytes(),)), schema, names)
 
 
-def token_bytes(ranks_path: str) -> list[bytes]:
-    """The token-byte table: entry i is the bytes of id i."""
-    ranks = load_ranks(ranks_path)
-    out = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
-    return out
+class TokenBytes:
+    """The token-byte table, joined with ids by its dense key."""
+
+    def __init__(self, ranks_path: str):
+        ranks = load_ranks(ranks_path)
+        out = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            out[rank] = token
+        self.table = pa.array(out, pa.large_binary())
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of all ids, one after another."""
+        data, _ = bytes_of(self.table.take(pa.array(ids)))
+        return data.tobytes()
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, bytes) of (doc_id, ids); null ids give null."""
+    """(doc_id, bytes) of (doc_id, ids), one row each, repeated rows too; null ids give null, an empty table an empty result."""
 
     def run(batches):
-        parts = token_bytes(ranks_path)
+        known = TokenBytes(ranks_path)
         for batch in batches:
-            out = [
-                None if x is None else b"".join([parts[i] for i in np.frombuffer(x, "<u4").tolist()])
-                for x in batch.column("ids").to_pylist()
-            ]
+            out = [None if x is None else known.joined(np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
@@ -259,12 +266,11 @@ def op7_bpe_words(spark, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
     def digests():
-        parts = _tables.setdefault(path, None) or token_bytes(path)
-        _tables[path] = parts
+        if path not in _tables:
+            _tables[path] = TokenBytes(path)
 
         def of(ids):
-            text = b"".join([parts[i] for i in ids.tolist()])
-            return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text).hexdigest()
+            return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(_tables[path].joined(ids)).hexdigest()
 
         return of
 
@@ -277,7 +283,7 @@ def op7_bpe_words(spark, sf_dir: str) -> DataFrame:
     )
 
 
-_tables: dict[str, list[bytes]] = {}
+_tables: dict[str, TokenBytes] = {}
 
 QUERIES = {"op7_bpe_words": op7_bpe_words}
 ORACLE_SQL: dict[str, str] = {}

@@ -30,14 +30,17 @@ MIN_WORDS = 50
 BROADCAST_GROUPS = 50_000
 
 
+_ADDED = {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"}
+
+
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (all long) to any columns.
 
-    A null or empty text has no words and counts of 0.  Lines without a word
+    Columns of these names that came in give way.  A null or empty text has no words and counts of 0.  Lines without a word
     count neither as lines nor as duplicates.  Windows of three words are
     compared by a 64-bit hash within one text.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in _ADDED]
     t = F.coalesce(F.col(text), F.lit(""))
     words = docs.select(
         *own,
@@ -170,8 +173,14 @@ def judged(counted: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns that came in."""
-    return judged(stored(with_base(with_counts(docs)))).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that pass, each row with the columns that came in, whatever their names.
+
+    Repeated rows share their fate; without texts, languages or sources (null) a row is judged like any other.
+    An empty table gives an empty result.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text", "lang", "source")
+    kept = judged(stored(with_base(with_counts(rows)))).where("kept")
+    return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]

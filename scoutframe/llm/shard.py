@@ -90,21 +90,41 @@ def lay_out(counts: dict[int, int], owners: list[int], shards: int) -> list[tupl
     return runs
 
 
+#: Rows of one arc beyond this many are ranked in several groups.
+RANK_GROUP = 50_000
+
+
 def shard_rows(df: DataFrame, key: str, shards: int = 24, virtual_nodes: int = 128) -> DataFrame:
     """Adds ``shard`` int, ``slot`` long (gapless from 0 in each shard) and ``home_shard`` int (of the plain ring).
 
+    Columns of these names that came in give way, others stay, whatever their names.
     Rows with equal keys share an arc and may be parted by a full shard; a null
-    key is a key like any other.  An empty input gives an empty result.
-    Within an arc, rows are ranked by place on the ring, then by their columns.
+    key is a key like any other, and repeated rows have places of their own.  An empty input gives an empty result.
+    Within an arc, rows are ranked by a hash of their columns; an arc with many rows is ranked
+    in several groups, so a key of a third of all rows is no single task.
     """
+    spark = df.sparkSession
     places, owners = ring_nodes(shards, virtual_nodes)
-    place = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("\0null")), F.lit("ring"))
-    placed = stored(with_arcs(df.withColumn("__place", place), "__place", places))
+    place = F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("\0null")), F.lit("ring"))
+    whole = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(F.struct(*whole).alias("__row"), F.xxhash64(*whole).alias("__hash"), place.alias("__place"))
+    placed = stored(with_arcs(rows, "__place", places).drop("__place"))
     counts = {r[0]: r[1] for r in placed.groupBy("__arc").count().collect()}
-    runs = df.sparkSession.createDataFrame(lay_out(counts, owners, shards), _RUNS)
-    ranked = placed.withColumn(
-        "__rank",
-        F.row_number().over(Window.partitionBy("__arc").orderBy("__place", *[F.col(c) for c in df.columns])) - F.lit(1),
+    runs = spark.createDataFrame(lay_out(counts, owners, shards), _RUNS)
+    salts = spark.createDataFrame([(a, -(-n // RANK_GROUP)) for a, n in counts.items()], "__arc int, __salts int")
+    # a table of fixed size
+    salted = placed.join(F.broadcast(salts), "__arc").withColumn("__salt", F.pmod(F.shiftrightunsigned("__hash", 20), F.col("__salts"))).drop("__salts")
+    before = Window.partitionBy("__arc").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    groups = (
+        salted.groupBy("__arc", "__salt")
+        .agg(F.count("*").alias("__n"))
+        .select("__arc", "__salt", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    )
+    own = Window.partitionBy("__arc", "__salt").orderBy("__hash")
+    ranked = (
+        salted.withColumn("__rank", F.row_number().over(own) - F.lit(1))
+        .join(groups, ["__arc", "__salt"])
+        .withColumn("__rank", F.col("__rank") + F.col("__before"))
     )
     # at most one run for each arc and shard: a fixed bound, so the table is broadcast
     out = ranked.join(
@@ -113,7 +133,7 @@ def shard_rows(df: DataFrame, key: str, shards: int = 24, virtual_nodes: int = 1
     )
     home = F.element_at(F.array(*[F.lit(s) for s in owners]), F.col("__arc") + 1)
     return out.select(
-        *[F.col(c) for c in df.columns],
+        *[F.col("__row")[c].alias(c) for c in df.columns if c not in ("shard", "slot", "home_shard")],
         F.col("shard"),
         (F.col("base_slot") + F.col("__rank") - F.col("first")).alias("slot"),
         home.alias("home_shard"),

@@ -126,8 +126,10 @@ def test_passages(docs, empty):
     got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in passages.removed_words(docs).collect())
     assert got == want
     assert passages.removed_words(empty).count() == 0
-    kept = passages.filter_documents(docs.drop("part", "score", "th"))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    clashing = docs.withColumns({c: F.lit(7) for c in ("kept", "n_words", "n_removed", "copy", "places", "id", "row")})
+    kept = passages.filter_documents(clashing)
+    assert kept.columns == clashing.columns and kept.where("kept = 7 AND id = 7").count() == kept.count() > 0
+    assert passages.filter_documents(clashing.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("shard", [passages.SHARD, 2])
@@ -250,17 +252,61 @@ def test_quality(docs, empty):
         assert (r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep))
         assert r.base_failed == (len(w) < 50 or 100 * len(rep) > 50 * len(w)) and (not r.base_failed or not r.kept)
     assert quality.filter_documents(empty).count() == 0
-    assert quality.filter_documents(docs).columns == docs.columns
+    plain = Counter((r.doc_id, r.text) for r in quality.filter_documents(docs).collect())
+    clashing = docs.withColumns({c: F.lit(7) for c in ("n_words", "n_lines", "kept", "base_failed", "level", "ratio", "__words", "max_length")})
+    out = quality.filter_documents(clashing)
+    assert out.columns == clashing.columns
+    assert Counter((r.doc_id, r.text) for r in out.where("kept = 7 AND base_failed = 7 AND n_words = 7").collect()) == plain and plain
+
+
+def test_shards(docs, empty, monkeypatch):
+    for group in (shard.RANK_GROUP, 2):
+        monkeypatch.setattr(shard, "RANK_GROUP", group)
+        clashing = docs.withColumns({c: F.lit(7) for c in ("first", "last", "arc", "shard", "slot", "__n", "n")})
+        out = shard.shard_rows(clashing, "doc_id", 4, 16)
+        assert Counter(out.columns) == Counter([*clashing.drop("shard", "slot").columns, "shard", "slot", "home_shard"])
+        got = out.collect()
+        assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, *_ in ROWS)
+        sizes = Counter(r.shard for r in got)
+        assert max(sizes.values()) - min(sizes.values()) <= 1
+        for s, n in sizes.items():
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
+    assert shard.shard_rows(empty, "doc_id", 4).count() == 0
 
 
-def test_shards(docs, empty):
-    got = shard.shard_rows(docs, "doc_id", 4, 16).collect()
-    assert len(got) == len(ROWS)
-    sizes = Counter(r.shard for r in got)
-    assert max(sizes.values()) - min(sizes.values()) <= 1
-    for s, n in sizes.items():
-        assert sorted(r.slot for r in got if r.shard == s) == list(range(n))
-    assert shard.shard_rows(empty, "doc_id", 4).count() == 0
+@pytest.mark.parametrize("hot", [0, 300])
+def test_bounded_ring_is_replayed(spark, hot):
+    """Row by row: every row takes its home while there is room, the others walk clockwise from their arc to the next shard with room."""
+    rows = spark.createDataFrame([(i if i >= hot else None, i) for i in range(1000)], "k long, v long")
+    got = shard.shard_rows(rows, "k", 5, 8).collect()
+    places, owners = shard.ring_nodes(5, 8)
+    hashes = {r.v: r.h for r in rows.select("v", F.xxhash64(F.coalesce(F.col("k").cast("string"), F.lit("\0null")), F.lit("ring")).alias("h")).collect()}
+    arc = {v: int(np.searchsorted(np.array(places), h)) % len(places) for v, h in hashes.items()}
+    room, held, over = Counter({s: 200 for s in range(5)}), Counter(), []
+    for v in sorted(arc, key=arc.get):
+        if room[owners[arc[v]]]:
+            room[owners[arc[v]]] -= 1
+            held[arc[v], owners[arc[v]]] += 1
+        else:
+            over.append(arc[v])
+    for a in over:
+        at = a
+        while not room[owners[at % len(owners)]]:
+            at += 1
+        room[owners[at % len(owners)]] -= 1
+        held[a, owners[at % len(owners)]] += 1
+    assert Counter((arc[r.v], r.shard) for r in got) == held
+
+
+def test_shard_query(spark):
+    """Size, checksum and law of the registered query, on whole tables."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = shard.op10_shard_ring(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(texts) and len(got) == len(texts)
+    for r in got:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 8, zlib.crc32(raw), "rows", None) and 0 <= r.shard < 24
 
 
 def test_ring(spark):
@@ -447,6 +493,83 @@ def test_substring_filter_row_by_row(mixed_ids):
     assert Counter(map(tuple, passages.filter_documents(df).collect())) == want
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def table_texts(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def sha(data):
+    return hashlib.sha256(data).hexdigest()
+
+
+def test_bpe_query(spark, table_texts):
+    import tiktoken
+
+    own = tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=bpe.load_ranks(tokens.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    want = set()
+    for i, t in table_texts.items():
+        ids = own.encode_ordinary(t)
+        want.add((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(t.encode())))
+    got = [tuple(r[c] for c in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")) for r in bpe.op7_bpe_words(spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_packing_query(spark, table_texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    got, by = pack.op3_pack_min_slack(spark, SF).collect(), defaultdict(list)
+    ids = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for i, x in table_texts.items()}
+    assert Counter((r.doc_id, r.start) for r in got) == Counter((i, s) for i in ids for s in range(0, len(ids[i]), 4096))
+    for r in got:
+        own = ids[r.doc_id]
+        assert r.ids_crc32 == zlib.crc32(own[r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(own)
+        by[r.sequence_id].append((r.offset, r.length))
+    for pieces in by.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(pieces), [*sorted(pieces)[1:], (sum(n for _, n in pieces), 0)])) and min(pieces)[0] == 0
+        assert sum(n for _, n in pieces) <= 4096
+
+
+def test_suffix_query(spark, table_texts):
+    seen, raw = Counter(), {i: t.encode() for i, t in table_texts.items()}
+    for t in raw.values():
+        seen.update(hash(t[k : k + 400]) for k in range(len(t) - 399))
+    want = set()
+    for i, t in raw.items():
+        gone = np.zeros(len(t) + 1, int)
+        for k in range(len(t) - 399):
+            if seen[hash(t[k : k + 400])] > 1:
+                gone[k] += 1
+                gone[k + 400] -= 1
+        out = np.cumsum(gone[:-1]) > 0
+        runs = int((out & ~np.concatenate([[False], out[:-1]])).sum()) if len(t) else 0
+        want.add((i, len(t), int(out.sum()), runs, sha(np.frombuffer(t, np.uint8)[~out].tobytes())))
+    got = [tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffixes.op9_suffix_deep_shallow(spark, SF).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_neighbour_query(spark):
+    rows = {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    got = ann.op8_ann_learned_parts(spark, SF).collect()
+    hits = total = 0
+    for q in (i for i in rows if i % 50 == 0):
+        score = {i: float(ann.cosines(ann.scaled(rows[q][None]), ann.scaled(v[None]))[0]) for i, v in rows.items() if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:5]
+        own = sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [k for k, _, _ in own] == [1, 2, 3, 4, 5] and all(score[i] == s for _, i, s in own)
+        hits, total = hits + len(set(want) & {i for _, i, _ in own}), total + 5
+    assert hits >= 0.9 * total
+
+
+def test_toxicity_query(spark):
+    got = {r.doc_id: r for r in toxicity.op5_toxicity_compression(spark, SF).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for i, r in got.items())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
