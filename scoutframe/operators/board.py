@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutframe.functions import expr as X
+from scoutframe.operators.peers import external_percentiles
 from scoutframe.operators.rank import class_percentile, numbered
 
 METHODS = ("chance", "order", "product", "geometric", "bands", "equal")
@@ -47,4 +48,41 @@ def general_board(df: DataFrame, keys: list[str], chance: str, pick: str, size:
 
 
 def graded_relevance(drafted: Column, pick: Column, size: Column) -> Column:
-    return F.when(drafted & pick.isNotNull(), slot_utility(pick, size)).otherwise(0.0)
+    """0 if not drafted or without a pick; else linear in the slot and cut to 0 and 1, so a pick past the last slot has 0."""
+    return F.when(drafted & pick.isNotNull(), X.clamp((size + 1 - pick) / size, 0.0, 1.0)).otherwise(0.0)
+
+
+def strength(pick: Column) -> Column:
+    """Larger is better: the only place where the sign of a pick turns."""
+    return -pick
+
+
+def historical_percentile(df: DataFrame, reference: DataFrame, keys: list[str], pick: str, name: str = "quality") -> DataFrame:
+    """Adds where each predicted pick stands among reference picks of the same keys: (weaker + 0.5) / (n + 1); a half without any."""
+    turned = df.withColumn("__s", strength(F.col(pick)))
+    out = external_percentiles(turned, reference.select(*keys, strength(F.col(pick)).alias("__s")), keys, "__s")
+    return out.withColumn(name, F.coalesce("left_percentile", F.lit(0.5))).drop("__s", "midrank", "left_percentile")
+
+
+def slot_signal(df: DataFrame, keys: list[str], pick: str, size: Column, method: str, reference: DataFrame | None = None) -> DataFrame:
+    """Adds ``quality`` of a predicted pick by class percentile, slot utility or a historical reference; what is missing is neutral."""
+    if method == "class_percentile":
+        return df.withColumn("quality", class_percentile(strength(F.col(pick)), keys))
+    if method == "slot_utility":
+        out = df.withColumn("quality", slot_utility(F.col(pick), size))
+        return out.withColumn("quality", order_signal(F.col("quality"), keys))
+    if method == "historical":
+        if reference is None:
+            raise ValueError("a reference of earlier predictions is needed")
+        return historical_percentile(df, reference, keys, pick)
+    raise ValueError(method)
+
+
+def overall_score(df: DataFrame, keys: list[str], signal: str, reference: DataFrame | None = None) -> DataFrame:
+    """Adds ``overall_score`` 0 to 100: from the class percentile of the signal, or from its place among reference signals."""
+    if reference is None:
+        out = df.withColumn("__p", class_percentile(F.col(signal), keys))
+    else:
+        out = external_percentiles(df, reference.select(*keys, signal), keys, signal)
+        out = out.withColumn("__p", F.col("left_percentile")).drop("midrank", "left_percentile")
+    return out.withColumn("overall_score", X.half_even(100 * X.clamp(F.col("__p"), 0.0, 1.0))).drop("__p")

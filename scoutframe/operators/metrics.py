@@ -43,13 +43,18 @@ def probability_losses(df: DataFrame, keys: list[str], p: str, label: str) -> Da
 
 
 def at_k(df: DataFrame, keys: list[str], score: str, label: str, ident: str, k: int) -> DataFrame:
-    """Precision and recall of the ``k`` highest scores; ties by a hash of the id, then the id."""
-    own = Window.partitionBy(*keys).orderBy(F.desc(score), F.crc32(F.col(ident).cast("string").cast("binary")), F.col(ident))
-    ranked = df.withColumn("__k", F.row_number().over(own))
-    hit = F.sum(F.when(F.col("__k") <= k, F.col(label)).otherwise(0))
+    """Precision, recall and NDCG of the ``k`` highest scores; ties by a hash of the id, then the id."""
+    own = Window.partitionBy(*keys).orderBy(F.desc(score), F.md5(F.col(ident).cast("string")), F.col(ident))
+    ranked = df.withColumns({"__k": F.row_number().over(own), "__i": F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(label)))})
+
+    def within(place: str, value: Column) -> Column:
+        return F.sum(F.when(F.col(place) <= k, value).otherwise(0))
+
+    hit = within("__k", F.col(label))
     return ranked.groupBy(*keys).agg(
         (hit / F.least(F.count("*"), F.lit(k))).alias("precision_at_k"),
         F.when(F.sum(label) > 0, hit / F.sum(label)).alias("recall_at_k"),
+        F.when(F.sum(label) > 0, within("__k", F.col(label) / F.log2(F.col("__k") + 1.0)) / within("__i", F.col(label) / F.log2(F.col("__i") + 1.0))).alias("ndcg_at_k"),
     )
 
 
@@ -86,13 +91,98 @@ def kendall(df: DataFrame, keys: list[str], a: str, b: str, ident: str) -> DataF
     return out.select(*keys, F.when(bound > 0, F.col("s") / bound).alias("kendall"))
 
 
-def ndcg(df: DataFrame, keys: list[str], score: str, gain: str) -> DataFrame:
-    """Tied scores share their average gain over the discounts of their places."""
+def ndcg(df: DataFrame, keys: list[str], score: str, gain: str, k: int | None = None, name: str = "ndcg") -> DataFrame:
+    """Tied scores share their average gain over the discounts of their places; with ``k``, later places count nothing."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score)))
     best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(gain)))
-    rows = df.withColumns({"__d": 1 / F.log2(place + 1.0), "__i": F.col(gain) / F.log2(best + 1.0)})
+    rows = df.withColumns({"__p": place, "__b": best})
+    counted = (lambda c: F.col(c) <= k) if k else (lambda c: F.lit(True))
+    rows = rows.withColumns(
+        {
+            "__d": F.when(counted("__p"), 1 / F.log2(F.col("__p") + 1.0)).otherwise(0.0),
+            "__i": F.when(counted("__b"), F.col(gain) / F.log2(F.col("__b") + 1.0)).otherwise(0.0),
+        }
+    )
     per = rows.groupBy(*keys, score).agg((F.avg(gain) * F.sum("__d")).alias("dcg"), F.sum("__i").alias("ideal"))
-    return per.groupBy(*keys).agg(F.when(F.sum("ideal") > 0, F.sum("dcg") / F.sum("ideal")).alias("ndcg"))
+    return per.groupBy(*keys).agg(F.when(F.sum("ideal") > 0, F.sum("dcg") / F.sum("ideal")).alias(name))
+
+
+def class_recall(df: DataFrame, keys: list[str], pred: str, pick: str, ident: str) -> DataFrame:
+    """Of the first 14 and 30 actual picks, the share among as many best predictions; and how many of the better predicted half are in the better half."""
+    n = F.count("*").over(Window.partitionBy(*keys))
+    rows = df.withColumns(
+        {"__k": F.row_number().over(Window.partitionBy(*keys).orderBy(pred, ident)), "__n": n, "__m": F.percentile(pick, 0.5).over(Window.partitionBy(*keys))}
+    )
+    half = F.greatest(F.lit(1), F.floor(F.col("__n") / 2))
+
+    def recall(cut: int) -> Column:
+        actual = F.col(pick) <= cut
+        return F.when(F.count_if(actual) > 0, F.count_if(actual & (F.col("__k") <= cut)) / F.count_if(actual))
+
+    return rows.groupBy(*keys).agg(
+        recall(14).alias("lottery_recall"),
+        recall(30).alias("first_round_recall"),
+        (F.count_if((F.col("__k") <= half) & (F.col(pick) <= F.col("__m"))) / F.max(half)).alias("top_half_concentration"),
+    )
+
+
+def _joined(keys: list[str], first: DataFrame, *rest: DataFrame) -> DataFrame:
+    for other in rest:
+        first = first.join(other, keys, "left")
+    return first
+
+
+def order_metrics(df: DataFrame, keys: list[str], pred: str, pick: str, size: str, ident: str) -> DataFrame:
+    """Rank metrics of predicted against actual picks, NULL for a constant prediction or fewer than three rows; then errors and recalls."""
+    rows = df.withColumns({"__p": -F.col(pred), "__a": -F.col(pick), "__g": F.col(size) + 1 - F.col(pick)})
+    sound = rows.groupBy(*keys).agg(F.count("*").alias("n"), ((F.count("*") >= 3) & (F.min("__p") < F.max("__p"))).alias("__ok"))
+    ranks = _joined(
+        keys, sound, spearman(rows, keys, "__p", "__a"), kendall(rows, keys, "__p", "__a", ident), ndcg(rows, keys, "__p", "__g"),
+        *[ndcg(rows, keys, "__p", "__g", k, f"ndcg_at_{k}") for k in (5, 10, 14)],
+    )
+    names = ["spearman", "kendall", "ndcg", "ndcg_at_5", "ndcg_at_10", "ndcg_at_14"]
+    ranks = ranks.withColumns({c: F.when(F.col("__ok"), F.col(c)) for c in names}).drop("__ok")
+    return _joined(keys, ranks, errors(df, keys, pred, pick), class_recall(df, keys, pred, pick, ident))
+
+
+def board_metrics(df: DataFrame, keys: list[str], signal: str, drafted: str, pick: str, size: str, ident: str) -> DataFrame:
+    """A board as a ranking: drafted above undrafted, graded relevance over the whole, and the order among the drafted."""
+    from scoutframe.operators.board import graded_relevance
+
+    rows = df.withColumn("__rel", graded_relevance(F.col(drafted) == 1, F.col(pick), F.col(size)))
+    taken = rows.where(F.col(drafted) == 1).withColumn("__a", -F.col(pick))
+    support = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(drafted).alias("drafted"), (F.least(F.count_if(F.col(drafted) == 1), F.count_if(F.col(drafted) == 0)) < 5).alias("low_support")
+    )
+    order = taken.groupBy(*keys).agg(((F.count("*") >= 3) & (F.min(signal) < F.max(signal))).alias("__ok"))
+    out = _joined(
+        keys, support, roc_auc(rows, keys, signal, drafted), average_precision(rows, keys, signal, drafted), ndcg(rows, keys, signal, "__rel", None, "graded_ndcg"),
+        ndcg(rows, keys, signal, "__rel", 14, "graded_ndcg_at_14"), order, spearman(taken, keys, signal, "__a"), kendall(taken, keys, signal, "__a", ident),
+    )
+    return out.withColumns({c: F.when(F.col("__ok"), F.col(c)) for c in ("spearman", "kendall")}).drop("__ok")
+
+
+def over_folds(per_fold: DataFrame, metrics: list[str]) -> DataFrame:
+    """(metric, macro, sd, low): mean, population deviation and minimum of a metric over its folds, one row a fold."""
+    long = per_fold.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(m).cast("double") for m in metrics]))).alias("metric", "v"))
+    return long.groupBy("metric").agg(F.avg("v").alias("macro"), F.stddev_pop("v").alias("sd"), F.min("v").alias("low"))
+
+
+def top_overlap(df: DataFrame, keys: list[str], predicted: str, actual: str, k: int = 14) -> DataFrame:
+    """How many rows are among the first ``k`` of both orders; two ranks from 1, the actual one NULL if not drafted."""
+    both = (F.col(predicted) <= k) & (F.col(actual) <= k)
+    return df.groupBy(*keys).agg(F.count_if(both).alias("overlap"), F.least(F.count_if(F.col(actual) <= k), F.lit(k)).alias("possible"))
+
+
+def surprises(df: DataFrame, keys: list[str], predicted: str, actual: str, ident: str, n: int = 5) -> DataFrame:
+    """The ``n`` rows that went the most earlier and the most later than predicted: (kind, place, gap)."""
+    rows = df.where(F.col(predicted).isNotNull() & F.col(actual).isNotNull()).withColumn("gap", F.col(predicted) - F.col(actual))
+    out = None
+    for kind, order in (("earlier", F.desc("gap")), ("later", F.asc("gap"))):
+        part = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(order, ident))).where(F.col("place") <= n)
+        part = part.select(*keys, F.lit(kind).alias("kind"), F.col("place").cast("long").alias("place"), ident, "gap")
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def errors(df: DataFrame, keys: list[str], pred: str, truth: str) -> DataFrame:

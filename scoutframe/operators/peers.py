@@ -16,13 +16,15 @@ def long_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 
 def moments(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Count, mean, sample deviation, median and four more quantiles of every group and metric."""
-    return long_metrics(df, keys, metrics).groupBy(*keys, "metric").agg(
+    steps = (50, 10, 25, 75, 90)
+    found = long_metrics(df, keys, metrics).groupBy(*keys, "metric").agg(
         F.count("value").alias("n"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
-        F.percentile("value", 0.5).alias("median"),
-        *[F.percentile("value", q / 100).alias(f"p{q}") for q in (10, 25, 75, 90)],
+        F.percentile("value", F.array(*[F.lit(q / 100) for q in steps])).alias("__q"),
     )
+    quantiles = [F.col("__q")[k].alias("median" if q == 50 else f"p{q}") for k, q in enumerate(steps)]
+    return found.select(*keys, "metric", "n", "mean", "std", *quantiles)
 
 
 def grids(df: DataFrame, season: str, group: str, metrics: list[str], least: int = 50) -> DataFrame:
@@ -79,19 +81,22 @@ def midrank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def external_percentiles(values: DataFrame, reference: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds to ``values`` ``midrank`` (100 (lo + hi) / 2n) and ``left_percentile`` ((lo + 0.5) / (n + 1)) in ``reference``.
 
-    One sorted pass over both, partitioned by the keys; lo counts smaller reference values, hi those at or below.
+    lo counts smaller reference values, hi those at or below.  Rows become counts of
+    distinct values before any sorted pass, so a window holds a row for each value of a key.
     """
-    both = values.withColumn("__ref", F.lit(0)).unionByName(
-        reference.select(*keys, value).withColumn("__ref", F.lit(1)), allowMissingColumns=True
+    counts = (
+        values.select(*keys, value, F.lit(0).alias("__c"))
+        .unionAll(reference.select(*keys, value, F.lit(1)))
+        .where(F.col(value).isNotNull())
+        .groupBy(*keys, value)
+        .agg(F.sum("__c").alias("__own"))
     )
-    upto = Window.partitionBy(*keys).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    hi = F.sum("__ref").over(upto)
-    lo = hi - F.sum("__ref").over(Window.partitionBy(*keys, value))
-    n = F.sum("__ref").over(Window.partitionBy(*keys))
+    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumns({"__hi": F.sum("__own").over(upto), "__n": F.sum("__own").over(Window.partitionBy(*keys))})
+    lo, n = F.col("__hi") - F.col("__own"), F.col("__n")
     return (
-        both.withColumns({"__hi": hi, "__lo": lo, "__n": n})
-        .where("__ref = 0")
-        .withColumn("midrank", F.when(F.col(value).isNotNull() & (F.col("__n") > 0), 100.0 * (F.col("__lo") + F.col("__hi")) / (2 * F.col("__n"))))
-        .withColumn("left_percentile", F.when(F.col(value).isNotNull(), (F.col("__lo") + 0.5) / (F.col("__n") + 1)))
-        .drop("__ref", "__hi", "__lo", "__n")
+        values.join(placed, [*keys, value], "left")
+        .withColumn("midrank", F.when(n > 0, 100.0 * (lo + F.col("__hi")) / (2 * n)))
+        .withColumn("left_percentile", F.when(F.col(value).isNotNull(), (lo + 0.5) / (n + 1)))
+        .drop("__own", "__hi", "__n")
     )

@@ -13,21 +13,14 @@ from scoutframe.operators import model
 from scoutframe.operators import rank as R
 from scoutframe.operators import similar as S
 from scoutframe.operators import validate as V
-from scoutframe.plans.queries import RATES_SQL, rates, rounded
+from scoutframe.plans.queries import RATES_SQL, rates, registrar, rounded
 from scoutframe.sources.tables import BIO_SQL, bio, read
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql.replace(", 6)", " + 4.3e-10, 6)")
-        return f
-
-    return add
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 # scalars and text
@@ -59,16 +52,22 @@ def text_labels(spark, sf_dir):
     )
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z ]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents WHERE lang IN ('fr', 'es')")
+_PLAIN = r"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z ]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents"
+
+
+def _plain(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.squeezed(F.regexp_replace(T.unaccented(F.col("text")), "[^a-z ]", " ")).alias("plain"))
+
+
+@query(_PLAIN)
 def text_normalize(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where(F.col("lang").isin("fr", "es"))
-    return d.select("doc_id", T.squeezed(F.regexp_replace(T.unaccented(F.col("text")), "[^a-z ]", " ")).alias("plain"))
+    return _plain(spark, sf_dir)
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z ]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM documents")
+@query(_PLAIN)
 def text_normalize_whole(spark, sf_dir):
-    """All documents; ``text_normalize`` has two languages."""
-    return read(spark, sf_dir, "documents").select("doc_id", T.squeezed(F.regexp_replace(T.unaccented(F.col("text")), "[^a-z ]", " ")).alias("plain"))
+    """The same as ``text_normalize``, which once had two languages."""
+    return _plain(spark, sf_dir)
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, l_linenumber::DOUBLE AS made, l_quantity AS attempted FROM lineitem")
@@ -128,7 +127,7 @@ SELECT m.athlete_id, other_id, round(distance, 6) AS distance, gate, nth, CASE W
 def comparables_top3(spark, sf_dir):
     mine, others = _sides(spark, sf_dir)
     out = S.comparables(mine, others, "athlete_id", "other_id", len(_DIMS))
-    return out.select("athlete_id", "other_id", F.round(F.col("distance") + 4.3e-10, 6).alias("distance"), "gate", "nth", "status")
+    return rounded(out.select("athlete_id", "other_id", "distance", "gate", "nth", "status"))
 
 
 @query()
@@ -138,7 +137,7 @@ def comparables_whole(spark, sf_dir):
     others = _pool(spark, sf_dir).join(heights, "athlete_id").select(F.col("athlete_id").alias("other_id"), F.array(*_DIMS).alias("other_vec"), "other_height")
     mine = rates(spark, sf_dir).select("season", "athlete_id", F.array(*_DIMS).alias("vec"), F.col("height_inches").alias("height"))
     out = S.nearest_of_all(mine, others, ["season", "athlete_id"], "athlete_id", "other_id", len(_DIMS))
-    return out.select("season", "athlete_id", "other_id", F.round(F.col("distance") + 4.3e-10, 6).alias("distance"), "gate", "nth", "status")
+    return rounded(out.select("season", "athlete_id", "other_id", "distance", "gate", "nth", "status"))
 
 
 @query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 100 = 0), q AS (SELECT vec_id AS other, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings)
@@ -194,9 +193,9 @@ def duplicate_ids(spark, sf_dir):
     return V.duplicate_issues(read(spark, sf_dir, "orders"), "o_orderkey", "o_custkey").select("o_orderkey", "message")
 
 
-@query("SELECT c AS capability, a AS available, m AS missing FROM (SELECT unnest(['board', 'fit']) AS c, unnest([true, false]) AS a, unnest(['', 'heights']) AS m)")
+@query("SELECT capability, available, CASE WHEN available THEN '' ELSE 'heights' END AS missing FROM (SELECT 'board' AS capability, count(o_totalprice) > 0 AS available FROM orders UNION ALL SELECT 'fit', count(CASE WHEN o_totalprice < 0 THEN o_totalprice END) > 0 FROM orders)")
 def dataset_capabilities(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select("o_totalprice", F.lit(None).cast("double").alias("height"))
+    o = read(spark, sf_dir, "orders").select("o_totalprice", F.when(F.col("o_totalprice") < 0, F.col("o_totalprice")).alias("height"))
     return V.capabilities(o, {"box": ["o_totalprice"], "heights": ["height"]}, {"board": ["box"], "fit": ["box", "heights"]})
 
 
@@ -264,7 +263,7 @@ def order_errors(spark, sf_dir):
     return rounded(M.errors(_outcomes(spark, sf_dir), ["g"], "p", "a"))
 
 
-@query()
+@query(f"WITH {OUT_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY p DESC, md5(id::VARCHAR), id) AS k, row_number() OVER (PARTITION BY g ORDER BY y DESC) AS i FROM o) SELECT g, round(sum(y) FILTER (k <= 14) / 14, 6) AS precision_at_k, round(sum(y) FILTER (k <= 14) / sum(y), 6) AS recall_at_k, round(sum(y / log2(k + 1)) FILTER (k <= 14) / sum(y / log2(i + 1)) FILTER (i <= 14), 6) AS ndcg_at_k FROM r GROUP BY g")
 def recall_at_k(spark, sf_dir):
     return rounded(M.at_k(_outcomes(spark, sf_dir), ["g"], "p", "y", "id", 14))
 

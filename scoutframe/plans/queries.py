@@ -25,19 +25,41 @@ ORACLE_SQL: dict[str, str] = {}
 DIGITS = 6
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            # values that end in a 5 after the last digit round alike however their sum was ordered
-            ORACLE_SQL[f.__name__] = sql.replace(", 6)", " + 4.3e-10, 6)")
-        return f
+def exact(sql: str) -> str:
+    """``round(x, 6)`` rounds decimals of nine places, so that values differing in their last bits round alike."""
+    out, at = [], 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 1, start + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = exact(sql[start + 6 : end - 1])
+        wrapped = f"round(CAST({inner[:-3]} AS DECIMAL(38, 9)), 6)::DOUBLE" if inner.endswith(", 6") else f"round({inner})"
+        out += [sql[at:start], wrapped]
+        at = end
+    return "".join([*out, sql[at:]])
 
-    return add
+
+def registrar(queries: dict, oracles: dict):
+    """A decorator that registers a query, and its DuckDB twin where it has one."""
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracles[f.__name__] = exact(sql)
+            return f
+
+        return add
+
+    return query
+
+
+query = registrar(QUERIES, ORACLE_SQL)
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(c) + 4.3e-10, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(c).cast("decimal(38,9)"), DIGITS).cast("double").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def r(names) -> str:
@@ -370,19 +392,27 @@ def midrank_percentile(spark, sf_dir):
     return rounded(P.midrank(rates(spark, sf_dir), ["season"], "games_played").select("season", "athlete_id", "midrank"))
 
 
-@query(f"WITH {RATES_SQL}, ref AS (SELECT points_per_game AS v FROM rates WHERE position = 'G') SELECT season, athlete_id, round(100.0 * (lo + hi) / (2 * n), 4) AS midrank, round((lo + 0.5) / (n + 1), 6) AS left_percentile FROM (SELECT season, athlete_id, (SELECT count(*) FROM ref WHERE v < points_per_game) AS lo, (SELECT count(*) FROM ref WHERE v <= points_per_game) AS hi, (SELECT count(*) FROM ref) AS n FROM rates WHERE season = 2001)")
+_EXTERNAL = f"""WITH {RATES_SQL}, x AS (SELECT season, athlete_id, position, round(points_per_game, 9) AS v FROM rates), ref AS (SELECT v, count(*) AS c FROM x WHERE position = 'G' AND v IS NOT NULL GROUP BY v),
+vals AS (SELECT DISTINCT v FROM x WHERE v IS NOT NULL), upto AS (SELECT v, sum(coalesce(c, 0)) OVER (ORDER BY v) AS hi, coalesce(c, 0) AS own, (SELECT sum(c) FROM ref) AS n FROM vals LEFT JOIN ref USING (v))
+SELECT season, athlete_id, round(100.0 * (2 * hi - own) / (2 * n), 6) AS midrank, round((hi - own + 0.5) / (n + 1), 6) AS left_percentile FROM x LEFT JOIN upto USING (v)"""
+
+
+def _external(spark, sf_dir):
+    x = rates(spark, sf_dir).select(F.lit(1).alias("k"), "season", "athlete_id", "position", F.round("points_per_game", 9).alias("v"))
+    out = P.external_percentiles(x, x.where("position = 'G'"), ["k"], "v")
+    return rounded(out.select("season", "athlete_id", "midrank", "left_percentile"))
+
+
+@query(_EXTERNAL)
 def external_percentile(spark, sf_dir):
-    x = rates(spark, sf_dir).withColumn("k", F.lit(1))
-    out = P.external_percentiles(x.where("season = 2001").select("k", "season", "athlete_id", "points_per_game"), x.where("position = 'G'"), ["k"], "points_per_game")
-    return out.select("season", "athlete_id", F.round("midrank", 4).alias("midrank"), F.round("left_percentile", 6).alias("left_percentile"))
+    """Every season row against all guards."""
+    return _external(spark, sf_dir)
 
 
-@query(f"WITH {RATES_SQL}, ref AS (SELECT points_per_game AS v FROM rates WHERE position = 'G') SELECT season, athlete_id, round(100.0 * (lo + hi) / (2 * n), 4) AS midrank, round((lo + 0.5) / (n + 1), 6) AS left_percentile FROM (SELECT season, athlete_id, (SELECT count(*) FROM ref WHERE v < points_per_game) AS lo, (SELECT count(*) FROM ref WHERE v <= points_per_game) AS hi, (SELECT count(*) FROM ref) AS n FROM rates)")
+@query(_EXTERNAL)
 def external_percentile_whole(spark, sf_dir):
-    """All seasons; ``external_percentile`` has the season 2001."""
-    x = rates(spark, sf_dir).withColumn("k", F.lit(1))
-    out = P.external_percentiles(x.select("k", "season", "athlete_id", "points_per_game"), x.where("position = 'G'"), ["k"], "points_per_game")
-    return out.select("season", "athlete_id", F.round("midrank", 4).alias("midrank"), F.round("left_percentile", 6).alias("left_percentile"))
+    """The same as ``external_percentile``, which once had one season."""
+    return _external(spark, sf_dir)
 
 
 # the board
@@ -426,7 +456,7 @@ def board_methods(spark, sf_dir):
     return rounded(s.select("season", "athlete_id", "geometric", "bands", "equal"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN (60 + 1 - least(greatest(c_custkey % 70, 1), 60)) / 60 ELSE 0 END AS relevance FROM customer")
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN greatest(least((60 + 1 - c_custkey % 70) / 60, 1), 0) ELSE 0 END AS relevance FROM customer")
 def graded_relevance(spark, sf_dir):
     c = read(spark, sf_dir, "customer")
     return c.select("c_custkey", B.graded_relevance(F.col("c_mktsegment") == "BUILDING", (F.col("c_custkey") % 70).cast("double"), F.lit(60.0)).alias("relevance"))

@@ -17,27 +17,28 @@ def d(x):
 
 
 def test_safe_div(spark):
-    cases = {"a": (10, 4, 2.5), "b": (0, 0, None), "c": (5, 0, None), "e": (5, None, None), "f": (None, 5, None), "g": (5, -2, None), "h": (0, 10, 0.0)}
+    cases = {"a": (9, 4, 2.25), "b": (3, 0, None), "c": (3, None, None), "e": (None, 3, None), "f": (3, -3, None), "g": (0, 7, 0.0)}
     got = one(spark, **{k: X.safe_div(d(a), d(b)) for k, (a, b, _) in cases.items()})
     assert got == {k: v[2] for k, v in cases.items()}
 
 
 def test_formulas(spark):
+    """A player with 7 of 16 (3 threes), 4 free throws, 6 turnovers and 5 assists in 32 of 200 team minutes."""
     got = one(
         spark,
-        efg=X.efg(d(10), d(4), d(20)),
-        ts=X.true_shooting(d(20), d(15), d(5)),
-        poss=X.possessions(d(60), d(20), d(10), d(12)),
-        usage=X.usage(d(200), d(100), d(60), d(1000), d(6600), d(1800), d(700), d(450)),
-        tov=X.turnover_pct(d(60), d(200), d(100)),
-        ast=X.assist_pct(d(150), d(1000), d(6600), d(900), d(180)),
-        reb=X.rebound_pct(d(100), d(1000), d(6600), d(400), d(600)),
-        stl=X.steal_pct(d(50), d(1000), d(6600), d(2000)),
-        blk=X.block_pct(d(40), d(1000), d(6600), d(1800), d(600)),
+        efg=X.efg(d(7), d(3), d(16)),
+        ts=X.true_shooting(d(21), d(16), d(4)),
+        poss=X.possessions(d(61), d(18), d(9), d(13)),
+        usage=X.usage(d(16), d(4), d(6), d(32), d(200), d(61), d(18), d(13)),
+        tov=X.turnover_pct(d(6), d(16), d(4)),
+        ast=X.assist_pct(d(5), d(32), d(200), d(27), d(7)),
+        reb=X.rebound_pct(d(8), d(32), d(200), d(34), d(30)),
+        stl=X.steal_pct(d(2), d(32), d(200), d(70)),
+        blk=X.block_pct(d(3), d(32), d(200), d(58), d(22)),
     )
     want = {
-        "efg": 0.6, "ts": 20 / (2 * (15 + 0.44 * 5)), "poss": 70.8, "usage": 100 * (304 * 1320) / (1000 * 2558), "tov": 100 * 60 / 304,
-        "ast": 100 * 150 / ((1000 / 1320) * 900 - 180), "reb": 100 * (100 * 1320) / (1000 * 1000), "stl": 100 * 66000 / 2e6, "blk": 100 * 52800 / 1.2e6,
+        "efg": 8.5 / 16, "ts": 21 / 35.52, "poss": 72.92, "usage": 100 * 23.76 * 40 / (32 * 81.92), "tov": 600 / 23.76,
+        "ast": 500 / (0.8 * 27 - 7), "reb": 32000 / 2048, "stl": 8000 / 2240, "blk": 12000 / 1152,
     }
     assert got == pytest.approx(want)
 
@@ -57,10 +58,11 @@ def test_text(spark):
         spark, made=made, attempted=attempted, none=none, h=T.height_inches(F.lit("6' 9\"")), bad=T.height_inches(F.lit("99' 9\"")),
         a=T.match_key(F.lit("T. J. Warren")), b=T.match_key(F.lit("TJ Warren")), c=T.match_key(F.lit("Gary Payton II")),
         e=T.match_key(F.lit("Asbjørn Midtgaard")), f=T.match_key(F.lit("De'Andre O'Neal")), g=T.school_key(F.lit("Texas A&M")),
-        i=T.school_key(F.lit("texas a & m ")), j=T.school_key(F.lit("Duke Blue Devils men's basketball")), p=T.position_group(F.lit(" sg ")),
+        i=T.school_key(F.lit("texas a & m ")), k=T.match_key(F.lit("Shai Gilgeous-Alexander Jr.")), l=T.name_key(F.lit("V. J. Żółć-Ňěț III")), m=T.school_key(F.lit("East. Basketball College – Wash’s St.")), n=T.match_key(F.lit("Jr")), o=T.school_key(F.lit(None).cast("string")), j=T.school_key(F.lit("Duke Blue Devils men's basketball")), p=T.position_group(F.lit(" sg ")),
         q=T.position_group(F.lit("ATH")),
     )
     assert got == {
         "made": 1.2, "attempted": 4.6, "none": None, "h": 81, "bad": None, "a": "tj warren", "b": "tj warren", "c": "gary payton",
-        "e": "asbjorn midtgaard", "f": "deandre oneal", "g": "texas a and m", "i": "texas a and m", "j": "duke blue devils", "p": "G", "q": "UNKNOWN",
+        "e": "asbjorn midtgaard", "f": "deandre oneal", "g": "texas a and m", "i": "texas a and m", "j": "duke blue devils", "p": "G", "q": "UNKNOWN", "k": "shai gilgeousalexander",
+        "l": "j zocnet", "m": "eastate college - washs state", "n": "", "o": "",
     }
