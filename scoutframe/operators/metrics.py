@@ -71,16 +71,18 @@ def expected_calibration_error(df: DataFrame, keys: list[str], p: str, label: st
 
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    r = df.withColumns({"__a": average_rank(a, keys), "__b": average_rank(b, keys)})
-    return r.groupBy(*keys).agg(F.corr("__a", "__b").alias("spearman"))
+    """Correlation of average ranks per group; NULL where either side is constant."""
+    r = df.withColumns({"__ra": average_rank(a, keys), "__rb": average_rank(b, keys)})
+    spread = F.nullif(F.stddev_pop("__ra") * F.stddev_pop("__rb"), F.lit(0.0))
+    return r.groupBy(*keys).agg((F.covar_pop("__ra", "__rb") / spread).alias("spearman"))
 
 
 def kendall(df: DataFrame, keys: list[str], a: str, b: str, ident: str) -> DataFrame:
     """Tau-b per group, from the distinct value pairs of a group and their counts."""
     cell = df.groupBy(*keys, a, b).agg(F.count("*").alias("n"))
-    x, y = cell.alias("x"), cell.select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b"), F.col("n").alias("__n"))
-    sign = F.signum(F.col(a) - F.col("__a")) * F.signum(F.col(b) - F.col("__b"))
-    s = x.join(y, keys).groupBy(*keys).agg((F.sum(sign * F.col("n") * F.col("__n")) / 2).alias("s"))
+    x, y = cell.alias("x"), cell.select(*keys, F.col(a).alias("__ka"), F.col(b).alias("__kb"), F.col("n").alias("__kn"))
+    sign = F.signum(F.col(a) - F.col("__ka")) * F.signum(F.col(b) - F.col("__kb"))
+    s = x.join(y, keys).groupBy(*keys).agg((F.sum(sign * F.col("n") * F.col("__kn")) / 2).alias("s"))
 
     def untied(c: str) -> DataFrame:
         t = df.groupBy(*keys, c).agg(F.count("*").alias("t"))
@@ -95,12 +97,12 @@ def ndcg(df: DataFrame, keys: list[str], score: str, gain: str, k: int | None =
     """Tied scores share their average gain over the discounts of their places; with ``k``, later places count nothing."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score)))
     best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(gain)))
-    rows = df.withColumns({"__p": place, "__b": best})
+    rows = df.withColumns({"__place": place, "__best": best})
     counted = (lambda c: F.col(c) <= k) if k else (lambda c: F.lit(True))
     rows = rows.withColumns(
         {
-            "__d": F.when(counted("__p"), 1 / F.log2(F.col("__p") + 1.0)).otherwise(0.0),
-            "__i": F.when(counted("__b"), F.col(gain) / F.log2(F.col("__b") + 1.0)).otherwise(0.0),
+            "__d": F.when(counted("__place"), 1 / F.log2(F.col("__place") + 1.0)).otherwise(0.0),
+            "__i": F.when(counted("__best"), F.col(gain) / F.log2(F.col("__best") + 1.0)).otherwise(0.0),
         }
     )
     per = rows.groupBy(*keys, score).agg((F.avg(gain) * F.sum("__d")).alias("dcg"), F.sum("__i").alias("ideal"))

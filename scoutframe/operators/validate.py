@@ -65,6 +65,55 @@ def box_checks(made: list[tuple[str, str]], minutes: str | None = None, games: s
     return out
 
 
+def sum_checks(parts: tuple[str, ...], total: str, field: str, off: float = 1) -> list[Column]:
+    """Parts add up to their total, give or take ``off``; else a warning."""
+    found = number(F.col(parts[0]))
+    for p in parts[1:]:
+        found = found + number(F.col(p))
+    return [_issue(F.abs(found - number(F.col(total))) > off, "warning", field, f"don't add up to {total}")]
+
+
+def within_checks(part: str, whole: str) -> list[Column]:
+    return [_issue(number(F.col(part)) > number(F.col(whole)), "error", part, f"exceeds {whole}")]
+
+
+#: Kinds of population that an import may name.
+POPULATION_TYPES = ("final", "declared", "watchlist", "custom")
+
+
+def metadata_issues(metadata: dict, supported: tuple[int, ...]) -> list[tuple[str, str, str]]:
+    """Issues of an import's metadata: (severity, field, message)."""
+    out = []
+    if metadata.get("schemaVersion") != 1:
+        out.append(("error", "schemaVersion", "must be 1"))
+    if not str(metadata.get("dataset_name") or "").strip():
+        out.append(("error", "dataset_name", "is required"))
+    season = metadata.get("season")
+    if not isinstance(season, int) or isinstance(season, bool):
+        out.append(("error", "season", "must be a whole number"))
+    elif season not in supported:
+        out.append(("warning", "season", "has no reference of its own"))
+    if metadata.get("population_type") not in POPULATION_TYPES:
+        out.append(("error", "population_type", "must be one of " + ", ".join(POPULATION_TYPES)))
+    size = metadata.get("draft_size")
+    if size is not None and not (isinstance(size, int) and 1 <= size <= 100):
+        out.append(("error", "draft_size", "must be between 1 and 100"))
+    return out
+
+
+def row_limit_issues(rows: int, least: int = LEAST_ROWS, most: int = MOST_ROWS) -> list[tuple[str, str, str]]:
+    if rows < least:
+        return [("error", "prospects", f"at least {least} are needed")]
+    return [("error", "prospects", f"at most {most} are allowed")] if rows > most else []
+
+
+def missing_warnings(df: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """(field, severity, missing): optional groups of which some rows have nothing."""
+    counts = df.agg(*[F.count_if(F.coalesce(*[F.col(c).cast("string") for c in cols]).isNull()).alias(g) for g, cols in groups.items()])
+    entries = F.array(*[F.struct(F.lit(g).alias("field"), F.lit("warning").alias("severity"), F.col(g).alias("missing")) for g in groups])
+    return counts.select(F.explode(entries).alias("e")).select("e.*").where("missing > 0")
+
+
 def row_issues(df: DataFrame, row: str, checks: list[Column]) -> DataFrame:
     """(row, severity, field, message): one pass, one row for each broken rule."""
     found = df.select(row, F.filter(F.array(*checks), lambda x: x.isNotNull()).alias("issues"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scoutframe.plans import more, queries
+from scoutframe.plans import extra, more, queries
 
-QUERIES: dict = {**queries.QUERIES, **more.QUERIES}
-ORACLE_SQL: dict[str, str] = {**queries.ORACLE_SQL, **more.ORACLE_SQL}
+QUERIES: dict = {**queries.QUERIES, **more.QUERIES, **extra.QUERIES}
+ORACLE_SQL: dict[str, str] = {**queries.ORACLE_SQL, **more.ORACLE_SQL, **extra.ORACLE_SQL}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoutframe.functions import expr as X
 
-#: Schema of one row of an imported dataset, by group; see ``scoutframe.operators.validate`` for its rules.
+#: Schema of one player-game row.
 PLAYER_BOX = (
     "athlete_id double, game_id bigint, team_id bigint, team_location string, game_date string, did_not_play boolean,"
     " starter boolean, minutes double, points double, field_goals_made double, field_goals_attempted double,"
@@ -40,6 +40,64 @@ def population(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("early_entrant") == "True")
 
 
+TARGETS = (
+    "draft_year int, normalized_name string, player_name string, wikipedia_title string, drafted string, pick string, round string,"
+    " drafting_team string"
+)
+OVERRIDES = "draft_year int, normalized_name string, athlete_id string, player_name string, expected_school string, hoopr_name string, reason string"
+
+
+def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def optional(read_rows, *args):
+    """What a reader gives, or None where its file is not there."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return read_rows(*args)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def declared(spark: SparkSession, path: str) -> DataFrame | None:
+    """A declared pool; None before it was acquired."""
+    return optional(_csv, spark, path, POPULATION)
+
+
+def targets(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """Targets of the names in a population: drafted 0 or 1, pick and round whole numbers or NULL."""
+    rows = _csv(spark, path, TARGETS).join(known.select("normalized_name"), "normalized_name", "left_semi")
+    return rows.select(
+        "draft_year", "normalized_name", (F.col("drafted") == "True").cast("int").alias("drafted"), X.to_id(F.col("pick")).alias("pick"),
+        X.to_id(F.col("round")).alias("round"), "drafting_team",
+    )
+
+
+def overrides(spark: SparkSession, path: str) -> DataFrame | None:
+    """Reviewed exceptions with an athlete id; None without the file."""
+    rows = optional(_csv, spark, path, OVERRIDES)
+    return None if rows is None else rows.withColumn("athlete_id", X.to_id(F.col("athlete_id"))).where("athlete_id IS NOT NULL")
+
+
+def labelled(features: DataFrame, known: DataFrame, years: range, held_out: tuple[int, ...] = ()) -> DataFrame:
+    """Features of some years with their targets; a held-out year among them is an error."""
+    if bad := sorted(set(years) & set(held_out)):
+        raise ValueError(f"held out: {bad}")
+    return features.where(F.col("draft_year").isin(*years)).join(known, ["draft_year", "normalized_name"])
+
+
+def built(spark: SparkSession, path: str, what: str) -> DataFrame:
+    """A table that another step writes; says so where it is not there."""
+    found = optional(spark.read.parquet, path)
+    if found is None:
+        raise FileNotFoundError(f"{what} is not built yet: {path}")
+    return found
+
+
 def imported(spark: SparkSession, path: str, fields: str) -> DataFrame:
     """Prospects of an imported dataset file: metadata and one row for each prospect."""
     doc = spark.read.schema(

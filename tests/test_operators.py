@@ -129,3 +129,21 @@ def test_validation(spark):
 
 def test_folds():
     assert model.folds([2014, 2015, 2016], 2015) == [([2014], 2015), ([2014, 2015], 2016)]
+
+
+def test_chance_fit_is_the_penalised_optimum(spark):
+    """The gradient of the balanced, penalised log loss is nothing at what the fit returns."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=300) > 0.8).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(t)) for (a, b), t in zip(x, y)], "a double, b double, y int")
+    fitted = model.fit_chance(df, ["a", "b"], "y", c=0.25)
+    z = (x - x.mean(0)) / x.std(0)
+    w = np.where(y == 1, 300 / (2 * y.sum()), 300 / (2 * (300 - y.sum())))
+    p = 1 / (1 + np.exp(-(z @ np.array(fitted.coefficients) + fitted.intercept)))
+    assert np.allclose(z.T @ (w * (p - y)) + np.array(fitted.coefficients) / 0.25, 0, atol=1e-3)
+    assert abs((w * (p - y)).sum()) < 1e-3
+    chance = [r.c for r in df.select((1 / (1 + F.exp(-fitted.score()))).alias("c")).collect()]
+    assert np.allclose(chance, p)
