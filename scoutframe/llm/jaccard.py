@@ -31,6 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoutframe.llm._asked import MERGE, asked_filter, let_through
 from scoutframe.llm._graph import components
 from scoutframe.llm._repeats import NO_ID
 from scoutframe.llm._shared import stored, table
@@ -41,8 +42,6 @@ N = 5
 THRESHOLD = 75
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 32
-#: Sketches of so many tasks are merged first, then those sums.
-SKETCH_MERGE = 64
 FRAGMENTS = 2
 #: Shingles of all texts meet in groups of about so many, each in three bytes beside its group.
 MEET_TOKENS = 1_000_000
@@ -56,9 +55,6 @@ LINK_BLOCK = 256
 LINK_CHUNK = 4096
 #: Sets compared with one hub in one task.
 GROUP = 64
-#: Bits of the filter that says which texts are asked for: sixteen for each, between these powers of two (32 MB at most).
-ASKED_LEAST, ASKED_MOST = 20, 28
-ASKED_BLOCKS = 32
 #: Shingles move in so many bytes.
 MOVED_BYTES = 6
 
@@ -144,7 +140,7 @@ def profiled(docs: DataFrame) -> DataFrame:
         if sketch.any():
             blocks = [zstandard.compress(b.tobytes(), 1) for b in np.split(sketch, SKETCH_BLOCKS)]
             k = SKETCH_BLOCKS
-            merge = TaskContext.get().partitionId() // SKETCH_MERGE
+            merge = TaskContext.get().partitionId() // MERGE
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(k, pa.int64())] * 5 + [pa.array(range(k), pa.int32()), pa.array([merge] * k, pa.int32()), pa.array(blocks, pa.binary())],
                 _PROFILE_NAMES,
@@ -300,7 +296,7 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, asked: DataFrame, parts: int)
     def cut(batches):
         level = known.value
         for batch in batches:
-            batch = _let_through(batch, bits.value)
+            batch = let_through(batch, bits.value)
             for part in slices(batch, "text"):
                 rows, classes = [], {}
                 for s in shingle_sets(part.column("text")):
@@ -462,55 +458,13 @@ def possible_pairs(placed: DataFrame, sizes: DataFrame, parts: int) -> DataFrame
     return dealt.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _places(ids: np.ndarray, bits: int) -> np.ndarray:
-    """Two of the ``2 ** bits`` bits of the filter for each id."""
-    x = mixed(ids.view(np.uint64))
-    return np.concatenate([x >> np.uint64(64 - bits), x & np.uint64((1 << bits) - 1)]).astype(np.int64)
-
-
-def _let_through(batch: pa.RecordBatch, bits: np.ndarray) -> pa.RecordBatch:
-    """The rows whose id may be among those that are asked for."""
-    at = _places(batch.column("id").to_numpy(), (8 * len(bits)).bit_length() - 1)
-    hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-    return batch.filter(pa.array(hit.reshape(2, -1).all(0)))
-
-
-def asked_filter(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter of the ids of ``wanted`` (stored), merged by block from those of all tasks; its size follows their number."""
-    power = min(ASKED_MOST, max(ASKED_LEAST, (16 * wanted.count()).bit_length()))
-    width = (1 << power) // 8 // ASKED_BLOCKS
-
-    def mark(batches):
-        bits = np.zeros((1 << power) // 8, np.uint8)
-        for batch in batches:
-            at = _places(batch.column("id").to_numpy(), power)
-            np.bitwise_or.at(bits, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        if bits.any():
-            blocks = [zstandard.compress(b.tobytes(), 1) for b in np.split(bits, ASKED_BLOCKS)]
-            merge = [TaskContext.get().partitionId() // SKETCH_MERGE] * ASKED_BLOCKS
-            yield pa.RecordBatch.from_arrays([pa.array(range(ASKED_BLOCKS), pa.int32()), pa.array(merge, pa.int32()), pa.array(blocks, pa.binary())], ["block", "merge", "bits"])
-
-    def merged(rows: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.uint8)
-        for x in rows.column("bits"):
-            total |= np.frombuffer(zstandard.decompress(x.as_py()), np.uint8)
-        return pa.Table.from_arrays([rows.column("block").slice(0, 1), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["block", "bits"])
-
-    marked = wanted.select("id").mapInArrow(mark, "block int, merge int, bits binary")
-    found = marked.groupBy("block", "merge").applyInArrow(merged, "block int, bits binary").groupBy("block").applyInArrow(merged, "block int, bits binary")
-    out = np.zeros((ASKED_BLOCKS, width), np.uint8)
-    for block, bits in found.collect():
-        out[block] = np.frombuffer(zstandard.decompress(bits), np.uint8)
-    return out.ravel()
-
-
 def asked_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, packed) of the documents that ``wanted`` may ask for, their texts compressed before they move."""
     known = docs.sparkSession.sparkContext.broadcast(asked_filter(wanted))
 
     def run(batches):
         for batch in batches:
-            batch = _let_through(batch, known.value)
+            batch = let_through(batch, known.value)
             if batch.num_rows:
                 texts = [zstandard.compress((x.as_py() or "").encode(), 1) for x in batch.column("text")]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.binary())], ["id", "packed"])

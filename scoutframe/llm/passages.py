@@ -27,6 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoutframe.llm._asked import parted
 from scoutframe.llm._repeats import anchors, by_text, copies_of, dealt_by_text, identified, packed_by_part, places_of, unpacked
 from scoutframe.llm._shared import appended, stored, table
 from scoutframe.llm._text import SpanHasher, Words, slices
@@ -242,7 +243,7 @@ def removals(docs: DataFrame, *carried: str) -> DataFrame:
 
     ``copy`` marks a row whose whole text stands in a document with a smaller
     doc_id: there every window does.  A null doc_id is larger than any other.
-    Texts move by doc_id and text, so copies of one text spread.
+    Only texts about which there is a verdict move, by doc_id and text, so copies of one text spread.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = identified(docs, *carried)
@@ -250,16 +251,20 @@ def removals(docs: DataFrame, *carried: str) -> DataFrame:
     firsts, many = copies_of(docs)
     firsts = stored(firsts)
     found = occurrences(docs, parts).groupBy("id", "th").agg(F.collect_list("places").alias("places"))
-    texts = docs.join(stored(found.join(firsts, ["id", "th"])), ["id", "th"])
+    found = stored(found.join(firsts, ["id", "th"]))
+    texts = parted(docs, found, "th")[0].join(found, ["id", "th"])
     gone = earlier(_windows(texts.select("text", "th", "id", "places"), parts), parts)
     verdicts = (
         firsts.join(gone, "th")
         .select("id", "th", "places", F.lit(False).alias("copy"))
         .unionAll(many.where("id > low").select("id", "th", F.lit(None).cast("binary"), F.lit(True)))
     )
-    return whole.join(stored(verdicts), ["id", "th"], "left").select(
-        "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "places", *carried
-    )
+    verdicts = stored(verdicts)
+    judged, untouched = parted(whole, verdicts, "th")
+    judged = judged.join(verdicts, ["id", "th"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    untouched = untouched.withColumns({"copy": F.lit(False), "places": F.lit(None).cast("binary")})
+    columns = ["doc_id", "text", "copy", "places", *carried]
+    return judged.select(*columns).unionAll(untouched.select(*columns))
 
 
 def _kept_words(words: Words, k: int, places: np.ndarray, copy: bool) -> np.ndarray:
