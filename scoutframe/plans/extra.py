@@ -398,7 +398,7 @@ def internal_frame(spark, sf_dir):
 _CALLED = "chr((97 + {0} % 5)::INT) || 'son'"
 
 
-@query(f"WITH p AS (SELECT n_nationkey, {_CALLED.format('n_nationkey')} || ' ' || chr((97 + n_nationkey // 5)::INT) || 'a' AS name, r_name || ' State' AS school FROM nation JOIN region ON r_regionkey = n_regionkey), b AS (SELECT p.name, r_name AS region FROM supplier JOIN p ON n_nationkey = s_nationkey JOIN region ON r_regionkey = s_suppkey % 5) SELECT p.name, school, count(region) AS candidates, count(*) FILTER (split_part(lower(school), ' ', 1) = lower(region)) AS confirmed FROM p LEFT JOIN b USING (name) GROUP BY ALL")
+@query(f"WITH p AS (SELECT n_nationkey, {_CALLED.format('n_nationkey')} || ' ' || chr((97 + n_nationkey // 5)::INT) || 'a' AS name, r_name || ' State' AS school FROM nation JOIN region ON r_regionkey = n_regionkey), b AS (SELECT p.name, r_name AS region FROM supplier JOIN p ON n_nationkey = s_nationkey JOIN region ON r_regionkey = s_suppkey % 5) SELECT p.name, school, count(region) AS candidates, count(*) FILTER (split_part(lower(school), ' ', 1) = split_part(lower(region), ' ', 1)) AS confirmed FROM p LEFT JOIN b USING (name) GROUP BY ALL")
 def roster_match(spark, sf_dir):
     n, reg, s = (read(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
     k = F.col("n_nationkey")

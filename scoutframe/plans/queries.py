@@ -58,8 +58,12 @@ def registrar(queries: dict, oracles: dict):
 query = registrar(QUERIES, ORACLE_SQL)
 
 
+def at_six(c: str):
+    return F.round(F.col(c).cast("decimal(38,9)"), DIGITS).cast("double")
+
+
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(c).cast("decimal(38,9)"), DIGITS).cast("double").alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[at_six(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def r(names) -> str:
@@ -467,7 +471,7 @@ def graded_relevance(spark, sf_dir):
 _PARTS = {"shooting": ["s1", "s2", "s3"], "passing": ["a1", "a2"], "size_up": ["h1"]}
 NEED_SQL = f"""{RATES_SQL}, raw_pct AS (SELECT season, athlete_id, position, CASE WHEN tpa >= 20 THEN three_point_pct * 100 END AS s1, CASE WHEN ts_pct < 3 THEN ts_pct * 30 END AS s2, CASE WHEN points_per_game < 40 THEN points_per_game * 2 END AS s3,
   CASE WHEN assists_per_40 < 5.00001 THEN assists_per_40 * 20 END AS a1, 100 - tov_pct * 10 AS a2, CASE WHEN height_inches > 70 THEN (height_inches - 68) * 5 END AS h1 FROM rates WHERE minutes > 0),
-pct AS (SELECT * REPLACE (round(s1, 9) AS s1, round(s2, 9) AS s2, round(s3, 9) AS s3, round(a1, 9) AS a1, round(a2, 9) AS a2, round(h1, 9) AS h1) FROM raw_pct),
+pct AS (SELECT * REPLACE (round(s1, 6) AS s1, round(s2, 6) AS s2, round(s3, 6) AS s3, round(a1, 6) AS a1, round(a2, 6) AS a2, round(h1, 6) AS h1) FROM raw_pct),
 dims AS (SELECT *, CASE WHEN ns >= 2 THEN (coalesce(s1, 0) + coalesce(s2, 0) + coalesce(s3, 0)) / ns END AS shooting, CASE WHEN na >= 1 THEN (coalesce(a1, 0) + coalesce(a2, 0)) / na END AS passing, h1 AS size_up, ns / 3 AS shooting_coverage, na / 2 AS passing_coverage, nh AS size_up_coverage,
   (ns / 3 + na / 2 + nh) / 3 AS data_coverage FROM (SELECT *, (s1 IS NOT NULL)::INT + (s2 IS NOT NULL)::INT + (s3 IS NOT NULL)::INT AS ns, (a1 IS NOT NULL)::INT + (a2 IS NOT NULL)::INT AS na, (h1 IS NOT NULL)::INT AS nh FROM pct)),
 fits AS (SELECT *, CASE WHEN held >= 0.5 * 10 THEN top / held END AS fit_raw FROM (SELECT *, coalesce(shooting, 0) * 5.0::DOUBLE + coalesce(passing, 0) * 3.0::DOUBLE + coalesce(size_up, 0) * 2.0::DOUBLE AS top,
@@ -486,7 +490,7 @@ def _dimensions(spark, sf_dir):
         F.when(c("height_inches") > 70, (c("height_inches") - 68) * 5).alias("h1"),
     )
     # thresholds on these must not depend on the order of a sum
-    p = p.withColumns({c: F.round(c, 9) for c in ("s1", "s2", "s3", "a1", "a2", "h1")})
+    p = p.withColumns({c: at_six(c) for c in ("s1", "s2", "s3", "a1", "a2", "h1")})
     return N.dimensions(p, _PARTS)
 
 
