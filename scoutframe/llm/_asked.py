@@ -59,17 +59,13 @@ def asked_filter(wanted: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def parted(docs: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``docs`` whose long ``key`` may be among those of ``wanted`` (stored), and all others: two scans, nothing moves."""
-    known = docs.sparkSession.sparkContext.broadcast(asked_filter(wanted.selectExpr(f"{key} AS id")))
+def asked_rows(docs: DataFrame, known, key: str) -> DataFrame:
+    """The rows of ``docs`` whose long ``key`` may be among those that ``known`` (a broadcast filter) holds."""
 
-    def side(hit: bool):
-        def run(batches):
-            for batch in batches:
-                batch = let_through(batch, known.value, key, hit)
-                if batch.num_rows:
-                    yield batch
-
-        return docs.mapInArrow(run, docs.schema)
+    def run(batches):
+        for batch in batches:
+            batch = let_through(batch, known.value, key)
+            if batch.num_rows:
+                yield batch
 
-    return side(True), side(False)
+    return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoutframe.llm._asked import parted
+from scoutframe.llm._asked import asked_filter, asked_rows, let_through
 from scoutframe.llm._repeats import anchors, by_text, copies_of, dealt_by_text, identified, packed_by_part, places_of, unpacked
 from scoutframe.llm._shared import appended, stored, table
 from scoutframe.llm._text import SpanHasher, Words, slices
@@ -40,6 +40,8 @@ HEAD = 8
 #: Heads in one automaton at most: about 120 MB in each Python worker.
 SHARD = 150_000
 _LETTER = 48
+#: Bytes of text that a task works on at once.
+PIECE = 2 << 20
 
 
 def coded(docs: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def coded(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 words = Words(part.column("text"))
                 h = words.hashes()
                 letters = (np.column_stack([h & np.uint64(63), (h >> np.uint64(6)) & np.uint64(63)]) + _LETTER).astype(np.uint8)
@@ -190,7 +192,7 @@ def _windows(texts: DataFrame, parts: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 words = Words(part.column("text"))
                 places = [places_of(b"".join(x)) for x in part.column("places").to_pylist()]
                 found = np.concatenate([np.empty(0, np.int64), *(p + c for p, c in zip(places, words.cut[:-1], strict=True))])
@@ -238,12 +240,17 @@ def earlier(windows: DataFrame, parts: int) -> DataFrame:
     return by_text(windows.groupBy("part").applyInArrow(judge, "to int, packed binary"), ["u4"], ["places"])
 
 
-def removals(docs: DataFrame, *carried: str) -> DataFrame:
-    """(doc_id, text, copy, places, and columns ``carried`` along) of every row: ``places`` are the windows that start in a smaller doc_id.
+def _filter(wanted: DataFrame):
+    return wanted.sparkSession.sparkContext.broadcast(asked_filter(wanted.selectExpr("th AS id")))
 
-    ``copy`` marks a row whose whole text stands in a document with a smaller
+
+def removals(docs: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame, object]:
+    """Rows about which there may be a verdict, all rows, and the filter that tells the first from the rest.
+
+    Rows are (doc_id, text, th, copy, places, and columns ``carried`` along): ``places`` are the windows that
+    start in a smaller doc_id.  ``copy`` marks a row whose whole text stands in a document with a smaller
     doc_id: there every window does.  A null doc_id is larger than any other.
-    Only texts about which there is a verdict move, by doc_id and text, so copies of one text spread.
+    Only rows of the first kind move, by doc_id and text, so copies of one text spread.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = identified(docs, *carried)
@@ -252,7 +259,8 @@ def removals(docs: DataFrame, *carried: str) -> DataFrame:
     firsts = stored(firsts)
     found = occurrences(docs, parts).groupBy("id", "th").agg(F.collect_list("places").alias("places"))
     found = stored(found.join(firsts, ["id", "th"]))
-    texts = parted(docs, found, "th")[0].join(found, ["id", "th"])
+    # dealt anew at every size: two Python steps never run in one stage
+    texts = asked_rows(docs, _filter(found), "th").repartition("id", "th").join(found, ["id", "th"])
     gone = earlier(_windows(texts.select("text", "th", "id", "places"), parts), parts)
     verdicts = (
         firsts.join(gone, "th")
@@ -260,11 +268,32 @@ def removals(docs: DataFrame, *carried: str) -> DataFrame:
         .unionAll(many.where("id > low").select("id", "th", F.lit(None).cast("binary"), F.lit(True)))
     )
     verdicts = stored(verdicts)
-    judged, untouched = parted(whole, verdicts, "th")
-    judged = judged.join(verdicts, ["id", "th"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    untouched = untouched.withColumns({"copy": F.lit(False), "places": F.lit(None).cast("binary")})
-    columns = ["doc_id", "text", "copy", "places", *carried]
-    return judged.select(*columns).unionAll(untouched.select(*columns))
+    known = _filter(verdicts)
+    columns = ["doc_id", "text", "th", "copy", "places", *carried]
+    judged = asked_rows(whole, known, "th").repartition("id", "th").join(verdicts, ["id", "th"], "left")
+    judged = judged.withColumn("copy", F.coalesce("copy", F.lit(False)))
+    whole = whole.withColumns({"copy": F.lit(False), "places": F.lit(None).cast("binary")})
+    return judged.select(*columns), whole.select(*columns), known
+
+
+def _each(found: tuple[DataFrame, DataFrame, object], columns: list[str], cut, schema: str) -> DataFrame:
+    """``cut(part, words)`` gives the columns of each slice: of the judged rows, and of the others, which nobody asked for."""
+    judged, whole, known = found
+    names = [x.split()[0] for x in schema.split(", ")] if "<" not in schema else None
+
+    def run(others: bool):
+        def each(batches):
+            for batch in batches:
+                if others:
+                    batch = let_through(batch, known.value, "th", False)
+                for part in slices(batch, "text", PIECE):
+                    arrays, own = cut(part, Words(part.column("text")))
+                    yield pa.RecordBatch.from_arrays(arrays, names or own)
+
+        return each
+
+    rows = [df.select(*columns).mapInArrow(run(others), schema) for df, others in ((judged, False), (whole, True))]
+    return rows[0].unionAll(rows[1])
 
 
 def _kept_words(words: Words, k: int, places: np.ndarray, copy: bool) -> np.ndarray:
@@ -278,27 +307,24 @@ def _kept_words(words: Words, k: int, places: np.ndarray, copy: bool) -> np.ndar
     return np.flatnonzero(np.cumsum(gone[:-1]) == 0) + first
 
 
-def _applied(rows: DataFrame, emit, schema: str) -> DataFrame:
-    """``emit(doc_id, n_words, runs of kept words as bytes)`` for every row."""
-    kinds = {"long": pa.int64(), "string": pa.utf8()}
-    names, types = zip(*[x.split() for x in schema.split(", ")], strict=True)
+_KINDS = {"long": pa.int64(), "string": pa.utf8()}
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column("text"))
-                data = words.data.tobytes()
-                out = []
-                cols = (part.column(c).to_pylist() for c in ("doc_id", "copy", "places"))
-                for k, (doc, copy, places) in enumerate(zip(*cols, strict=True)):
-                    keep = _kept_words(words, k, places_of(places), copy)
-                    text = b" ".join([data[a:b] for a, b in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
-                    n = int(words.cut[k + 1] - words.cut[k])
-                    first, last = int(words.byte_cut[k]), int(words.byte_cut[k + 1])
-                    out.append(emit(doc, n, n - len(keep), text, data[first:last]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(zip(*out, strict=True), types, strict=True)], list(names))
 
-    return rows.select("doc_id", "text", "copy", "places").mapInArrow(run, schema)
+def _applied(docs: DataFrame, emit, schema: str) -> DataFrame:
+    """``emit(doc_id, n_words, n_removed, kept words as bytes)`` for every row."""
+    types = [_KINDS[x.split()[1]] for x in schema.split(", ")]
+
+    def cut(part, words):
+        data, out = words.data.tobytes(), []
+        cols = (part.column(c).to_pylist() for c in ("doc_id", "copy", "places"))
+        for k, (doc, copy, places) in enumerate(zip(*cols, strict=True)):
+            keep = _kept_words(words, k, places_of(places), copy)
+            text = b" ".join([data[a:b] for a, b in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
+            n = int(words.cut[k + 1] - words.cut[k])
+            out.append(emit(doc, n, n - len(keep), text))
+        return [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], None
+
+    return _each(removals(docs), ["doc_id", "text", "th", "copy", "places"], cut, schema)
 
 
 def removed_words(docs: DataFrame) -> DataFrame:
@@ -308,39 +334,35 @@ def removed_words(docs: DataFrame) -> DataFrame:
     a window is removed only if a smaller doc_id holds it.  An empty table gives
     an empty result.
     """
-    return _applied(
-        removals(docs),
-        lambda doc, n, gone, text, _: (doc, n, gone, text.decode()),
-        "doc_id long, n_words long, n_removed long, kept string",
-    )
+    return _applied(docs, lambda doc, n, gone, text: (doc, n, gone, text.decode()), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """Documents with repeated passages cut out: their kept words joined by one space; an untouched text stays as it is.
 
     Each row is cut by itself, whatever rows share its doc_id or have none.  Documents of which nothing is left go.
-    ``n_chars`` follows the new text, other columns stay.
+    ``n_chars`` follows the new text, other columns stay, whatever their names.  An empty table gives an empty result.
     """
     names = docs.columns
-    rows = removals(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), "row")
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column("text"))
-                data = words.data.tobytes()
-                new, gone, n = [], [], []
-                for k, (copy, places) in enumerate(zip(part.column("copy").to_pylist(), part.column("places").to_pylist(), strict=True)):
-                    keep = _kept_words(words, k, places_of(places), copy)
-                    n.append(int(words.cut[k + 1] - words.cut[k]))
-                    gone.append(n[-1] - len(keep))
-                    text = b" ".join([data[a:b] for a, b in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
-                    new.append(text.decode() if gone[-1] else None)
-                columns = [part.column("row"), pa.array(new, pa.utf8()), pa.array(gone, pa.int64()), pa.array(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "kept", "n_removed", "n_words"])
-
-    kind = rows.schema["row"].dataType.simpleString()
-    out = rows.select("text", "copy", "places", "row").mapInArrow(run, f"row {kind}, kept string, n_removed long, n_words long")
+    found = removals(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")), "row")
+
+    def cut(part, words):
+        data = words.data.tobytes()
+        new, gone, n = [], [], []
+        for k, (copy, places) in enumerate(zip(part.column("copy").to_pylist(), part.column("places").to_pylist(), strict=True)):
+            keep = _kept_words(words, k, places_of(places), copy)
+            n.append(int(words.cut[k + 1] - words.cut[k]))
+            gone.append(n[-1] - len(keep))
+            if gone[-1]:
+                text = b" ".join([data[a:b] for a, b in zip(words.starts[keep].tolist(), words.ends[keep].tolist(), strict=True)])
+                new.append(text.decode())
+            else:
+                new.append(None)
+        columns = [part.column("row"), pa.array(new, pa.utf8()), pa.array(gone, pa.int64()), pa.array(n, pa.int64())]
+        return columns, ["row", "kept", "n_removed", "n_words"]
+
+    kind = found[0].schema["row"].dataType.simpleString()
+    out = _each(found, ["text", "th", "copy", "places", "row"], cut, f"row {kind}, kept string, n_removed long, n_words long")
     out = out.where("n_removed = 0 OR n_removed < n_words")
     new = {"text": F.coalesce("kept", "row.text"), "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in names else None}
     return out.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in names])
@@ -349,8 +371,8 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 def op2_phrase_automata(spark, sf_dir: str) -> DataFrame:
     """All documents with what is removed of them."""
     return _applied(
-        removals(table(spark, sf_dir, "documents")),
-        lambda doc, n, gone, text, _: (doc, n, gone, hashlib.sha256(text).hexdigest()),
+        table(spark, sf_dir, "documents"),
+        lambda doc, n, gone, text: (doc, n, gone, hashlib.sha256(text).hexdigest()),
         "doc_id long, n_words long, n_removed long, kept_sha256 string",
     )
 
