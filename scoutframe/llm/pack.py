@@ -12,6 +12,7 @@ patterns as lengths.  Pieces find their sequence by their rank within their leng
 
 from __future__ import annotations
 
+import json
 import struct
 from collections import Counter
 
@@ -43,6 +44,11 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # plain words need no normalizer but lower case, and no pattern
+        spec = json.loads(self.tokenizer.to_str())
+        bytes_only = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytes_only]}}
+        self.plain = Tokenizer.from_str(json.dumps(spec))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -52,6 +58,14 @@ class WordEncoder:
         self.known: dict[str, int] = {}
         self.ids, self.sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
 
+    def _keep(self, words: list[str]) -> None:
+        """Forgets all words but these."""
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        ids, sizes = self.ids[0], self.sizes[0]
+        starts = (np.cumsum(sizes) - sizes)[at]
+        self.ids, self.sizes = [ids[ragged(starts, sizes[at])]], [sizes[at]]
+        self.known = dict(zip(words, range(len(words)), strict=True))
+
     def _add(self, words: list[str]) -> None:
         """Encodes words not met before; plain ones many at a time as one text, cut again at the ends of units."""
         plain = pc.match_substring_regex(pa.array(words, pa.utf8()), _PLAIN).to_numpy(zero_copy_only=False)
@@ -62,7 +76,8 @@ class WordEncoder:
                 own = at[first : first + 2000]
                 block = [words[i] for i in own]
                 if kind:
-                    ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, np.uint32)
+                    text = " ".join([f"{w[:-1]} {w[-1]}" if mark else w for w, mark in zip(block, pointed[own].tolist(), strict=True)]).lower()
+                    ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
                     ends = np.flatnonzero(self.ends[ids]) + 1
                     ends = ends[np.cumsum(1 + pointed[own]) - 1]
                     sizes = np.diff(ends, prepend=0)
@@ -83,7 +98,7 @@ class WordEncoder:
         coded = flat.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > CACHED_WORDS:
-            self.clear()
+            self._keep([w for w in distinct if w in self.known])
         known = self.known
         self._add([w for w in distinct if w not in known])
         # ids lie in one array that is rebuilt where words came, at most ``CACHED_WORDS`` and a slice's
