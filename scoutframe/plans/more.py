@@ -109,30 +109,15 @@ def reference_pool(spark, sf_dir):
     return rounded(_pool(spark, sf_dir).select("athlete_id", "reference_seasons", "season", "n_seasons", "minutes", "ts_pct", "points_per_game"))
 
 
-def _sides(spark, sf_dir):
-    heights = bio(spark, sf_dir).select("athlete_id", F.col("height_inches").alias("other_height"))
-    others = _pool(spark, sf_dir).where("athlete_id % 20 = 7").join(heights, "athlete_id")
-    others = others.select(F.col("athlete_id").alias("other_id"), F.array(*_DIMS).alias("other_vec"), "other_height")
-    mine = rates(spark, sf_dir).where("season = 2001 AND athlete_id % 20 = 3")
-    return mine.select("athlete_id", F.array(*_DIMS).alias("vec"), F.col("height_inches").alias("height")), others
-
-
-@query(f"""WITH {POOL_SQL}, mine AS (SELECT * FROM rates WHERE season = 2001 AND athlete_id % 20 = 3),
-q AS (SELECT pool.*, bio.height_inches FROM pool JOIN bio USING (athlete_id) WHERE athlete_id % 20 = 7),
-met AS (SELECT p.athlete_id, q.athlete_id AS other_id, {_EUCLID} AS distance, abs(p.height_inches - q.height_inches) AS gap, {' + '.join(f'(p.{d} IS NOT NULL AND q.{d} IS NOT NULL)::INT' for d in _DIMS)} AS shared, {' + '.join(f'(p.{d} IS NOT NULL)::INT' for d in _DIMS)} AS own FROM mine p, q),
-fit AS (SELECT *, count(*) FILTER (gap <= 2) OVER w AS g2, count(*) FILTER (gap <= 3) OVER w AS g3, count(*) FILTER (gap <= 4) OVER w AS g4 FROM met WHERE shared >= 5 AND own >= 5 WINDOW w AS (PARTITION BY athlete_id)),
+_COMPARABLES = f"""WITH {POOL_SQL}, mine AS (SELECT * FROM rates), q AS (SELECT pool.*, bio.height_inches FROM pool JOIN bio USING (athlete_id)),
+met AS (SELECT p.season, p.athlete_id, q.athlete_id AS other_id, {_EUCLID} AS distance, abs(p.height_inches - q.height_inches) AS gap, {' + '.join(f'(p.{d} IS NOT NULL AND q.{d} IS NOT NULL)::INT' for d in _DIMS)} AS shared FROM mine p JOIN q ON p.athlete_id <> q.athlete_id AND abs(p.height_inches - q.height_inches) <= 4 WHERE {' + '.join(f'(p.{d} IS NOT NULL)::INT' for d in _DIMS)} >= 5),
+fit AS (SELECT *, count(*) FILTER (gap <= 2) OVER w AS g2, count(*) FILTER (gap <= 3) OVER w AS g3, count(*) OVER w AS g4 FROM met WHERE shared >= 5 WINDOW w AS (PARTITION BY season, athlete_id)),
 gated AS (SELECT *, CASE WHEN g2 >= 3 THEN 2.0::DOUBLE WHEN g3 >= 3 THEN 3.0::DOUBLE WHEN g4 >= 3 THEN 4.0::DOUBLE END AS gate FROM fit),
-near AS (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY distance, other_id) AS nth FROM gated WHERE gap <= gate)
-SELECT m.athlete_id, other_id, round(distance, 6) AS distance, gate, nth, CASE WHEN other_id IS NULL THEN 'UNAVAILABLE' ELSE 'OK' END AS status FROM mine m LEFT JOIN (SELECT * FROM near WHERE nth <= 3) n ON n.athlete_id = m.athlete_id""")
-def comparables_top3(spark, sf_dir):
-    mine, others = _sides(spark, sf_dir)
-    out = S.comparables(mine, others, "athlete_id", "other_id", len(_DIMS))
-    return rounded(out.select("athlete_id", "other_id", "distance", "gate", "nth", "status"))
+near AS (SELECT *, row_number() OVER (PARTITION BY season, athlete_id ORDER BY distance, other_id) AS nth FROM gated WHERE gap <= gate)
+SELECT m.season, m.athlete_id, other_id, round(distance, 6) AS distance, gate, nth, CASE WHEN other_id IS NULL THEN 'UNAVAILABLE' ELSE 'OK' END AS status FROM mine m LEFT JOIN (SELECT * FROM near WHERE nth <= 3) n USING (season, athlete_id)"""
 
 
-@query()
-def comparables_whole(spark, sf_dir):
-    """Every season row against the whole pool; ``comparables_top3`` meets a sample of both sides, which DuckDB can follow."""
+def _comparables(spark, sf_dir):
     heights = bio(spark, sf_dir).select("athlete_id", F.col("height_inches").alias("other_height"))
     others = _pool(spark, sf_dir).join(heights, "athlete_id").select(F.col("athlete_id").alias("other_id"), F.array(*_DIMS).alias("other_vec"), "other_height")
     mine = rates(spark, sf_dir).select("season", "athlete_id", F.array(*_DIMS).alias("vec"), F.col("height_inches").alias("height"))
@@ -140,6 +125,18 @@ def comparables_whole(spark, sf_dir):
     return rounded(out.select("season", "athlete_id", "other_id", "distance", "gate", "nth", "status"))
 
 
+@query(_COMPARABLES)
+def comparables_top3(spark, sf_dir):
+    """Every season row against the whole pool."""
+    return _comparables(spark, sf_dir)
+
+
+@query(_COMPARABLES)
+def comparables_whole(spark, sf_dir):
+    """The same as ``comparables_top3``, which once met a sample of both sides."""
+    return _comparables(spark, sf_dir)
+
+
 @query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 100 = 0), q AS (SELECT vec_id AS other, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings)
 SELECT vec_id, other, round(d, 6) AS distance FROM (SELECT vec_id, other, 1 - list_sum(list_transform(list_zip(v, w), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(w, lambda x: x * x)))) AS d FROM p, q WHERE vec_id <> other) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), other) <= 3""")
 def knn_cosine(spark, sf_dir):
