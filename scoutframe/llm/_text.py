@@ -6,6 +6,9 @@ longer text is a slice of its own), with no loop over characters.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +29,23 @@ def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES):
         at = to
 
 
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Says how to let go of what an operator keeps in a Python worker between tasks."""
+    _kept[owner] = clear
+
+
+def only(owner: str) -> None:
+    """Workers are used again by other operators: what all others keep goes, and its memory returns to the machine."""
+    for name, clear in _kept.items():
+        if name != owner:
+            clear()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts one after another, and where each begins (one more offset than texts); null is empty."""
     texts = pc.fill_null(texts, b"" if pa.types.is_binary(texts.type) else "")

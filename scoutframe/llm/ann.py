@@ -11,7 +11,7 @@ exact measure in double precision.
 Parts are cut into blocks of about ``BLOCK`` rows and their queries into blocks of
 as many, so a crowded part spreads over many tasks; every block of queries meets
 every block of rows of its part.  The sample bounds how many parts can be learned, so from
-some 90,000 rows parts grow with the table.
+some 60,000 rows parts grow with the table.
 """
 
 from __future__ import annotations

@@ -35,7 +35,7 @@ from scoutframe.llm._asked import MERGE, asked_filter, let_through
 from scoutframe.llm._graph import components
 from scoutframe.llm._repeats import NO_ID
 from scoutframe.llm._shared import stored, table
-from scoutframe.llm._text import SLICE_BYTES, SpanHasher, lower_words, mixed, slices
+from scoutframe.llm._text import SLICE_BYTES, SpanHasher, lower_words, mixed, only, slices
 
 N = 5
 #: Link when 100 * intersection >= THRESHOLD * union.
@@ -116,6 +116,7 @@ def profiled(docs: DataFrame) -> DataFrame:
     """One row per document (n, class) and, from each task, the blocks of its counting sketch."""
 
     def run(batches):
+        only("jaccard")
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):

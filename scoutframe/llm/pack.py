@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutframe.llm._shared import stored, table
-from scoutframe.llm._text import ragged, slices
+from scoutframe.llm._text import keeps, only, ragged, slices
 
 CAPACITY = 4096
 END_ID = 2
@@ -31,7 +31,7 @@ END_ID = 2
 RANK_GROUP = 200
 RANK_SALTS = 1024
 #: Distinct words that a worker keeps encoded.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 #: Letters of two alphabets, then at most one mark: one unit of the tokenizer, or two; each unit's last id is an end of word.
 _PLAIN = r"^[A-Za-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+[.,;:!?]?$"
 
@@ -113,6 +113,7 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+keeps("pack", _encoders.clear)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -123,6 +124,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
     """
 
     def pieces(batches):
+        only("pack")
         encoder = _encoders.setdefault(tokenizer, None) or WordEncoder(tokenizer)
         _encoders[tokenizer] = encoder
         for batch in batches:

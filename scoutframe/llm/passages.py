@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from scoutframe.llm._asked import asked_filter, asked_rows, let_through
 from scoutframe.llm._repeats import anchors, by_text, copies_of, dealt_by_text, identified, packed_by_part, places_of, unpacked
 from scoutframe.llm._shared import appended, stored, table
-from scoutframe.llm._text import SpanHasher, Words, slices
+from scoutframe.llm._text import SpanHasher, Words, keeps, only, slices
 
 SIZE = 50
 REACH = 34
@@ -48,6 +48,7 @@ def coded(docs: DataFrame) -> DataFrame:
     """(id, th, code) of texts with a window: two letters of 64 for each word, by its hash.  A slice's copies of a text are one."""
 
     def run(batches):
+        only("passages")
         for batch in batches:
             for part in slices(batch, "text", PIECE):
                 words = Words(part.column("text"))
@@ -130,6 +131,7 @@ def shards(sizes: list[tuple[int, int, int]], most: int) -> list[list[tuple[int,
 
 
 _compiled: dict = {}
+keeps("passages", _compiled.clear)
 
 
 def automaton(phrases: bytes):
@@ -153,6 +155,7 @@ def located(codes: DataFrame, phrases: bytes) -> DataFrame:
     known = codes.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches):
+        only("passages")
         for batch in batches:
             for part in slices(batch, "code", 1 << 20):
                 codes = part.column("code").to_pylist()

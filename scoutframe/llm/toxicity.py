@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoutframe.llm._shared import stored, table
-from scoutframe.llm._text import slices
+from scoutframe.llm._text import keeps, only, slices
 
 SAMPLE = 8000
 LONGEST = 200_000
@@ -54,8 +54,9 @@ FOLDS = 4
 _LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
-_CACHED = 200_000
+_CACHED = 100_000
 _known: dict[bytes, bytes] = {}
+keeps("toxicity", _known.clear)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -257,6 +258,7 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
     names = schema.names
 
     def run(batches):
+        only("toxicity")
         scorer = model.scorer()
         for batch in batches:
             for part in slices(batch, "text"):
