@@ -125,8 +125,10 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
     def pieces(batches):
         only("pack")
-        encoder = _encoders.setdefault(tokenizer, None) or WordEncoder(tokenizer)
-        _encoders[tokenizer] = encoder
+        if tokenizer not in _encoders:
+            _encoders[tokenizer] = WordEncoder(tokenizer)
+            only("pack")  # reading a tokenizer leaves much behind
+        encoder = _encoders[tokenizer]
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, counts = encoder.encode(part.column("text"))
