@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import struct
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ RANK_GROUP = 200
 RANK_SALTS = 1024
 #: Distinct words that a worker keeps encoded.
 CACHED_WORDS = 300_000
+#: Bytes of text whose distinct words are looked up at once.
+PIECE = 8 << 20
 #: Letters of two alphabets, then at most one mark: one unit of the tokenizer, or two; each unit's last id is an end of word.
 _PLAIN = r"^[A-Za-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+[.,;:!?]?$"
 
@@ -99,14 +102,16 @@ class WordEncoder:
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > CACHED_WORDS:
             self._keep([w for w in distinct if w in self.known])
-        known = self.known
-        self._add([w for w in distinct if w not in known])
+        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        self._add([distinct[i] for i in new])
+        at[new] = [self.known[distinct[i]] for i in new]
         # ids lie in one array that is rebuilt where words came, at most ``CACHED_WORDS`` and a slice's
         if len(self.ids) > 1:
             self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
         sizes = self.sizes[0]
         starts = np.cumsum(sizes) - sizes
-        at = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        at = at[coded.indices.to_numpy()]
         counts = sizes[at]
         upto = np.concatenate([[0], np.cumsum(counts)])
         return self.ids[0][ragged(starts[at], counts)], np.diff(upto[ends])
@@ -130,7 +135,7 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
             only("pack")  # reading a tokenizer leaves much behind
         encoder = _encoders[tokenizer]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 ids, counts = encoder.encode(part.column("text"))
                 upto = np.concatenate([[0], np.cumsum(counts)])
                 rows = []
