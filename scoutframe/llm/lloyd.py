@@ -111,6 +111,11 @@ class Tree:
         return Tree(np.frombuffer(data, np.int32, n), levels, *kept)
 
 
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The product of each row of ``x`` with the same row of ``y``."""
+    return np.einsum("ij,ij->i", x, y)
+
+
 def _left(low: np.ndarray, high: np.ndarray, node: np.ndarray, entry: np.ndarray, book: np.ndarray) -> np.ndarray:
     """Which pairs (node, entry), sorted by both, stay: those whose entry may be nearest to a point of the node's box.
 
@@ -120,16 +125,19 @@ def _left(low: np.ndarray, high: np.ndarray, node: np.ndarray, entry: np.ndarray
     """
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
     run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(node))))
-    middle = (low + high)[node[first]]
-    far = ((2 * book[entry] - middle[run]) ** 2).sum(1)
+    z, norm = book[entry], _dots(book, book)
+    middle = (low + high)[node]
+    # four times the distance to the middle, but for what is the same for all entries of a node
+    far = norm[entry] - _dots(z, middle)
     least = np.minimum.reduceat(far, first)
     # pairs are sorted by entry within a node: the first of the nearest has the lowest index
     hit = np.flatnonzero(far == least[run])
     best = entry[hit[np.searchsorted(run[hit], np.arange(len(first)))]]
     rival = best[run]
-    z, star = book[entry], book[rival]
-    corner = np.where(z > star, high[node], low[node])
-    gain = ((star - corner) ** 2).sum(1) - ((z - corner) ** 2).sum(1)
+    # by how much the rival is farther from the corner where z is ahead most
+    ahead = z - book[rival]
+    gain = norm[rival] - norm[entry] + _dots(ahead, middle)
+    gain += _dots(np.abs(ahead, out=ahead), (high - low)[node])
     return (gain > 0) | ((gain == 0) & (entry <= rival))
 
 
@@ -171,7 +179,7 @@ def assign(x: np.ndarray, tree: Tree, book: np.ndarray) -> tuple[np.ndarray, np.
             entry = entry[first[of] + at - half * size[of]]
             node = 2 * node[first[of]] + half
     whole = float((code >= 0).mean()) if len(x) else 0.0
-    cuts, norms = tree.levels[-1], (centres**2).sum(1)
+    cuts, norms = tree.levels[-1], _dots(centres, centres)
     first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
     for a, b in zip(first.tolist(), np.append(first, len(node))[1:].tolist(), strict=True):
         left, points = entry[a:b], slice(cuts[node[a]], cuts[node[a] + 1])
