@@ -106,6 +106,11 @@ class SpanHasher:
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self._sums[ends] - self._sums[starts]) * self._down[starts])
 
+    def without(self, starts: np.ndarray, places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Of spans with the value at ``places`` cut out: prefix and suffix hashes, joined; as ``spans`` of what is left."""
+        left = self._sums[places] - self._sums[starts] + (self._sums[ends] - self._sums[places + 1]) * _INVERSE
+        return mixed(left * self._down[starts])
+
     def windows(self, size: int) -> np.ndarray:
         """Of every window of ``size`` values, by its start."""
         n = max(0, len(self._sums) - size)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from scoutframe.llm import ann, bpe, chat, jaccard, lloyd, pack, passages, quality, shard, suffixes, toxicity
+from scoutframe.llm import ann, bpe, chat, exact, jaccard, lloyd, pack, passages, quality, shard, spelling, suffixes, toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (ann, bpe, chat, jaccard, lloyd, quality, pack, passages, shard, suffixes, toxicity):
+for module in (ann, bpe, chat, exact, jaccard, lloyd, quality, pack, passages, shard, spelling, suffixes, toxicity):
     QUERIES.update(module.QUERIES)
     ORACLE_SQL.update(module.ORACLE_SQL)
