@@ -25,29 +25,32 @@ def first_rows(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(own)).where("__n = 1").drop("__n")
 
 
-def deduped_games(box: DataFrame) -> DataFrame:
-    """One row per season, athlete and game; rows without an athlete or a game go."""
+def deduped_games(box: DataFrame, *by: str) -> DataFrame:
+    """One row per season, athlete and game; rows without an athlete or a game go.
+
+    ``by`` names the columns, season among them, that the rows are dealt by: groups of these and more need no further shuffle.
+    """
     keyed = box.where("athlete_id IS NOT NULL AND game_id IS NOT NULL")
-    return first_rows(keyed, ["season", "athlete_id", "game_id"], FIRST)
+    return first_rows(keyed.repartition(*by) if by else keyed, ["season", "athlete_id", "game_id"], FIRST)
 
 
 def played(games: DataFrame) -> DataFrame:
     return games.where(~F.coalesce("did_not_play", F.lit(False)))
 
 
+def _season_totals() -> list[Column]:
+    return [
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SUMS],
+        F.count("*").alias("games_played"),
+        F.sum(F.coalesce("starter", F.lit(False)).cast("long")).alias("games_started"),
+        F.countDistinct("team_id").alias("n_teams"),
+        F.max_by("team_id", F.struct("game_date", "game_id", "team_id")).alias("primary_team"),
+    ]
+
+
 def season_box(box: DataFrame) -> DataFrame:
-    """Totals per season and athlete over games played; all-null totals are 0."""
-    return (
-        played(deduped_games(box))
-        .groupBy("season", "athlete_id")
-        .agg(
-            *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in SUMS],
-            F.count("*").alias("games_played"),
-            F.sum(F.coalesce("starter", F.lit(False)).cast("long")).alias("games_started"),
-            F.countDistinct("team_id").alias("n_teams"),
-            F.max_by("team_id", F.struct("game_date", "game_id", "team_id")).alias("primary_team"),
-        )
-    )
+    """Totals per season and athlete over games played; all-null totals are 0.  One shuffle, by season and athlete."""
+    return played(deduped_games(box, "season", "athlete_id")).groupBy("season", "athlete_id").agg(*_season_totals())
 
 
 def duplicate_report(box: DataFrame) -> DataFrame:
@@ -70,18 +73,41 @@ def opponents(teams: DataFrame) -> DataFrame:
     return teams.join(other, ["season", "game_id"]).where("team_id <> opp_team_id")
 
 
+CONTEXT = [f"{side}_{c}" for side in ("tm", "opp") for c in TEAM]
+
+
+def games_in_context(box: DataFrame) -> DataFrame:
+    """Games played, each with the totals of the own team (once for each other team of the game) and of the other teams.
+
+    What ``opponents`` gives by joins, by windows over the rows of a game: one shuffle, by season and game.  A row without
+    a team has no context, and is nobody's opponent.
+    """
+    games = played(deduped_games(box, "season", "game_id"))
+    game = Window.partitionBy("season", "game_id")
+    there = F.col("team_id").isNotNull()
+    games = games.withColumn("__t", F.dense_rank().over(game.orderBy(F.col("team_id").asc_nulls_last())))
+    others = F.max(F.when(there, F.col("__t"))).over(game) - 1
+    by_team = game.orderBy("__t")
+    own, before, after = by_team.rangeBetween(0, 0), by_team.rangeBetween(Window.unboundedPreceding, -1), by_team.rangeBetween(1, Window.unboundedFollowing)
+    out = {}
+    for c in TEAM:
+        mine = F.when(there, F.col(c))
+        out[f"tm_{c}"] = F.when(there, F.coalesce(F.sum(mine).over(own), F.lit(0.0)) * others)
+        out[f"opp_{c}"] = F.when(there, F.coalesce(F.sum(mine).over(before), F.lit(0.0)) + F.coalesce(F.sum(mine).over(after), F.lit(0.0)))
+    return games.withColumns(out).drop("__t")
+
+
 def team_context(box: DataFrame) -> DataFrame:
     """Per season and athlete, team and opponent totals over the games played."""
-    pairs = opponents(team_games(box))
-    own = played(deduped_games(box)).select("season", "athlete_id", "game_id", "team_id")
-    names = [f"{side}_{c}" for side in ("tm", "opp") for c in TEAM]
-    return (
-        own.join(pairs, ["season", "game_id", "team_id"], "left")
-        .groupBy("season", "athlete_id")
-        .agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in names])
-    )
+    return games_in_context(box).groupBy("season", "athlete_id").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in CONTEXT])
+
+
+def season_in_context(box: DataFrame) -> DataFrame:
+    """``season_box`` and ``team_context`` of the same games in one pass: a shuffle by game, then one by athlete."""
+    return games_in_context(box).groupBy("season", "athlete_id").agg(*_season_totals(), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in CONTEXT])
 
 
+#: Shot types and their names.
 CATEGORIES = {"LayUpShot": "layup", "DunkShot": "dunk", "TipShot": "tip", "JumpShot": "jump"}
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoutframe.operators.quantiles import exact_quantiles
+
 
 def average_rank(value: str, keys: list[str]) -> Column:
     """Average rank, ascending, within the keys."""
@@ -59,9 +61,10 @@ def at_k(df: DataFrame, keys: list[str], score: str, label: str, ident: str, k:
 
 
 def calibration(df: DataFrame, keys: list[str], p: str, label: str, bins: int = 10) -> DataFrame:
-    """Bins of equal width: n, mean prediction, observed share, gap."""
-    b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("long")
-    g = df.groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_pred"), F.avg(F.col(label).cast("double")).alias("observed"))
+    """Bins between the deciles of the group's own predictions, equal edges dropped: n, mean prediction, observed share, gap."""
+    edges = exact_quantiles(df, keys, p, [k / bins for k in range(bins + 1)]).select(*keys, F.array_distinct("quantiles").alias("__edges"))
+    b = F.greatest(F.size(F.filter("__edges", lambda e: e < F.col(p))) - 1, F.lit(0)).cast("long")
+    g = df.join(edges, keys).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_pred"), F.avg(F.col(label).cast("double")).alias("observed"))
     return g.withColumn("gap", F.abs(F.col("mean_pred") - F.col("observed")))
 
 
@@ -77,20 +80,55 @@ def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return r.groupBy(*keys).agg((F.covar_pop("__ra", "__rb") / spread).alias("spearman"))
 
 
+def _dense(value: str, keys: list[str]) -> Column:
+    return F.dense_rank().over(Window.partitionBy(*keys).orderBy(value)) - 1
+
+
+#: Places of the first order that are counted together before they are counted one by one.
+KENDALL_BLOCK = 4096
+
+
+def discordant(cells: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, discordant): pairs of ``cells`` (keys, a, b whole numbers from 0, n) with a smaller ``a`` and a larger ``b``.
+
+    Two values of ``b`` first differ in one bit, so a pair is counted at that bit: among cells that agree in all higher
+    bits, those with a 1 there that come before those with a 0.  A cell gives a row for each bit, and a running count
+    over blocks of ``a``, then within each, counts the pairs: no pair is made, and no task holds a group.
+    """
+    top = cells.withColumn("__top", F.max(b).over(Window.partitionBy(*keys)))
+    bits = top.withColumn("__bit", F.explode(F.sequence(F.lit(0), F.length(F.bin("__top")) - 1)))
+    one = F.expr(f"shiftright(`{b}`, __bit) & 1") == 1
+    at = [*keys, "__bit", "__prefix"]
+    placed = (
+        bits.withColumn("__prefix", F.expr(f"shiftright(`{b}`, __bit + 1)"))
+        .groupBy(*at, F.col(a).alias("__a"))
+        .agg(F.sum(F.when(one, F.col("n")).otherwise(0)).alias("__ones"), F.sum(F.when(one, 0).otherwise(F.col("n"))).alias("__zeros"))
+        .withColumn("__block", F.floor(F.col("__a") / KENDALL_BLOCK))
+    )
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy(*at, "__block").agg(F.sum("__ones").alias("__ones"), F.sum("__zeros").alias("__zeros"))
+    apart = blocks.withColumn("__d", F.coalesce(F.sum("__ones").over(before(at, "__block")), F.lit(0)) * F.col("__zeros"))
+    inside = placed.withColumn("__d", F.coalesce(F.sum("__ones").over(before([*at, "__block"], "__a")), F.lit(0)) * F.col("__zeros"))
+    both = apart.select(*keys, "__d").unionAll(inside.select(*keys, "__d"))
+    return both.groupBy(*keys).agg(F.sum("__d").alias("discordant"))
+
+
 def kendall(df: DataFrame, keys: list[str], a: str, b: str, ident: str) -> DataFrame:
-    """Tau-b per group, from the distinct value pairs of a group and their counts."""
-    cell = df.groupBy(*keys, a, b).agg(F.count("*").alias("n"))
-    x, y = cell.alias("x"), cell.select(*keys, F.col(a).alias("__ka"), F.col(b).alias("__kb"), F.col("n").alias("__kn"))
-    sign = F.signum(F.col(a) - F.col("__ka")) * F.signum(F.col(b) - F.col("__kb"))
-    s = x.join(y, keys).groupBy(*keys).agg((F.sum(sign * F.col("n") * F.col("__kn")) / 2).alias("s"))
+    """Tau-b per group, from counts of discordant and tied pairs; rows without both values play no part, NULL where a side is constant."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    cells = rows.groupBy(*keys, F.col(a).alias("__va"), F.col(b).alias("__vb")).agg(F.count("*").alias("n"))
+    cells = cells.withColumns({"__a": _dense("__va", keys), "__b": _dense("__vb", keys)})
+    pairs = lambda n: F.sum(n * (n - 1) / 2)
 
-    def untied(c: str) -> DataFrame:
-        t = df.groupBy(*keys, c).agg(F.count("*").alias("t"))
-        return t.groupBy(*keys).agg(((F.sum("t") * (F.sum("t") - 1) - F.sum(F.col("t") * (F.col("t") - 1))) / 2).alias(f"pairs_{c}"))
+    def tied(c: str) -> DataFrame:
+        return cells.groupBy(*keys, c).agg(F.sum("n").alias("__t")).groupBy(*keys).agg(pairs(F.col("__t")).alias(f"__tied{c}"))
 
-    out = s.join(untied(a), keys).join(untied(b), keys)
-    bound = F.sqrt(F.col(f"pairs_{a}")) * F.sqrt(F.col(f"pairs_{b}"))
-    return out.select(*keys, F.when(bound > 0, F.col("s") / bound).alias("kendall"))
+    whole = cells.groupBy(*keys).agg(pairs(F.col("n")).alias("__same"), (F.sum("n") * (F.sum("n") - 1) / 2).alias("__all"))
+    out = _joined(keys, whole, tied("__a"), tied("__b"), discordant(cells, keys, "__a", "__b"))
+    ties = F.col("__tied__a") + F.col("__tied__b") - F.col("__same")
+    concordant = F.col("__all") - ties - F.coalesce("discordant", F.lit(0))
+    bound = F.sqrt(F.col("__all") - F.col("__tied__a")) * F.sqrt(F.col("__all") - F.col("__tied__b"))
+    return out.select(*keys, F.when(bound > 0, (concordant - F.coalesce("discordant", F.lit(0))) / bound).alias("kendall"))
 
 
 def ndcg(df: DataFrame, keys: list[str], score: str, gain: str, k: int | None = None, name: str = "ndcg") -> DataFrame:
@@ -112,9 +150,8 @@ def ndcg(df: DataFrame, keys: list[str], score: str, gain: str, k: int | None =
 def class_recall(df: DataFrame, keys: list[str], pred: str, pick: str, ident: str) -> DataFrame:
     """Of the first 14 and 30 actual picks, the share among as many best predictions; and how many of the better predicted half are in the better half."""
     n = F.count("*").over(Window.partitionBy(*keys))
-    rows = df.withColumns(
-        {"__k": F.row_number().over(Window.partitionBy(*keys).orderBy(pred, ident)), "__n": n, "__m": F.percentile(pick, 0.5).over(Window.partitionBy(*keys))}
-    )
+    middle = exact_quantiles(df, keys, pick, [0.5]).select(*keys, F.col("quantiles")[0].alias("__m"))
+    rows = df.withColumns({"__k": F.row_number().over(Window.partitionBy(*keys).orderBy(pred, ident)), "__n": n}).join(middle, keys, "left")
     half = F.greatest(F.lit(1), F.floor(F.col("__n") / 2))
 
     def recall(cut: int) -> Column:
@@ -188,5 +225,7 @@ def surprises(df: DataFrame, keys: list[str], predicted: str, actual: str, ident
 
 
 def errors(df: DataFrame, keys: list[str], pred: str, truth: str) -> DataFrame:
-    e = F.abs(F.col(pred) - F.col(truth))
-    return df.groupBy(*keys).agg(F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.percentile(e, 0.5).alias("median_ae"))
+    rows = df.withColumn("__e", F.abs(F.col(pred) - F.col(truth)))
+    middle = exact_quantiles(rows, keys, "__e", [0.5]).select(*keys, F.col("quantiles")[0].alias("median_ae"))
+    e = F.col("__e")
+    return rows.groupBy(*keys).agg(F.avg(e).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")).join(middle, keys, "left")

@@ -78,11 +78,11 @@ def fit_order(train: DataFrame, names: list[str], target: str, position: str | N
 
 
 def to_target(pick: Column, size: Column, kind: str) -> Column:
-    return {"raw": pick, "log": F.ln(pick), "percentile": (pick - 0.5) / size, "value": (size + 1 - pick) / size}[kind]
+    return {"raw": pick, "log": F.ln(pick), "percentile": (pick - 1) / (size - 1), "value": (size + 1 - pick) / size}[kind]
 
 
 def from_target(t: Column, size: Column, kind: str) -> Column:
-    return {"raw": t, "log": F.exp(t), "percentile": t * size + 0.5, "value": size + 1 - t * size}[kind]
+    return {"raw": t, "log": F.exp(t), "percentile": t * (size - 1) + 1, "value": size + 1 - t * size}[kind]
 
 
 def folds(years: list[int], first_test: int) -> list[tuple[list[int], int]]:

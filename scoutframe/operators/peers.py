@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutframe.functions import expr as X
+from scoutframe.operators.quantiles import bucket, exact_quantiles, from_counts
 
 STEPS = [q / 100 for q in range(101)]
 
@@ -17,27 +18,33 @@ def long_metrics(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFram
 def moments(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Count, mean, sample deviation, median and four more quantiles of every group and metric."""
     steps = (50, 10, 25, 75, 90)
-    found = long_metrics(df, keys, metrics).groupBy(*keys, "metric").agg(
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.percentile("value", F.array(*[F.lit(q / 100) for q in steps])).alias("__q"),
-    )
-    quantiles = [F.col("__q")[k].alias("median" if q == 50 else f"p{q}") for k, q in enumerate(steps)]
-    return found.select(*keys, "metric", "n", "mean", "std", *quantiles)
+    rows = long_metrics(df, keys, metrics)
+    found = rows.groupBy(*keys, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    placed = exact_quantiles(rows, [*keys, "metric"], "value", [q / 100 for q in steps])
+    quantiles = [F.col("quantiles")[k].alias("median" if q == 50 else f"p{q}") for k, q in enumerate(steps)]
+    return joined_on(found, placed.drop("n"), [*keys, "metric"]).select(*keys, "metric", "n", "mean", "std", *quantiles)
+
+
+def joined_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """A left join in which a null key is a key like any other."""
+    side = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    whole = on[0]
+    for c in on[1:]:
+        whole = whole & c
+    return left.join(side, whole, "left").drop(*[f"__r_{k}" for k in keys])
 
 
 def grids(df: DataFrame, season: str, group: str, metrics: list[str], least: int = 50) -> DataFrame:
     """101-point quantile grids for each group and for all (GLOBAL); groups with fewer values have none."""
     rows = long_metrics(df, [season, group], metrics)
-    both = rows.select(season, F.lit("GLOBAL").alias("reference_group"), "metric", "value").unionAll(
-        rows.where(F.col(group).isNotNull() & (F.col(group) != "UNKNOWN")).select(season, F.col(group), "metric", "value")
-    )
-    return (
-        both.groupBy(season, "reference_group", "metric")
-        .agg(F.percentile("value", F.array(*map(F.lit, STEPS))).alias("grid"), F.count("value").alias("n"))
-        .where(F.col("n") >= least)
-    )
+    scopes = F.when(F.col(group).isNotNull() & (F.col(group) != "UNKNOWN"), F.array(F.lit("GLOBAL"), F.col(group))).otherwise(F.array(F.lit("GLOBAL")))
+    # each value is counted once for its group before it is told to both
+    counts = rows.groupBy(season, scopes.alias("__scopes"), "metric", "value").agg(F.count("*").alias("c"))
+    keys = [season, "reference_group", "metric"]
+    told = counts.withColumn("reference_group", F.explode("__scopes")).groupBy(*keys, "value").agg(F.sum("c").alias("n"))
+    placed = from_counts(told, keys, "value", STEPS).where(F.col("n") >= least)
+    return placed.select(*keys, F.col("quantiles").alias("grid"), "n")
 
 
 def grid_percentiles(df: DataFrame, grid: DataFrame, season: str, group: str, metric: str) -> DataFrame:
@@ -82,7 +89,8 @@ def external_percentiles(values: DataFrame, reference: DataFrame, keys: list[str
     """Adds to ``values`` ``midrank`` (100 (lo + hi) / 2n) and ``left_percentile`` ((lo + 0.5) / (n + 1)) in ``reference``.
 
     lo counts smaller reference values, hi those at or below.  Rows become counts of
-    distinct values before any sorted pass, so a window holds a row for each value of a key.
+    distinct values, and values fall into buckets that keep their order: a running count over
+    the buckets of a key and one within each bucket place every value, so no task sorts all values of a key.
     """
     counts = (
         values.select(*keys, value, F.lit(0).alias("__c"))
@@ -90,9 +98,14 @@ def external_percentiles(values: DataFrame, reference: DataFrame, keys: list[str
         .where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.sum("__c").alias("__own"))
+        .withColumn("__b", bucket(F.col(value)))
     )
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumns({"__hi": F.sum("__own").over(upto), "__n": F.sum("__own").over(Window.partitionBy(*keys))})
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*keys, "__b").agg(F.sum("__own").alias("__m"))
+    totals = totals.select(*keys, "__b", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__before"), F.sum("__m").over(whole).alias("__n"))
+    upto = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = joined_on(counts, totals, [*keys, "__b"]).withColumn("__hi", F.sum("__own").over(upto) + F.col("__before")).drop("__b", "__before")
     lo, n = F.col("__hi") - F.col("__own"), F.col("__n")
     return (
         values.join(placed, [*keys, value], "left")

@@ -39,7 +39,9 @@ def top_columns(scores: list[tuple[str, Column]], n: int, least: float | None =
 
 def quantile_bins(df: DataFrame, value: str, bins: int = 10) -> DataFrame:
     """Adds ``bin`` by quantile edges, equal edges dropped; the lowest edge belongs to the first bin."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(bins + 1)]))).alias("edges"))
+    from scoutframe.operators.quantiles import exact_quantiles
+
+    edges = exact_quantiles(df, [], value, [k / bins for k in range(bins + 1)]).select(F.array_distinct("quantiles").alias("edges"))
     joined = df.crossJoin(F.broadcast(edges))  # one row
     below = F.size(F.filter("edges", lambda e: e < F.col(value)))
     return joined.withColumn("bin", F.when(F.col(value).isNotNull(), F.greatest(below - 1, F.lit(0))).cast("long")).drop("edges")

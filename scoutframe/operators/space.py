@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from scoutframe.functions import expr as X
 from scoutframe.functions.text import name_key
 from scoutframe.operators.peers import external_percentiles
-from scoutframe.operators.similar import pairs
 
 #: A group with fewer reference rows is measured against the whole league.
 LEAST_GROUP = 30
@@ -83,17 +82,6 @@ def without_self(met: DataFrame, key: str, other_key: str) -> DataFrame:
     return met.where((mine == "") | ~mine.eqNullSafe(F.col(other_key)))
 
 
-def distance_reference(df: DataFrame, pool: DataFrame, ident: str, other: str, metric: str = "euclid", most: int | None = None, seed: int = 0) -> DataFrame:
-    """(distance) of every row with every row of the pool; with ``most``, of so many rows, the first by a hash of their id and the seed.
-
-    ``df``: ident, vec; ``pool``: other, other_vec.
-    """
-    rows = df.where(F.exists("vec", lambda x: x.isNotNull()))
-    if most is not None:
-        rows = rows.orderBy(F.md5(F.concat_ws("/", F.col(ident).cast("string"), F.lit(str(seed)))), ident).limit(most)
-    return pairs(rows, pool, ident, other, "vec", "other_vec", metric).where("distance IS NOT NULL").select("distance")
-
-
 def within_pool_percentile(df: DataFrame, keys: list[str], distance: str, ident: str) -> DataFrame:
     """Adds ``within_pool``: 100 (n - 1 - rank) / (n - 1) among the rows of the keys that have a distance."""
     own = Window.partitionBy(*keys)

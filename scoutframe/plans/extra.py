@@ -80,22 +80,32 @@ def similarity_scores(spark, sf_dir):
     return rounded(S.farther_share(c, c.where("c_custkey % 2 = 0"), "c_acctbal").select("c_custkey", "similarity"))
 
 
-@query("WITH t AS (SELECT quantile_cont(c_acctbal, [" + ", ".join(str(q / 100) for q in range(101)) + "]) AS cuts FROM customer) SELECT s_suppkey, 100 - least(len(list_filter(cuts, lambda x: x < s_acctbal)), 100) AS score FROM supplier, t")
-def threshold_scores(spark, sf_dir):
-    cuts = S.thresholds(read(spark, sf_dir, "customer"), "c_acctbal")
-    s = read(spark, sf_dir, "supplier").crossJoin(F.broadcast(cuts))  # one row
-    return s.select("s_suppkey", S.score_from_thresholds(F.col("s_acctbal"), F.col("cuts")).cast("long").alias("score"))
+_PAIRED = """met AS (SELECT sqrt(list_avg([(m.points_per_game - p.points_per_game) ** 2, (m.rebounds_per_40 - p.rebounds_per_40) ** 2, (m.ts_pct - p.ts_pct) ** 2])) AS d FROM rates m JOIN pool p ON m.athlete_id <> p.athlete_id)"""
+CUTS_SQL = f"""{POOL_SQL}, {_PAIRED}, ranked AS (SELECT count(d) AS n, list_sort(list(d) FILTER (d IS NOT NULL)) AS ds FROM met),
+bands AS (SELECT s, n, ds, round_even(100.0::DOUBLE * (n - k) / n, 0) = s AS ok, k FROM (SELECT s, n, ds, (200 * n - n * (2 * s - 1)) // 200 - CASE WHEN (200 * n - n * (2 * s - 1)) % 200 = 0 AND s % 2 = 1 THEN 1 ELSE 0 END AS k0, least(n, k0) AS k FROM ranked, (SELECT unnest(range(0, 101)) AS s))),
+cuts AS (SELECT s AS score, n, CASE WHEN ok THEN ds[least(k, n - 1) + 1] END AS upto FROM bands)"""
+_SPACE = ["points_per_game", "rebounds_per_40", "ts_pct"]
+
+
+def _cuts(spark, sf_dir):
+    mine = rates(spark, sf_dir).select("athlete_id", F.array(*_SPACE).alias("vec"))
+    pool = _pool(spark, sf_dir).select(F.col("athlete_id").alias("other_id"), F.array(*_SPACE).alias("other_vec"))
+    return S.thresholds(mine, pool, "athlete_id", "other_id", len(_SPACE))
 
 
-@query(f"""WITH {POOL_SQL}, mine AS (SELECT * FROM rates WHERE season = 2001 AND points_per_game IS NOT NULL ORDER BY md5(concat_ws('/', athlete_id::VARCHAR, '7')), athlete_id LIMIT 20)
-SELECT count(*) AS n, round(avg(d), 6) AS mean, round(min(d), 6) AS low, round(max(d), 6) AS high FROM (SELECT (abs(m.points_per_game - p.points_per_game) + abs(m.rebounds_per_40 - p.rebounds_per_40)) / 2 AS d FROM mine m, pool p WHERE m.athlete_id <> p.athlete_id)""")
+@query(f"WITH {CUTS_SQL} SELECT score::INT AS score, n, round(upto, 6) AS upto FROM cuts")
 def distance_reference(spark, sf_dir):
-    """The scale of distances: 20 prospects, by a seed, against the whole pool."""
-    dims = ["points_per_game", "rebounds_per_40"]
-    mine = rates(spark, sf_dir).where("season = 2001 AND points_per_game IS NOT NULL").select("athlete_id", F.array(*dims).alias("vec"))
-    pool = _pool(spark, sf_dir).select(F.col("athlete_id").alias("other_id"), F.array(*dims).alias("other_vec"))
-    d = C.distance_reference(mine, pool, "athlete_id", "other_id", "manhattan", 20, 7)
-    return rounded(d.agg(F.count("*").alias("n"), F.avg("distance").alias("mean"), F.min("distance").alias("low"), F.max("distance").alias("high")))
+    """Where the score falls, over the distances of every season row to the whole pool."""
+    cuts = _cuts(spark, sf_dir).select("n", F.posexplode("cuts").alias("i", "upto"))
+    return rounded(cuts.select((100 - F.col("i")).alias("score"), "n", "upto"))
+
+
+@query(f"WITH {CUTS_SQL} SELECT s_suppkey, coalesce((SELECT max(score) FROM cuts WHERE round(upto, 9) >= round(abs(s_acctbal) / 1000, 9)), 0) AS score FROM supplier")
+def threshold_scores(spark, sf_dir):
+    """Balances in the role of distances."""
+    cuts = _cuts(spark, sf_dir).select(F.transform("cuts", lambda c: F.round(c, 9)).alias("cuts"))
+    s = read(spark, sf_dir, "supplier").crossJoin(F.broadcast(cuts))  # one row
+    return s.select("s_suppkey", S.score_from_thresholds(F.round(F.abs("s_acctbal") / 1000, 9), F.col("cuts")).alias("score"))
 
 
 _KEYED = "trim(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(name)), '\\b(jr|sr|ii|iii|iv|v)\\b\\.?', '', 'g'), '[^a-z ]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -120,12 +130,17 @@ def school_keys(spark, sf_dir):
     return read(spark, sf_dir, "supplier").select("s_suppkey", T.school_key(s).alias("school"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey AS id, CASE WHEN l_linenumber < 7 THEN l_suppkey END AS other FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN l_partkey WHEN 2 THEN l_partkey WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE l_partkey // 2 END AS id FROM lineitem")
 def integer_ids(spark, sf_dir):
-    """Ids that arrive as doubles and as text."""
-    c = F.col
-    other = F.when(c("l_linenumber") < 7, c("l_suppkey").cast("double").cast("string")).otherwise("none")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.to_id(c("l_partkey").cast("double")).alias("id"), X.to_id(other).alias("other"))
+    """Ids as doubles in text, with blanks, missing, no numbers, and with halves that are cut."""
+    n, k = F.col("l_linenumber"), F.col("l_partkey")
+    text = (
+        F.when(n == 1, k.cast("double").cast("string"))
+        .when(n == 2, F.concat(F.lit("  "), k.cast("string"), F.lit(" ")))
+        .when(n == 3, F.concat(F.lit("x"), k.cast("string")))
+        .when(n != 4, (k / 2).cast("string"))
+    )
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.to_id(text).alias("id"))
 
 
 # boards and metrics
@@ -211,12 +226,13 @@ def historical_score(spark, sf_dir):
     return B.overall_score(x.where("year >= 1995"), ["g"], "p", x.where("year < 1995")).select("g", "id", F.col("overall_score").cast("long"))
 
 
-@query("SELECT o_orderkey, o_totalprice AS raw, round(ln(p), 6) AS log, round((p - 0.5) / 60, 6) AS percentile, round((61 - p) / 60, 6) AS value, round(p, 6) AS back FROM (SELECT *, (o_custkey % 60 + 1)::DOUBLE AS p FROM orders)")
+@query("SELECT o_orderkey, o_totalprice AS raw, round(ln(p), 6) AS log, round((p - 1) / 59, 6) AS percentile, round((61 - p) / 60, 6) AS value, round(p, 6) AS back, round(p, 6) AS back_percentile FROM (SELECT *, (o_custkey % 60 + 1)::DOUBLE AS p FROM orders)")
 def target_transforms(spark, sf_dir):
     p, size = (F.col("o_custkey") % 60 + 1).cast("double"), F.lit(60.0)
     kinds = {k: model.to_target(p, size, k).alias(k) for k in ("log", "percentile", "value")}
     back = model.from_target(model.to_target(p, size, "value"), size, "value").alias("back")
-    return rounded(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("raw"), *kinds.values(), back))
+    back_percentile = model.from_target(model.to_target(p, size, "percentile"), size, "percentile").alias("back_percentile")
+    return rounded(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("raw"), *kinds.values(), back, back_percentile))
 
 
 # views
@@ -277,23 +293,38 @@ def status_counts(spark, sf_dir):
     return W.status_counts(read(spark, sf_dir, "events").withColumn("s", F.nullif("event_type", F.lit("view"))), "s")
 
 
-@query("SELECT feature FROM (SELECT 'huge' AS feature, count(*) FILTER (value > 1e12) AS n FROM events UNION ALL SELECT 'value', count(value) FROM events) WHERE n = 0")
+@query("SELECT event_type || '_' || b AS feature FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest(range(0, 12)) AS b) EXCEPT SELECT event_type || '_' || floor(value / 25)::BIGINT FROM events")
 def never_present(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("value", F.when(F.col("value") > 1e12, F.col("value")).alias("huge"))
-    return W.never_present(e, ["huge", "value"])
+    """Kinds of events by bands of value: which of them no event has."""
+    e = read(spark, sf_dir, "events")
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a handful
+    names = {f"{k}_{b}": F.when((F.col("event_type") == k) & (F.floor(F.col("value") / 25) == b), F.col("value")) for k in kinds for b in range(12)}
+    return W.never_present(e.select(*[c.alias(n) for n, c in names.items()]), list(names))
 
 
-@query("SELECT page_id, 'cc0' AS license, url AS attribution, substr(html, 1, 20) AS thumbnail FROM pages WHERE page_id % 3 > 0 AND trim(coalesce(url, '')) <> '' AND trim(coalesce(substr(html, 1, 20), '')) <> ''")
+@query("""WITH p AS (SELECT page_id, CASE WHEN length(html) % 5 = 0 THEN 'MISSING' ELSE 'OK' END AS status, CASE WHEN contains(html, 'the') THEN 'CC BY 4.0' ELSE '  ' END AS license, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS attribution, regexp_extract(html, 'href="([^"]+)"', 1) AS thumbnail FROM pages)
+SELECT page_id, license, attribution, thumbnail FROM p WHERE status = 'OK' AND trim(license) <> '' AND trim(attribution) <> '' AND trim(thumbnail) <> ''""")
 def photo_index(spark, sf_dir):
-    p = read(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 > 0, "OK").otherwise("MISSING").alias("status"), F.lit("cc0").alias("license"), F.col("url").alias("attribution"), F.substring("html", 1, 20).alias("thumbnail"))
+    c = F.col
+    p = read(spark, sf_dir, "pages").select(
+        "page_id", F.when(F.length("html") % 5 == 0, "MISSING").otherwise("OK").alias("status"), F.when(c("html").contains("the"), "CC BY 4.0").otherwise("  ").alias("license"),
+        F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("attribution"), F.regexp_extract("html", 'href="([^"]+)"', 1).alias("thumbnail"),
+    )
     return W.photo_index(p, "page_id")
 
 
-@query("SELECT p_partkey, p_size % 4 IN (0, 1) AS free FROM part")
+_LICENCE_SQL = "['CC', 'cc', 'Cc'][(p_size % 3 + 1)::INT] || [' ', '-'][(p_partkey % 2 + 1)::INT] || ['BY', 'BY-SA', 'by-nc', 'BY-ND', 'by sa'][(p_size % 5 + 1)::INT] || ['', ' 4.0', ' 2', ' deed', '-3.0'][(p_partkey % 5 + 1)::INT]"
+
+
+@query(f"""WITH l AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 7 = 1 THEN ['Public domain', 'PD old', 'All rights reserved', 'CC0', 'PDM'][(p_size % 5 + 1)::INT] ELSE {_LICENCE_SQL} END AS name FROM part), c AS (SELECT *, regexp_replace(replace(lower(name), '-', ' '), ' \\d(\\.\\d)?$', '') AS bare FROM l)
+SELECT p_partkey, coalesce(bare IN ('cc by', 'cc by sa', 'cc0', 'public domain') OR starts_with(lower(name), 'pd '), false) AS free FROM c""")
 def free_licenses(spark, sf_dir):
-    """Sizes in the role of licences."""
-    texts = F.array(*map(F.lit, ("CC BY-SA 4.0", "Public domain", "All rights reserved", "CC BY-NC 4.0")))
-    return read(spark, sf_dir, "part").select("p_partkey", T.free_license(F.element_at(texts, (F.col("p_size") % 4 + 1).cast("int"))).alias("free"))
+    """Licences put together of parts that vary: with and without share-alike, versions and words that take the freedom back."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    one = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    made = F.concat(one(("CC", "cc", "Cc"), z), one((" ", "-"), k), one(("BY", "BY-SA", "by-nc", "BY-ND", "by sa"), z), one(("", " 4.0", " 2", " deed", "-3.0"), k))
+    other = one(("Public domain", "PD old", "All rights reserved", "CC0", "PDM"), z)
+    return read(spark, sf_dir, "part").select("p_partkey", T.free_license(F.when(k % 7 == 1, other).when(k % 7 != 0, made)).alias("free"))
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM customer ORDER BY md5(concat_ws('/', c_custkey::VARCHAR, '11')), c_custkey LIMIT 25")
@@ -302,10 +333,10 @@ def seeded_sample(spark, sf_dir):
     return ordered(clean_numbers(W.sampled(c, "c_custkey", 25, 11)), "c_custkey")
 
 
-@query("SELECT doc_id, w AS word FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')[1:8]) AS w FROM documents WHERE text IS NOT NULL) WHERE w IN ('the', 'a', 'of') GROUP BY ALL")
+@query("SELECT doc_id, w AS word, count(*) AS n FROM (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents WHERE text IS NOT NULL) WHERE w IN ('the', 'a', 'of') GROUP BY ALL")
 def list_membership(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.slice(F.split(F.lower("text"), " "), 1, 8)).alias("word"))
-    return d.where(F.array_contains(F.array(*map(F.lit, ("the", "a", "of"))), F.col("word"))).distinct()
+    d = read(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    return d.where(F.array_contains(F.array(*map(F.lit, ("the", "a", "of"))), F.col("word"))).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
 # assembly
@@ -388,11 +419,19 @@ def player_seasons(spark, sf_dir):
     return rounded(D.player_seasons(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), least, "k", ["F", "O"], ["P"]))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity AS fgm, NULL::DOUBLE AS steals, l_quantity - l_linenumber AS two_points_made, NULL::DOUBLE AS two_points_attempted, year(l_shipdate) AS draft_year FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS fgm, CASE WHEN l_suppkey % 3 > 0 THEN l_linenumber::DOUBLE END AS tpm, CASE WHEN l_partkey % 4 > 0 THEN l_extendedprice END AS steals, NULL::DOUBLE AS blocks, CASE WHEN l_suppkey % 3 > 0 THEN l_quantity - l_linenumber END AS two_points_made, CASE WHEN l_suppkey % 3 > 0 THEN 2 * l_quantity - l_linenumber END AS two_points_attempted, year(l_shipdate) AS draft_year FROM lineitem")
 def internal_frame(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", F.col("l_quantity").cast("string").alias("field_goals"), F.col("l_linenumber").alias("threes"))
-    out = D.to_primitives(rows, {"field_goals": "fgm", "threes": "tpm", "absent": "x"}, ["steals"], F.year("l_shipdate"))
-    return out.select("l_orderkey", "l_linenumber", "fgm", "steals", "two_points_made", "two_points_attempted", "draft_year")
+    """Counts that arrive as text, some of them no numbers, under the names of an import file; one is absent."""
+    c = F.col
+    rows = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_shipdate", c("l_quantity").cast("string").alias("field_goals"), (2 * c("l_quantity")).alias("field_goal_attempts"),
+        F.when(c("l_suppkey") % 3 > 0, c("l_linenumber").cast("string")).otherwise("--").alias("threes"), c("l_linenumber").alias("three_attempts"),
+        F.when(c("l_partkey") % 4 > 0, c("l_extendedprice")).otherwise(float("nan")).alias("thefts"),
+    )
+    rows = rows.withColumn("three_attempts", F.when(c("l_orderkey") >= 0, F.when(c("threes") != "--", c("three_attempts"))))
+    renamed = {"field_goals": "fgm", "field_goal_attempts": "fga", "threes": "tpm", "three_attempts": "tpa", "thefts": "steals", "absent": "x"}
+    out = D.to_primitives(rows, renamed, ["steals", "blocks"], F.year("l_shipdate"))
+    return out.select("l_orderkey", "l_linenumber", "fgm", "tpm", "steals", "blocks", "two_points_made", "two_points_attempted", "draft_year")
 
 
 _CALLED = "chr((97 + {0} % 5)::INT) || 'son'"
@@ -445,11 +484,13 @@ def key_coverage(spark, sf_dir):
     return G.key_coverage(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber % 4 = 0")
+@query("""WITH n AS (SELECT event_id, user_id, ['pick', 'picks', 'drafted', 'Pick', 'round', 'rounds', 'value', 'drafted_at'][(event_id % 8 + 1)::INT] AS name, event_type FROM events) SELECT event_id FROM n WHERE name IN ('pick', 'drafted', 'round') AND NOT (event_type = 'view')""")
 def payload_scan(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem")
-    doc = F.when(F.col("l_linenumber") % 4 == 0, F.to_json(F.struct(F.struct(F.col("l_quantity").alias("pick")).alias("deep")))).otherwise(F.to_json(F.struct(F.col("l_quantity").alias("picked_up"))))
-    return G.text_leaks(li.withColumn("doc", doc), "doc").select("l_orderkey", "l_linenumber")
+    """Keys of eight names, of which three tell outcomes, in a document or, for views, only in its text."""
+    name = F.element_at(F.array(*map(F.lit, ("pick", "picks", "drafted", "Pick", "round", "rounds", "value", "drafted_at"))), (F.col("event_id") % 8 + 1).cast("int"))
+    deep = F.to_json(F.create_map(name, F.col("user_id").cast("string")))
+    doc = F.when(F.col("event_type") == "view", F.concat(F.lit('{"text": "'), name, F.lit(' of the day"}'))).otherwise(F.concat(F.lit('{"a": [{"b": '), deep, F.lit("}]}")))
+    return G.text_leaks(read(spark, sf_dir, "events").withColumn("doc", doc), "doc").select("event_id")
 
 
 @query("SELECT l_orderkey, l_linenumber, 'error' AS severity, 'l_linenumber' AS field FROM lineitem WHERE l_linenumber > l_quantity UNION ALL SELECT l_orderkey, l_linenumber, 'warning', 'boards' FROM lineitem WHERE abs(l_quantity + l_linenumber - (l_suppkey % 60)) > 1 UNION ALL SELECT l_orderkey, l_linenumber, 'error', 'started' FROM lineitem WHERE l_suppkey % 40 > l_quantity")

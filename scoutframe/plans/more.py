@@ -64,17 +64,31 @@ def text_normalize(spark, sf_dir):
     return _plain(spark, sf_dir)
 
 
-@query(_PLAIN)
+@query(_PLAIN.replace("doc_id", "conv_id, turn").replace("FROM documents", "FROM conversations"))
 def text_normalize_whole(spark, sf_dir):
-    """The same as ``text_normalize``, which once had two languages."""
-    return _plain(spark, sf_dir)
+    """Every turn of the conversations."""
+    plain = T.squeezed(F.regexp_replace(T.unaccented(F.col("text")), "[^a-z ]", " "))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", plain.alias("plain"))
+
+
+_PAIR_SQL = "SELECT l_orderkey, l_linenumber, l_quantity, CASE l_suppkey % 5 WHEN 0 THEN l_linenumber || '-' || l_quantity WHEN 1 THEN ' ' || (l_linenumber + 0.5::DOUBLE) || '-' || l_partkey || ' ' WHEN 2 THEN '--' WHEN 3 THEN l_linenumber || '-' || l_quantity || '-' || l_partkey ELSE l_linenumber || '/' || l_quantity END AS pair FROM lineitem"
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, l_linenumber::DOUBLE AS made, l_quantity AS attempted FROM lineitem")
+@query(f"""WITH p AS (SELECT *, string_split(trim(pair), '-') AS s FROM ({_PAIR_SQL})) SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN len(s) = 2 THEN TRY_CAST(s[1] AS DOUBLE) END AS made, CASE WHEN len(s) = 2 THEN TRY_CAST(s[2] AS DOUBLE) END AS attempted FROM p""")
 def parse_made_attempted(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").withColumn("pair", F.concat(F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_quantity").cast("string")))
-    made, attempted = T.made_attempted(F.col("pair"))
-    return li.select("l_orderkey", "l_linenumber", "l_quantity", made.alias("made"), attempted.alias("attempted"))
+    """Pairs of whole and of broken numbers with blanks around them, and three shapes that are none."""
+    c = F.col
+    text = lambda x: x.cast("string")
+    plain = F.concat(text(c("l_linenumber")), F.lit("-"), text(c("l_quantity")))
+    pair = (
+        F.when(c("l_suppkey") % 5 == 0, plain)
+        .when(c("l_suppkey") % 5 == 1, F.concat(F.lit(" "), text(c("l_linenumber") + F.lit(0.5)), F.lit("-"), text(c("l_partkey")), F.lit(" ")))
+        .when(c("l_suppkey") % 5 == 2, "--")
+        .when(c("l_suppkey") % 5 == 3, F.concat(plain, F.lit("-"), text(c("l_partkey"))))
+        .otherwise(F.concat(text(c("l_linenumber")), F.lit("/"), text(c("l_quantity"))))
+    )
+    made, attempted = T.made_attempted(pair)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", made.alias("made"), attempted.alias("attempted"))
 
 
 @query(f"WITH {BIO_SQL} SELECT athlete_id, CASE WHEN label IN ('G', 'PG', 'SG') THEN 'G' WHEN label IN ('F', 'SF', 'PF') THEN 'F' WHEN label = 'C' THEN 'C' ELSE 'UNKNOWN' END AS position, floor(height_inches / 12)::BIGINT || '''' || ' ' || (height_inches % 12)::INT || '\"' AS height, height_inches::INT AS inches FROM bio")
@@ -131,10 +145,25 @@ def comparables_top3(spark, sf_dir):
     return _comparables(spark, sf_dir)
 
 
-@query(_COMPARABLES)
+_CAREER = (
+    _COMPARABLES.replace(" QUALIFY row_number() OVER (PARTITION BY athlete_id ORDER BY season DESC) <= 3)", ")", 1)
+    .replace("mine AS (SELECT * FROM rates)", "mine AS (SELECT rates.*, display_name FROM rates LEFT JOIN bio USING (athlete_id))")
+    .replace("pool.*, bio.height_inches FROM", "pool.*, bio.height_inches, display_name FROM")
+    .replace("p.athlete_id <> q.athlete_id AND", "p.athlete_id <> q.athlete_id AND p.display_name <> q.display_name AND")
+)
+
+
+@query(_CAREER)
 def comparables_whole(spark, sf_dir):
-    """The same as ``comparables_top3``, which once met a sample of both sides."""
-    return _comparables(spark, sf_dir)
+    """Every season row against careers, and never against somebody of the same name."""
+    b = bio(spark, sf_dir)
+    careers = S.pool(S.eligible_seasons(rates(spark, sf_dir), minutes=120, games=5, first=1997, last=2001), "athlete_id", _DIMS, None)
+    named = b.select("athlete_id", F.col("height_inches").alias("other_height"), T.name_key(F.col("display_name")).alias("other_key"))
+    others = careers.join(named, "athlete_id").select(F.col("athlete_id").alias("other_id"), F.array(*_DIMS).alias("other_vec"), "other_height", "other_key")
+    mine = rates(spark, sf_dir).join(b.select("athlete_id", T.name_key(F.col("display_name")).alias("name_key")), "athlete_id", "left")
+    mine = mine.select("season", "athlete_id", F.array(*_DIMS).alias("vec"), F.col("height_inches").alias("height"), "name_key")
+    out = S.nearest_of_all(mine, others, ["season", "athlete_id"], "athlete_id", "other_id", len(_DIMS), own_name="name_key", other_name="other_key")
+    return rounded(out.select("season", "athlete_id", "other_id", "distance", "gate", "nth", "status"))
 
 
 @query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE vec_id % 100 = 0), q AS (SELECT vec_id AS other, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings)
@@ -142,7 +171,7 @@ SELECT vec_id, other, round(d, 6) AS distance FROM (SELECT vec_id, other, 1 - li
 def knn_cosine(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     others = e.select(F.col("vec_id").alias("other"), F.col("v").alias("w"))
-    met = S.pairs(e.where("vec_id % 100 = 0"), others, "vec_id", "other", "v", "w", "manhattan").withColumn("distance", X.cosine_distance(F.col("v"), F.col("w"), 0.0))
+    met = S.pairs(e.where("vec_id % 100 = 0"), others, "vec_id", "other", "v", "w", "cosine", 0.0)
     return rounded(R.top(met, ["vec_id"], [F.round("distance", 9), "other"], 3).select("vec_id", "other", "distance"))
 
 
@@ -230,12 +259,15 @@ def probability_losses(spark, sf_dir):
     return rounded(M.probability_losses(_outcomes(spark, sf_dir), ["g"], "p", "y"))
 
 
-@query(f"WITH {OUT_SQL}, c AS (SELECT g, least(floor(p * 10), 9)::BIGINT AS bin, count(*) AS n, avg(p) AS mean_pred, avg(y) AS observed FROM o GROUP BY ALL) SELECT g, bin, n, round(mean_pred, 6) AS mean_pred, round(observed, 6) AS observed, round(abs(mean_pred - observed), 6) AS gap FROM c")
+_DECILES = f"WITH {OUT_SQL}, e AS (SELECT g, list_distinct_sorted AS edges FROM (SELECT g, list_sort(list_distinct(quantile_cont(p, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS list_distinct_sorted FROM o GROUP BY g)), c AS (SELECT g, greatest(len(list_filter(edges, lambda x: x < p)) - 1, 0) AS bin, count(*) AS n, avg(p) AS mean_pred, avg(y) AS observed, abs(avg(p) - avg(y)) AS gap FROM o JOIN e USING (g) GROUP BY ALL)"
+
+
+@query(f"{_DECILES} SELECT g, bin, n, round(mean_pred, 6) AS mean_pred, round(observed, 6) AS observed, round(gap, 6) AS gap FROM c")
 def calibration_bins(spark, sf_dir):
     return rounded(M.calibration(_outcomes(spark, sf_dir), ["g"], "p", "y"))
 
 
-@query(f"WITH {OUT_SQL}, c AS (SELECT g, least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(p) - avg(y)) AS gap FROM o GROUP BY ALL) SELECT g, round(sum(n * gap) / sum(n), 6) AS ece FROM c GROUP BY g")
+@query(f"{_DECILES} SELECT g, round(sum(n * gap) / sum(n), 6) AS ece FROM c GROUP BY g")
 def calibration_ece(spark, sf_dir):
     return rounded(M.expected_calibration_error(_outcomes(spark, sf_dir), ["g"], "p", "y"))
 

@@ -171,8 +171,7 @@ def team_context(spark, sf_dir):
 
 @query(f"WITH {TEAM_SQL} SELECT season, athlete_id, {', '.join(f'round({v}, 6) AS {k}' for k, v in _FEATURES.items())} FROM season_box JOIN context USING (season, athlete_id)")
 def engineered_features(spark, sf_dir):
-    b = box(spark, sf_dir)
-    out = A.features(A.season_box(b).join(A.team_context(b), ["season", "athlete_id"], "left"))
+    out = A.features(A.season_in_context(box(spark, sf_dir)))
     return rounded(out.select("season", "athlete_id", *_FEATURES))
 
 
@@ -413,10 +412,14 @@ def external_percentile(spark, sf_dir):
     return _external(spark, sf_dir)
 
 
-@query(_EXTERNAL)
+@query(f"""WITH {RATES_SQL}, x AS (SELECT season, athlete_id, position, round(ts_pct, 9) AS v FROM rates), ref AS (SELECT position, v, count(*) AS c FROM x WHERE v IS NOT NULL AND season <= 1998 GROUP BY ALL), n AS (SELECT position, sum(c) AS n FROM ref GROUP BY ALL),
+vals AS (SELECT DISTINCT position, v FROM x WHERE v IS NOT NULL), upto AS (SELECT position, v, sum(coalesce(c, 0)) OVER (PARTITION BY position ORDER BY v) AS hi, coalesce(c, 0) AS own FROM vals LEFT JOIN ref USING (position, v))
+SELECT season, athlete_id, round(100.0 * (2 * hi - own) / (2 * n), 6) AS midrank, round((hi - own + 0.5) / (n + 1), 6) AS left_percentile FROM x LEFT JOIN upto USING (position, v) LEFT JOIN n USING (position)""")
 def external_percentile_whole(spark, sf_dir):
-    """The same as ``external_percentile``, which once had one season."""
-    return _external(spark, sf_dir)
+    """Every season row against the earlier seasons of its position."""
+    x = rates(spark, sf_dir).select("season", "athlete_id", "position", F.round("ts_pct", 9).alias("v"))
+    out = P.external_percentiles(x, x.where("season <= 1998"), ["position"], "v")
+    return rounded(out.select("season", "athlete_id", "midrank", "left_percentile"))
 
 
 # the board

@@ -7,6 +7,7 @@ from scoutframe.operators import aggregate as A
 from scoutframe.operators import board as B
 from scoutframe.operators import metrics as M
 from scoutframe.operators import model, need, rank, similar, validate
+from scoutframe.operators import similar as S
 
 BOX = [("season", 2020), ("athlete_id", 1), ("game_id", 100), ("team_id", 10), ("game_date", "2020-01-01"), ("did_not_play", False), ("starter", True)]
 
@@ -147,3 +148,72 @@ def test_chance_fit_is_the_penalised_optimum(spark):
     assert abs((w * (p - y)).sum()) < 1e-3
     chance = [r.c for r in df.select((1 / (1 + F.exp(-fitted.score()))).alias("c")).collect()]
     assert np.allclose(chance, p)
+
+
+def test_kendall_by_counting(spark, monkeypatch):
+    """Tau-b over ties, constants, missing values and a group of many blocks, against all pairs."""
+    import numpy as np
+
+    monkeypatch.setattr(M, "KENDALL_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    groups = {"ties": (rng.integers(0, 5, 60), rng.integers(0, 4, 60)), "plain": (rng.permutation(50), rng.permutation(50)), "constant": (np.ones(5), np.arange(5)), "two": (np.array([1, 2]), np.array([5, -5]))}
+    rows = [(k, i, float(a), float(b)) for k, (x, y) in groups.items() for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows + [("ties", 99, None, 1.0), ("ties", 98, 1.0, None)], "k string, id long, a double, b double")
+    got = {r.k: r.kendall for r in M.kendall(df, ["k"], "a", "b", "id").collect()}
+    for k, (x, y) in groups.items():
+        upper = np.triu_indices(len(x), 1)
+        p, q = np.sign(x[:, None] - x)[upper], np.sign(y[:, None] - y)[upper]
+        bound = np.sqrt((p != 0).sum()) * np.sqrt((q != 0).sum())
+        assert got[k] == (pytest.approx((p * q).sum() / bound) if bound else None)
+
+
+def test_distances_by_rank(spark, monkeypatch):
+    """Places and cuts of all distances, over several passes and blocks, against a sort of them; scores against their definition."""
+    import numpy as np
+
+    monkeypatch.setattr(S, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(6)
+    a, b = np.round(rng.random((30, 3)) * 100, 1), np.round(rng.random((25, 3)) * 100, 1)
+    a[rng.random(a.shape) < 0.2] = np.nan
+    a[3] = np.nan
+    b[:5] = b[0]
+    cell = lambda x: [None if np.isnan(v) else float(v) for v in x]
+    left = spark.createDataFrame([(i, cell(x)) for i, x in enumerate(a)], "id long, vec array<double>")
+    right = spark.createDataFrame([(i, cell(x)) for i, x in enumerate(b)], "other long, other_vec array<double>")
+    far, _ = S.distances(a, b)
+    want = np.sort([far[i, j] for i in range(30) for j in range(25) if i != j and not np.isnan(far[i, j])])
+    for fine in (S.FINE, 20):
+        monkeypatch.setattr(S, "FINE", fine)
+        n, at = S.ranked_distances(left, right, "id", "other", 3, lambda n: [0, 17, n // 2, n - 1, n, -1])
+        assert n == len(want) and at == {r: want[r] for r in (0, 17, n // 2, n - 1)}
+    cuts = S.thresholds(left, right, "id", "other", 3)
+    values = spark.createDataFrame([(float(v),) for v in [0.0, *want[::37], *(want[::41] + 1e-9), 1e6]], "v double").crossJoin(cuts)
+    for r in values.select("v", S.score_from_thresholds(F.col("v"), F.col("cuts")).alias("s")).collect():
+        between = round(100 * (n - (want < r.v).sum()) / n)
+        assert r.s == between or r.v in want
+    assert S.score_ranks(2) == {100: 0, 50: 1, 0: 1} and S.score_ranks(1)[100] == 0
+    none = S.thresholds(left.limit(0), right, "id", "other", 3).select("n", S.score_from_thresholds(F.lit(1.0), F.col("cuts")).alias("s")).first()
+    assert (none.n, none.s) == (0, None)
+
+
+def test_games_in_context_are_the_joined_ones(spark):
+    """Windows over a game give what joining its teams gives: several teams, one team, no team, rows that count twice."""
+    import random
+
+    rng = random.Random(2)
+    names = [*A.SUMS]
+    rows = []
+    for game in range(12):
+        for athlete in range(8):
+            team = None if athlete == 7 else rng.randint(1, 1 + game % 4)
+            rows.append((2020, athlete, game, team, "2020-01-01", rng.random() < 0.1, rng.random() < 0.5, *[None if rng.random() < 0.1 else rng.randint(0, 30) / 2 for _ in names]))
+    rows += rows[:5]
+    kinds = "season int, athlete_id long, game_id long, team_id long, game_date string, did_not_play boolean, starter boolean, " + ", ".join(f"{c} double" for c in names)
+    box = spark.createDataFrame(rows, kinds)
+    pairs = A.opponents(A.team_games(box))
+    own = A.played(A.deduped_games(box)).select("season", "athlete_id", "game_id", "team_id")
+    want = own.join(pairs, ["season", "game_id", "team_id"], "left").groupBy("season", "athlete_id").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in A.CONTEXT])
+    key = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.collect())
+    assert key(A.team_context(box)) == key(want)
+    both = A.season_in_context(box)
+    assert key(both.select(*want.columns)) == key(want) and key(both.select("athlete_id", *A.SUMS)) == key(A.season_box(box).select("athlete_id", *A.SUMS))
