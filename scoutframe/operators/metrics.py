@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoutframe.operators.peers import external_percentiles
 from scoutframe.operators.quantiles import exact_quantiles
 
 
@@ -15,12 +16,11 @@ def average_rank(value: str, keys: list[str]) -> Column:
 
 
 def roc_auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Area under the curve from rank sums; NULL unless both labels occur."""
-    pos = F.col(label) == 1
-    g = df.withColumn("__r", average_rank(score, keys)).groupBy(*keys).agg(
-        F.count_if(pos).alias("p"), F.count_if(~pos).alias("q"), F.sum(F.when(pos, F.col("__r"))).alias("s")
-    )
-    return g.select(*keys, F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
+    """Area under the curve: the mean share of rows labelled 0 that a row labelled 1 is above, ties half; NULL unless both labels occur."""
+    rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    one, zero = (rows.where(c).select(*keys, score) for c in (F.col(label) == 1, F.col(label) != 1))
+    found = external_percentiles(one, zero, keys, score).groupBy(*keys).agg((F.avg("midrank") / 100).alias("auc"))
+    return rows.select(*keys).distinct().join(found, keys, "left")
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
@@ -207,6 +207,17 @@ def over_folds(per_fold: DataFrame, metrics: list[str]) -> DataFrame:
     return long.groupBy("metric").agg(F.avg("v").alias("macro"), F.stddev_pop("v").alias("sd"), F.min("v").alias("low"))
 
 
+def fold_report(rows: DataFrame, fold: str, p: str, label: str) -> DataFrame:
+    """(metric, macro, sd, low, pooled): over the folds of out-of-fold rows, and over all of these rows together."""
+    names = ["auc", "average_precision", "log_loss", "brier"]
+
+    def measured(df: DataFrame, key: str) -> DataFrame:
+        return _joined([key], probability_losses(df, [key], p, label), roc_auc(df, [key], p, label), average_precision(df, [key], p, label))
+
+    pooled = over_folds(measured(rows.withColumn("__all", F.lit("all")), "__all"), names).select("metric", F.col("macro").alias("pooled"))
+    return over_folds(measured(rows, fold), names).join(pooled, "metric")
+
+
 def top_overlap(df: DataFrame, keys: list[str], predicted: str, actual: str, k: int = 14) -> DataFrame:
     """How many rows are among the first ``k`` of both orders; two ranks from 1, the actual one NULL if not drafted."""
     both = (F.col(predicted) <= k) & (F.col(actual) <= k)

@@ -9,7 +9,6 @@ from scoutframe.functions import expr as X
 from scoutframe.functions import text as T
 from scoutframe.operators import identity as I
 from scoutframe.operators import metrics as M
-from scoutframe.operators import model
 from scoutframe.operators import rank as R
 from scoutframe.operators import similar as S
 from scoutframe.operators import validate as V
@@ -307,23 +306,6 @@ def linear_inference(spark, sf_dir):
     return rounded(rates(spark, sf_dir).select("season", "athlete_id", score.alias("score")))
 
 
-_TRAIN = ["points_per_game", "rebounds_per_40", "assists_per_40"]
-
-
-@query()
-def logit_fit(spark, sf_dir):
-    x = rates(spark, sf_dir).withColumn("label", (F.col("ts_pct") > 0.8).cast("int"))
-    fitted = model.fit_chance(x.where("season < 2001"), _TRAIN, "label", "position")
-    return x.where("season = 2001").select("athlete_id", X.logistic(fitted.score()).alias("chance"))
-
-
-@query()
-def ridge_fit(spark, sf_dir):
-    x = rates(spark, sf_dir).where("ts_pct IS NOT NULL")
-    fitted = model.fit_order(x.where("season < 2001"), _TRAIN, "ts_pct", "position")
-    return x.where("season = 2001").select("athlete_id", fitted.score().alias("predicted"))
-
-
 @query("SELECT t AS test_year, count(*) FILTER (y < t) AS n_train, count(*) FILTER (y = t) AS n_test FROM (SELECT year(o_orderdate) AS y FROM orders), (SELECT DISTINCT year(o_orderdate) AS t FROM orders) WHERE t >= 1997 GROUP BY t")
 def temporal_folds(spark, sf_dir):
     o = read(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).count()  # a row a year

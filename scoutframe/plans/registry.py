@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from scoutframe.plans import extra, more, queries
+from scoutframe.plans import extra, fits, more, queries
 
-QUERIES: dict = {**queries.QUERIES, **more.QUERIES, **extra.QUERIES}
-ORACLE_SQL: dict[str, str] = {**queries.ORACLE_SQL, **more.ORACLE_SQL, **extra.ORACLE_SQL}
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for module in (queries, more, extra, fits):
+    QUERIES.update(module.QUERIES)
+    ORACLE_SQL.update(module.ORACLE_SQL)
