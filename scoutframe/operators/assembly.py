@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from scoutframe.functions import expr as X
-from scoutframe.functions.text import name_key, row_id
-from scoutframe.operators.aggregate import first_rows, widened
+from scoutframe.functions.text import name_key, position_group, row_id
+from scoutframe.operators.aggregate import features, first_rows, season_in_context, shot_features, shot_profile, widened
+from scoutframe.operators.identity import match
+from scoutframe.operators.validate import denied_columns
 
 #: Seasons whose schedules were cut.
 SHORT_SEASONS = (2020, 2021)
@@ -24,6 +28,11 @@ def joined_once(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.join(right.select(*keys, *[c for c in right.columns if c not in left.columns]), keys, how)
 
 
+def one_each(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key, the first by all other columns: what may be joined without doubling anybody."""
+    return first_rows(df, keys, [F.col(f"`{c}`") for c in sorted(df.columns) if c not in keys])
+
+
 def with_missing(df: DataFrame, columns: list[str], kind: str = "double") -> DataFrame:
     """Adds the columns that aren't there, as NULL."""
     return df.withColumns({c: F.lit(None).cast(kind) for c in columns if c not in df.columns})
@@ -48,10 +57,11 @@ def feature_set(sets: dict[str, dict], name: str) -> list[str]:
 def prospect_features(population: DataFrame, box: DataFrame, shots: DataFrame, bio: DataFrame, season: str = "season", athlete: str = "athlete_id") -> DataFrame:
     """One row for each prospect, matched or not: season totals, shots and bio of the athlete, with two-point counts and the short-season flag.
 
-    ``population`` has ``season``, ``athlete_id`` (NULL where nobody was matched) and its own columns; nobody is dropped or doubled.
+    ``population`` has ``season``, ``athlete_id`` (NULL where nobody was matched) and its own columns; nobody is dropped or doubled,
+    whatever the other sides hold several times.
     """
-    out = joined_once(joined_once(population, box, [season, athlete]), shots, [athlete])
-    out = joined_once(out, bio, [athlete])
+    out = joined_once(population, one_each(box, [season, athlete]), [season, athlete])
+    out = joined_once(joined_once(out, one_each(shots, [athlete]), [athlete]), one_each(bio, [athlete]), [athlete])
     return out.withColumns(
         {
             "two_points_made": F.col("fgm") - F.col("tpm"),
@@ -61,6 +71,90 @@ def prospect_features(population: DataFrame, box: DataFrame, shots: DataFrame, b
     )
 
 
+#: Column of the engineered frame that each reliability rule counts in.
+DENOMINATORS = {"three_points_attempted": "tpa", "free_throws_attempted": "fta", "shot_records": "fg_attempts"}
+
+
+def engineered(d: DataFrame) -> DataFrame:
+    """Adds all engineered columns to totals with team context, shots and bio: rates, shot shares, position, size and the share of shots on file."""
+    out = shot_features(features(d))
+    return out.withColumns(
+        {
+            "position_3": position_group(F.col("label")),
+            "height": X.num("height_inches"),
+            "weight": X.num("weight_pounds"),
+            "unassisted_made_fg_share": F.col("unassisted_share"),
+            "assisted_made_fg_share": F.col("assisted_share"),
+            "shot_fga_coverage_ratio": X.safe_div(F.col("fg_attempts"), F.col("fga")),
+        }
+    )
+
+
+def season_frame(box: DataFrame, shots: DataFrame, bio: DataFrame) -> DataFrame:
+    """Every athlete of every season on the definitions of the features: one row for each, whatever the bios hold.
+
+    ``shots`` has ``season`` and ``athlete_id``; a row of games without shots or a bio has NULL there.
+    """
+    own = joined_once(season_in_context(box), shot_profile(shots, ["season", "athlete_id"]), ["season", "athlete_id"])
+    return engineered(joined_once(own, one_each(bio, ["athlete_id"]), ["athlete_id"]))
+
+
+def prospect_frame(population: DataFrame, index: DataFrame, overrides: DataFrame, frame: DataFrame) -> DataFrame:
+    """Population with identity, then the engineered row of the athlete's own season: everyone stays, once.
+
+    ``population``: season, person_id, name_key, school and its own columns, none of them telling outcomes; ``index`` as
+    ``identity.season_index`` by season; ``frame`` as ``season_frame``.
+    """
+    found = match(population, index, overrides, ("season",)).withColumnRenamed("matched_id", "athlete_id")
+    return joined_once(found, frame, ["season", "athlete_id"]).withColumn("short_season", F.col("season").isin(*SHORT_SEASONS).cast("int"))
+
+
+@dataclass
+class Built:
+    """A built data set: features without outcomes, targets, who was matched how, counts a year, and gates."""
+
+    features: DataFrame
+    targets: DataFrame
+    crosswalk: DataFrame
+    stats: DataFrame
+    gates: DataFrame
+
+    def failed(self) -> list[str]:
+        return [r.gate for r in self.gates.where("NOT passed").orderBy("gate").collect()]
+
+
+def build_dataset(prospects: DataFrame, targets: DataFrame, ident: str = "person_id", held_out: tuple[int, ...] = (), expected: dict[int, int] | None = None, least_matched: float = 0.9) -> Built:
+    """The data set of all years with its gates, each a count of what breaks it.
+
+    ``prospects`` as ``prospect_frame``; ``targets``: ident, drafted, pick.  ``expected`` announces prospects by year.
+    """
+    typed = with_targets(prospects.select(ident, "season"), targets, [ident])
+    stats = build_stats(prospects, "season", "athlete_id", "method").join(
+        typed.groupBy("season").agg(F.sum("drafted").alias("drafted"), F.count_if(F.col("drafted") == 0).alias("undrafted")), "season", "left"
+    )
+    kept = [c for c in prospects.columns if c not in ("method", "school", "name_key")]
+    feats = prospects.select(*kept)
+    spark = prospects.sparkSession
+    one = lambda name, df: df.agg(F.count("*").alias("broken")).select(F.lit(name).alias("gate"), "broken")
+    rows = [
+        one("ids are unique", prospects.groupBy(ident).count().where("count > 1")),
+        one("features have targets", prospects.select(ident).distinct().join(targets.select(ident), ident, "left_anti")),
+        one("targets have features", targets.select(ident).distinct().join(prospects.select(ident), ident, "left_anti")),
+        one("no held-out year", prospects.where(F.col("season").isin(*held_out)) if held_out else prospects.limit(0)),
+        one("most prospects are matched", stats.where(F.col("matched") < least_matched * F.col("prospects"))),
+        one("no outcome among the features", spark.createDataFrame([(c,) for c in denied_columns(kept)], "c string")),
+    ]
+    if expected is not None:
+        want = spark.createDataFrame(list(expected.items()), "season int, expected long")
+        found = stats.select(F.col("season").cast("int").alias("season"), "prospects")
+        rows.append(one("as many prospects as announced", want.join(found, "season", "full").where(~F.col("expected").eqNullSafe(F.col("prospects")))))
+    gates_table = rows[0]
+    for other in rows[1:]:
+        gates_table = gates_table.unionAll(other)
+    crosswalk = prospects.select("season", ident, "name_key", "school", "athlete_id", "method")
+    return Built(feats, typed, crosswalk, stats, gates_table.withColumn("passed", F.col("broken") == 0))
+
+
 def build_stats(df: DataFrame, year: str, matched: str, method: str | None = None) -> DataFrame:
     """Per year: prospects, matched and not, with totals, with shots, of several teams; counts by method where there is one."""
     c = F.col
@@ -98,8 +192,8 @@ def with_size(df: DataFrame, sizes: dict[int, int], year: str) -> DataFrame:
 
 
 def with_status(df: DataFrame, status: DataFrame, key: str, other: str = "UNKNOWN") -> DataFrame:
-    """Adds the status found for a key, or ``other``."""
-    return df.join(status.select(key, F.col("status").alias("__s")), key, "left").withColumn("status", F.coalesce("__s", F.lit(other))).drop("__s")
+    """Adds the status found for a key (of several the first), or ``other``."""
+    return df.join(status.groupBy(key).agg(F.min("status").alias("__s")), key, "left").withColumn("status", F.coalesce("__s", F.lit(other))).drop("__s")
 
 
 def sources_summary(appearances: DataFrame) -> DataFrame:
@@ -136,10 +230,10 @@ def declared_audit(matched: DataFrame, athlete: str, games: str) -> DataFrame:
 
 
 def player_seasons(identity: DataFrame, long: DataFrame, key: str, totals: list[str], averages: list[str]) -> DataFrame:
-    """Identity with wide totals and averages of a long table (key, category, stat_name, value): who lacks any of the three is left out."""
+    """Identity with wide totals and averages of a long table (key, category, stat_name, value): who lacks any of the three is left out; of several values the smallest."""
 
     def wide(category: str, names: list[str], suffix: str) -> DataFrame:
-        one = long.where(F.col("category") == category).groupBy(key, "stat_name").agg(F.first("value", ignorenulls=True).alias("value"))
+        one = long.where(F.col("category") == category).groupBy(key, "stat_name").agg(F.min("value").alias("value"))
         out = widened(one, [key], "stat_name", "value", names)
         return out.select(key, *[F.col(n).alias(f"{n}{suffix}") for n in names])
 

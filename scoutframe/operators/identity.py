@@ -11,20 +11,21 @@ def school_fits(schools, school):
     return F.exists(schools, lambda s: (s == school) | s.contains(school) | F.contains(school, s))
 
 
-def season_index(rows: DataFrame, ident: str, name_key: str, school: str) -> DataFrame:
-    """Per athlete: name key, set of schools in order, rows."""
-    return rows.where(F.col(ident).isNotNull()).groupBy(ident).agg(
+def season_index(rows: DataFrame, ident: str, name_key: str, school: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Per athlete (and season, where ``keys`` names it): name key, set of schools in order, rows."""
+    return rows.where(F.col(ident).isNotNull()).groupBy(*keys, ident).agg(
         F.min(name_key).alias("name_key"), F.sort_array(F.collect_set(school)).alias("schools"), F.count("*").alias("n_rows")
     )
 
 
-def match(people: DataFrame, index: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Adds matched_id and method to ``people`` (person_id, name_key, school).
+def match(people: DataFrame, index: DataFrame, overrides: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds matched_id and method to ``people`` (person_id, name_key, school); everyone stays, once.
 
-    ``index``: ident, name_key, schools; ``overrides``: person_id, ident (at most one a person).
+    ``index``: ident, name_key, schools; ``overrides``: person_id, ident (of several for a person the smallest ident).  With ``keys``,
+    columns that both sides have, such as the season, people are only matched within them.
     """
     one = Window.partitionBy("person_id")
-    named = people.join(index, "name_key")
+    named = people.join(index, [*keys, "name_key"])
     named = named.withColumn("fits", school_fits(F.col("schools"), F.col("school"))).withColumns(
         {"n": F.count("*").over(one), "n_fit": F.count_if("fits").over(one)}
     )
@@ -38,14 +39,14 @@ def match(people: DataFrame, index: DataFrame, overrides: DataFrame) -> DataFram
     first = lambda c: F.regexp_extract(c, r"^(\S+)", 1)
     near = (
         people.withColumn("surname", surname("name_key"))
-        .join(index.select("ident", F.col("name_key").alias("other_key"), "schools").withColumn("surname", surname("other_key")), "surname")
+        .join(index.select(*keys, "ident", F.col("name_key").alias("other_key"), "schools").withColumn("surname", surname("other_key")), [*keys, "surname"])
         .where(school_fits(F.col("schools"), F.col("school")))
         .where((F.length(first("name_key")) >= 3) & (F.length(first("other_key")) >= 3))
         .where(F.startswith(first("name_key"), first("other_key")) | F.startswith(first("other_key"), first("name_key")))
         .groupBy("person_id")
         .agg(F.count("*").alias("n_near"), F.max("ident").alias("near_id"))
     )
-    over = overrides.select("person_id", F.col("ident").alias("over_id"))
+    over = overrides.groupBy("person_id").agg(F.min("ident").alias("over_id"))
     out = people.join(over, "person_id", "left").join(by_name, "person_id", "left").join(near, "person_id", "left")
     method = (
         F.when(F.col("over_id").isNotNull(), "OVERRIDE")

@@ -75,16 +75,16 @@ def custom_fit(df: DataFrame, weights: dict[str, float], known: tuple[str, ...])
 
 
 def with_score(df: DataFrame) -> DataFrame:
-    return df.withColumn("fit_status", F.when(F.col("fit_raw").isNull(), "UNAVAILABLE").otherwise("AVAILABLE")).withColumn(
+    return df.withColumn("fit_status", F.when(F.col("fit_raw").isNull(), "UNAVAILABLE").otherwise("OK")).withColumn(
         "fit_score", X.half_even(X.clamp(F.col("fit_raw"), 0.0, 100.0))
     )
 
 
 def rank_fit(df: DataFrame, keys: list[str], ident: str, eligible: str | None = None) -> DataFrame:
-    """Adds ``fit_rank``: missing fits last, then those out of position, then by the unrounded fit."""
+    """Adds ``fit_rank``: missing fits last, then those out of position (an unknown position is in none), then by the unrounded fit."""
     order = [F.col("fit_raw").isNull()]
     if eligible:
-        order.append((F.col(eligible) != "ELIGIBLE").cast("int"))
+        order.append((F.col(eligible) == "OUT_OF_POSITION").cast("int"))
     return numbered(df, keys, [*order, F.col("fit_raw").desc_nulls_last(), F.col(ident)], "fit_rank")
 
 

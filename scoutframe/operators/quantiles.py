@@ -35,8 +35,9 @@ def from_counts(counts: DataFrame, keys: list[str], value: str, fractions: list[
     # a few thousand buckets a key
     totals = rows.groupBy(*own, "__b").agg(F.sum("__n").alias("__m"))
     totals = totals.withColumns({"__before": F.coalesce(F.sum("__m").over(before), F.lit(0)), "__total": F.sum("__m").over(whole)})
-    place = [F.lit(float(f)) * (F.col("__total") - 1) for f in fractions]
-    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(p), F.ceil(p)) for p in place])))
+    steps = F.array(*[F.lit(float(f)) for f in fractions])
+    last = F.col("__total") - 1
+    ranks = F.array_distinct(F.flatten(F.transform(steps, lambda f: F.array(F.floor(f * last), F.ceil(f * last)))))
     inside = F.filter(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__m")))
     wanted = totals.withColumn("__ranks", inside).where(F.size("__ranks") > 0)
     # a null key is a key
@@ -54,12 +55,12 @@ def from_counts(counts: DataFrame, keys: list[str], value: str, fractions: list[
         F.max("__total").alias("n"), F.map_from_entries(F.flatten(F.collect_list(F.transform("__hit", lambda r: F.struct(r.alias("r"), F.col("__v").alias("v")))))).alias("__at")
     )
 
-    def quantile(f: float) -> Column:
-        p = F.lit(float(f)) * (F.col("n") - 1)
+    def quantile(f: Column) -> Column:
+        p = f * (F.col("n") - 1)
         low, high = F.element_at("__at", F.floor(p)), F.element_at("__at", F.ceil(p))
         return low + (high - low) * (p - F.floor(p))
 
-    return merged.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], "n", F.array(*[quantile(f) for f in fractions]).alias("quantiles"))
+    return merged.select(*[F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)], "n", F.transform(steps, quantile).alias("quantiles"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: list[float]) -> DataFrame:

@@ -175,7 +175,7 @@ def engineered_features(spark, sf_dir):
     return rounded(out.select("season", "athlete_id", *_FEATURES))
 
 
-def _shots(spark, sf_dir):
+def _shots(spark, sf_dir, *more: str):
     types = F.create_map(*[F.lit(x) for p in SHOT_TYPES.items() for x in p])
     return read(spark, sf_dir, "events").select(
         F.col("user_id").alias("athlete_id"),
@@ -183,6 +183,7 @@ def _shots(spark, sf_dir):
         (F.col("value") < 100).alias("made"),
         F.when(F.col("event_id") % 3 == 0, 3).otherwise(2).alias("score_value"),
         F.when(F.get_json_object("props", "$.k").try_cast("int") < 50, F.get_json_object("props", "$.k").try_cast("int")).alias("assister"),
+        *more,
     )
 
 
@@ -512,13 +513,13 @@ def need_profiles(spark, sf_dir):
 _WEIGHTS = {"shooting": 5.0, "passing": 3.0, "size_up": 2.0}
 
 
-@query(f"WITH {NEED_SQL} SELECT season, athlete_id, round(fit_raw, 6) AS fit_raw, CASE WHEN fit_raw IS NULL THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS fit_status, CASE WHEN fit_raw IS NOT NULL THEN round_even(least(greatest(round(fit_raw, 9), 0), 100), 0)::BIGINT END AS fit_score FROM fits")
+@query(f"WITH {NEED_SQL} SELECT season, athlete_id, round(fit_raw, 6) AS fit_raw, CASE WHEN fit_raw IS NULL THEN 'UNAVAILABLE' ELSE 'OK' END AS fit_status, CASE WHEN fit_raw IS NOT NULL THEN round_even(least(greatest(round(fit_raw, 9), 0), 100), 0)::BIGINT END AS fit_score FROM fits")
 def need_custom(spark, sf_dir):
     out = N.custom_fit(_dimensions(spark, sf_dir), _WEIGHTS, tuple(_PARTS)).withColumn("fit_raw", F.round("fit_raw", 9))
     return rounded(N.with_score(out).select("season", "athlete_id", "fit_raw", "fit_status", "fit_score"))
 
 
-@query(f"WITH {NEED_SQL} SELECT season, athlete_id, row_number() OVER (PARTITION BY season ORDER BY (f IS NULL), CASE WHEN position IN ('G', 'F') THEN 0 ELSE 1 END, f DESC NULLS LAST, athlete_id) AS fit_rank FROM (SELECT *, round(fit_raw, 9) AS f FROM fits)")
+@query(f"WITH {NEED_SQL} SELECT season, athlete_id, row_number() OVER (PARTITION BY season ORDER BY (f IS NULL), CASE WHEN position IN ('G', 'F', 'UNKNOWN') THEN 0 ELSE 1 END, f DESC NULLS LAST, athlete_id) AS fit_rank FROM (SELECT *, round(fit_raw, 9) AS f FROM fits)")
 def need_rank(spark, sf_dir):
     out = N.custom_fit(_dimensions(spark, sf_dir), _WEIGHTS, tuple(_PARTS)).withColumn("fit_raw", F.round("fit_raw", 9))
     out = out.withColumn("eligibility", N.eligibility(F.col("position"), ("G", "F")))

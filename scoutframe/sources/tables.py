@@ -156,8 +156,9 @@ def bio(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, ("PG", "SG", "SF", "PF", "C", "ATH"))), (F.col("p_partkey") % 6 + 1).cast("int")).alias("label"),
         X.num(F.col("p_size")).alias("size"),
         (F.col("p_size") % 20 + 68).cast("double").alias("height_inches"),
+        (F.col("p_partkey") * 7 % 120 + 160).cast("double").alias("weight_pounds"),
     )
 
 
 BIO_SQL = """bio AS (SELECT p_partkey AS athlete_id, p_name AS display_name, ['PG', 'SG', 'SF', 'PF', 'C', 'ATH'][(p_partkey % 6 + 1)::INT] AS label,
-  p_size::DOUBLE AS size, (p_size % 20 + 68)::DOUBLE AS height_inches FROM part)"""
+  p_size::DOUBLE AS size, (p_size % 20 + 68)::DOUBLE AS height_inches, (p_partkey * 7 % 120 + 160)::DOUBLE AS weight_pounds FROM part)"""
