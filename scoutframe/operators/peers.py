@@ -85,16 +85,16 @@ def midrank(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.withColumn("midrank", F.when(present, 100.0 * (2 * upto - same) / (2 * n)))
 
 
-def external_percentiles(values: DataFrame, reference: DataFrame, keys: list[str], value: str) -> DataFrame:
+def external_percentiles(values: DataFrame, reference: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """Adds to ``values`` ``midrank`` (100 (lo + hi) / 2n) and ``left_percentile`` ((lo + 0.5) / (n + 1)) in ``reference``.
 
-    lo counts smaller reference values, hi those at or below.  Rows become counts of
+    lo counts smaller reference values, hi those at or below; with ``weight``, a row of the reference stands for so many.  Rows become counts of
     distinct values, and values fall into buckets that keep their order: a running count over
     the buckets of a key and one within each bucket place every value, so no task sorts all values of a key.
     """
     counts = (
-        values.select(*keys, value, F.lit(0).alias("__c"))
-        .unionAll(reference.select(*keys, value, F.lit(1)))
+        values.select(*keys, value, F.lit(0).cast("long").alias("__c"))
+        .unionAll(reference.select(*keys, value, F.col(weight).cast("long") if weight else F.lit(1)))
         .where(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.sum("__c").alias("__own"))

@@ -2,7 +2,7 @@
 
 Prospects become rows (prospect, metric), which meet the specification and the
 peers' grids by joins; dimensions are grouped means, archetypes grouped geometric
-means.  All groups begin with the prospect, so the rows are dealt once.
+means.
 """
 
 from __future__ import annotations
@@ -152,8 +152,8 @@ def evaluated(df: DataFrame, grid: DataFrame, keys: list[str], season: str, grou
     named = {m: (spec.denominators.get(d, d), least) for m, d, least in spec.reliable}
     held = with_missing(df, [d for d, _ in named.values()])
     enough = F.create_map(*[x for m, (d, least) in named.items() for x in (F.lit(m), F.coalesce(X.num(d) >= least, F.lit(False)))]) if named else F.lit(None).cast("map<string, boolean>")
-    # written once: dimensions and archetypes read it several times; everybody's rows then lie together
-    rows = stored(percentile_frame(held.withColumn("__enough", enough), grid, keys, season, group, wanted, (group, "__enough"))).repartition(*keys)
+    # written once: dimensions and archetypes read it several times
+    rows = stored(percentile_frame(held.withColumn("__enough", enough), grid, keys, season, group, wanted, (group, "__enough")))
     components = spec.component_table(spark)
     # small tables of fixed size
     own = rows.join(F.broadcast(components), ["metric", "reference_group"])

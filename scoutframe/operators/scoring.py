@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from scoutframe.functions import expr as X
 from scoutframe.operators import folds, peers, profiles, similar, space
 from scoutframe.operators.board import general_board
+from scoutframe.sources.sinks import stored
 
 #: Dimensions of the space of comparables and their metrics, and the metric of which less is more.
 ROLES = {
@@ -70,8 +71,9 @@ def pro_pool(seasons: DataFrame, heights: DataFrame, ident: str, group: str, las
     """
     metrics = [m for own in ROLES.values() for m in own]
     latest = seasons.groupBy(ident).agg(F.max_by(group, "season").alias(group))
-    pool = similar.pool(seasons, ident, metrics, last).join(latest, ident)
-    placed = space.pro_space(pool.select(ident, group, *metrics), [ident], ROLES, INVERTED, group)
+    # written once, to nine places: a player is measured among the very same values
+    pool = stored(similar.pool(seasons, ident, metrics, last).join(latest, ident).select(ident, group, *[F.round(m, 9).alias(m) for m in metrics]))
+    placed = space.pro_space(pool, [ident], ROLES, INVERTED, group)
     return placed.join(heights.groupBy(ident).agg(F.min("height").alias("other_height")), ident, "left").select(
         F.col(ident).alias("other_id"), F.col(group).alias("other_group"), F.array(*ROLES).alias("other_vec"), "other_height"
     )
@@ -82,10 +84,10 @@ def signals(frame: DataFrame, frozen: Frozen, season: str, group: str) -> DataFr
     whole = frame.withColumn("model", F.lit(0))
     picked = folds.scored(whole, frozen.order, "model", frozen.order_names, group, "pick")
     # z-scores replace the metrics, so the originals wait beside them
-    held = [F.col(m).alias(f"__{m}") for m in frozen.relative]
+    held = [F.col(m).alias(f"__plain_{m}") for m in frozen.relative]
     apart = peers.season_relative(picked.select("*", *held), frozen.moments, season, group, frozen.relative)
     out = folds.scored(apart, frozen.chance, "model", frozen.chance_names, group, "__z").withColumn("chance", X.logistic(F.col("__z")))
-    return out.withColumns({m: F.col(f"__{m}") for m in frozen.relative}).drop("__z", "model", *[f"__{m}" for m in frozen.relative])
+    return out.withColumns({m: F.col(f"__plain_{m}") for m in frozen.relative}).drop("__z", "model", *[f"__plain_{m}" for m in frozen.relative])
 
 
 def board(frame: DataFrame, frozen: Frozen, season: str, group: str, ident: str, size: Column) -> DataFrame:

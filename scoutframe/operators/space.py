@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoutframe.functions import expr as X
 from scoutframe.functions.text import name_key
 from scoutframe.operators.peers import external_percentiles
+from scoutframe.sources.sinks import stored
 
 #: A group with fewer reference rows is measured against the whole league.
 LEAST_GROUP = 30
@@ -37,9 +38,13 @@ def league_percentiles(df: DataFrame, reference: DataFrame, keys: list[str], met
         .when(F.col("__kind") >= least, kind)
         .otherwise(every)
     )
-    rows = sized.select(*keys, scope.alias("__scope"), *metrics).unpivot([*keys, "__scope"], metrics, "metric", "value")
-    peers = reference.select(F.explode(F.array(own, year, kind, every)).alias("__scope"), *metrics).unpivot(["__scope"], metrics, "metric", "value")
-    ranked = external_percentiles(rows, peers.where("value IS NOT NULL"), ["__scope", "metric"], "value")
+    rows = stored(sized.select(*keys, scope.alias("__scope"), *metrics))
+    # values of the reference are counted for their group and season, then told to the scopes that somebody is measured in
+    asked = rows.select("__scope").distinct()
+    counts = reference.select(F.array(own, year, kind, every).alias("__scopes"), *metrics).unpivot(["__scopes"], metrics, "metric", "value")
+    counts = counts.where("value IS NOT NULL").groupBy("__scopes", "metric", "value").agg(F.count("*").alias("__w"))
+    peers = counts.withColumn("__scope", F.explode("__scopes")).join(asked, "__scope", "left_semi")
+    ranked = external_percentiles(rows.unpivot([*keys, "__scope"], metrics, "metric", "value"), peers, ["__scope", "metric"], "value", "__w")
     wide = ranked.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.col("midrank"))).alias(f"{m}_pct") for m in metrics])
     return df.join(wide, keys, "left")
 

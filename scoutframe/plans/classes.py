@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoutframe.functions import expr as X
-from scoutframe.functions.text import name_key
 from scoutframe.operators import assembly as D
 from scoutframe.operators import identity as I
 from scoutframe.operators import peers as P
 from scoutframe.operators import profiles as N
+from scoutframe.operators import scoring as S
+from scoutframe.operators import similar as C
+from scoutframe.operators.folds import PARAMETERS
 from scoutframe.plans.queries import _FEATURES, _POSITION_SQL, _SHOT_RATES, BIO_SQL, TEAM_SQL, _shots, div, registrar, rounded
 from scoutframe.sources.sinks import stored
 from scoutframe.sources.tables import bio, box, read
@@ -123,3 +125,197 @@ def size_in_position(spark, sf_dir):
     x = stored(frame(spark, sf_dir))
     out = N.position_relative_size(x, grids(x, ["height", "weight"]), KEYS, "season", "position_3")
     return out.select(*KEYS, at_two("size_in_position"))
+
+
+# identity and the built data set
+
+_LETTERS = "chr((97 + athlete_id % 26)::INT) || chr((97 + (athlete_id // 26) % 26)::INT) || 'son'"
+_LAST, _FIRST = r"regexp_extract({0}, '(\S+)$', 1)", "split_part({0}, ' ', 1)"
+PEOPLE_SQL = f"""called AS (SELECT athlete_id, display_name || ' ' || {_LETTERS} AS name_key FROM bio),
+people AS (SELECT c_custkey AS person_id, 1995 + c_custkey % 7 AS season, CASE WHEN c_custkey % 11 = 0 THEN substr(name_key, 1, 3) || ' ' || {_LAST.format('name_key')} WHEN c_custkey % 13 = 0 THEN name_key || 'x' ELSE name_key END AS name_key, lower(n_name) AS school
+  FROM customer JOIN called ON athlete_id = c_custkey * 3 % 2000 JOIN nation ON n_nationkey = c_nationkey),
+idx AS (SELECT season, athlete_id AS ident, min(name_key) AS name_key, list(DISTINCT lower(n_name)) AS schools FROM box JOIN called USING (athlete_id) JOIN supplier ON s_suppkey = team_id JOIN nation ON n_nationkey = s_nationkey GROUP BY season, athlete_id),
+fitting AS (SELECT p.*, ident, i.name_key AS other_key, len(list_filter(schools, lambda s: s = school OR contains(s, school) OR contains(school, s))) > 0 AS fits FROM people p JOIN idx i ON i.season = p.season AND {_LAST.format('i.name_key')} = {_LAST.format('p.name_key')}),
+named AS (SELECT person_id, count(*) AS n, count(*) FILTER (fits) AS n_fit, max(ident) AS any_id, max(ident) FILTER (fits) AS fit_id FROM fitting WHERE name_key = other_key GROUP BY 1),
+near AS (SELECT person_id, count(*) AS n, max(ident) AS near_id FROM fitting WHERE fits AND length({_FIRST.format('name_key')}) >= 3 AND length({_FIRST.format('other_key')}) >= 3
+  AND (starts_with({_FIRST.format('name_key')}, {_FIRST.format('other_key')}) OR starts_with({_FIRST.format('other_key')}, {_FIRST.format('name_key')})) GROUP BY 1),
+matched AS (SELECT p.*, CASE WHEN p.person_id < 10 THEN p.person_id * 5 WHEN d.n = 1 THEN any_id WHEN d.n_fit = 1 THEN fit_id WHEN d.n > 1 THEN NULL WHEN near.n = 1 THEN near_id END AS athlete_id,
+  CASE WHEN p.person_id < 10 THEN 'OVERRIDE' WHEN d.n = 1 THEN 'NAME' WHEN d.n_fit = 1 THEN 'NAME_SCHOOL' WHEN d.n > 1 THEN 'AMBIGUOUS' WHEN near.n = 1 THEN 'SURNAME_SCHOOL' ELSE 'UNMATCHED' END AS method
+  FROM people p LEFT JOIN named d USING (person_id) LEFT JOIN near USING (person_id)),
+prospects AS (SELECT m.season, m.person_id, m.name_key, m.school, m.athlete_id, m.method, frame.* EXCLUDE (season, athlete_id) FROM matched m LEFT JOIN frame USING (season, athlete_id))"""
+BUILD_SQL = f"{FRAME_SQL}, {PEOPLE_SQL}"
+
+
+def _called(spark, sf_dir) -> DataFrame:
+    k = F.col("athlete_id")
+    return bio(spark, sf_dir).select("athlete_id", F.concat("display_name", F.lit(" "), F.char(97 + k % 26), F.char(97 + F.floor(k / 26) % 26), F.lit("son")).alias("name_key"))
+
+
+def _people(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers in the role of a population, players of games as the index of names by season, and reviewed exceptions."""
+    k, called, nations = F.col("c_custkey"), _called(spark, sf_dir), read(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("school"))
+    short = F.concat(F.substring("name_key", 1, 3), F.lit(" "), F.regexp_extract("name_key", r"(\S+)$", 1))
+    name = F.when(k % 11 == 0, short).when(k % 13 == 0, F.concat("name_key", F.lit("x"))).otherwise(F.col("name_key"))
+    people = read(spark, sf_dir, "customer").join(called, F.col("athlete_id") == k * 3 % 2000).join(nations, F.col("n_nationkey") == F.col("c_nationkey"))
+    people = people.select(k.alias("person_id"), (1995 + k % 7).cast("int").alias("season"), name.alias("name_key"), "school")
+    teams = read(spark, sf_dir, "supplier").join(nations, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("team_id"), "school")
+    rows = box(spark, sf_dir).select("season", "athlete_id", "team_id").join(called, "athlete_id").join(teams, "team_id")
+    index = I.season_index(rows, "athlete_id", "name_key", "school", ("season",)).withColumnRenamed("athlete_id", "ident")
+    return people, index, people.where("person_id < 10").select("person_id", (F.col("person_id") * 5).alias("ident"))
+
+
+def prospects(spark, sf_dir, known: DataFrame | None = None) -> DataFrame:
+    return D.prospect_frame(*_people(spark, sf_dir), frame(spark, sf_dir) if known is None else known)
+
+
+_BUILT = ["ts_pct", "usage_pct", "opp_possessions", "rim_attempt_share", "height", "weight"]
+
+
+@query(f"WITH {BUILD_SQL} SELECT season, person_id, athlete_id, method, position_3, games_played, {', '.join(f'round({c}, 6) AS {c}' for c in _BUILT)} FROM prospects")
+def identified_prospects(spark, sf_dir):
+    """A population matched by season, with context, shots, bio and rates of whom it was matched with; everyone stays."""
+    return rounded(prospects(spark, sf_dir).select("season", "person_id", "athlete_id", "method", "position_3", "games_played", *_BUILT))
+
+
+_TARGET_SQL = "target AS (SELECT c_custkey + CASE WHEN c_custkey % 97 = 0 THEN 1000000 ELSE 0 END AS person_id, (c_custkey % 3 < 2)::INT AS drafted FROM customer WHERE c_custkey % 50 > 0)"
+
+
+def _built(spark, sf_dir) -> D.Built:
+    k = F.col("c_custkey")
+    drafted = k % 3 < 2
+    targets = read(spark, sf_dir, "customer").where(k % 50 > 0).select(
+        (k + F.when(k % 97 == 0, 1000000).otherwise(0)).alias("person_id"), F.when(drafted, "True").otherwise("False").alias("drafted"), F.when(drafted, (k % 60 + 1).cast("string")).alias("pick")
+    )
+    return D.build_dataset(stored(prospects(spark, sf_dir)), targets, held_out=(2001,), expected={1995: 1, 1996: 215}, least_matched=0.5)
+
+
+@query(f"""WITH {BUILD_SQL}, {_TARGET_SQL}, years AS (SELECT season, count(*) AS n, count(athlete_id) AS m FROM prospects GROUP BY season), g AS (SELECT 'ids are unique' AS gate, (SELECT count(*) FROM (SELECT person_id FROM prospects GROUP BY 1 HAVING count(*) > 1)) AS broken
+UNION ALL SELECT 'features have targets', (SELECT count(*) FROM prospects WHERE person_id NOT IN (SELECT person_id FROM target)) UNION ALL SELECT 'targets have features', (SELECT count(*) FROM target WHERE person_id NOT IN (SELECT person_id FROM prospects))
+UNION ALL SELECT 'no held-out year', (SELECT count(*) FROM prospects WHERE season = 2001) UNION ALL SELECT 'most prospects are matched', (SELECT count(*) FROM years WHERE m < 0.5 * n) UNION ALL SELECT 'no outcome among the features', 0
+UNION ALL SELECT 'as many prospects as announced', (SELECT count(*) FROM years FULL JOIN (VALUES (1995, 1), (1996, 215)) e(season, expected) USING (season) WHERE expected IS DISTINCT FROM n)) SELECT gate, broken, broken = 0 AS passed FROM g""")
+def build_gates(spark, sf_dir):
+    """What breaks each gate of a built data set."""
+    return _built(spark, sf_dir).gates
+
+
+@query(f"WITH {BUILD_SQL}, {_TARGET_SQL} SELECT p.season, count(*) AS prospects, count(athlete_id) AS matched, count(*) FILTER (athlete_id IS NULL) AS unmatched, count(games_played) AS with_box, count(fg_attempts) AS with_shots, count(*) FILTER (method = 'OVERRIDE') AS override, count(*) FILTER (method = 'AMBIGUOUS') AS ambiguous, sum(drafted)::BIGINT AS drafted, count(*) FILTER (drafted = 0) AS undrafted FROM prospects p LEFT JOIN target USING (person_id) GROUP BY p.season")
+def build_years(spark, sf_dir):
+    return _built(spark, sf_dir).stats.drop("multi_team")
+
+
+# classes scored by a frozen methodology
+
+_CHANCE, _ORDER, _RELATIVE = ["points_per_40", "ts_pct", "usage_pct", "height"], ["points_per_40", "blk_pct", "height"], ["points_per_40", "ts_pct"]
+#: Figures of a methodology that was frozen: medians, means, scales, weights, weights of G, F, C and UNKNOWN, the constant and the rows.
+_CHANCE_FIT = (_CHANCE, [0.0, 0.0, 20.0, 77.0], [0.02, -0.01, 21.0, 77.5], [1.0, 1.1, 6.0, 5.5], [0.8, 0.45, -0.3, 0.25], [0.1, -0.2, 0.3, 0.0], -0.4, 500)
+_ORDER_FIT = (_ORDER, [45.0, 3.0, 77.0], [46.0, 3.5, 77.5], [9.0, 2.0, 5.5], [-6.0, 2.5, -3.0], [1.0, -1.0, 0.5, 2.0], 31.0, 300)
+_PRO_MINUTES, _PRO_GAMES = 120, 5
+_ROLE_METRICS = [m for own in S.ROLES.values() for m in own]
+_ROLE_NAMES = list(S.ROLES)
+
+
+def frozen(spark, x: DataFrame) -> S.Frozen:
+    """Peers, pool and figures for the classes of ``x``."""
+    fits = [spark.createDataFrame([(0, *f)], f"model int, {PARAMETERS}") for f in (_CHANCE_FIT, _ORDER_FIT)]
+    peers = x.where((F.col("minutes") >= PEER_MINUTES) & (F.col("games_played") >= PEER_GAMES))
+    seasons = C.eligible_seasons(x, _PRO_MINUTES, _PRO_GAMES, 1997, 2001)
+    pool = S.pro_pool(seasons.select("athlete_id", "season", "minutes", "position_3", *_ROLE_METRICS), x.select("athlete_id", "height"), "athlete_id", "position_3")
+    return S.Frozen(
+        *fits, P.moments(x, ["season", "position_3"], _RELATIVE), grids(x, _M), peers.select("season", "athlete_id", "position_3", *_ROLE_METRICS), pool,
+        chance_names=_CHANCE, order_names=_ORDER, relative=_RELATIVE, specification=SPEC,
+    )
+
+
+def _linear(fit: tuple, values: list[str]) -> str:
+    names, medians, means, scales, weights, levels, constant, _ = fit
+    parts = [f"{w}::DOUBLE * (coalesce({v}, {m}::DOUBLE) - {u}::DOUBLE) / {s}::DOUBLE" for v, m, u, s, w in zip(values, medians, means, scales, weights, strict=True)]
+    label = "CASE position_3 " + " ".join(f"WHEN '{g}' THEN {w}::DOUBLE" for g, w in zip(("G", "F", "C", "UNKNOWN"), levels, strict=True)) + " END"
+    return f"({constant}::DOUBLE + {' + '.join(parts)} + {label})"
+
+
+_PCT = "(rank() OVER (PARTITION BY season ORDER BY signal NULLS LAST) + (count(signal) OVER (PARTITION BY season, signal) - 1) / 2 - 0.5) / count(signal) OVER (PARTITION BY season)"
+
+
+def board_sql(rows: str, ident: str) -> str:
+    """Board of ``rows``, which hold the engineered columns, by season."""
+    values = [f"z_{m}" if m in _RELATIVE else m for m in _CHANCE]
+    zed = ", ".join(f"CASE WHEN coalesce(a{i}.std, b{i}.std) > 0 THEN (x.{m} - coalesce(a{i}.mean, b{i}.mean)) / coalesce(a{i}.std, b{i}.std) END AS z_{m}" for i, m in enumerate(_RELATIVE))
+    met = " ".join(f"LEFT JOIN rel a{i} ON a{i}.metric = '{m}' AND a{i}.season = x.season AND a{i}.position_3 = x.position_3 LEFT JOIN rel b{i} ON b{i}.metric = '{m}' AND b{i}.season = x.season AND b{i}.position_3 = 'G'" for i, m in enumerate(_RELATIVE))
+    rel = " UNION ALL ".join(f"SELECT season, position_3, '{m}' AS metric, avg({m}) AS mean, stddev_samp({m}) AS std FROM frame WHERE {m} IS NOT NULL GROUP BY ALL" for m in _RELATIVE)
+    return f"""rel AS ({rel}), zed AS (SELECT x.*, {zed} FROM {rows} x {met}),
+sig AS (SELECT season, {ident}, round(1 / (1 + exp(-{_linear(_CHANCE_FIT, values)})), 9) AS chance, round({_linear(_ORDER_FIT, _ORDER)}, 9) AS pick FROM zed),
+util AS (SELECT *, (61 - least(greatest(pick, 1), 60)) / 60 AS utility FROM sig), whole AS (SELECT *, chance * utility AS signal FROM util),
+board AS (SELECT *, round_even(100 * ({_PCT}), 0)::BIGINT AS score, row_number() OVER (PARTITION BY season ORDER BY signal DESC NULLS LAST, {ident}) AS board_rank FROM whole)"""
+
+
+_BOARD = ["season", "athlete_id", "chance", "pick", "signal", "score", "board_rank"]
+
+
+@query(f"WITH {FRAME_SQL}, {board_sql('frame', 'athlete_id')} SELECT season, athlete_id, round(chance, 6) AS chance, round(pick, 6) AS pick, round(signal, 6) AS signal, score, board_rank FROM board")
+def class_boards(spark, sf_dir):
+    """From games to boards of all seasons: features, chances among the season's peers, predicted picks, scores and ranks."""
+    x = stored(frame(spark, sf_dir))
+    return rounded(S.board(x, frozen(spark, x), "season", "position_3", "athlete_id", F.lit(60.0)).select(*_BOARD))
+
+
+def _role(name: str) -> str:
+    cases = " ".join(f"WHEN '{m}' THEN {'100 - p' if m in S.INVERTED else 'p'}" for m in S.ROLES[name])
+    return f"avg(CASE metric {cases} END) AS {name}"
+
+
+def space_sql(rows: str, reference: str, ident: str, into: str) -> str:
+    """``into``: the six roles of ``rows`` by mid-ranks among ``reference``; both have season, position_3 and the metrics."""
+    scopes = "[season || '/' || position_3, season || '/*', '*/' || position_3, '*/*']"
+    scoped = "CASE WHEN ss.n > 0 AND sg.n >= 30 THEN x.season || '/' || x.position_3 WHEN ss.n > 0 THEN x.season || '/*' WHEN gg.n >= 30 THEN '*/' || x.position_3 ELSE '*/*' END"
+    long = lambda key, extra: " UNION ALL ".join(f"SELECT {key}, '{m}' AS metric, {m} AS v FROM {extra} WHERE {m} IS NOT NULL" for m in _ROLE_METRICS)
+    return f"""{into}_sg AS (SELECT season, position_3, count(*) AS n FROM {reference} GROUP BY ALL), {into}_ss AS (SELECT season, count(*) AS n FROM {reference} GROUP BY ALL), {into}_gg AS (SELECT position_3, count(*) AS n FROM {reference} GROUP BY ALL),
+{into}_x AS (SELECT x.*, {scoped} AS scope FROM {rows} x LEFT JOIN {into}_sg sg USING (season, position_3) LEFT JOIN {into}_ss ss USING (season) LEFT JOIN {into}_gg gg USING (position_3)),
+{into}_v AS ({long(f'season, {ident}, scope', f'{into}_x')}), {into}_r AS ({long('scope', f'(SELECT *, unnest({scopes}) AS scope FROM {reference})')}),
+{into}_c AS (SELECT scope, metric, v, sum(c) AS own FROM (SELECT scope, metric, v, 0 AS c FROM {into}_v UNION ALL SELECT scope, metric, v, 1 FROM {into}_r) GROUP BY ALL),
+{into}_p AS (SELECT *, sum(own) OVER (PARTITION BY scope, metric ORDER BY v) AS hi, sum(own) OVER (PARTITION BY scope, metric) AS n FROM {into}_c),
+{into}_m AS (SELECT season, {ident}, metric, 100.0::DOUBLE * (2 * hi - own) / (2 * n) AS p FROM {into}_v JOIN {into}_p USING (scope, metric, v) WHERE n > 0),
+{into} AS (SELECT x.season, x.{ident}, {', '.join(map(_role, S.ROLES))} FROM {into}_x x LEFT JOIN {into}_m USING (season, {ident}) GROUP BY ALL)"""
+
+
+_GAPS = ", ".join(f"(p.{d} - q.{d}) ** 2" for d in _ROLE_NAMES)
+_THERE = " + ".join(f"(p.{d} IS NOT NULL)::INT" for d in _ROLE_NAMES)
+_BOTH = " + ".join(f"(p.{d} IS NOT NULL AND q.{d} IS NOT NULL)::INT" for d in _ROLE_NAMES)
+
+
+def nearest_sql(rows: str, ident: str) -> str:
+    """``closest``: up to three of the pool for each of ``rows`` by the gate of heights; a number doesn't meet itself."""
+    return f"""latest AS (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY season DESC) AS k FROM frame WHERE minutes >= {_PRO_MINUTES} AND games_played >= {_PRO_GAMES} AND season BETWEEN 1997 AND 2001),
+pool AS (SELECT 0 AS season, athlete_id AS other_id, position_3, {', '.join(_ROLE_METRICS)} FROM (SELECT athlete_id, {', '.join(f'round(sum({m} * minutes) / sum(minutes) FILTER ({m} IS NOT NULL), 9) AS {m}' for m in _ROLE_METRICS)} FROM latest WHERE k <= 3 GROUP BY 1) JOIN (SELECT athlete_id, arg_max(position_3, season) AS position_3 FROM latest GROUP BY 1) USING (athlete_id)),
+{space_sql('pool', 'pool', 'other_id', 'pros')}, {space_sql(rows, 'peers', ident, 'mine')}, tall AS (SELECT athlete_id AS other_id, min(height) AS height FROM frame GROUP BY 1),
+met AS (SELECT p.season, p.{ident}, q.other_id, round(sqrt(list_avg([{_GAPS}])), 9) AS distance, abs(x.height - t.height) AS gap FROM mine p JOIN {rows} x USING (season, {ident}) JOIN pros q ON p.{ident} <> q.other_id JOIN tall t ON t.other_id = q.other_id AND abs(x.height - t.height) <= 4 WHERE {_THERE} >= 5 AND {_BOTH} >= 5),
+fitm AS (SELECT *, count(*) FILTER (gap <= 2) OVER w AS g2, count(*) FILTER (gap <= 3) OVER w AS g3, count(*) OVER w AS g4 FROM met WINDOW w AS (PARTITION BY season, {ident})),
+gated AS (SELECT *, CASE WHEN g2 >= 3 THEN 2.0::DOUBLE WHEN g3 >= 3 THEN 3.0::DOUBLE WHEN g4 >= 3 THEN 4.0::DOUBLE END AS gate FROM fitm),
+closest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY season, {ident} ORDER BY distance, other_id) AS nth FROM gated WHERE gap <= gate) WHERE nth <= 3)"""
+
+
+_KEPT = ["SHOOTING", "PLAYMAKING", "REBOUNDING", "SIZE"]
+_FITS = ["THREE_AND_D", "RIM_PROTECTOR", "SHOOTER"]
+# the people of this class stand for its rows: their own number is what must not be compared with itself
+CLASS_SQL = f"""{NEED_SQL}, {PEOPLE_SQL}, ready AS (SELECT * FROM prospects WHERE games_played IS NOT NULL), {board_sql('ready', 'person_id')}, {nearest_sql('ready', 'person_id')},
+wide AS (SELECT season, athlete_id, {', '.join(f"max(score) FILTER (dimension = '{d}') AS {d}" for d in _KEPT)}, avg(coverage) AS data_coverage FROM dims GROUP BY ALL),
+fitwide AS (SELECT season, athlete_id, {', '.join(f"max(fit_raw) FILTER (profile = '{p}') AS {p}, max(eligibility) FILTER (profile = '{p}') AS {p}_eligibility" for p in _FITS)} FROM fitted GROUP BY ALL),
+nearwide AS (SELECT season, person_id, string_agg(other_id::VARCHAR, ',' ORDER BY nth) AS comparables, round(max(distance), 6) AS farthest, max(gate) AS gate FROM closest GROUP BY ALL HAVING count(*) >= 3)"""
+
+
+@query(f"""WITH {CLASS_SQL} SELECT p.season, p.person_id, p.athlete_id, CASE WHEN p.games_played IS NOT NULL THEN 'SCORED' WHEN p.athlete_id IS NOT NULL THEN 'INSUFFICIENT_DATA' ELSE p.method END AS population_status, round(chance, 6) AS chance, round(signal, 6) AS signal, b.score, board_rank,
+{', '.join(f'round({d}::DECIMAL(38, 9), 2)::DOUBLE AS {d}' for d in [*_KEPT, *_FITS])}, round(data_coverage, 6) AS data_coverage, {', '.join(f'{p}_eligibility' for p in _FITS)}, coalesce(comparables, '') AS comparables, farthest, gate, CASE WHEN p.games_played IS NULL THEN NULL WHEN comparables IS NULL THEN 'UNAVAILABLE' ELSE 'OK' END AS comparables_status
+FROM prospects p LEFT JOIN board b USING (season, person_id) LEFT JOIN wide w ON p.games_played IS NOT NULL AND w.season = p.season AND w.athlete_id = p.athlete_id LEFT JOIN fitwide f ON p.games_played IS NOT NULL AND f.season = p.season AND f.athlete_id = p.athlete_id LEFT JOIN nearwide n ON n.season = p.season AND n.person_id = p.person_id""")
+def scored_population(spark, sf_dir):
+    """From games and names to boards, team need and comparables of declared classes; who has no record stays with the reason."""
+    x = stored(frame(spark, sf_dir))
+    people = stored(prospects(spark, sf_dir, x))
+    out = S.scored_population(people, frozen(spark, x), "season", "position_3", "person_id", F.lit(60.0))
+    last = F.col("comparables")
+    return rounded(
+        out.select(
+            "season", "person_id", "athlete_id", "population_status", "chance", "signal", "score", "board_rank", *[at_two(d) for d in _KEPT],
+            *[F.round(F.col(f"{p}_fit").cast("decimal(38,9)"), 2).cast("double").alias(p) for p in _FITS], "data_coverage", *[f"{p}_eligibility" for p in _FITS],
+            F.coalesce(F.array_join(F.transform(last, lambda c: c["other_id"].cast("string")), ","), F.lit("")).alias("comparables"),
+            F.array_max(F.transform(last, lambda c: c["distance"])).alias("farthest"), F.array_max(F.transform(last, lambda c: c["gate"])).alias("gate"), "comparables_status",
+        )
+    )
