@@ -96,11 +96,11 @@ def position_and_height(spark, sf_dir):
     return b.select("athlete_id", T.position_group(F.col("label")).alias("position"), "height", T.height_inches(F.col("height")).alias("inches"))
 
 
-@query(r"""SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '\s+', ' ', 'g'))) AS n_text, len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS n_links FROM pages""")
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '\s+', ' ', 'g'))) AS md5, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '\s+', ' ', 'g'))) AS n_text, len(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS n_links FROM pages""")
 def stripped_pages(spark, sf_dir):
     p = read(spark, sf_dir, "pages")
     return p.select(
-        "page_id", F.length(T.stripped_markup(F.col("html"))).cast("long").alias("n_text"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).cast("long").alias("n_links")
+        "page_id", F.md5(T.stripped_markup(F.col("html"))).alias("md5"), F.length(T.stripped_markup(F.col("html"))).cast("long").alias("n_text"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).cast("long").alias("n_links")
     )
 
 
