@@ -3,28 +3,36 @@
 Everything is DataFrame functions.  Each text gives a few counts and ratios.  A
 log-linear histogram per language, source and ratio is the sketch: merging is
 adding counts, so partial aggregation, retries and any partitioning give the
-same sketch.  A bucket keeps five significant bits, so a quantile is off by a
-sixteenth at most, and a sketch has a few hundred buckets whatever the input.
-A ratio is rejected beyond the upper fence Q3 + k (Q3 - Q1) of its own language
-and source; small groups merge into their language, small languages into all.
+same sketch.  A bucket keeps five significant bits and stands for its largest value, so a quantile is at most a
+sixteenth too high, and a sketch has a few hundred buckets whatever the input.
+
+A ratio is rejected far above what its own language and source show, on a scale on which
+one event more in a typical text of the group is a step: ``log2(ratio + unit)`` with
+the unit of one event in the median text.  The fence stands ``FENCE`` times as far above the median
+as the ninth decile does, so a group with a longer tail has a higher fence; where the ninth decile
+is the median itself, as where nine texts in ten have no event, one event counts as the distance.  Median,
+distance and unit of a group are averaged with those of its language, and those with the
+figures of all, as if these were ``PRIOR`` rows more: small groups lean on the larger ones by degrees.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutframe.llm._shared import WHITE, stored, table
 
-#: name of the ratio in thousandths: (expression over the counts, least spread between Q3 and the fence).
+#: name of the ratio in thousandths: (expression over the counts, what an event is counted over).
 RATIOS = {
-    "symbol": ("1000 * n_symbols div greatest(n_words, 1)", 100),
-    "dup_line": ("1000 * n_dup_lines div greatest(n_lines, 1)", 400),
-    "repeat": ("1000 * n_repeat_words div greatest(n_words, 1)", 400),
-    "length": ("1000 * word_chars div greatest(n_words, 1)", 6000),
+    "symbol": ("1000 * n_symbols div greatest(n_words, 1)", "words"),
+    "dup_line": ("1000 * n_dup_lines div greatest(n_lines, 1)", "lines"),
+    "repeat": ("1000 * n_repeat_words div greatest(n_words, 1)", "words"),
+    "length": ("1000 * word_chars div greatest(n_words, 1)", "words"),
 }
+#: Sizes of a text, which have sketches of their own.
+SIZES = {"words": "n_words", "lines": "n_lines"}
 FENCE = 6
-MIN_GROUP = 200
+PRIOR = 2000
 MIN_WORDS = 50
 #: Threshold tables up to this many groups are broadcast; beyond it the join shuffles, hot groups salted.
 BROADCAST_GROUPS = 50_000
@@ -93,53 +101,68 @@ def _bucket(value: str) -> str:
     return f"shiftleft(shiftright({value}, greatest(length(bin({value})) - 5, 0)), greatest(length(bin({value})) - 5, 0))"
 
 
+def _top(bucket: str) -> str:
+    """The largest value of a bucket."""
+    return f"{bucket} + shiftleft(1L, greatest(length(bin({bucket})) - 5, 0)) - 1"
+
+
 def sketches(counted: DataFrame) -> DataFrame:
-    """Counts per lang, source, ratio and bucket: the mergeable sketches, over all rows that pass the base rules."""
-    pairs = ", ".join(f"'{name}', CAST({expr} AS BIGINT)" for name, (expr, _) in RATIOS.items())
+    """Counts per lang, source, ratio (or size) and bucket: the mergeable sketches, over all rows that pass the base rules."""
+    values = {**{name: expr for name, (expr, _) in RATIOS.items()}, **SIZES}
+    pairs = ", ".join(f"'{name}', CAST({expr} AS BIGINT)" for name, expr in values.items())
     return (
         counted.where("NOT base_failed")
-        .select("lang", "source", F.expr(f"stack({len(RATIOS)}, {pairs}) AS (ratio, value)"))
+        .select("lang", "source", F.expr(f"stack({len(values)}, {pairs}) AS (ratio, value)"))
         .select("lang", "source", "ratio", F.expr(_bucket("value")).alias("bucket"))
         .groupBy("lang", "source", "ratio", "bucket")
         .agg(F.count("*").alias("n"))
     )
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """Upper fences: level 0 per lang and source, 1 per lang, 2 over all; one column per ratio, and the group's rows."""
-    levels = None
-    for level, keys in enumerate((["lang", "source"], ["lang"], [])):
-        part = sketch.select(
-            F.lit(level).alias("level"),
-            (F.col("lang") if level < 2 else F.lit(None).cast("string")).alias("lang"),
-            (F.col("source") if level < 1 else F.lit(None).cast("string")).alias("source"),
-            "ratio",
-            "bucket",
-            "n",
-        )
-        levels = part if levels is None else levels.unionAll(part)
-    merged = levels.groupBy("level", "lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy("level", "lang", "source", "ratio")
-    ranked = merged.select(
-        "*",
-        F.sum("n").over(group.orderBy("bucket")).alias("upto"),
-        F.sum("n").over(group).alias("total"),
-    )
-    quartiles = ranked.groupBy("level", "lang", "source", "ratio").agg(
+_FIGURES = [*(f"unit_{size}" for size in SIZES), *(f"{part}_{name}" for name in RATIOS for part in ("middle", "spread"))]
+
+
+def _figures(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, total, and each of ``_FIGURES``): median, distance of the ninth decile and unit of each ratio, as powers of two."""
+    merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "ratio")
+    ranked = merged.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("total"))
+    at = ranked.groupBy(*keys, "ratio").agg(
         F.max("total").alias("total"),
-        F.min(F.when(4 * F.col("upto") >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(4 * F.col("upto") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
-    )
-    spread = F.create_map(*[F.lit(x) for name, (_, least) in RATIOS.items() for x in (name, least)])
-    fence = F.col("q3") + F.greatest(FENCE * (F.col("q3") - F.col("q1")), spread[F.col("ratio")])
-    return (
-        quartiles.groupBy("level", "lang", "source")
-        .agg(
-            F.max("total").alias("total"),
-            *[F.max(F.when(F.col("ratio") == name, fence)).alias(f"max_{name}") for name in RATIOS],
-        )
-        .where((F.col("level") == 2) | (F.col("total") >= MIN_GROUP))
+        F.min(F.when(2 * F.col("upto") >= F.col("total"), F.expr(_top("bucket")))).alias("q50"),
+        F.min(F.when(10 * F.col("upto") >= 9 * F.col("total"), F.expr(_top("bucket")))).alias("q90"),
     )
+    names = [*RATIOS, *SIZES]
+    wide = at.groupBy(*keys).agg(F.max("total").alias("total"), *[F.max(F.when(F.col("ratio") == r, F.col(q))).alias(f"{q}_{r}") for r in names for q in ("q50", "q90")])
+    unit = {size: 1000.0 / F.greatest(F.col(f"q50_{size}"), F.lit(1)) for size in SIZES}
+    out = {f"unit_{size}": F.log2(u) for size, u in unit.items()}
+    for name, (_, size) in RATIOS.items():
+        middle = F.log2(F.col(f"q50_{name}") + unit[size])
+        out[f"middle_{name}"] = middle
+        out[f"spread_{name}"] = F.greatest(F.log2(F.col(f"q90_{name}") + unit[size]), F.log2(F.col(f"q50_{name}") + 2 * unit[size])) - middle
+    return wide.select(*keys, "total", *[c.alias(n) for n, c in out.items()])
+
+
+def _leaning(own: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """``own`` averaged with the figures of the larger group that it lies in, which count as ``PRIOR`` rows."""
+    side = other.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in _FIGURES])
+    lean = {c: (F.col("total") * F.col(c) + PRIOR * F.col(f"__{c}")) / (F.col("total") + PRIOR) for c in _FIGURES}
+    return own.join(side, F.col(key).eqNullSafe(F.col("__key"))).select(*[c for c in own.columns if c not in _FIGURES], *[v.alias(c) for c, v in lean.items()])
+
+
+def fence(name: str) -> Column:
+    """The fence of a ratio in thousandths, from a group's figures."""
+    _, size = RATIOS[name]
+    return F.round(F.pow(F.lit(2.0), F.col(f"middle_{name}") + FENCE * F.col(f"spread_{name}")) - F.pow(F.lit(2.0), F.col(f"unit_{size}")), 3)
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """(lang, source, total, max_<ratio>): upper fences of every group that has rows; a null language or source is one like any other."""
+    sketch = stored(sketch.withColumn("whole", F.lit(0)))
+    everything = _figures(sketch, ["whole"])
+    by_lang = _leaning(_figures(sketch, ["whole", "lang"]), everything, "whole")
+    own = _leaning(_figures(sketch, ["lang", "source"]), by_lang, "lang")
+    return own.select("lang", "source", "total", *[fence(name).alias(f"max_{name}") for name in RATIOS])
 
 
 def judged(counted: DataFrame) -> DataFrame:
@@ -151,25 +174,17 @@ def judged(counted: DataFrame) -> DataFrame:
     fences = stored(thresholds(sketches(counted)))
     names = [f"max_{name}" for name in RATIOS]
     small = fences.count() <= BROADCAST_GROUPS
+    side = fences.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*names).alias("__fence"))
     out = counted.withColumn("__salt", F.lit(0) if small else F.pmod(F.hash("doc_id"), F.lit(64)))
-    for level in range(3):
-        side = fences.where(F.col("level") == level).select(
-            F.col("lang").alias("__lang"), F.col("source").alias("__source"), F.struct(*names).alias(f"__fence{level}")
-        )
-        on = F.lit(True)
-        if level < 2:
-            on = out["lang"].eqNullSafe(side["__lang"])
-        if level < 1:
-            on = on & out["source"].eqNullSafe(side["__source"])
-            if not small:
-                side = side.withColumn("__salts", F.explode(F.sequence(F.lit(0), F.lit(63))))
-                on = on & (out["__salt"] == side["__salts"])
-        out = out.join(F.broadcast(side) if small or level else side, on, "left").drop("__lang", "__source", "__salts")
-    fence = F.coalesce("__fence0", "__fence1", "__fence2")
+    on = out["lang"].eqNullSafe(side["__lang"]) & out["source"].eqNullSafe(side["__source"])
+    if not small:
+        side = side.withColumn("__salts", F.explode(F.sequence(F.lit(0), F.lit(63))))
+        on = on & (out["__salt"] == side["__salts"])
+    out = out.join(F.broadcast(side) if small else side, on, "left")
     verdict = F.lit(True)
     for name, (expr, _) in RATIOS.items():
-        verdict = verdict & F.coalesce(F.expr(expr) <= fence[f"max_{name}"], F.lit(True))
-    return out.withColumn("kept", ~F.col("base_failed") & verdict).drop("__salt", "__fence0", "__fence1", "__fence2")
+        verdict = verdict & F.coalesce(F.expr(expr) <= F.col("__fence")[f"max_{name}"], F.lit(True))
+    return out.withColumn("kept", ~F.col("base_failed") & verdict).drop("__salt", "__fence", "__lang", "__source", "__salts")
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
@@ -194,16 +209,17 @@ def op6_quality_sketches(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    value = {name: expr.replace(" div ", " // ") for name, (expr, _) in RATIOS.items()}
-    stacked = " UNION ALL ".join(
-        f"SELECT lang, source, '{n}' AS ratio, ({v})::BIGINT AS v FROM based WHERE NOT base_failed" for n, v in value.items()
-    )
-    least = " ".join(f"WHEN '{n}' THEN {s}" for n, (_, s) in RATIOS.items())
-    fences = ", ".join(f"max(CASE WHEN ratio = '{n}' THEN fence END) AS max_{n}" for n in RATIOS)
-    verdict = " AND ".join(
-        f"coalesce(({v}) <= CASE WHEN f0.level IS NOT NULL THEN f0.max_{n} WHEN f1.level IS NOT NULL THEN f1.max_{n} ELSE f2.max_{n} END, true)"
-        for n, v in value.items()
-    )
+    value = {**{name: expr.replace(" div ", " // ") for name, (expr, _) in RATIOS.items()}, **SIZES}
+    stacked = " UNION ALL ".join(f"SELECT lang, source, '{n}' AS ratio, ({v})::BIGINT AS v FROM based WHERE NOT base_failed" for n, v in value.items())
+    at = lambda r, q: f"max({q}) FILTER (ratio = '{r}')"
+    unit = {size: f"(1000.0::DOUBLE / greatest({at(size, 'q50')}, 1))" for size in SIZES}
+    figures = [f"log2({unit[size]}) AS unit_{size}" for size in SIZES]
+    for n, (_, size) in RATIOS.items():
+        middle = f"log2({at(n, 'q50')} + {unit[size]})"
+        figures += [f"{middle} AS middle_{n}", f"greatest(log2({at(n, 'q90')} + {unit[size]}), log2({at(n, 'q50')} + 2 * {unit[size]})) - {middle} AS spread_{n}"]
+    lean = ", ".join(f"(a.total * a.{c} + {PRIOR} * b.{c}) / (a.total + {PRIOR}) AS {c}" for c in _FIGURES)
+    fences = ", ".join(f"round(pow(2.0::DOUBLE, middle_{n} + {FENCE} * spread_{n}) - pow(2.0::DOUBLE, unit_{size}), 3) AS max_{n}" for n, (_, size) in RATIOS.items())
+    verdict = " AND ".join(f"coalesce(({expr.replace(' div ', ' // ')}) <= max_{n}, true)" for n, (expr, _) in RATIOS.items())
     return rf"""
 WITH texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 split AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
@@ -221,14 +237,14 @@ stacked AS ({stacked}),
 buckets AS (SELECT lang, source, ratio, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS b FROM stacked),
 levels AS (SELECT 0 AS level, lang, source, ratio, b FROM buckets UNION ALL SELECT 1, lang, NULL, ratio, b FROM buckets UNION ALL SELECT 2, NULL, NULL, ratio, b FROM buckets),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY level, lang, source, ratio ORDER BY b) AS r, count(*) OVER (PARTITION BY level, lang, source, ratio) AS total FROM levels),
-quartiles AS (SELECT level, lang, source, ratio, max(total) AS total, min(CASE WHEN 4 * r >= total THEN b END) AS q1, min(CASE WHEN 4 * r >= 3 * total THEN b END) AS q3 FROM ranked GROUP BY ALL),
-limits AS (SELECT *, q3 + greatest({FENCE} * (q3 - q1), CASE ratio {least} END) AS fence FROM quartiles),
-fences AS (SELECT level, lang, source, max(total) AS total, {fences} FROM limits GROUP BY level, lang, source HAVING level = 2 OR max(total) >= {MIN_GROUP})
+tops AS (SELECT *, b + (1::BIGINT << greatest(length(bin(b)) - 5, 0)) - 1 AS top FROM ranked),
+quantiles AS (SELECT level, lang, source, ratio, max(total) AS total, min(CASE WHEN 2 * r >= total THEN top END) AS q50, min(CASE WHEN 10 * r >= 9 * total THEN top END) AS q90 FROM tops GROUP BY ALL),
+figures AS (SELECT level, lang, source, max(total) AS total, {', '.join(figures)} FROM quantiles GROUP BY level, lang, source),
+langs AS (SELECT a.lang, {lean} FROM figures a, figures b WHERE a.level = 1 AND b.level = 2),
+fences AS (SELECT lang, source, {fences} FROM (SELECT a.lang, a.source, {lean} FROM figures a JOIN langs b ON a.level = 0 AND a.lang IS NOT DISTINCT FROM b.lang))
 SELECT d.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {verdict} AS kept
 FROM based d
-LEFT JOIN fences f0 ON f0.level = 0 AND f0.lang IS NOT DISTINCT FROM d.lang AND f0.source IS NOT DISTINCT FROM d.source
-LEFT JOIN fences f1 ON f1.level = 1 AND f1.lang IS NOT DISTINCT FROM d.lang
-LEFT JOIN fences f2 ON f2.level = 2"""
+LEFT JOIN fences f ON f.lang IS NOT DISTINCT FROM d.lang AND f.source IS NOT DISTINCT FROM d.source"""
 
 
 QUERIES = {"op6_quality_sketches": op6_quality_sketches}

@@ -603,3 +603,38 @@ def test_pipeline(spark):
             assert d.columns == names and d.count() <= before.count()
     whole = corpus_pipeline.run(spark, sf)
     assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, d.collect()))
+
+
+def test_quality_fences_follow_their_groups(spark):
+    """Fences come from the tails of their own group: no two alike where tails differ, none a constant, small groups lean on larger ones."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for source, mean, n in (("prose", 0.2, 20000), ("code", 60.0, 1500), ("few", 60.0, 20)):
+        for symbols in rng.gamma(1.0, mean, n):
+            rows.append((len(rows), "en", source, 200, 1000, int(symbols), 10, 0, 0, False))
+    rows += [(len(rows), "en", "prose", 200, 1000, 150, 10, 0, 0, False), (len(rows) + 1, "en", "code", 200, 1000, 150, 10, 0, 0, False)]
+    kind = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    counted = quality.stored(spark.createDataFrame(rows, kind))
+    fences = {r.source: r for r in quality.thresholds(quality.sketches(counted)).collect()}
+    assert fences["prose"].max_symbol < fences["few"].max_symbol < 750 < fences["code"].max_symbol
+    kept = {r.doc_id: r.kept for r in quality.judged(counted).collect()}
+    # the same text passes where such texts are common, and not where they aren't
+    assert (kept[len(rows) - 2], kept[len(rows) - 1]) == (False, True) and sum(kept.values()) > 0.999 * len(rows)
+    # a doubled group has the same quantiles, and leans less on the others
+    twice = {r.source: r for r in quality.thresholds(quality.sketches(counted.unionAll(counted))).collect()}
+    assert twice["few"].max_symbol != fences["few"].max_symbol and twice["few"].total == 2 * fences["few"].total
+    # sketches merge: parts give what the whole gives
+    parts = [quality.sketches(counted.where(f"doc_id % 3 = {k}")) for k in range(3)]
+    merged = parts[0].unionAll(parts[1]).unionAll(parts[2]).groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    assert {tuple(r) for r in merged.collect()} == {tuple(r) for r in quality.sketches(counted).collect()}
+    assert {tuple(r) for r in quality.thresholds(merged).collect()} == {tuple(r) for r in fences.values()}
+
+
+@pytest.mark.parametrize("limit", [quality.BROADCAST_GROUPS, 0])
+def test_quality_joins_alike(spark, monkeypatch, limit):
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", limit)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.withColumns({"lang": F.nullif("lang", F.lit("fr")), "source": F.nullif("source", F.lit("src0"))})
+    judged = quality.judged(quality.stored(quality.with_base(quality.with_counts(docs))))
+    assert judged.count() == docs.count() and judged.where("kept IS NULL").count() == 0
+    assert judged.select("doc_id", "kept").exceptAll(quality.judged(quality.stored(quality.with_base(quality.with_counts(docs)))).select("doc_id", "kept")).count() == 0
