@@ -87,6 +87,37 @@ def blind_trie(strings: np.ndarray) -> tuple[list[int], list[int]]:
     return order, common
 
 
+def multikey(keys: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, shallow: int) -> list[tuple[int, int]]:
+    """Multikey quicksort of rows of keys, in place in ``order``, from the first key to a shallow depth; all groups at once.
+
+    Each group is parted by the key at its depth into rows below, at and above a
+    pivot, the middle one of three.  Rows at the pivot go on with the next key.  What still
+    agrees at the shallow depth is returned as runs of ``order``.
+    """
+    depth, agreed = np.zeros(len(starts), np.int64), []
+    while True:
+        deep = depth >= min(shallow, keys.shape[1])
+        agreed += [(a, b) for a, b in zip(starts[deep].tolist(), ends[deep].tolist(), strict=True) if b - a > 1]
+        open_ = ~deep & (ends - starts > 1)
+        starts, ends, depth = starts[open_], ends[open_], depth[open_]
+        if not len(starts):
+            return agreed
+        at = ragged(starts, ends - starts)
+        group = np.repeat(np.arange(len(starts)), ends - starts)
+        key = keys[order[at], depth[group]]
+        three = np.sort(np.stack([keys[order[x], depth] for x in (starts, (starts + ends) // 2, ends - 1)]), axis=0)
+        pivot = three[1][group]
+        side = (key > pivot).astype(np.int64) + (key >= pivot)
+        order[at] = order[at[np.argsort(3 * group + side, kind="stable")]]
+        cut = np.concatenate([starts[:, None], starts[:, None] + np.cumsum(np.bincount(3 * group + side, minlength=3 * len(starts)).reshape(-1, 3), axis=1)], axis=1)
+        starts, ends = cut[:, :3].ravel(), cut[:, 1:].ravel()
+        depth = (depth[:, None] + [0, 1, 0]).ravel()
+
+
+#: Bytes of neighbours that are compared at a time.
+COMPARED = 8 << 20
+
+
 def deep_shallow(strings: np.ndarray, group: np.ndarray, shallow: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of bytes by group, then content; and the common prefix of each with the one before it.
 
@@ -94,45 +125,68 @@ def deep_shallow(strings: np.ndarray, group: np.ndarray, shallow: int) -> tuple[
     length is a multiple of eight.
     """
     n, width = strings.shape
-    keys = np.ascontiguousarray(strings).view(">u8").reshape(n, width // 8)
+    keys = np.ascontiguousarray(strings).view(">u8").reshape(n, width // 8).astype(np.uint64)
     order = np.argsort(group, kind="stable")
-    common = np.full(n, -2, np.int64)  # -2: not known yet
     fresh = np.ones(n, bool)
     fresh[1:] = group[order][1:] != group[order][:-1]
+    first = np.flatnonzero(fresh)
+    agreed = multikey(keys, order, first, np.append(first, n)[1:] if n else first, shallow)
+    common = np.full(n, -2, np.int64)  # -2: not known yet
     common[fresh] = -1
-    for depth in range(min(shallow, width // 8)):
-        run = np.cumsum(common != -2)
-        size = np.bincount(run, minlength=run[-1] + 1 if n else 1)
-        at = np.flatnonzero(size[run] > 1)
-        if not len(at):
-            break
-        column = keys[order[at], depth].astype(np.uint64)
-        sort = np.lexsort((column, run[at]))
-        order[at], column = order[at[sort]], column[sort]
-        split = np.zeros(len(at), bool)
-        split[1:] = (run[at][1:] == run[at][:-1]) & (column[1:] != column[:-1])
-        where = at[split]
-        a = strings[order[where], 8 * depth : 8 * depth + 8]
-        b = strings[order[where - 1], 8 * depth : 8 * depth + 8]
-        common[where] = 8 * depth + np.argmax(a != b, axis=1) if len(where) else 0
-    starts = np.flatnonzero(common != -2)
-    for first, last in zip(starts.tolist(), np.append(starts[1:], n).tolist(), strict=True):
-        if last - first > 1:
-            own = order[first:last]
-            sort, prefix = blind_trie(strings[own])
-            order[first:last] = own[sort]
-            common[first + 1 : last] = prefix[1:]
+    for a, b in agreed:
+        own = order[a:b]
+        sort, prefix = blind_trie(strings[own])
+        order[a:b] = own[sort]
+        common[a + 1 : b] = prefix[1:]
+    left = np.flatnonzero(common == -2)
+    step = max(1, COMPARED // max(width, 1))
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        common[some] = np.argmax(strings[order[some]] != strings[order[some - 1]], axis=1)
     return order, common
 
 
+def _digests(strings: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each row of bytes."""
+    weights = np.cumprod(np.full(strings.shape[1], 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
+    return (strings.astype(np.uint64) + np.uint64(1)) @ weights
+
+
+def distinct_rows(strings: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, of): a row for each distinct one within its group, and which of these each row is.
+
+    Rows with one digest are compared byte by byte; where some differ, they are told apart by their bytes.
+    """
+    digest = _digests(strings)
+    order = np.lexsort((digest, group))
+    same = (group[order][1:] == group[order][:-1]) & (digest[order][1:] == digest[order][:-1])
+    run = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.empty(0, np.int64)
+    apart = np.zeros(len(order), np.int64)
+    twin = np.flatnonzero(same)
+    step = max(1, COMPARED // max(strings.shape[1], 1))
+    mixed = set()
+    for at in range(0, len(twin), step):
+        some = twin[at : at + step]
+        differ = (strings[order[some]] != strings[order[some + 1]]).any(axis=1)
+        mixed.update(run[some[differ]].tolist())
+    for r in mixed:
+        rows = np.flatnonzero(run == r)
+        seen: dict[bytes, int] = {}
+        apart[rows] = [seen.setdefault(strings[order[i]].tobytes(), len(seen)) for i in rows]
+    again = np.lexsort((apart, run))
+    order, run, apart = order[again], run[again], apart[again]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (run[1:] != run[:-1]) | (apart[1:] != apart[:-1])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    return order[fresh], of
+
+
 class _Side:
     """Rows sorted by one side of their anchor; ``classes(depth)``: equal numbers agree on that many bytes."""
 
     def __init__(self, strings: np.ndarray, group: np.ndarray, shallow: int):
-        weights = np.cumprod(np.full(strings.shape[1], 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
-        digest = (strings.astype(np.uint64) + np.uint64(1)) @ weights
-        _, first, self.of = np.unique(np.column_stack([group, digest]), axis=0, return_index=True, return_inverse=True)
-        self.of = self.of.ravel()
+        first, self.of = distinct_rows(strings, group)
         order, self.common = deep_shallow(strings[first], group[first], shallow)
         self.rank = np.empty(len(order), np.int64)
         self.rank[order] = np.arange(len(order))

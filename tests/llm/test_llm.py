@@ -638,3 +638,46 @@ def test_quality_joins_alike(spark, monkeypatch, limit):
     judged = quality.judged(quality.stored(quality.with_base(quality.with_counts(docs))))
     assert judged.count() == docs.count() and judged.where("kept IS NULL").count() == 0
     assert judged.select("doc_id", "kept").exceptAll(quality.judged(quality.stored(quality.with_base(quality.with_counts(docs)))).select("doc_id", "kept")).count() == 0
+
+
+@pytest.mark.parametrize("digest", ["as shipped", "all alike", "apart in the last bits"])
+def test_equal_digests_are_compared(monkeypatch, digest):
+    """Rows with one digest count as one only if their bytes do, and digests keep all of their 64 bits."""
+    rng = np.random.default_rng(7)
+    strings = rng.integers(0, 3, (300, 8)).astype(np.uint8)
+    strings[::7] = strings[0]
+    group = rng.integers(0, 4, 300)
+    if digest == "all alike":
+        monkeypatch.setattr(suffixes, "_digests", lambda x: np.full(len(x), 5, np.uint64))
+    elif digest != "as shipped":
+        number = {row: k for k, row in enumerate(dict.fromkeys(map(bytes, strings)))}
+        monkeypatch.setattr(suffixes, "_digests", lambda x: np.array([(1 << 63) + number[bytes(r)] for r in x], np.uint64))
+    monkeypatch.setattr(suffixes, "COMPARED", 64)
+    first, of = suffixes.distinct_rows(strings, group)
+    names = [(int(g), bytes(r)) for g, r in zip(group, strings, strict=True)]
+    assert [names[first[k]] for k in of] == names and len(first) == len(set(names))
+    assert len(suffixes.distinct_rows(strings[:0], group[:0])[0]) == 0
+
+
+@pytest.mark.parametrize("shallow", [0, 1, 2, 6])
+def test_multikey_and_tries(monkeypatch, shallow):
+    """Multikey quicksort and blind tries give the order of bytes and the common prefixes, whatever the depth."""
+    monkeypatch.setattr(suffixes, "COMPARED", 500)
+    rng = np.random.default_rng(shallow)
+    base = rng.integers(0, 256, 48).astype(np.uint8)
+    strings = np.repeat(base[None], 500, axis=0)
+    for row in strings:
+        at = rng.integers(0, 48, rng.integers(0, 3))
+        row[at] = rng.integers(0, 256, len(at))
+    strings[:100] = rng.integers(0, 2, (100, 48))
+    group = rng.integers(0, 5, 500)
+    first, _ = suffixes.distinct_rows(strings, group)
+    strings, group = strings[first], group[first]
+    order, common = suffixes.deep_shallow(strings, group, shallow)
+    names = [(int(group[i]), bytes(strings[i])) for i in order]
+    assert names == sorted(names)
+    for k in range(len(order)):
+        if k == 0 or names[k][0] != names[k - 1][0]:
+            assert common[k] == -1
+        else:
+            assert common[k] == next(j for j in range(48) if names[k][1][j] != names[k - 1][1][j])
