@@ -319,10 +319,3 @@ def temporal_folds(spark, sf_dir):
 def nested_export(spark, sf_dir):
     s = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
     return read(spark, sf_dir, "customer").select("c_custkey", F.to_json(s).alias("doc"))
-
-
-@query("SELECT c_mktsegment, sha256(string_agg(c_custkey || ':' || c_name, ',' ORDER BY c_custkey)) AS sha256 FROM customer GROUP BY c_mktsegment")
-def content_hash(spark, sf_dir):
-    row = F.struct("c_custkey", F.concat_ws(":", F.col("c_custkey").cast("string"), "c_name").alias("t"))
-    g = read(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    return g.select("c_mktsegment", F.sha2(F.array_join(F.transform("rows", lambda x: x["t"]), ","), 256).alias("sha256"))

@@ -26,10 +26,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def seasons(spark: SparkSession, pattern: str, schema: str | None = None) -> DataFrame:
-    """One scan over files that carry their year in the name, with a ``season`` column."""
+def seasons(spark: SparkSession, pattern: str | list[str], schema: str | None = None) -> DataFrame:
+    """One scan over files that carry their year in the name, by a pattern or by their paths, with a ``season`` column."""
     reader = spark.read.schema(schema) if schema else spark.read
-    return reader.parquet(pattern).withColumn(
+    return reader.parquet(*([pattern] if isinstance(pattern, str) else pattern)).withColumn(
         "season", F.regexp_extract(F.input_file_name(), r"_(\d{4})\.parquet", 1).try_cast("int")
     )
 
