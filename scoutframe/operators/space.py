@@ -59,6 +59,12 @@ def role_dimensions(df: DataFrame, dimensions: dict[str, list[str]], inverted: t
     return df.withColumns({name: X.row_mean(*[part(m) for m in metrics]) for name, metrics in dimensions.items()})
 
 
+def league_reference(frame: DataFrame, seasons: list[int], metrics: list[str], minutes: float = 200, games: int = 10, group: str = "position_3") -> DataFrame:
+    """(season, athlete_id, group, metrics): the season rows that prospects are ranked among, with enough minutes and games; metrics that the frame lacks are left out."""
+    rows = frame.where(F.col("season").isin(seasons) & (F.col("minutes") >= minutes) & (F.col("games_played") >= games))
+    return rows.select("season", "athlete_id", group, *[m for m in metrics if m in frame.columns])
+
+
 def college_space(df: DataFrame, reference: DataFrame, keys: list[str], dimensions: dict[str, list[str]], inverted: tuple[str, ...], season: str, group: str) -> DataFrame:
     """Prospects among their own season's peers."""
     metrics = [m for own in dimensions.values() for m in own]

@@ -319,3 +319,41 @@ def scored_population(spark, sf_dir):
             F.array_max(F.transform(last, lambda c: c["distance"])).alias("farthest"), F.array_max(F.transform(last, lambda c: c["gate"])).alias("gate"), "comparables_status",
         )
     )
+
+
+# pools, reasons and payloads
+
+
+_POOL_METRICS = ["points_per_40", "ts_pct", "usage_pct"]
+_LATEST_SQL = f"latest AS (SELECT * FROM frame WHERE minutes >= {_PRO_MINUTES} AND games_played >= {_PRO_GAMES} AND season BETWEEN 1997 AND 2001)"
+_MEANS = ", ".join(f"round(sum({m} * minutes) / sum(minutes) FILTER ({m} IS NOT NULL), 6) AS {m}" for m in _POOL_METRICS)
+
+
+@query(f"""WITH {FRAME_SQL}, {_LATEST_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY season DESC) AS k FROM latest)
+SELECT 'LATEST' AS kind, athlete_id, max(season) AS season, count(*) AS n_seasons, {_MEANS} FROM l WHERE k = 1 GROUP BY athlete_id UNION ALL SELECT 'CAREER', athlete_id, max(season), count(*), {_MEANS} FROM l GROUP BY athlete_id""")
+def pools_of_two_kinds(spark, sf_dir):
+    """The pool by each player's latest eligible season, and by whole careers."""
+    x = C.eligible_seasons(frame(spark, sf_dir), _PRO_MINUTES, _PRO_GAMES, 1997, 2001)
+    kinds = [C.pool(x, "athlete_id", _POOL_METRICS, n).select(F.lit(kind).alias("kind"), "athlete_id", "season", "n_seasons", *_POOL_METRICS) for kind, n in (("LATEST", 1), ("CAREER", None))]
+    return rounded(kinds[0].unionAll(kinds[1]))
+
+
+_PAIR = ["SHOOTING", "PLAYMAKING", "REBOUNDING", "SIZE", "RIM_PRESSURE"]
+_WIDE_SQL = ", ".join(f"round((max(score) FILTER (dimension = '{d}'))::DECIMAL(38, 9), 2)::DOUBLE AS {d}" for d in _PAIR)
+
+
+def _reasons(side: str, keep: str, order: str, n: int) -> str:
+    return f"{side} AS (SELECT season, athlete_id, string_agg(d, ',' ORDER BY gap {order}, k) AS x FROM (SELECT *, row_number() OVER (PARTITION BY season, athlete_id ORDER BY gap {order}, k) AS r FROM gaps WHERE {keep}) WHERE r <= {n} GROUP BY ALL)"
+
+
+@query(f"""WITH {NEED_SQL}, wide AS (SELECT season, athlete_id, {_WIDE_SQL} FROM dims GROUP BY ALL), pair AS (SELECT a.season, a.athlete_id, {', '.join(f'a.{d} AS {d}, b.{d} AS other_{d}' for d in _PAIR)} FROM wide a JOIN wide b ON b.season = a.season AND b.athlete_id = a.athlete_id + 1),
+gaps AS (SELECT season, athlete_id, unnest([{', '.join(f"{{'k': {k}, 'd': '{d}', 'gap': round(abs({d} - other_{d}), 2)}}" for k, d in enumerate(_PAIR))}], recursive := true) FROM pair),
+{_reasons('near', 'gap <= 15', 'ASC', 3)}, {_reasons('far', 'gap >= 25', 'DESC', 2)}
+SELECT p.season, p.athlete_id, coalesce(near.x, '') AS closest, coalesce(far.x, '') AS farthest FROM pair p LEFT JOIN near USING (season, athlete_id) LEFT JOIN far USING (season, athlete_id)""")
+def explained_pairs(spark, sf_dir):
+    """Players beside the next number of their season: the dimensions in which they are closest and farthest apart."""
+    dims = _evaluated(spark, sf_dir).dimensions
+    wide = dims.groupBy(*KEYS).agg(*[F.round(F.max(F.when(F.col("dimension") == d, F.col("score"))).cast("decimal(38,9)"), 2).cast("double").alias(d) for d in _PAIR])
+    wide = stored(wide)
+    other = wide.select("season", (F.col("athlete_id") - 1).alias("athlete_id"), *[F.col(d).alias(f"other_{d}") for d in _PAIR])
+    return C.explained_pairs(wide.join(other, KEYS), _PAIR).select(*KEYS, "closest", "farthest")

@@ -12,7 +12,8 @@ from scoutframe.operators import sealed as S
 from scoutframe.operators import validate as V
 from scoutframe.plans.queries import MOMENTS_SQL, rates, registrar, rounded
 from scoutframe.sources.sinks import stored
-from scoutframe.sources.tables import read
+from scoutframe.sources.tables import SHOT_TYPES, read
+from scoutframe.streaming import shots as T
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,3 +110,22 @@ def season_bundles(spark, sf_dir):
     """Moments of every season as one document each: maps of maps, keys in order, numbers to six places."""
     x = rates(spark, sf_dir)
     return B.season_documents(stored(peers.moments(x, ["season", "position"], ["points_per_game", "ts_pct", "tov_pct"])), "season", "position")
+
+
+# a stream
+
+
+@query("""WITH e AS (SELECT date_trunc('day', ts) AS day, value < 100 AS made, event_id % 3 = 0 AS three, event_type AS t, TRY_CAST(json_extract_string(props, '$.k') AS INT) < 50 AS helped FROM events WHERE event_type <> 'error')
+SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS fg_attempts, count(*) FILTER (made) AS fg_makes, count(*) FILTER (three) AS three_attempts, count(*) FILTER (made AND helped) AS assisted_makes, count(*) FILTER (t = 'click') AS layup_attempts, count(*) FILTER (t = 'purchase' AND made) AS dunk_makes FROM e GROUP BY day""")
+def streamed_profile(spark, sf_dir):
+    """The shot profile of every day, from events read as a stream that has caught up."""
+    schema = read(spark, sf_dir, "events").schema
+    arrived = T.event_stream(spark, f"{sf_dir}/events.parquet*", schema)
+    types = F.create_map(*[F.lit(x) for p in SHOT_TYPES.items() for x in p])
+    helper = F.get_json_object("props", "$.k").try_cast("int")
+    shots = arrived.select(
+        F.col("ts").cast("timestamp").alias("ts"), F.try_element_at(types, "event_type").alias("type_text"), (F.col("value") < 100).alias("made"),
+        F.when(F.col("event_id") % 3 == 0, 3).otherwise(2).alias("score_value"), F.when(helper < 50, helper).alias("assister"),
+    )
+    windows = T.caught_up(T.windowed_profile(shots, "ts", "1 day"))
+    return windows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "fg_attempts", "fg_makes", "three_attempts", "assisted_makes", "layup_attempts", "dunk_makes")

@@ -9,26 +9,27 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written once as Parquet into the folder that the driver and all executors share, and read back.
-
-    That is the one in spark.checkpoint.dir; in local mode, where none is named, a temporary one.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or in local mode, where none is named, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written once as Parquet into the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ordered(df: DataFrame, ident: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoutframe.functions import expr as X
+from scoutframe.functions.text import row_id
 
 #: Schema of one player-game row.
 PLAYER_BOX = (
@@ -35,9 +36,9 @@ def seasons(spark: SparkSession, pattern: str | list[str], schema: str | None =
 
 
 def population(spark: SparkSession, path: str) -> DataFrame:
-    """Early entrants of a population file."""
-    rows = spark.read.option("header", True).schema(POPULATION).csv(path)
-    return rows.where(F.col("early_entrant") == "True")
+    """Early entrants of a population file, each with an id of its year and name."""
+    rows = _csv(spark, path, POPULATION).where(F.col("early_entrant") == "True")
+    return rows.withColumn("canonical_prospect_id", row_id(F.col("draft_year"), F.col("normalized_name")))
 
 
 TARGETS = (

@@ -1,12 +1,14 @@
 """A class scored end to end: nobody is dropped or doubled, nothing is fitted, and parts agree with what they are made of."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scoutframe.functions import expr as X
 from scoutframe.operators import assembly as D
-from scoutframe.operators import folds, peers, profiles, scoring
+from scoutframe.operators import bundles, folds, peers, profiles, scoring
 
 METRICS = list(dict.fromkeys([m for own in scoring.ROLES.values() for m in own] + profiles.Specification().metrics() + ["usage_pct", "ts_pct"]))
 NAMES, RELATIVE = ["points_per_40", "ts_pct", "usage_pct", "height"], ["points_per_40", "ts_pct"]
@@ -52,6 +54,12 @@ def test_scored_class(spark, frame, frozen):
         assert r.score == round(100 * ((below + 0.5) / n))
         assert len(r.comparables) in (0, 3) and (r.comparables_status == "OK") == (len(r.comparables) == 3)
     assert any(r.comparables_status == "UNAVAILABLE" for r in got) and any(r.SHOOTING is not None for r in got)
+    docs = bundles.class_payload(spark.createDataFrame(got), "season", "person_id", ["score", "board_rank"], ["SHOOTING", "SIZE"], ["SHOOTER", "THREE_AND_D"]).collect()
+    payload = json.loads(docs[0].doc)
+    assert len(docs) == 1 and [p["board"]["board_rank"] for p in payload["prospects"]] == list(range(1, n + 1)) and payload["season"] == 2022
+    first = payload["prospects"][0]
+    assert first["id"] == by_rank[0].person_id and first["profiles"]["SHOOTER"]["score"] == by_rank[0].SHOOTER_score and len(first["comparables"]) in (0, 3)
+    assert first["dimensions"]["SIZE"] is None or first["dimensions"]["SIZE"] == pytest.approx(by_rank[0].SIZE, abs=0.051)
     # the same rows score the same beside others
     both = {r.person_id: r for r in scoring.board(frame.where("season >= 2021").drop("drafted", "pick"), frozen, "season", "position_3", "person_id", F.lit(60.0)).where("season = 2022").collect()}
     assert all(both[r.person_id].score == r.score and both[r.person_id].board_rank == r.board_rank for r in got)
