@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoutframe.functions import expr as X
+from scoutframe.functions.text import school_key
 from scoutframe.operators import folds, peers, profiles, similar, space
+from scoutframe.operators.assembly import consensus_population, prospect_frame
 from scoutframe.operators.board import general_board
 from scoutframe.sources.sinks import stored
 
@@ -138,3 +140,16 @@ def scored_population(prospects: DataFrame, frozen: Frozen, season: str, group:
     done = scored_class(prospects.where(ready), frozen, season, group, ident, size)
     status = F.when(ready, "SCORED").when(F.col("athlete_id").isNotNull(), "INSUFFICIENT_DATA").otherwise(F.col("method"))
     return prospects.select(season, ident, "athlete_id", status.alias("population_status")).join(done, [season, ident], "left")
+
+
+def scored_watchlist(appearances: DataFrame, index: DataFrame, overrides: DataFrame, frame: DataFrame, frozen: Frozen, year: int, season: int, size: Column, least: int = 2) -> DataFrame:
+    """Players whom at least ``least`` sources name: those who played in ``season`` scored, the others with their reason.
+
+    One row each with name, college, sources and ``population_status``; ``appearances``: source, player_name, school; ``index`` and
+    ``overrides`` as ``identity.match`` takes them, with whole-number idents and ``person_id`` the id that the consensus gives.
+    """
+    named = consensus_population(appearances, year, least)
+    people = named.select(F.lit(season).alias("season"), F.col("prospect_id").alias("person_id"), F.col("normalized_name").alias("name_key"), school_key(F.col("college")).alias("school"))
+    people = prospect_frame(stored(people), index, overrides, frame)
+    out = scored_population(people, frozen, "season", "position_3", "person_id", size)
+    return named.join(out.withColumnRenamed("person_id", "prospect_id"), "prospect_id", "left")

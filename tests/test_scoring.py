@@ -96,6 +96,33 @@ def test_scored_population(spark, frame, frozen):
         assert r.population_status == want and (r.board_rank is not None) == (want == "SCORED")
 
 
+def test_watchlist(spark, frame, frozen):
+    """Named by two sources and played: scored; named but unknown, or named once: not."""
+    rows = [("A", "Al Bee", "Duke"), ("B", "Al Bee Jr.", "Duke"), ("A", "Cy Dee", "State"), ("B", "Cy Dee", "State"), ("A", "Once Only", "Duke")]
+    seen = spark.createDataFrame([(*r, "2026-01-01", "u") for r in rows], "source string, player_name string, school string, publication_date string, url string")
+    index = spark.createDataFrame([(2022, 4, "al bee", ["duke"])], "season int, ident long, name_key string, schools array<string>")
+    none = spark.createDataFrame([], "person_id string, ident long")
+    known = frame.where("season = 2022").drop("drafted", "pick").withColumnRenamed("person_id", "athlete_id")
+    got = {r.player_name: r for r in scoring.scored_watchlist(seen, index, none, known, frozen, 2027, 2022, F.lit(60.0)).collect()}
+    assert {k: r.population_status for k, r in got.items()} == {"Al Bee": "SCORED", "Cy Dee": "UNMATCHED"}
+    assert got["Al Bee"].board_rank == 1 and got["Al Bee"].athlete_id == 4 and got["Cy Dee"].chance is None and got["Al Bee"].sources == "A,B"
+
+
+def test_commands(spark, tmp_path, capsys):
+    from scoutframe import __main__ as command
+    from scoutframe import api
+
+    assert all(hasattr(api, name) for name in api.__all__)
+    assert command.main(["list"]) == 0 and "class_boards" in capsys.readouterr().out.split()
+    folder = "/root/testdata/sf0.001"
+    assert command.main(["run", "scan_projection", folder, f"{tmp_path}/out"]) == 0 and spark.read.parquet(f"{tmp_path}/out").count() > 0
+    assert command.main(["validate", folder]) == 0
+    for name in command.TABLES:
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0 if name == "nation" else 5).write.parquet(f"{tmp_path}/bad/{name}.parquet")
+    capsys.readouterr()
+    assert command.main(["validate", f"{tmp_path}/bad"]) == 1 and "FAILED: nation has rows" in capsys.readouterr().out
+
+
 def test_nobody_is_doubled(spark):
     """Two bios, two rows of totals, two overrides or two statuses of one athlete leave one row a prospect."""
     people = spark.createDataFrame([(2020, 1, "a bee", "x"), (2020, 2, "c dee", "y"), (2020, 3, "no body", "z")], "season int, person_id long, name_key string, school string")
