@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import struct
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,21 +57,21 @@ class WordEncoder:
         self.clear()
 
     def clear(self):
-        self.known: dict[str, int] = {}
-        self.ids, self.sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
-
-    def _keep(self, words: list[str]) -> None:
-        """Forgets all words but these."""
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        ids, sizes = self.ids[0], self.sizes[0]
-        starts = (np.cumsum(sizes) - sizes)[at]
-        self.ids, self.sizes = [ids[ragged(starts, sizes[at])]], [sizes[at]]
-        self.known = dict(zip(words, range(len(words)), strict=True))
-
-    def _add(self, words: list[str]) -> None:
-        """Encodes words not met before; plain ones many at a time as one text, cut again at the ends of units."""
-        plain = pc.match_substring_regex(pa.array(words, pa.utf8()), _PLAIN).to_numpy(zero_copy_only=False)
-        pointed = pc.match_substring_regex(pa.array(words, pa.utf8()), "[.,;:!?]$").to_numpy(zero_copy_only=False)
+        self.words = pa.array([], pa.utf8())
+        self.ids, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Forgets all words but those with these numbers."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = self.ids[ragged(starts[at], self.sizes[at])]
+        self.sizes, self.words = self.sizes[at], self.words.take(pa.array(at))
+
+    def _add(self, new: pa.Array) -> np.ndarray:
+        """Encodes words not met before, plain ones many at a time as one text, cut again at the ends of units; returns their numbers."""
+        words = new.to_pylist()
+        plain = pc.match_substring_regex(new, _PLAIN).to_numpy(zero_copy_only=False)
+        pointed = pc.match_substring_regex(new, "[.,;:!?]$").to_numpy(zero_copy_only=False)
+        ids_of, sizes_of, order = [self.ids], [self.sizes], [np.empty(0, np.int64)]
         for kind in (True, False):
             at = np.flatnonzero(plain == kind)
             for first in range(0, len(at), 2000):
@@ -88,9 +87,15 @@ class WordEncoder:
                     got = self.tokenizer.encode(block, is_pretokenized=True, add_special_tokens=False)
                     ids = np.array(got.ids, np.uint32)
                     sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(block))
-                self.ids.append(ids)
-                self.sizes.append(sizes)
-                self.known.update(zip(block, range(len(self.known), len(self.known) + len(block)), strict=True))
+                ids_of.append(ids)
+                sizes_of.append(sizes)
+                order.append(own)
+        order = np.concatenate(order)
+        numbers = np.empty(len(words), np.int64)
+        numbers[order] = np.arange(len(self.words), len(self.words) + len(words))
+        self.words = pa.concat_arrays([self.words, new.take(pa.array(order))])
+        self.ids, self.sizes = np.concatenate(ids_of), np.concatenate(sizes_of)
+        return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many belong to each."""
@@ -99,22 +104,24 @@ class WordEncoder:
         flat = words.values.slice(ends[0], ends[-1] - ends[0])
         ends = ends - ends[0]
         coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > CACHED_WORDS:
-            self._keep([w for w in distinct if w in self.known])
-        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        distinct = coded.dictionary.cast(pa.utf8())
+        at = self._numbers(distinct)
+        if len(self.words) > CACHED_WORDS:
+            self._keep(at[at >= 0])
+            at[at >= 0] = np.arange((at >= 0).sum())
         new = np.flatnonzero(at < 0)
-        self._add([distinct[i] for i in new])
-        at[new] = [self.known[distinct[i]] for i in new]
-        # ids lie in one array that is rebuilt where words came, at most ``CACHED_WORDS`` and a slice's
-        if len(self.ids) > 1:
-            self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
-        sizes = self.sizes[0]
-        starts = np.cumsum(sizes) - sizes
+        if len(new):
+            at[new] = self._add(distinct.take(pa.array(new)))
+        # words and ids lie in arrays that are rebuilt where words came, of at most ``CACHED_WORDS`` and a slice's
+        starts = np.cumsum(self.sizes) - self.sizes
         at = at[coded.indices.to_numpy()]
-        counts = sizes[at]
+        counts = self.sizes[at]
         upto = np.concatenate([[0], np.cumsum(counts)])
-        return self.ids[0][ragged(starts[at], counts)], np.diff(upto[ends])
+        return self.ids[ragged(starts[at], counts)], np.diff(upto[ends])
+
+    def _numbers(self, distinct: pa.Array) -> np.ndarray:
+        """The number of each word that is kept, -1 of the others."""
+        return pc.fill_null(pc.index_in(distinct, value_set=self.words), -1).to_numpy().astype(np.int64)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -253,7 +260,12 @@ def assign_sequences(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pieces of all documents with their ids, sequence_id and offset."""
+    """Pieces of all documents with their ids, sequence_id and offset.
+
+    A null or empty text is one piece, the end id; a text of any length is whole, in
+    pieces of at most ``capacity`` ids; repeated rows and null doc_ids have pieces of their own; an
+    empty table gives an empty result.  Strings of special tokens in a text are ordinary text.
+    """
     return assign_sequences(stored(tokenized(docs, tokenizer, capacity, end_id)), capacity)
 
 
@@ -263,6 +275,7 @@ def digests(pieces: DataFrame) -> DataFrame:
 
 
 def packed_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """As ``pack_documents``, with a checksum of each piece's ids in their place; the ids are never stored."""
     return assign_sequences(stored(digests(tokenized(docs, tokenizer))))
 
 

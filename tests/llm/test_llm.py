@@ -681,3 +681,23 @@ def test_multikey_and_tries(monkeypatch, shallow):
             assert common[k] == -1
         else:
             assert common[k] == next(j for j in range(48) if names[k][1][j] != names[k - 1][1][j])
+
+
+def test_words_that_are_kept(monkeypatch):
+    """Ids are the tokenizer's own, whatever words a worker still knows and however few it keeps; special strings are text."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokens.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    monkeypatch.setattr(pack, "CACHED_WORDS", 40)
+    encoder = pack.WordEncoder(path)
+    rng = random.Random(3)
+    batches = [[rng.choice([None, "", " ".join(words(rng.randint(1, 40), rng.randint(0, 9))), "<|endoftext|> It's  a\ttest! <|startoftext|>", "Don't WON'T 3,5 é'ß\n..."]) for _ in range(30)] for _ in range(6)]
+    for texts in batches:
+        ids, counts = encoder.encode(pa.array(texts, pa.utf8()))
+        want = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == want[0] and ids.tolist() == [i for one in want for i in one] and counts.tolist() == list(map(len, want))
+    assert len(encoder.words) == len(set(encoder.words.to_pylist())) == len(encoder.sizes) and encoder.sizes.sum() == len(encoder.ids)
+    assert 49407 not in own.encode("<|endoftext|>", add_special_tokens=False).ids
