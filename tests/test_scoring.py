@@ -41,7 +41,8 @@ def frozen(spark, frame):
 
 def test_scored_class(spark, frame, frozen):
     new = frame.where("season = 2022").drop("drafted", "pick")
-    got = scoring.scored_class(new, frozen, "season", "position_3", "person_id", F.lit(60.0)).collect()
+    scored = scoring.scored_class(new, frozen, "season", "position_3", "person_id", F.lit(60.0)).cache()
+    got = scored.collect()
     ids = {r.person_id for r in new.collect()}
     assert {r.person_id for r in got} == ids and len(got) == len(ids)
     assert sorted(r.board_rank for r in got) == list(range(1, len(ids) + 1))
@@ -54,7 +55,7 @@ def test_scored_class(spark, frame, frozen):
         assert r.score == round(100 * ((below + 0.5) / n))
         assert len(r.comparables) in (0, 3) and (r.comparables_status == "OK") == (len(r.comparables) == 3)
     assert any(r.comparables_status == "UNAVAILABLE" for r in got) and any(r.SHOOTING is not None for r in got)
-    docs = bundles.class_payload(spark.createDataFrame(got), "season", "person_id", ["score", "board_rank"], ["SHOOTING", "SIZE"], ["SHOOTER", "THREE_AND_D"]).collect()
+    docs = bundles.class_payload(scored, "season", "person_id", ["score", "board_rank"], ["SHOOTING", "SIZE"], ["SHOOTER", "THREE_AND_D"]).collect()
     payload = json.loads(docs[0].doc)
     assert len(docs) == 1 and [p["board"]["board_rank"] for p in payload["prospects"]] == list(range(1, n + 1)) and payload["season"] == 2022
     first = payload["prospects"][0]
