@@ -77,10 +77,8 @@ def class_payload(scored: DataFrame, season: str, ident: str, board: list[str],
 
     ``scored`` as ``scoring.scored_class`` gives it; dimensions go out to one place, and who has no board rank comes last.
     """
-    dims = F.map_from_entries(F.array(*[F.struct(F.lit(d).alias("key"), F.round(F.col(d).cast("decimal(38,9)"), 1).cast("double").alias("value")) for d in dimensions]))
-    fits = F.map_from_entries(
-        F.array(*[F.struct(F.lit(p).alias("key"), F.struct(F.col(f"{p}_score").alias("score"), F.col(f"{p}_eligibility").alias("eligibility")).alias("value")) for p in archetypes])
-    )
+    dims = F.struct(*[F.round(F.col(d).cast("decimal(38,9)"), 1).cast("double").alias(d) for d in dimensions])
+    fits = F.struct(*[F.struct(F.col(f"{p}_score").alias("score"), F.col(f"{p}_eligibility").alias("eligibility")).alias(p) for p in archetypes])
     one = F.struct(F.col(ident).alias("id"), F.struct(*board).alias("board"), dims.alias("dimensions"), fits.alias("profiles"), F.col("comparables"), F.col("comparables_status"))
     order = F.struct(F.col("board_rank").isNull().alias("__last"), F.col("board_rank").alias("__rank"), F.col(ident).alias("__id"), one.alias("p"))
     rows = scored.groupBy(season).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["p"]).alias("prospects"))
