@@ -349,5 +349,10 @@ def op13_composable_prints(spark, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents"), ["doc_id"]).drop("row")
 
 
+_SQL = r"""WITH squeezed AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER own AS keep_id, count(*) OVER own AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM squeezed WINDOW own AS (PARTITION BY t)"""
+
+
 QUERIES = {"op13_composable_prints": op13_composable_prints}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op13_composable_prints": _SQL}
