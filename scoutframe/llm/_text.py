@@ -42,6 +42,7 @@ def only(owner: str) -> None:
     for name, clear in _kept.items():
         if name != owner:
             clear()
+    pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 
