@@ -196,6 +196,30 @@ def test_distances_by_rank(spark, monkeypatch):
     assert (none.n, none.s) == (0, None)
 
 
+def test_distances_by_rank_count_copies_once(spark, monkeypatch):
+    """Copies of both sides under other ids: the same as a sort of all distances, but equal vectors meet once, also beside a lone row."""
+    import numpy as np
+
+    monkeypatch.setattr(S, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(7)
+    a, b = np.round(rng.random((12, 3)) * 9), np.round(rng.random((9, 3)) * 9)
+    a[2], a[4][1] = b[1], np.nan
+    copies = 5
+    mine = [(i + 100 * c, x) for c in range(copies) for i, x in enumerate(a)] + [(7000, a[0] + 0.5)]
+    theirs = [(i + 100 * c, x) for c in range(copies) for i, x in enumerate(b)]
+    cell = lambda x: [None if np.isnan(v) else float(v) for v in x]
+    left = spark.createDataFrame([(i, cell(x)) for i, x in mine], "id long, vec array<double>")
+    right = spark.createDataFrame([(i, cell(x)) for i, x in theirs], "other long, other_vec array<double>")
+    want = np.sort([S.distances(x[None], y[None])[0][0, 0] for i, x in mine for j, y in theirs if i != j])
+    met, counts = [], S.distance_counts
+    monkeypatch.setattr(S, "distance_counts", lambda *args: met.append(counts(*args)) or met[-1])
+    places = [0, 40, len(want) // 2, len(want) - 1]
+    n, at = S.ranked_distances(left, right, "id", "other", 3, lambda n: places)
+    assert n == len(want) and at == {r: want[r] for r in places}
+    different = [len({tuple(cell(x)) for _, x in side}) for side in (mine, theirs)]
+    assert met[0].agg(F.sum("pairs")).first()[0] == different[0] * different[1]
+
+
 def test_games_in_context_are_the_joined_ones(spark):
     """Windows over a game give what joining its teams gives: several teams, one team, no team, rows that count twice."""
     import random
