@@ -103,6 +103,35 @@ def test_nearest_of_all(spark, monkeypatch, block):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_nearest_of_all_meets_copies_once(spark, monkeypatch):
+    """Copies of both sides under other ids and names: what brute force gives, though each vector moves once; own ids and names stay out."""
+    import random
+
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 6)
+    rng = random.Random(5)
+    cell = lambda: None if rng.random() < 0.08 else float(rng.randint(0, 3))
+    base = [(i, [cell() for _ in range(6)], rng.choice([69.0, 70.0, 73.0, 78.0]), rng.choice(["a", "b", ""])) for i in range(14)]
+    pool = [(i + 100 * c, v, h, n) for c in range(7) for i, v, h, n in base]
+    mine = [*pool, (5000, *base[0][1:]), (5001, base[1][1], 71.0, "b")]
+    want = []
+    for i, v, h, name in mine:
+        near = []
+        for o, w, oh, called in pool:
+            d = [(a - b) ** 2 for a, b in zip(v, w) if a is not None and b is not None]
+            if o != i and len(d) >= 5 and (not name or name != called):
+                near.append((round((sum(d) / len(d)) ** 0.5, 9), o, abs(h - oh)))
+        gate = next((g for g in (2.0, 3.0, 4.0) if sum(x[2] <= g for x in near) >= 3), None)
+        best = sorted(x for x in near if gate and x[2] <= gate)[:3]
+        want += [(i, o, d, gate, k + 1) for k, (d, o, _) in enumerate(best)] or [(i, None, None, None, None)]
+    df = spark.createDataFrame(mine, "id long, vec array<double>, height double, name string")
+    others = spark.createDataFrame(pool, "oid long, other_vec array<double>, other_height double, called string")
+    sides, banded = [], similar.banded
+    monkeypatch.setattr(similar, "banded", lambda left, right, *rest: sides.extend((left.count(), right.count())) or banded(left, right, *rest))
+    got = similar.nearest_of_all(df, others, ["id"], "id", "oid", 6, own_name="name", other_name="called").collect()
+    assert sorted([(r.id, r.oid, r.distance, r.gate, r.nth) for r in got], key=str) == sorted(want, key=str)
+    assert sides[0] <= len(base) + 1 and sides[1] <= len(base)
+
+
 def test_ridge_matches_closed_form(spark):
     import numpy as np
 
