@@ -249,6 +249,24 @@ def test_distances_by_rank_count_copies_once(spark, monkeypatch):
     assert met[0].agg(F.sum("pairs")).first()[0] == different[0] * different[1]
 
 
+def test_season_sums_have_one_outcome(spark):
+    """However rows are dealt, to the last bit: numbers whose sum hangs on its order."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(2020, a, 40 * a % 17 + g, 1 + g % 2, "2020-01-01", False, True, *[rng.random() * 10 ** rng.randint(-6, 6) for _ in A.SUMS]) for a in range(30) for g in range(40)]
+    kinds = "season int, athlete_id long, game_id long, team_id long, game_date string, did_not_play boolean, starter boolean, " + ", ".join(f"{c} double" for c in A.SUMS)
+    found, usual = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("1", "3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            box = spark.createDataFrame(rng.sample(rows, len(rows)), kinds).repartition(int(partitions) + 1)
+            found.append(sorted(tuple(r) for r in A.season_in_context(box).select("athlete_id", *A.SUMS, *A.CONTEXT).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert found[0] == found[1] == found[2]
+
+
 def test_games_in_context_are_the_joined_ones(spark):
     """Windows over a game give what joining its teams gives: several teams, one team, no team, rows that count twice."""
     import random
