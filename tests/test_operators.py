@@ -258,12 +258,14 @@ def test_season_sums_have_one_outcome(spark):
     kinds = "season int, athlete_id long, game_id long, team_id long, game_date string, did_not_play boolean, starter boolean, " + ", ".join(f"{c} double" for c in A.SUMS)
     found, usual = [], spark.conf.get("spark.sql.shuffle.partitions")
     try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         for partitions in ("1", "3", "7"):
             spark.conf.set("spark.sql.shuffle.partitions", partitions)
             box = spark.createDataFrame(rng.sample(rows, len(rows)), kinds).repartition(int(partitions) + 1)
             found.append(sorted(tuple(r) for r in A.season_in_context(box).select("athlete_id", *A.SUMS, *A.CONTEXT).collect()))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", usual)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert found[0] == found[1] == found[2]
 
 
