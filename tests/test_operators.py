@@ -132,6 +132,31 @@ def test_nearest_of_all_meets_copies_once(spark, monkeypatch):
     assert sides[0] <= len(base) + 1 and sides[1] <= len(base)
 
 
+def test_nearest_by_cosine(spark, monkeypatch):
+    """Against all pairs, in several chunks and blocks: ties, lists of several lengths, what is missing, and no length, which comes last."""
+    import numpy as np
+
+    monkeypatch.setattr(similar, "COSINE_ROWS", 9)
+    monkeypatch.setattr(similar, "COSINE_QUERIES", 3)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.integers(-2, 3, 4)]) for i in range(40)]
+    rows += [(40, [1.0, None, 2.0]), (41, [0.0, 0.0]), (42, None), (43, rows[0][1])]
+    full = {i: np.array([0.0 if x is None else x for x in [*(v or []), 0.0, 0.0, 0.0, 0.0][:4]]) for i, v in rows}
+
+    def distance(a, b):
+        norm = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(1 - float(a @ b) / norm, 9) if norm > 0 else None
+
+    want = []
+    for i in (0, 7, 14, 21, 40, 41):
+        met = sorted(((d is None, d or 0.0, j, d) for j in full if j != i for d in [distance(full[i], full[j])]))
+        want += [(i, j, d) for _, _, j, d in met[:3]]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    others = df.select(F.col("id").alias("oid"), F.col("v").alias("w"))
+    got = similar.nearest_by_cosine(df.where("id IN (0, 7, 14, 21, 40, 41)"), others, "id", "oid", "v", "w").collect()
+    assert sorted(((r[0], r[1], None if r[2] is None else round(r[2], 9)) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_ridge_matches_closed_form(spark):
     import numpy as np
 
