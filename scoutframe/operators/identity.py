@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,34 +20,40 @@ def season_index(rows: DataFrame, ident: str, name_key: str, school: str, keys:
     )
 
 
+def _told(people: DataFrame, own: list[str], found: DataFrame, merge: dict) -> DataFrame:
+    """What was found for names and schools, by person."""
+    side = found.withColumnsRenamed({c: f"__{c}" for c in own})
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in own]
+    return people.select("person_id", *own).join(side, reduce(lambda a, b: a & b, same)).groupBy("person_id").agg(*[f(c).alias(c) for c, f in merge.items()])
+
+
 def match(people: DataFrame, index: DataFrame, overrides: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Adds matched_id and method to ``people`` (person_id, name_key, school); everyone stays, once.
 
     ``index``: ident, name_key, schools; ``overrides``: person_id, ident (of several for a person the smallest ident).  With ``keys``,
     columns that both sides have, such as the season, people are only matched within them.
     """
-    one = Window.partitionBy("person_id")
-    named = people.join(index, [*keys, "name_key"])
-    named = named.withColumn("fits", school_fits(F.col("schools"), F.col("school"))).withColumns(
-        {"n": F.count("*").over(one), "n_fit": F.count_if("fits").over(one)}
-    )
-    by_name = named.groupBy("person_id").agg(
-        F.max("n").alias("n"),
-        F.max("n_fit").alias("n_fit"),
-        F.max("ident").alias("any_id"),
-        F.max(F.when(F.col("fits"), F.col("ident"))).alias("fit_id"),
-    )
+    # what a name and school find doesn't hang on who has them: equal ones of either side meet once, with their number and largest ident
+    own = [*keys, "name_key", "school"]
+    asked = people.select(*own).distinct()
+    known = index.groupBy(*keys, "name_key", "schools").agg(F.count("*").alias("m"), F.max("ident").alias("ident"))
+    fits = school_fits(F.col("schools"), F.col("school"))
+    named = asked.join(known, [*keys, "name_key"]).withColumn("fits", F.coalesce(fits, F.lit(False)))
+    by_name = _told(people, own, named.groupBy(*own).agg(
+        F.sum("m").alias("n"), F.sum(F.when(F.col("fits"), F.col("m")).otherwise(0)).alias("n_fit"), F.max("ident").alias("any_id"), F.max(F.when(F.col("fits"), F.col("ident"))).alias("fit_id")
+    ), {"n": F.sum, "n_fit": F.sum, "any_id": F.max, "fit_id": F.max})
     surname = lambda c: F.regexp_extract(c, r"(\S+)$", 1)
     first = lambda c: F.regexp_extract(c, r"^(\S+)", 1)
     near = (
-        people.withColumn("surname", surname("name_key"))
-        .join(index.select(*keys, "ident", F.col("name_key").alias("other_key"), "schools").withColumn("surname", surname("other_key")), [*keys, "surname"])
-        .where(school_fits(F.col("schools"), F.col("school")))
+        asked.withColumn("surname", surname("name_key"))
+        .join(known.withColumnRenamed("name_key", "other_key").withColumn("surname", surname("other_key")), [*keys, "surname"])
+        .where(fits)
         .where((F.length(first("name_key")) >= 3) & (F.length(first("other_key")) >= 3))
         .where(F.startswith(first("name_key"), first("other_key")) | F.startswith(first("other_key"), first("name_key")))
-        .groupBy("person_id")
-        .agg(F.count("*").alias("n_near"), F.max("ident").alias("near_id"))
+        .groupBy(*own)
+        .agg(F.sum("m").alias("n_near"), F.max("ident").alias("near_id"))
     )
+    near = _told(people, own, near, {"n_near": F.sum, "near_id": F.max})
     over = overrides.groupBy("person_id").agg(F.min("ident").alias("over_id"))
     out = people.join(over, "person_id", "left").join(by_name, "person_id", "left").join(near, "person_id", "left")
     method = (

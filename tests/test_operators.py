@@ -315,3 +315,21 @@ def test_games_in_context_are_the_joined_ones(spark):
     assert key(A.team_context(box)) == key(want)
     both = A.season_in_context(box)
     assert key(both.select(*want.columns)) == key(want) and key(both.select("athlete_id", *A.SUMS)) == key(A.season_box(box).select("athlete_id", *A.SUMS))
+
+
+def test_match_meets_equal_names_once(spark, monkeypatch):
+    """Many people and players of few names: counts are those of all players, but names meet once."""
+    from scoutframe.operators import identity
+
+    names, schools = ["ann lee", "annie lee", "bob ray"], ["north", "south", None]
+    people = [(i, names[i % 3], schools[i // 3 % 3]) for i in range(90)] + [(900, "anna lee", "north"), (901, "cy poe", "north")]
+    players = [(i, names[i % 2], ["north"] if i % 4 else ["south state"]) for i in range(40)] + [(77, "bob ray", ["east"])]
+    found, told = [], identity._told
+    monkeypatch.setattr(identity, "_told", lambda *args: found.append(args[2]) or told(*args))
+    df = spark.createDataFrame(people, "person_id long, name_key string, school string")
+    index = spark.createDataFrame(players, "ident long, name_key string, schools array<string>")
+    got = {r.person_id: (r.matched_id, r.method) for r in identity.match(df, index, spark.createDataFrame([], "person_id long, ident long")).collect()}
+    want = {i: (77, "NAME") if n == "bob ray" else (None, "AMBIGUOUS") for i, n, _ in people[:90]} | {900: (None, "UNMATCHED"), 901: (None, "UNMATCHED")}
+    assert got == want
+    assert [f.agg(F.max("n" if k == 0 else "n_near")).first()[0] for k, f in enumerate(found)] == [20, 30]
+    assert all(f.count() <= 10 for f in found)
