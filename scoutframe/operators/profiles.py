@@ -1,8 +1,7 @@
 """Team need as data: dimensions, archetypes and their rules are long tables, and one plan evaluates all of them.
 
-Prospects become rows (prospect, metric), which meet the specification and the
-peers' grids by joins; dimensions are grouped means, archetypes grouped geometric
-means.
+A prospect stays one row: its metrics are looked up in the peers' grids, dimensions are
+means of these columns, archetypes geometric means; what is asked is then told as rows.
 """
 
 from __future__ import annotations
@@ -10,12 +9,14 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from scoutframe.functions import expr as X
 from scoutframe.operators.assembly import with_missing
-from scoutframe.sources.sinks import stored
 
 GLOBAL, POSITION = "GLOBAL", "POSITION"
 #: Fixed values: (dimension, metric, reference group, whether higher is better).
@@ -109,22 +110,44 @@ def conflicts(components: DataFrame) -> DataFrame:
     return found.where("size(__groups) > 1 OR __ways > 1").select("metric", "dimensions", F.array_join("__groups", ",").alias("reference_groups"))
 
 
-def percentile_frame(df: DataFrame, grid: DataFrame, keys: list[str], season: str, group: str, wanted: list[tuple[str, str]], carried: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, carried, metric, reference_group, percentile): a row for each prospect and each (metric, GLOBAL or POSITION) of ``wanted``.
+def placed(df: DataFrame, grid: DataFrame, held: list[str], season: str, group: str, wanted: list[tuple[str, str]]) -> DataFrame:
+    """``held`` and a column ``__p0``, ``__p1``, ... for each (metric, GLOBAL or POSITION) of ``wanted``: the place on the grid.
 
-    POSITION takes the grid of the prospect's own group, and where there is none the one of all; a value that is missing, or
-    a season without a grid, gives NULL.  ``grid`` as ``peers.grids`` gives it; ``keys`` name a prospect and include ``season``.
+    POSITION takes the grid of the row's own group, and where there is none the one of all; a value that is missing, or
+    a season without a grid, gives NULL.  A row stays one row and meets no join: tasks look its values up in the grids, a
+    hundred numbers for each season, group and metric, whatever the number of rows.
     """
     metrics = list(dict.fromkeys(m for m, _ in wanted))
-    whole = with_missing(df, metrics).withColumns({m: X.num(m) for m in metrics})
-    kinds = whole.sparkSession.createDataFrame(list(dict.fromkeys(wanted)), "metric string, reference_group string")
-    held = list(dict.fromkeys([*keys, group, *carried]))
-    rows = whole.select(*held, *metrics).unpivot(held, metrics, "metric", "__value").join(F.broadcast(kinds), "metric")  # the specification
-    scope = F.when(F.col("reference_group") == POSITION, F.coalesce(F.col(group), F.lit(GLOBAL))).otherwise(F.lit(GLOBAL))
-    own = grid.select(F.col(season), F.col("metric"), F.col("reference_group").alias("__scope"), F.col("grid").alias("__own"))
-    every = grid.where(F.col("reference_group") == GLOBAL).select(F.col(season), F.col("metric"), F.col("grid").alias("__all"))
-    out = rows.withColumn("__scope", scope).join(own, [season, "metric", "__scope"], "left").join(every, [season, "metric"], "left")
-    return out.withColumn("percentile", X.interpolate(F.coalesce("__own", "__all"), F.col("__value"))).select(*keys, *carried, "metric", "reference_group", "percentile")
+    known = {(r[0], r[1], r[2]): np.array(r[3], dtype=np.float64) for r in grid.where(F.col("metric").isin(metrics)).select(season, "reference_group", "metric", "grid").collect()}
+    whole = with_missing(df, metrics).select(*held, F.col(season).alias("__season"), F.coalesce(F.col(group), F.lit(GLOBAL)).alias("__group"), *[X.num(m).alias(f"__v{k}") for k, m in enumerate(metrics)])
+    schema = StructType([*whole.select(*held).schema.fields, *[StructField(f"__p{k}", DoubleType()) for k in range(len(wanted))]])
+
+    def run(batches):
+        for batch in batches:
+            values = {m: batch.column(f"__v{k}").to_numpy(zero_copy_only=False).astype(np.float64) for k, m in enumerate(metrics)}
+            out = np.full((len(wanted), batch.num_rows), np.nan)
+            scopes = pa.table({"s": batch.column("__season"), "g": batch.column("__group"), "i": np.arange(batch.num_rows)}).group_by(["s", "g"]).aggregate([("i", "list")]).to_pylist()
+            for scope in scopes:
+                at = np.array(scope["i_list"])
+                for k, (m, kind) in enumerate(wanted):
+                    every = known.get((scope["s"], GLOBAL, m))
+                    knots = known.get((scope["s"], scope["g"], m), every) if kind == POSITION else every
+                    if knots is not None:
+                        out[k, at] = X.interpolated(knots, values[m][at])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in held], *[pa.array(x, from_pandas=True) for x in out]], [f.name for f in schema.fields])
+
+    return whole.mapInArrow(run, schema)
+
+
+def percentile_frame(df: DataFrame, grid: DataFrame, keys: list[str], season: str, group: str, wanted: list[tuple[str, str]], carried: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, carried, metric, reference_group, percentile): a row for each prospect and each (metric, GLOBAL or POSITION) of ``wanted``, see ``placed``.
+
+    ``grid`` as ``peers.grids`` gives it; ``keys`` name a prospect and include ``season``.
+    """
+    wanted = list(dict.fromkeys(wanted))
+    rows = placed(df, grid, [*keys, *carried], season, group, wanted)
+    each = [F.struct(F.lit(m).alias("metric"), F.lit(kind).alias("reference_group"), F.col(f"__p{k}").alias("percentile")) for k, (m, kind) in enumerate(wanted)]
+    return rows.select(*keys, *carried, F.inline(F.array(*each)))
 
 
 @dataclass
@@ -150,35 +173,35 @@ def evaluated(df: DataFrame, grid: DataFrame, keys: list[str], season: str, grou
     apart = [(p[3], p[4]) for p in spec.pillars if p[2] == "METRIC" and p[4]]
     wanted = list(dict.fromkeys([(c[1], c[2]) for c in spec.components] + apart))
     named = {m: (spec.denominators.get(d, d), least) for m, d, least in spec.reliable}
-    held = with_missing(df, [d for d, _ in named.values()])
-    enough = F.create_map(*[x for m, (d, least) in named.items() for x in (F.lit(m), F.coalesce(X.num(d) >= least, F.lit(False)))]) if named else F.lit(None).cast("map<string, boolean>")
-    # written once: dimensions and archetypes read it several times
-    rows = stored(percentile_frame(held.withColumn("__enough", enough), grid, keys, season, group, wanted, (group, "__enough")))
-    components = spec.component_table(spark)
-    # small tables of fixed size
-    own = rows.join(F.broadcast(components), ["metric", "reference_group"])
-    raw = F.when(F.coalesce(F.try_element_at("__enough", F.col("metric")), F.lit(True)), F.col("percentile"))
-    own = own.withColumn("raw", raw).withColumn("oriented", F.when(F.col("higher"), F.col("raw")).otherwise(100 - F.col("raw")))
-    count = spark.createDataFrame([(d, len(spec.metrics_of(d)), math.ceil(LEAST_SHARE * len(spec.metrics_of(d)))) for d in spec.dimensions()], "dimension string, __of int, __need int")
-    scored = own.groupBy(*keys, group, "dimension").agg(F.avg("oriented").alias("__mean"), F.count("oriented").alias("__n")).join(F.broadcast(count), "dimension")
-    dimensions = scored.select(*keys, group, "dimension", F.when(F.col("__n") >= F.col("__need"), F.col("__mean")).alias("score"), (F.col("__n") / F.col("__of")).alias("coverage"))
-    pillars = spec.pillar_table(spark)
-
-    def met(source: DataFrame, name: str, value: str, which) -> DataFrame:
-        side = pillars.where(which).select("profile", "pillar", F.col("name").alias(name))
-        return source.join(F.broadcast(side), name).select(*keys, group, "profile", "pillar", F.col(value).alias("__v"))
-
-    once = own.dropDuplicates([*keys, "metric"]) if _shared(spec) else own
-    a = met(once, "metric", "oriented", "source = 'METRIC' AND reference_group IS NULL")
-    b = met(dimensions, "dimension", "score", "source = 'DIMENSION'")
-    side = pillars.where("source = 'METRIC' AND reference_group IS NOT NULL").select("profile", "pillar", F.col("name").alias("metric"), "reference_group")
-    c = rows.join(F.broadcast(side), ["metric", "reference_group"]).select(*keys, group, "profile", "pillar", F.col("percentile").alias("__v"))
-    by_pillar = a.unionAll(b).unionAll(c).groupBy(*keys, group, "profile", "pillar").agg(F.avg("__v").alias("__p"))
-    log = F.avg(F.ln(F.greatest(F.col("__p"), F.lit(1e-9))))
-    fit = F.when(F.count("__p") == F.count("*"), F.when(F.count("*") == 1, F.max("__p")).otherwise(F.exp(log)))
-    fits = by_pillar.groupBy(*keys, group, "profile").agg(fit.alias("fit_raw"))
-    allowed = spark.createDataFrame([(p, [g for q, g in spec.eligible if q == p]) for p in spec.archetypes()], "profile string, __allowed array<string>")
-    fits = fits.join(F.broadcast(allowed), "profile").withColumn("__group", F.col(group))
+    held = with_missing(df, [d for d, _ in named.values()]).withColumns({f"__d{k}": F.coalesce(X.num(d) >= least, F.lit(False)) for k, (d, least) in enumerate(named.values())})
+    rows = placed(held, grid, list(dict.fromkeys([*keys, group])) + [f"__d{k}" for k in range(len(named))], season, group, wanted)
+    # a prospect stays one row up to what is asked: nothing moves, and only the columns of what is asked are formed
+    place = {pair: F.col(f"__p{k}") for k, pair in enumerate(wanted)}
+    enough = {m: F.col(f"__d{k}") for k, m in enumerate(named)}
+    own = {c[1]: c for c in spec.components}
+    raw = {m: F.when(enough[m], place[m, c[2]]) if m in enough else place[m, c[2]] for m, c in own.items()}
+    oriented = {m: raw[m] if c[3] else 100 - raw[m] for m, c in own.items()}
+
+    def long(df: DataFrame, name: str, each: dict[str, list[Column]]) -> DataFrame:
+        return df.select(*keys, *([group] if group not in keys else []), F.inline(F.array(*[F.struct(F.lit(n).alias(name), *cols) for n, cols in each.items()])))
+
+    components = long(rows, "metric", {m: [F.lit(c[2]).alias("reference_group"), raw[m].alias("raw"), oriented[m].alias("oriented")] for m, c in own.items()})
+    scored = rows
+    for k, d in enumerate(spec.dimensions()):
+        parts = [oriented[m] for m in spec.metrics_of(d)]
+        n = X.row_count(*parts)
+        scored = scored.withColumns({f"__s{k}": F.when(n >= math.ceil(LEAST_SHARE * len(parts)), X.row_mean(*parts)), f"__c{k}": n / len(parts)})
+    score = {d: F.col(f"__s{k}") for k, d in enumerate(spec.dimensions())}
+    dimensions = long(scored, "dimension", {d: [score[d].alias("score"), F.col(f"__c{k}").alias("coverage")] for k, d in enumerate(score)})
+    fit = {}
+    for profile in spec.archetypes():
+        pillars: dict[str, list[Column]] = {}
+        for _, pillar, source, name, peers in [p for p in spec.pillars if p[0] == profile]:
+            pillars.setdefault(pillar, []).append(score[name] if source == "DIMENSION" else place[name, peers] if peers else oriented[name])
+        means = [X.row_mean(*values) for values in pillars.values()]
+        fit[profile] = means[0] if len(means) == 1 else X.geo_mean(*means)
+    fits = long(scored, "profile", {p: [F.array(*[F.lit(g) for q, g in spec.eligible if q == p]).cast("array<string>").alias("__allowed"), f.alias("fit_raw")] for p, f in fit.items()})
+    fits = fits.withColumn("__group", F.col(group))
     eligibility = (
         F.when(F.size("__allowed") == 0, "ELIGIBLE")
         .when(F.col("__group").isNull() | (F.col("__group") == "UNKNOWN"), "UNKNOWN_POSITION")
@@ -189,18 +212,13 @@ def evaluated(df: DataFrame, grid: DataFrame, keys: list[str], season: str, grou
     place = Window.partitionBy(season, "profile").orderBy(F.col("fit_raw").isNull(), F.col("eligibility") == "OUT_OF_POSITION", F.round("fit_raw", 9).desc_nulls_last(), *[k for k in keys if k != season])
     fits = fits.withColumn("fit_rank", F.row_number().over(place).cast("long"))
     return Scores(
-        once.select(*keys, "metric", "reference_group", "raw", "oriented"),
-        dimensions.drop(group),
+        components.select(*keys, "metric", "reference_group", "raw", "oriented"),
+        dimensions.select(*keys, "dimension", "score", "coverage"),
         fits.select(*keys, "profile", "fit_raw", "eligibility", "fit_status", "fit_score", "fit_rank"),
     )
 
 
-def _shared(spec: Specification) -> bool:
-    """Whether a metric stands in several dimensions."""
-    return len({c[1] for c in spec.components}) < len(spec.components)
-
-
 def position_relative_size(df: DataFrame, grid: DataFrame, keys: list[str], season: str, group: str) -> DataFrame:
     """(keys, size_in_position): mean percentile of height and weight among the own position; a diagnostic, in no dimension."""
-    rows = percentile_frame(df, grid, keys, season, group, [("height", POSITION), ("weight", POSITION)])
-    return rows.groupBy(*keys).agg(F.avg("percentile").alias("size_in_position"))
+    rows = placed(df, grid, keys, season, group, [("height", POSITION), ("weight", POSITION)])
+    return rows.select(*keys, X.row_mean(F.col("__p0"), F.col("__p1")).alias("size_in_position"))

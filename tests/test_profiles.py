@@ -101,3 +101,15 @@ def test_percentiles_of_the_ends(spark, grid):
     got = {(r.id, r.reference_group): r.percentile for r in rows.collect()}
     assert [got[i, "GLOBAL"] for i in range(5)] == [0, 0, 100, pytest.approx(99.25), None] and got[3, "POSITION"] == pytest.approx(99.25) and len(got) == 10
     assert rows.where(F.col("percentile").isNull()).count() == 2
+
+
+def test_evaluation_moves_no_rows(spark):
+    """Everything is read from the prospect's own row: no plan of the scores has a shuffle (the rank of fits apart), none carries grids."""
+    grid = spark.createDataFrame([(2020, "GLOBAL", m, [float(q) for q in range(101)]) for m in N.Specification().metrics()], "season int, reference_group string, metric string, grid array<double>")
+    frame = spark.range(8).selectExpr("2020 AS season", "id", "'G' AS position_3", *[f"id * 10.5D AS {m}" for m in N.Specification().metrics()], "30 AS three_points_attempted", "30 AS free_throws_attempted", "30 AS shot_records")
+    got = N.evaluated(frame, grid, ["season", "id"], "season", "position_3")
+    for df in (got.dimensions, got.components, got.profiles.drop("fit_rank")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "grid" not in plan
+    assert {(r.id, r.score) for r in got.dimensions.where("dimension = 'SIZE'").collect()} == {(k, k * 10.5) for k in range(8)}
+    assert {(r.id, round(r.score, 9)) for r in got.dimensions.where("dimension = 'PLAYMAKING'").collect()} == {(k, 50.0) for k in range(8)}
