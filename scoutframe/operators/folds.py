@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,9 +107,8 @@ class Rows:
                 there = ~np.isnan(x)
                 v = np.zeros((len(x), width))
                 v[:, :p], v[:, p : 2 * p] = np.where(there, x, 0.0), ~there
-                level = batch.column("level").to_pylist()
                 for k, name in enumerate(LEVELS):
-                    v[:, 2 * p + k] = [one == name for one in level]
+                    v[:, 2 * p + k] = pc.equal(batch.column("level"), name).fill_null(False).to_numpy(zero_copy_only=False)
                 v[:, -1] = 1.0
                 for key, s in sums_of(batch.column("year").to_numpy(zero_copy_only=False), v, batch.column("y").to_numpy(zero_copy_only=False)).items():
                     total[key] = total[key] + s if key in total else s

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutframe.operators.peers import external_percentiles
+from scoutframe.operators.peers import running
 from scoutframe.operators.quantiles import exact_quantiles
 
 
@@ -18,19 +18,18 @@ def average_rank(value: str, keys: list[str]) -> Column:
 def roc_auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Area under the curve: the mean share of rows labelled 0 that a row labelled 1 is above, ties half; NULL unless both labels occur."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    one, zero = (rows.where(c).select(*keys, score) for c in (F.col(label) == 1, F.col(label) != 1))
-    found = external_percentiles(one, zero, keys, score).groupBy(*keys).agg((F.avg("midrank") / 100).alias("auc"))
-    return rows.select(*keys).distinct().join(found, keys, "left")
+    counts = rows.groupBy(*keys, score).agg(F.count_if(F.col(label) == 1).alias("__one"), F.count_if(F.col(label) != 1).alias("__zero"))
+    # pairs as doubles: their number passes a long's range
+    won = F.sum(F.col("__one").cast("double") * (2 * F.col("__upto___zero") - F.col("__zero")))
+    both = 2.0 * F.sum("__one") * F.sum("__zero")
+    return running(counts, keys, score, ["__zero"]).groupBy(*keys).agg(F.when(both > 0, won / both).alias("auc"))
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Step sum of precision over distinct scores."""
-    per = df.groupBy(*keys, score).agg(F.sum(label).alias("tp"), F.count("*").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(score))
-    per = per.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)})
-    return per.groupBy(*keys).agg(
-        F.when(F.sum("tp") > 0, F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.sum("tp")).alias("average_precision")
-    )
+    per = running(df.groupBy(*keys, score).agg(F.sum(label).alias("tp"), F.count("*").alias("n")), keys, score, ["tp", "n"])
+    above = lambda c: F.col(f"__all_{c}") - F.col(f"__upto_{c}") + F.col(c)
+    return per.groupBy(*keys).agg(F.when(F.sum("tp") > 0, F.sum(F.col("tp") * above("tp") / above("n")) / F.sum("tp")).alias("average_precision"))
 
 
 def probability_losses(df: DataFrame, keys: list[str], p: str, label: str) -> DataFrame:

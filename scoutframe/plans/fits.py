@@ -9,6 +9,7 @@ from scoutframe.functions import expr as X
 from scoutframe.operators import folds as D
 from scoutframe.operators import metrics as M
 from scoutframe.plans.queries import RATES_SQL, rates, registrar, rounded
+from scoutframe.sources.sinks import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,10 +26,11 @@ tests AS (SELECT DISTINCT season AS t FROM learn WHERE season >= {FIRST_TEST})""
 def learnable(spark, sf_dir) -> DataFrame:
     x, k = rates(spark, sf_dir).where("minutes > 0"), F.col("athlete_id")
     drafted = ((k * 7 + F.col("season") * 3) % 10 + F.col("games_played")) > 8
-    return x.select(
+    # the years, every pass of a fit and the scores read it
+    return stored(x.select(
         "season", "athlete_id", "position", "points_per_game", "rebounds_per_40", F.when(k % 5 > 0, F.col("assists_per_40")).alias("assists_per_40"),
         drafted.cast("int").alias("drafted"), F.when(drafted, (1 + (k * 13 + F.col("season")) % 60).cast("double")).alias("pick"),
-    )
+    ))
 
 
 def _years(x: DataFrame) -> dict[int, list[int]]:
@@ -121,7 +123,7 @@ _METRICS = ["auc", "average_precision", "log_loss", "brier"]
 {' UNION ALL '.join(f"SELECT '{m}' AS metric, (SELECT round(avg({m}), 6) FROM per_fold) AS macro, (SELECT round(stddev_pop({m}), 6) FROM per_fold) AS sd, (SELECT round(min({m}), 6) FROM per_fold) AS low, (SELECT round({m}, 6) FROM whole) AS pooled" for m in _METRICS)}""")
 def fold_metrics(spark, sf_dir):
     """Chances by fold and pooled."""
-    rows = _out_of_fold(spark, sf_dir).where("z IS NOT NULL").select("season", "chance", "drafted")
+    rows = stored(_out_of_fold(spark, sf_dir).where("z IS NOT NULL").select("season", "chance", "drafted"))
     return rounded(M.fold_report(rows, "season", "chance", "drafted"))
 
 

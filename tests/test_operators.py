@@ -333,3 +333,29 @@ def test_match_meets_equal_names_once(spark, monkeypatch):
     assert got == want
     assert [f.agg(F.max("n" if k == 0 else "n_near")).first()[0] for k, f in enumerate(found)] == [20, 30]
     assert all(f.count() <= 10 for f in found)
+
+
+@pytest.mark.parametrize("name", ["league_percentiles", "college_space", "board_methods", "grid_interpolate", "fold_metrics", "logit_fit"])
+def test_seasons_are_summed_once(spark, name):
+    """Sums of games are written once, so no later step reads games again, and no class is ranked or summed up in one window over its rows."""
+    from scoutframe.plans import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "rank(" not in plan and "percentile(" not in plan
+
+
+def test_class_percentile_by_counts(spark):
+    """The join with counts gives what the window gives: ties, missing values and a missing key; the same to the last bit."""
+    df = spark.createDataFrame([("a", 3.0), ("a", 3.0), ("a", -1.0), ("a", None), ("a", 7.0), (None, 2.0), (None, None), (None, 0.0)], "k string, v double")
+    got = rank.with_class_percentile(df, "v", ["k"], "p").select("k", "v", "p").collect()
+    want = df.withColumn("p", rank.class_percentile(F.col("v"), ["k"])).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_average_precision_with_missing_scores(spark):
+    """Missing scores come last; the sums run over buckets of scores."""
+    df = spark.createDataFrame([("a", 0.9, 1), ("a", 0.9, 0), ("a", 0.4, 1), ("a", None, 1), ("b", 0.5, 0)], "k string, p double, y int")
+    got = {r.k: r.average_precision for r in M.average_precision(df, ["k"], "p", "y").collect()}
+    assert got["b"] is None and abs(got["a"] - (0.5 + 2 / 3 + 3 / 4) / 3) < 1e-12
+    plan = M.average_precision(df, ["k"], "p", "y")._jdf.queryExecution().executedPlan().toString()
+    assert "__b" in plan  # no window over all scores of a key
