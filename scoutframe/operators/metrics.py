@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutframe.operators.peers import running
+from scoutframe.operators.peers import joined_on, running
 from scoutframe.operators.quantiles import exact_quantiles
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Average rank, ascending, within the keys."""
-    ranked = F.rank().over(Window.partitionBy(*keys).orderBy(value))
-    return ranked + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
+def with_average_rank(df: DataFrame, keys: list[str], value: str, into: str) -> DataFrame:
+    """Adds the average rank, ascending, within the keys, by running counts of distinct values: no task sorts the rows of a key."""
+    placed = running(df.groupBy(*keys, value).agg(F.count("*").alias("__c")), keys, value, ["__c"])
+    placed = placed.select(*keys, value, (F.col("__upto___c") - (F.col("__c") - 1) / 2).alias(into))
+    return joined_on(df, placed, [*keys, value])
 
 
 def roc_auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
@@ -74,7 +79,7 @@ def expected_calibration_error(df: DataFrame, keys: list[str], p: str, label: st
 
 def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """Correlation of average ranks per group; NULL where either side is constant."""
-    r = df.withColumns({"__ra": average_rank(a, keys), "__rb": average_rank(b, keys)})
+    r = with_average_rank(with_average_rank(df.select(*keys, F.col(a).alias("__x"), F.col(b).alias("__y")), keys, "__x", "__ra"), keys, "__y", "__rb")
     spread = F.nullif(F.stddev_pop("__ra") * F.stddev_pop("__rb"), F.lit(0.0))
     return r.groupBy(*keys).agg((F.covar_pop("__ra", "__rb") / spread).alias("spearman"))
 
@@ -132,26 +137,62 @@ def kendall(df: DataFrame, keys: list[str], a: str, b: str, ident: str) -> DataF
 
 def ndcg(df: DataFrame, keys: list[str], score: str, gain: str, k: int | None = None, name: str = "ndcg") -> DataFrame:
     """Tied scores share their average gain over the discounts of their places; with ``k``, later places count nothing."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score)))
-    best = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(gain)))
-    rows = df.withColumns({"__place": place, "__best": best})
-    counted = (lambda c: F.col(c) <= k) if k else (lambda c: F.lit(True))
-    rows = rows.withColumns(
-        {
-            "__d": F.when(counted("__place"), 1 / F.log2(F.col("__place") + 1.0)).otherwise(0.0),
-            "__i": F.when(counted("__best"), F.col(gain) / F.log2(F.col("__best") + 1.0)).otherwise(0.0),
-        }
-    )
-    per = rows.groupBy(*keys, score).agg((F.avg(gain) * F.sum("__d")).alias("dcg"), F.sum("__i").alias("ideal"))
-    return per.groupBy(*keys).agg(F.when(F.sum("ideal") > 0, F.sum("dcg") / F.sum("ideal")).alias(name))
+
+    def summed(by: str, gains: Column, name: str) -> DataFrame:
+        # rows of one value hold the places from those above it on
+        per = running(df.groupBy(*keys, F.col(by).alias("__by")).agg(F.count("*").alias("__n"), gains.alias("__gain")), keys, "__by", ["__n"])
+        above = F.col("__all___n") - F.col("__upto___n")
+        upto = [F.least(c, F.lit(k)) if k else c for c in (above, above + F.col("__n"))]
+        return per.groupBy(*keys).agg(F.sum(F.col("__gain") * (discounts(upto[1]) - discounts(upto[0]))).alias(name))
+
+    both = joined_on(summed(score, F.avg(gain), "__dcg"), summed(gain, F.avg(gain), "__ideal"), keys)
+    return both.select(*keys, F.when(F.col("__ideal") > 0, F.col("__dcg") / F.col("__ideal")).alias(name))
+
+
+#: Places whose discounts are added one by one; the sum over later ones is an integral with corrections.
+ADDED = 4096
+
+
+def discount_sums(places: np.ndarray) -> np.ndarray:
+    """Sum of 1 / log2(i + 1) over the places 1 to each of ``places``."""
+    m = np.asarray(places, dtype=np.int64)
+    table = np.concatenate([[0.0], np.cumsum(1 / np.log2(np.arange(1, ADDED + 1) + 1.0))])
+
+    def smooth(x):
+        # Euler and Maclaurin for 1 / ln x: the logarithmic integral by its series, half of the end, a twelfth of the slope
+        y = np.log(x)
+        total, term = np.log(y), np.ones_like(y)
+        for j in range(1, 160):
+            term = term * y / j
+            total = total + term / j
+        return total + 1 / (2 * y) - 1 / (12 * x * y * y)
+
+    late = m > ADDED
+    out = table[np.minimum(m, ADDED)]
+    out[late] += np.log(2.0) * (smooth(m[late] + 1.0) - smooth(np.array([ADDED + 1.0])))
+    return out
+
+
+def discounts(places: Column) -> Column:
+    @F.pandas_udf("double")
+    def sums(m: pd.Series) -> pd.Series:
+        return pd.Series(discount_sums(m.to_numpy()))
+
+    return sums(places.cast("long"))
 
 
 def class_recall(df: DataFrame, keys: list[str], pred: str, pick: str, ident: str) -> DataFrame:
     """Of the first 14 and 30 actual picks, the share among as many best predictions; and how many of the better predicted half are in the better half."""
-    n = F.count("*").over(Window.partitionBy(*keys))
     middle = exact_quantiles(df, keys, pick, [0.5]).select(*keys, F.col("quantiles")[0].alias("__m"))
-    rows = df.withColumns({"__k": F.row_number().over(Window.partitionBy(*keys).orderBy(pred, ident)), "__n": n}).join(middle, keys, "left")
     half = F.greatest(F.lit(1), F.floor(F.col("__n") / 2))
+    placed = running(df.groupBy(*keys, pred).agg(F.count("*").alias("__c")), keys, pred, ["__c"])
+    placed = placed.select(*keys, pred, (F.col("__upto___c") - F.col("__c")).alias("__before"), F.col("__upto___c").alias("__upto"), F.col("__all___c").alias("__n"))
+    rows = joined_on(df.select(*keys, pred, pick, ident), placed, [*keys, pred])
+    # only predictions that a cut goes through are told apart by their ids
+    through = reduce(lambda a, b: a | b, [(F.col("__before") < c) & (F.col("__upto") > c) for c in (F.lit(14), F.lit(30), half)])
+    apart = F.row_number().over(Window.partitionBy(*keys, pred).orderBy(ident)) + F.col("__before")
+    rows = rows.where(through).withColumn("__k", apart).unionByName(rows.where(~through).withColumn("__k", F.col("__upto")))
+    rows = rows.join(middle, keys, "left")
 
     def recall(cut: int) -> Column:
         actual = F.col(pick) <= cut

@@ -359,3 +359,27 @@ def test_average_precision_with_missing_scores(spark):
     assert got["b"] is None and abs(got["a"] - (0.5 + 2 / 3 + 3 / 4) / 3) < 1e-12
     plan = M.average_precision(df, ["k"], "p", "y")._jdf.queryExecution().executedPlan().toString()
     assert "__b" in plan  # no window over all scores of a key
+
+
+def test_metrics_of_large_groups(spark):
+    """NDCG by sums of discounts over places equals a count of every place, cut or not; later places follow from an integral."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    score, gain = rng.integers(0, 40, 9000), rng.integers(0, 6, 9000).astype(float)
+    df = spark.createDataFrame([("a", float(s), float(g)) for s, g in zip(score, gain)], "k string, s double, g double")
+    share = 1 / np.log2(np.arange(1, 9001) + 1.0)
+    for k in (None, 14):
+        d = share * (np.arange(9000) < (k or 9000))
+        order = np.argsort(-score, kind="stable")
+        tied = np.array([gain[score == s].mean() for s in score[order]])
+        want = (tied * d).sum() / (np.sort(gain)[::-1] * d).sum()
+        plan = M.ndcg(df, ["k"], "s", "g", k)
+        assert abs(plan.first().ndcg - want) < 1e-10
+        assert "row_number" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recall_goes_through_ties_by_id(spark):
+    df = spark.createDataFrame([("a", 1.0 if i < 10 else 2.0, float(i + 1), i) for i in range(40)], "k string, p double, pick double, id long")
+    got = M.class_recall(df, ["k"], "p", "pick", "id").first()
+    assert (got.lottery_recall, got.first_round_recall, got.top_half_concentration) == (1.0, 1.0, 1.0)
