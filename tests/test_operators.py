@@ -157,6 +157,21 @@ def test_nearest_by_cosine(spark, monkeypatch):
     assert sorted(((r[0], r[1], None if r[2] is None else round(r[2], 9)) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_knn_cosine_asks_for_every_vector(spark, tmp_path):
+    """No id is left out as a query, whatever it is divisible by; floats are compared as doubles."""
+    import numpy as np
+
+    from scoutframe.plans.more import knn_cosine
+
+    x = np.random.default_rng(9).random((12, 4)).astype(np.float32)
+    rows = [(i + 95, [float(v) for v in r]) for i, r in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    far = np.round(1 - y @ y.T, 9)
+    want = [(i + 95, j + 95) for i in range(12) for _, j in sorted((far[i, j], j) for j in range(12) if j != i)[:3]]
+    assert sorted((r.vec_id, r.other) for r in knn_cosine(spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_ridge_matches_closed_form(spark):
     import numpy as np
 
