@@ -273,12 +273,13 @@ def scored(df: DataFrame, table: DataFrame, key: str, names: list[str], position
     out = df.join(F.broadcast(side), F.col(key) == F.col("__key"), "left").withColumn("__x", x)
     filled = F.zip_with("__x", "__fit.medians", lambda v, m: F.coalesce(v, m))
     centred = F.zip_with(filled, "__fit.means", lambda v, u: v - u)
-    scaled = F.zip_with(centred, "__fit.scales", lambda v, s: v / s)
-    total = F.aggregate(F.zip_with(scaled, "__fit.coefficients", lambda v, w: v * w), F.lit(0.0), lambda a, b: a + b)
+    # in the order in which the formula is written, so that a sum that ends on a tie of decimals rounds as there
+    weighted = F.zip_with(F.zip_with("__fit.coefficients", centred, lambda w, v: w * v), "__fit.scales", lambda v, s: v / s)
+    total = F.aggregate(weighted, F.col("__fit.intercept"), lambda a, b: a + b)
     by_level = F.lit(0.0)
     if position:
         by_level = F.element_at("__fit.levels", F.array_position(F.array(*map(F.lit, LEVELS)), level).cast("int"))
-    return out.withColumn(into, F.col("__fit.intercept") + total + by_level).drop("__key", "__fit", "__x")
+    return out.withColumn(into, total + by_level).drop("__key", "__fit", "__x")
 
 
 def out_of_fold(df: DataFrame, fits: dict[int, Fit], year: str, position: str | None, into: str) -> DataFrame:

@@ -74,7 +74,7 @@ def pro_pool(seasons: DataFrame, heights: DataFrame, ident: str, group: str, las
     metrics = [m for own in ROLES.values() for m in own]
     latest = seasons.groupBy(ident).agg(F.max_by(group, "season").alias(group))
     # written once, to nine places: a player is measured among the very same values
-    pool = stored(similar.pool(seasons, ident, metrics, last).join(latest, ident).select(ident, group, *[F.round(m, 9).alias(m) for m in metrics]))
+    pool = stored(similar.pool(seasons, ident, metrics, last).join(latest, ident).select(ident, group, *[X.nine_places(F.col(m)).alias(m) for m in metrics]))
     placed = space.pro_space(pool, [ident], ROLES, INVERTED, group)
     return placed.join(heights.groupBy(ident).agg(F.min("height").alias("other_height")), ident, "left").select(
         F.col(ident).alias("other_id"), F.col(group).alias("other_group"), F.array(*ROLES).alias("other_vec"), "other_height"
@@ -94,7 +94,7 @@ def signals(frame: DataFrame, frozen: Frozen, season: str, group: str) -> DataFr
 
 def board(frame: DataFrame, frozen: Frozen, season: str, group: str, ident: str, size: Column) -> DataFrame:
     """(season, ident, chance, pick, utility, signal, percentile, score, board_rank) of each class; signals agree to nine places."""
-    rows = signals(frame, frozen, season, group).select(season, ident, F.round("chance", 9).alias("chance"), F.round("pick", 9).alias("pick"))
+    rows = signals(frame, frozen, season, group).select(season, ident, X.nine_places(F.col("chance")).alias("chance"), X.nine_places(F.col("pick")).alias("pick"))
     return general_board(rows, [season], "chance", "pick", size, ident)
 
 

@@ -140,3 +140,23 @@ def test_nobody_is_doubled(spark):
     built = D.build_dataset(D.prospect_frame(people, index, overrides, frame).withColumns({c: F.lit(1) for c in ("fg_attempts", "n_teams")}), targets, held_out=(2021,), expected={2020: 3})
     assert built.failed() == ["features have targets", "most prospects are matched", "targets have features"]
     assert "method" not in built.features.columns and built.targets.count() == 2 and built.crosswalk.count() == 3
+
+
+def test_ties_of_decimals_round_as_in_sql(spark):
+    """Scores are summed in the written order and rounded to nine places as DuckDB does, where a value ends on a tie of the tenth."""
+    import duckdb
+
+    from scoutframe.plans import classes as C
+
+    rows = [(0, i, *r) for i, r in enumerate([(150.407362963, 0.464285714, 72.0, "F"), (43.338917647, 0.370926878, 72.0, "UNKNOWN"), (46.0, 3.5, None, "G")])]
+    kinds = "model int, id int, points_per_40 double, blk_pct double, height double, position_3 string"
+    table = spark.createDataFrame([(0, *C._ORDER_FIT)], f"model int, {C.PARAMETERS}")
+    got = folds.scored(spark.createDataFrame(rows, kinds), table, "model", C._ORDER, "position_3", "pick").select("id", "pick", X.nine_places(F.col("pick")).alias("nine"))
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE x (model INT, id INT, points_per_40 DOUBLE, blk_pct DOUBLE, height DOUBLE, position_3 VARCHAR)")
+    duck.executemany("INSERT INTO x VALUES (?, ?, ?, ?, ?, ?)", rows)
+    want = duck.execute(f"SELECT id, pick, round(pick, 9) FROM (SELECT id, {C._linear(C._ORDER_FIT, C._ORDER)} AS pick FROM x)").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    ties = [(k + 0.5) / 1e9 for k in range(33_862_713_000, 33_862_713_400)]
+    some = spark.createDataFrame([(v,) for v in ties], "v double").select("v", X.nine_places(F.col("v"))).collect()
+    assert [tuple(r) for r in some] == duck.execute("SELECT v, round(v, 9) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [ties]).fetchall()
