@@ -398,3 +398,17 @@ def test_recall_goes_through_ties_by_id(spark):
     df = spark.createDataFrame([("a", 1.0 if i < 10 else 2.0, float(i + 1), i) for i in range(40)], "k string, p double, pick double, id long")
     got = M.class_recall(df, ["k"], "p", "pick", "id").first()
     assert (got.lottery_recall, got.first_round_recall, got.top_half_concentration) == (1.0, 1.0, 1.0)
+
+
+def test_games_are_dealt_once(spark, monkeypatch):
+    """Rows and pool of a query come from season rows that are written once; the pool doesn't go back to the games."""
+    from scoutframe.plans import extra, more
+
+    folder, made = "/root/testdata/sf0.001", []
+    for module in (more, extra):
+        monkeypatch.setattr(module, "rates", lambda *args, usual=module.rates: made.append(args) or usual(*args))
+    for run in (extra._cuts, more._comparables, more.comparables_whole):
+        made.clear()
+        run(spark, folder)
+        assert len(made) == 1
+    assert not [f for f in more._pool(more._seasons(spark, folder)).inputFiles() if "lineitem" in f]
