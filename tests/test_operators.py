@@ -412,3 +412,14 @@ def test_games_are_dealt_once(spark, monkeypatch):
         run(spark, folder)
         assert len(made) == 1
     assert not [f for f in more._pool(more._seasons(spark, folder)).inputFiles() if "lineitem" in f]
+
+
+def test_nearest_of_all_keeps_rows_without_joining_them_back(spark):
+    """Rows that have nobody stay as they are: one join with the others, one with what was found, and none that deals all results again."""
+    df = spark.createDataFrame([(1, [1.0, 2.0], 70.0), (2, [1.0, None], 70.0), (3, [2.0, 2.0], None)], "id long, vec array<double>, height double")
+    others = spark.createDataFrame([(7 + i, [float(i), 2.0], 70.0) for i in range(4)], "oid long, other_vec array<double>, other_height double")
+    out = similar.nearest_of_all(df, others, ["id"], "id", "oid", 2, coverage=1.0)
+    assert sorted((r.id, r.oid, r.status) for r in out.where("oid IS NOT NULL").collect()) == [(1, 7, "OK"), (1, 8, "OK"), (1, 9, "OK")]
+    assert sorted((r.id, r.gate, r.status) for r in out.where("oid IS NULL").collect()) == [(2, None, "UNAVAILABLE"), (3, None, "UNAVAILABLE")]
+    # two of the sides with their bands, one of what was found with its rows, and the two named above
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 5
