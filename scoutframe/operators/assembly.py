@@ -13,6 +13,7 @@ from scoutframe.functions.text import name_key, position_group, row_id
 from scoutframe.operators.aggregate import features, first_rows, season_in_context, shot_features, shot_profile, widened
 from scoutframe.operators.identity import match
 from scoutframe.operators.validate import denied_columns
+from scoutframe.sources.sinks import stored
 
 #: Seasons whose schedules were cut.
 SHORT_SEASONS = (2020, 2021)
@@ -128,8 +129,10 @@ def build_dataset(prospects: DataFrame, targets: DataFrame, ident: str = "person
 
     ``prospects`` as ``prospect_frame``; ``targets``: ident, drafted, pick.  ``expected`` announces prospects by year.
     """
-    typed = with_targets(prospects.select(ident, "season"), targets, [ident])
-    stats = build_stats(prospects, "season", "athlete_id", "method").join(
+    # stats and gates read these alone; whatever else a feature needs is neither dealt nor written for them
+    told = stored(prospects.select("season", ident, "athlete_id", "method", "games_played", "fg_attempts", "n_teams"))
+    typed = with_targets(told.select(ident, "season"), targets, [ident])
+    stats = build_stats(told, "season", "athlete_id", "method").join(
         typed.groupBy("season").agg(F.sum("drafted").alias("drafted"), F.count_if(F.col("drafted") == 0).alias("undrafted")), "season", "left"
     )
     kept = [c for c in prospects.columns if c not in ("method", "school", "name_key")]
@@ -137,10 +140,10 @@ def build_dataset(prospects: DataFrame, targets: DataFrame, ident: str = "person
     spark = prospects.sparkSession
     one = lambda name, df: df.agg(F.count("*").alias("broken")).select(F.lit(name).alias("gate"), "broken")
     rows = [
-        one("ids are unique", prospects.groupBy(ident).count().where("count > 1")),
-        one("features have targets", prospects.select(ident).distinct().join(targets.select(ident), ident, "left_anti")),
-        one("targets have features", targets.select(ident).distinct().join(prospects.select(ident), ident, "left_anti")),
-        one("no held-out year", prospects.where(F.col("season").isin(*held_out)) if held_out else prospects.limit(0)),
+        one("ids are unique", told.groupBy(ident).count().where("count > 1")),
+        one("features have targets", told.select(ident).distinct().join(targets.select(ident), ident, "left_anti")),
+        one("targets have features", targets.select(ident).distinct().join(told.select(ident), ident, "left_anti")),
+        one("no held-out year", told.where(F.col("season").isin(*held_out)) if held_out else told.limit(0)),
         one("most prospects are matched", stats.where(F.col("matched") < least_matched * F.col("prospects"))),
         one("no outcome among the features", spark.createDataFrame([(c,) for c in denied_columns(kept)], "c string")),
     ]

@@ -20,6 +20,12 @@ def season_index(rows: DataFrame, ident: str, name_key: str, school: str, keys:
     )
 
 
+def named_index(rows: DataFrame, names: DataFrame, ident: str, name_key: str, school: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``season_index`` of rows without names, which ``names`` (ident, name key) has: a name joins an athlete's schools, not each of his rows."""
+    schools = rows.where(F.col(ident).isNotNull()).groupBy(*keys, ident).agg(F.sort_array(F.collect_set(school)).alias("schools"), F.count("*").alias("n_rows"))
+    return schools.join(names.groupBy(ident).agg(F.min(name_key).alias(name_key)), ident).select(*keys, ident, name_key, "schools", "n_rows")
+
+
 def _told(people: DataFrame, own: list[str], found: DataFrame, merge: dict) -> DataFrame:
     """What was found for names and schools, by person."""
     side = found.withColumnsRenamed({c: f"__{c}" for c in own})

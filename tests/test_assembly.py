@@ -134,3 +134,28 @@ def test_constant_prediction_has_no_rank_metrics(spark):
     df = spark.createDataFrame([("a", 1, 5.0, 1.0), ("a", 2, 5.0, 2.0), ("a", 3, 5.0, 3.0)], "g string, id int, pred double, pick double").withColumn("size", F.lit(60.0))
     got = M.order_metrics(df, ["g"], "pred", "pick", "size", "id").first()
     assert got.spearman is None and got.ndcg is None and got.mae == pytest.approx(3.0) and got.lottery_recall == 1.0
+
+
+def test_names_join_after_schools(spark):
+    """The index of rows without names is that of rows with them; who has no name is not in it."""
+    from scoutframe.operators import identity as I
+
+    rows = spark.createDataFrame([(1, 7, "ohio"), (1, 7, "iowa"), (1, 7, "iowa"), (2, 7, "utah"), (1, 8, "ohio"), (1, None, "ohio"), (1, 9, "ohio")], "season int, athlete long, school string")
+    names = spark.createDataFrame([(7, "ann b"), (7, "ann a"), (8, "cy d")], "athlete long, name_key string")
+    got = I.named_index(rows, names, "athlete", "name_key", "school", ("season",))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 7, "ann a", ["iowa", "ohio"], 3), (1, 8, "cy d", ["ohio"], 1), (2, 7, "ann a", ["utah"], 1)]
+
+
+def test_stats_and_gates_write_what_they_read(spark, monkeypatch):
+    """A build writes seven columns for its stats and gates; features keep all their columns, and gates look at all their names."""
+    from scoutframe.operators import assembly
+
+    wrote, usual = [], assembly.stored
+    monkeypatch.setattr(assembly, "stored", lambda df: wrote.append(df.columns) or usual(df))
+    rows = [(2020, 1, "ann", "ohio", 5, "NAME", 9, 3, 1, 0.5, 4), (2020, 2, "bob", "ohio", None, "UNMATCHED", None, None, None, None, None)]
+    people = spark.createDataFrame(rows, "season int, person_id long, name_key string, school string, athlete_id long, method string, games_played long, fg_attempts long, n_teams long, ts_pct double, pick long")
+    targets = spark.createDataFrame([(1, "True", "4")], "person_id long, drafted string, pick string")
+    built = assembly.build_dataset(people, targets, expected={2020: 2}, least_matched=0.4)
+    assert wrote == [["season", "person_id", "athlete_id", "method", "games_played", "fg_attempts", "n_teams"]]
+    assert built.features.columns == [c for c in people.columns if c not in ("method", "school", "name_key")]
+    assert built.failed() == ["features have targets", "no outcome among the features"]
