@@ -50,12 +50,13 @@ def match(people: DataFrame, index: DataFrame, overrides: DataFrame, keys: tuple
     ), {"n": F.sum, "n_fit": F.sum, "any_id": F.max, "fit_id": F.max})
     surname = lambda c: F.regexp_extract(c, r"(\S+)$", 1)
     first = lambda c: F.regexp_extract(c, r"^(\S+)", 1)
+    # of two first names one begins the other, and both have three letters: these are the same, so they are a key, and few pairs meet
+    named_like = lambda df, c, to: df.withColumns({"surname": surname(c), to: first(c)}).where(F.length(to) >= 3).withColumn("start", F.substring(to, 1, 3))
     near = (
-        asked.withColumn("surname", surname("name_key"))
-        .join(known.withColumnRenamed("name_key", "other_key").withColumn("surname", surname("other_key")), [*keys, "surname"])
+        named_like(asked, "name_key", "first")
+        .join(named_like(known.withColumnRenamed("name_key", "other_key"), "other_key", "other_first"), [*keys, "surname", "start"])
+        .where(F.startswith("first", "other_first") | F.startswith("other_first", "first"))
         .where(fits)
-        .where((F.length(first("name_key")) >= 3) & (F.length(first("other_key")) >= 3))
-        .where(F.startswith(first("name_key"), first("other_key")) | F.startswith(first("other_key"), first("name_key")))
         .groupBy(*own)
         .agg(F.sum("m").alias("n_near"), F.max("ident").alias("near_id"))
     )

@@ -423,3 +423,15 @@ def test_nearest_of_all_keeps_rows_without_joining_them_back(spark):
     assert sorted((r.id, r.gate, r.status) for r in out.where("oid IS NULL").collect()) == [(2, None, "UNAVAILABLE"), (3, None, "UNAVAILABLE")]
     # two of the sides with their bands, one of what was found with its rows, and the two named above
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 5
+
+
+def test_first_names_meet_by_their_first_letters(spark):
+    """Names of one surname meet only where the first three letters agree; two letters are too few, and the longer begins with the shorter."""
+    from scoutframe.operators import identity
+
+    people = spark.createDataFrame([(1, "jon doe", "ohio"), (2, "jonathan doe", "ohio"), (3, "jo doe", "ohio"), (4, "joan roe", "ohio")], "person_id long, name_key string, school string")
+    index = spark.createDataFrame([(11, "jonath doe", ["ohio"]), (12, "joanna roe", ["iowa"])], "ident long, name_key string, schools array<string>")
+    out = identity.match(people, index, spark.createDataFrame([], "person_id long, ident long"))
+    assert {r.person_id: (r.matched_id, r.method) for r in out.collect()} == {1: (11, "SURNAME_SCHOOL"), 2: (11, "SURNAME_SCHOOL"), 3: (None, "UNMATCHED"), 4: (None, "UNMATCHED")}
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "surname#" in line]
+    assert joins and all("start#" in line for line in joins)
